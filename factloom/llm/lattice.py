@@ -1,10 +1,11 @@
 """LM scoring by subword lattice likelihood.
 
 A text is the sequence of its words, each a mark and its bytes, then one end. A unigram model over the pieces of an
-existing vocabulary, the 256 bytes and the end generates it piece by piece; the probability of a word is the sum over all
-its segmentations, by forward recursion in log space. The vocabulary's scores give the first weights; expectation
-maximisation over the counted words of the training documents gives the ones used. All of this is done once for each
-distinct word, in blocks of documents, not for each occurrence.
+existing vocabulary and the 256 bytes generates a word piece by piece; the probability of the word is the sum over all its
+segmentations, by forward recursion in log space. The vocabulary's scores give the first weights; expectation maximisation
+over the distinct words of the training documents gives the ones used. A word seen in training is an edge of the lattice
+too, of weight (c - d) / N; the discount d leaves d V / N to the pieces, so that the sum over all words is 1. All of this is
+done once for each distinct word, in blocks of documents, not for each occurrence.
 """
 
 from __future__ import annotations
@@ -120,7 +121,7 @@ def _expand(logp):
     return np.append(logp, -np.inf)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, passes: int = 3, smoothing: float = 0.05, model: str = MODEL, block_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, passes: int = 2, smoothing: float = 0.05, model: str = MODEL, block_bytes: int = 24 << 20) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens: words of other than ASCII white space, A-Z in lower case, then one end. Documents of fold 0 teach nothing; a
@@ -175,12 +176,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     tokens = blocks.filter("token is not null").select("block", "lid", "token", "train")
     words = scratch.table(tokens.groupBy("token").agg(F.sum("train").alias("c")), "words")
     n_docs = rows.filter(~F.col("held")).count()
-    stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     n_train, v_train = stats["n"] + n_docs, stats["v"] + (n_docs > 0)
     norm = np.log10(n_train + 0.1 * (v_train + 1))
 
     surfaces, logp = pieces(model)
-    log_end = np.log(n_docs / n_train) if n_docs and n_train else np.log(0.01)
+    discount = stats["n1"] / (stats["n1"] + 2 * stats["n2"]) if stats["n1"] else 0.5
+    log_end = float(np.log(n_docs / n_train)) if n_docs else float(np.log(0.01))
+    left = np.log(discount * stats["v"] / n_train) if stats["v"] else np.log1p(-np.exp(log_end))
     if stats["n"]:
         sent = spark.sparkContext.broadcast(surfaces)
         for _ in range(passes):
@@ -190,20 +193,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 lattice, out = Lattice(sent.value), np.zeros(len(sent.value))
                 table = _expand(now.value)
                 for b in batches:
-                    c = b.column(1).to_numpy().astype(float)
                     for part, x in by_length([b" " + t for t in b.column(0).to_pylist()]):
-                        expected(lattice.edges(x), table, x.shape[1], c[part], out)
+                        expected(lattice.edges(x), table, x.shape[1], np.ones(len(part)), out)
                 at = np.nonzero(out)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], names=["i", "e"])
 
-            got = words.filter("c > 0").mapInArrow(count, "i int, e double").groupBy("i").agg(F.sum("e").alias("e")).collect()  # a row for each piece
+            got = words.filter("c > 0").select("token").mapInArrow(count, "i int, e double").groupBy("i").agg(F.sum("e").alias("e")).collect()  # a row for each piece
             uses = np.full(len(surfaces), smoothing)
             for x in got:
                 uses[x["i"]] += x["e"]
-            logp = np.log(uses) - np.log(uses.sum() + n_docs)
-            log_end = np.log(n_docs) - np.log(uses.sum() + n_docs) if n_docs else log_end
-    else:
-        logp = logp + np.log1p(-np.exp(log_end))
+            logp = np.log(uses / uses.sum())
     last = spark.sparkContext.broadcast((surfaces, logp))
 
     def weigh(batches):
@@ -213,6 +212,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             out = np.zeros(b.num_rows)
             for part, x in by_length([b" " + t for t in b.column(0).to_pylist()]):
                 out[part] = forward(lattice.edges(x), table, x.shape[1])[-1]
+            c = b.column(1).to_numpy()
+            with np.errstate(divide="ignore"):
+                out = np.logaddexp(np.log(np.maximum(c - discount, 0.0) / max(1, n_train)), out + left)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out / np.log(10))], names=["token", "c", "p"])
 
     weighed = words.mapInArrow(weigh, "token binary, c long, p double")

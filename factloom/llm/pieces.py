@@ -109,7 +109,7 @@ def decode_ids(ids, surface: list[bytes]) -> str:
     return b"".join(map(surface.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model: str = MODEL, block_chars: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model: str = MODEL, block_chars: int = 16 << 20) -> DataFrame:
     """docs and `out_col`, the ids of each whole text; null of null, none of empty texts. A column of that name is replaced."""
     keep = [c for c in docs.columns if c != out_col]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{text_col}`").alias("t"))

@@ -31,7 +31,7 @@ def places(text: bytes | None, hashes: Hashes):
 class Ftrl:
     """FTRL-proximal with per-coordinate rates; place -1 of w is the bias, which no L1 shrinks."""
 
-    def __init__(self, alpha: float = 0.2, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
@@ -49,14 +49,13 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", folds: int = 5, sample: int = 3000, passes: int = 6) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", folds: int = 5, sample: int = 8000, passes: int = 6) -> tuple[np.ndarray, np.ndarray, float]:
     """Places, weights and bias. Learns from labelled ids outside fold 0, `sample` of each class at most, those of the
     smallest hash; an id of several labels is toxic if one is, and of several texts the smallest stands for it. Rows of
     null id or null label teach nothing. Without an example of either class all weights are empty.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(target).alias("y"))
     known = known.filter(~held_out("id", folds))
-    rate = {x["y"]: x["count"] for x in known.groupBy("y").count().collect()}
     drawn = [x for y in (0, 1) for x in known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
     if not all(any(x["y"] == y for x in drawn) for y in (0, 1)):
         return np.zeros(0, np.int32), np.zeros(0), 0.0
@@ -78,9 +77,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             model.learn(f, y)
     w = model.weights(np.arange((1 << BITS) + 1))
     at = np.nonzero(w[:-1])[0].astype(np.int32)
-    n1 = sum(y for _, y in got)
-    prior = np.log(rate[1] / rate[0]) - np.log(n1 / (len(got) - n1))  # both classes were drawn to the same number
-    return at, w[at], float(w[-1] + min(0.0, prior))
+    return at, w[at], float(w[-1])
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", payload: list[str] | None = None, folds: int = 5) -> DataFrame:
