@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from factloom.llm.common import Scratch
 from factloom.llm.components import components
+from factloom.llm.minhash import half_turn
 
 
 def quantise(x):
@@ -101,9 +102,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     schema = pa.schema([("label", to_arrow_type(rows.schema["label"].dataType)), ("dim", pa.int32()), ("nb", pa.int64()), ("block", pa.int64()), ("ids", pa.binary()), ("copies", pa.binary()), ("x", pa.binary())])
     packed = scratch.table(assigned.groupBy("label", "dim", "nb", "block").applyInArrow(pack, packed_type), "blocks")
     names = packed.select("label", "dim", "nb", "block")
-    # a block meets those within half a turn after it: every pair of blocks once, as many for each
-    far = names.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("nb div 2")))).filter("not (nb % 2 = 0 and nb > 1 and step = nb div 2 and block >= step)")
-    tiles = far.select("label", "dim", F.col("block").alias("i"), F.pmod(F.col("block") + F.col("step"), F.col("nb")).alias("j"))
+    tiles = half_turn(names, ["label", "dim"])
     tiles = tiles.repartition(*(F.col(c) for c in ("label", "dim", "i", "j")))
     side = lambda s: packed.select("label", "dim", F.col("block").alias(s), F.col("ids").alias(f"ids_{s}"), F.col("copies").alias(f"n_{s}"), F.col("x").alias(f"x_{s}"))
     met = tiles.join(side("i"), ["label", "dim", "i"]).join(side("j"), ["label", "dim", "j"]).select("dim", "i", "j", "ids_i", "n_i", "x_i", "ids_j", "n_j", "x_j")

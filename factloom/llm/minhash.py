@@ -2,9 +2,11 @@
 
 Under each permutation of the shingles both the smallest and the largest value are kept, so `bands` x `rows` signature
 values cost half as many hash evaluations. Documents of one word sequence are one class. Classes that agree in all values
-of a band share a bucket. Buckets are not expanded into pairs: in each round some pivots of a bucket are compared, on full
-shingle sets, with its members of other components, and leave it; a bucket is done when its members are one component.
-So each pair of a bucket is either compared or known to be connected, whatever the bucket's size.
+of a band share a bucket. Buckets are not expanded into pairs: first each member is compared with its bucket's pivot, on
+full shingle sets; in large buckets that is the member most like the bucket's most frequent signature values, so that
+copies of one text meet in it even if they are too far from each other. Buckets whose members are then still in several
+components are cut into blocks, and tiles of two blocks compare signatures, then the full sets of those pairs of different
+components that could link; a tile returns links that join what was apart, never all of them.
 """
 
 from __future__ import annotations
@@ -70,6 +72,10 @@ class MinMax:
         self.add = r.integers(0, 1 << 32, n, np.uint32)
         self.salt = mix64(np.arange(1, bands + 1, dtype=np.uint64) * P)
 
+    def sketch(self, signature) -> bytes:
+        """A byte of each value, to compare signatures by."""
+        return (signature & np.uint32(255)).astype(np.uint8).tobytes()
+
     def signature(self, shingle_hashes):
         x = (shingle_hashes >> np.uint64(32)).astype(np.uint32)
         low = np.full(len(self.mul), 0xFFFFFFFF, np.uint32)
@@ -81,14 +87,67 @@ class MinMax:
             np.maximum(high, v.max(0), out=high)
         return np.stack([low, high], 1).reshape(-1)
 
-    def keys(self, shingle_hashes):
-        sig = self.signature(shingle_hashes).reshape(self.bands, self.rows).astype(np.uint64)
+    def keys(self, signature):
+        sig = signature.reshape(self.bands, self.rows).astype(np.uint64)
         key = self.salt.copy()
         for j in range(self.rows):
             key = mix64(key * P + sig[:, j])
         return key.view(np.int64)
 
 
+def candidates(a, b, same: bool, percent: int):
+    """Rows (i, j) of two blocks of (v, n, c, sketches) that may link, nearest first: those in different components c whose
+    sizes n allow it and whose sketches agree in no fewer places than four standard deviations below the threshold."""
+    p, out = percent / 100, []
+    cut = p - 4 * (p * (1 - p) / a[3].shape[1]) ** 0.5
+    for i in range(0, len(a[0]), 32):
+        x = [f[i : i + 32] for f in a[:4]]
+        agree = (x[3][:, None, :] == b[3][None, :, :]).mean(2)
+        small, large = np.minimum(x[1][:, None], b[1][None, :]), np.maximum(x[1][:, None], b[1][None, :])
+        ok = ((agree - 1 / 256) / (1 - 1 / 256) >= cut) & (x[2][:, None] != b[2][None, :]) & (100 * small >= percent * large)
+        r, c = np.nonzero(ok)
+        if same:
+            r, c = r[r + i < c], c[r + i < c]
+        out.append((agree[r, c], r + i, c))
+    agree, i, j = (np.concatenate(f) for f in zip(*out, strict=True))
+    order = np.lexsort((j, i, -agree))
+    return i[order].tolist(), j[order].tolist()
+
+
+def alike(s, t, percent: int) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
+def tile(a, b, same: bool, percent: int):
+    """(v, w) of links of two blocks of (v, n, c, sketches, sets) that join components; their sets are compared in full."""
+    up: dict = {}
+
+    def root(c):
+        while up.get(c, c) != c:
+            up[c] = c = up.get(up[c], up[c])
+        return c
+
+    for i, j in zip(*candidates(a, b, same, percent), strict=True):
+        c, d = root(a[2][i]), root(b[2][j])
+        if c != d and alike(a[4][i], b[4][j], percent):
+            up[max(c, d)] = min(c, d)
+            yield int(a[0][i]), int(b[0][j])
+
+
+def middle(sketches):
+    """The row most like the most frequent byte of each column, and in how many columns it has it."""
+    most = np.array([np.bincount(col, minlength=256).argmax() for col in sketches.T], np.uint8)
+    agree = (sketches == most).sum(1)
+    return int(agree.argmax()), int(agree.max())
+
+
+def half_turn(blocks: DataFrame, key: list[str]) -> DataFrame:
+    """key, i, j: each two blocks of a key once, also each with itself; blocks has key, nb and block, 0 to nb - 1."""
+    step = blocks.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("nb div 2")))).filter("not (nb % 2 = 0 and step = nb div 2 and block >= step)")
+    return step.select(*key, F.col("block").alias("i"), F.pmod(F.col("block") + F.col("step"), F.col("nb")).alias("j"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", payload: list[str] | None = None, k: int = 5, percent: int = 75, bands: int = 56, rows: int = 6, seed: int = 5) -> DataFrame:
     """One row per row of docs: id, payload, n_shingles, component_id (smallest id reachable by links), kept.
 
@@ -108,22 +167,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def sign(batches):
         hashes = Hashes()
         for b in batches:
-            n, fp, keys = [], [], []
+            n, fp, keys, sketch = [], [], [], []
             for t in b.column(2).to_pylist():
                 w = words_of(t)
                 s = shingles(w, k, hashes)
+                sig = minmax.signature(s) if w else None
                 n.append(len(s))
                 fp.append(fingerprint(w) if w else None)
-                keys.append(minmax.keys(s) if w else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "id", "n", "fp", "bands"])
+                keys.append(minmax.keys(sig) if w else None)
+                sketch.append(minmax.sketch(sig) if w else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["row", "id", "n", "fp", "bands", "sketch"])
 
     row_type = source.schema["row"].dataType.simpleString()
-    signed = scratch.table(source.mapInArrow(sign, f"row {row_type}, id {id_type}, n long, fp binary, bands array<long>"), "signed")
-    classes = signed.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    signed = scratch.table(source.mapInArrow(sign, f"row {row_type}, id {id_type}, n long, fp binary, bands array<long>, sketch binary"), "signed")
+    classes = signed.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = scratch.table(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
     keyed = classes.select("v", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    members = scratch.table(keyed.join(shared, "key"), "members").withColumn("c", F.col("v"))
+    members = scratch.table(keyed.join(shared, "key"), "members")
     met = members.select("v").distinct()
     texts = classes.join(met, "v").select("v", "fp", F.col("first").alias("id"))
 
@@ -147,33 +208,65 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             a, c = [], []
             for x, y, s, t in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both):
+                if alike(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), percent):
                     a.append(x)
                     c.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
-    turn, pivots, links, tested = 0, 1, None, None
-    while True:
-        stats = members.groupBy("key").agg(F.count("*").alias("size"), F.min("v").alias("least"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("key", "size", "least")
-        lead = (F.col("v") == F.col("least")) | ((F.pmod(F.xxhash64("v", F.lit(turn)), F.col("size")) < pivots) if turn else F.lit(False))
-        members = scratch.table(members.join(stats, "key").select("key", "v", "n", "c", lead.alias("lead")), f"members{turn}")
-        if members.isEmpty():
-            break
-        lo, hi = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-        pairs = members.filter("lead").alias("x").join(members.alias("y"), "key").filter("x.c != y.c and x.v != y.v").filter(lo * 100 >= hi * percent)
-        pairs = pairs.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
-        pairs = scratch.table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{turn}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        with_sets = pairs.join(full.select(F.col("v").alias("a"), F.col("s").alias("s")), "a").join(full.select(F.col("v").alias("b"), F.col("s").alias("t")), "b")
-        new = scratch.table(with_sets.select("a", "b", "s", "t").mapInArrow(confirm, "a long, b long"), f"links{turn}")
-        links = new if links is None else links.unionByName(new)
-        label = components(links, scratch, f"c{turn}")
-        members = members.filter("not lead").select("key", "v", "n").join(label, "v", "left").withColumn("c", F.coalesce("c", "v"))
-        turn, pivots = turn + 1, pivots * 4
-    label = classes.select("v", "fp", "first") if links is None else classes.select("v", "fp", "first").join(label, "v", "left")
-    label = label.withColumn("c", F.coalesce("c", "v") if links is not None else F.col("v"))
+    def verified(pairs, name):
+        """Those of the pairs (a, b) that link."""
+        both = pairs.join(full.select(F.col("v").alias("a"), "s"), "a").join(full.select(F.col("v").alias("b"), F.col("s").alias("t")), "b")
+        return scratch.table(both.select("a", "b", "s", "t").mapInArrow(confirm, "a long, b long"), name)
+
+    def open_buckets(label):
+        """Members of the buckets that are in several components, with these."""
+        now = members.select("key", "v", "n").join(label, "v", "left").withColumn("c", F.coalesce("c", "v"))
+        several = now.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("key", "size")
+        return now.join(several, "key")
+
+    def compare(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                sides = []
+                for col in (3, 4) if b.column(1)[r] != b.column(2)[r] else (3,):
+                    m = b.column(col)[r].values
+                    sides.append((*(m.field(f).to_numpy() for f in ("v", "n", "c")), np.frombuffer(b"".join(m.field("sketch").to_pylist()), np.uint8).reshape(len(m), -1), [np.frombuffer(x, np.uint64) for x in m.field("s").to_pylist()]))
+                links = list(tile(sides[0], sides[-1], len(sides) == 1, percent))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def pivot(batches):
+        for b in batches:
+            out = []
+            for r in range(b.num_rows):
+                m = b.column(1)[r].values
+                v, n = m.field("v").to_numpy(), m.field("n").to_numpy()
+                order = np.argsort(v)
+                i, agree = middle(np.frombuffer(b"".join(m.field("sketch").to_pylist()), np.uint8).reshape(len(m), -1)[order])
+                out.append((b.column(0)[r].as_py(), agree, int(v[order][i]), int(n[order][i])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 4)], names=["key", "agree", "v", "n"])
+
+    def in_blocks(now, *more):
+        """key, nb, block and m: the members of a block with their sketches and more; now has key and size of buckets."""
+        now = now.withColumn("nb", F.ceil(F.col("size") / 256)).withColumn("block", F.pmod(F.xxhash64("v"), F.col("nb"))).join(classes.select("v", "sketch"), "v")
+        return now.groupBy("key", "nb", "block").agg(F.collect_list(F.struct("v", "n", "c", "sketch", *more)).alias("m"))
+
+    sized = keyed.groupBy("key").agg(F.min(F.struct("v", "n")).alias("p"), F.count("*").alias("size")).filter("size > 1")
+    large = members.join(sized.filter("size >= 8").select("key", "size"), "key").withColumn("c", F.col("v"))
+    best = in_blocks(large).select("key", "m").mapInArrow(pivot, "key long, agree long, v long, n long").groupBy("key").agg(F.max(F.struct("agree", (-F.col("v")).alias("u"), "v", "n")).alias("q"))
+    least = sized.join(best, "key", "left").select("key", F.coalesce("q.v", "p.v").alias("pv"), F.coalesce("q.n", "p.n").alias("pn"))
+    lo, hi = F.least("n", "pn"), F.greatest("n", "pn")
+    pairs = members.join(least, "key").filter("v != pv").filter(lo * 100 >= hi * percent).select(F.least("pv", "v").alias("a"), F.greatest("pv", "v").alias("b")).distinct()
+    links = verified(pairs, "links0")
+    label = components(links, scratch, "c0")
+    now = scratch.table(open_buckets(label), "open")
+    packed = scratch.table(in_blocks(now.join(full.select("v", "s"), "v"), "s"), "blocks")
+    single = packed.filter("nb = 1").select("key", F.col("block").alias("i"), F.col("block").alias("j"), F.col("m").alias("x"), F.expr("filter(m, e -> false)").alias("y"))
+    tiles = half_turn(packed.filter("nb > 1").select("key", "nb", "block"), ["key"])
+    tiles = tiles.join(packed.select("key", F.col("block").alias("i"), F.col("m").alias("x")), ["key", "i"]).join(packed.select("key", F.col("block").alias("j"), F.col("m").alias("y")), ["key", "j"])
+    tiles = single.unionByName(tiles.select("key", "i", "j", "x", "y"))
+    more = scratch.table(tiles.mapInArrow(compare, "a long, b long"), "links1")
+    label = components(links.unionByName(more), scratch, "c1")
+    label = classes.select("v", "fp", "first").join(label, "v", "left").withColumn("c", F.coalesce("c", "v"))
     top = label.groupBy("c").agg(F.min("first").alias("component_id"))
     of = label.join(top, "c").select("fp", "component_id")
     out = signed.select("row", "id", "n", "fp").join(of, "fp", "left").withColumn("component_id", F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id")))
