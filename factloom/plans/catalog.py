@@ -1,6 +1,402 @@
+"""Queries over the driver's tables, each with the same query in SQL where SQL can express it.
+
+The tables stand in for files, commits, references and documents; the docstring of each operator says what it is for.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from factloom.functions import text as T
+from factloom.operators import chunks, facts, graph, incremental, retrieval, scoring
+from factloom.sources import manifests
+from factloom.streaming import sessions
+
+QUERIES: dict = {}
+SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+@query("SELECT coalesce(nullif(source, ''), '(no extension)') AS extension, count(*) AS files, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM documents GROUP BY 1")
+def file_ext_histogram(spark, sf):
+    return facts.by_extension(load(spark, sf, "documents").select(F.col("source").alias("extension")))
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
+def largest_files_top20(spark, sf):
+    return facts.top(load(spark, sf, "documents").select("doc_id", "n_chars"), 20, F.desc("n_chars"), "doc_id")
+
+
+PATHS = "regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '')"
+
+
+@query(f"WITH p AS (SELECT string_split({PATHS}, '/') AS p FROM pages), u AS (SELECT array_to_string(p[1:i], '/') AS dir, i = len(p) - 1 AS own FROM p, unnest(range(1, len(p))) t(i)) SELECT dir, count(*) FILTER (own) AS children FROM u GROUP BY dir")
+def ancestor_dirs(spark, sf):
+    return facts.ancestors(load(spark, sf, "pages").select(F.expr(PATHS).alias("path")))
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10))) AS lines FROM documents")
+def line_count(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", T.line_count("text").alias("lines"))
+
+
+@query("SELECT count(*) AS files, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(strlen(text))::BIGINT AS bytes FROM documents")
+def tree_totals(spark, sf):
+    return load(spark, sf, "documents").agg(F.count("*").alias("files"), F.sum(T.line_count("text")).alias("lines"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", T.estimate_tokens("text").alias("tokens"))
+
+
+@query("SELECT p_partkey, CAST(floor((p_size * 10000 - 3000 - 4096) * 0.9::DOUBLE) AS BIGINT) AS budget FROM part")
+def token_budget(spark, sf):
+    return load(spark, sf, "part").select("p_partkey", T.token_budget(F.col("p_size") * 10000).alias("budget"))
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents")
+def content_hash(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", T.content_hash("text").alias("hash"))
+
+
+@query("SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_docs(spark, sf):
+    return load(spark, sf, "documents").groupBy(T.content_hash("text").alias("hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).filter("copies > 1")
+
+
+@query("""SELECT CAST(n.doc_id AS VARCHAR) AS path, CASE WHEN n.source = 'src1' THEN 'new' ELSE 'modified' END AS status
+FROM documents n WHERE n.source = 'src1' OR n.source = 'src2'""")
+def change_set(spark, sf):
+    d = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("hash"), "source")
+    before = d.filter("source != 'src1'").select("path", F.when(F.col("source") == "src2", F.lit("edited")).otherwise(F.col("hash")).alias("hash"))
+    return facts.changed(d.select("path", "hash"), before)
+
+
+@query("SELECT strftime(ts, '%Y-%m') AS month, count(*) AS commits FROM events GROUP BY 1")
+def activity_by_month(spark, sf):
+    return facts.by_month(load(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("date")))
+
+
+@query("SELECT CAST(ts AS DATE)::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def activity_by_day(spark, sf):
+    e = sessions.by_window(load(spark, sf, "events").select("ts", "event_type"))
+    return e.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("SELECT user_id, count(*) AS commits FROM events GROUP BY 1 ORDER BY commits DESC, user_id LIMIT 10")
+def contributors(spark, sf):
+    n = load(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("commits"))
+    return facts.top(n, 10, F.desc("commits"), "user_id")
+
+
+@query("SELECT l_partkey, count(*) AS changes FROM lineitem GROUP BY 1 ORDER BY changes DESC, l_partkey LIMIT 30")
+def most_changed_top30(spark, sf):
+    n = load(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("changes"))
+    return facts.top(n, 30, F.desc("changes"), "l_partkey")
+
+
+@query("""WITH n AS (SELECT l_partkey AS path, l_suppkey AS author, count(*) AS n, min(l_orderkey) AS first FROM lineitem GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, first, author DESC) AS k FROM n) SELECT path, author AS owner, n AS changes FROM r WHERE k = 1""")
+def ownership_argmax(spark, sf):
+    c = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("path"), F.col("l_suppkey").alias("author"), F.col("l_orderkey").alias("seq"))
+    n = c.groupBy("path", "author").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    return n.groupBy("path").agg(F.max_by("author", F.struct("n", (-F.col("first")).alias("f"), "author")).alias("owner"), F.max("n").alias("changes"))
+
+
+@query("SELECT age, count(*) AS n FROM (SELECT CASE WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') <= 30 THEN 'active' WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') >= 90 THEN 'stale' ELSE 'between' END AS age FROM orders) GROUP BY 1")
+def branch_age_class(spark, sf):
+    b = load(spark, sf, "orders").select(F.col("o_orderdate").alias("commit_ts"))
+    return facts.branch_age(b, F.lit("1998-08-02").cast("date")).groupBy("age").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM orders), 4) AS percent FROM orders GROUP BY ALL")
+def category_pct(spark, sf):
+    o = load(spark, sf, "orders").select(F.struct("o_orderpriority", "o_orderstatus").alias("k"))
+    return facts.shares(o, "k").select("k.o_orderpriority", "k.o_orderstatus", "n", "percent")
+
+
+MARKS = "CASE event_type WHEN 'click' THEN 'TODO: ' WHEN 'purchase' THEN 'fixme ' WHEN 'error' THEN 'HACK: ' WHEN 'signup' THEN 'note: ' ELSE 'TODONT ' END"
+
+
+@query(f"""WITH l AS (SELECT event_id, concat('// ', {MARKS}, event_type, ' #', event_id, ' see AB-', user_id) AS text FROM events),
+m AS (SELECT event_id, upper(regexp_extract(text, '(?i)\\b(TODO|FIXME|HACK|NOTE)(?::\\s*|\\s+)(.*)', 1)) AS marker, trim(regexp_extract(text, '(?i)\\b(TODO|FIXME|HACK|NOTE)(?::\\s*|\\s+)(.*)', 2)) AS text FROM l)
+SELECT CAST(event_id AS VARCHAR) AS path, 1 AS line, marker, CASE marker WHEN 'TODO' THEN 'tasks' WHEN 'NOTE' THEN 'notes' ELSE 'bugs' END AS category, text,
+  array_to_string(regexp_extract_all(text, '(#\\d+|\\b[A-Z][A-Z0-9]+-\\d+)', 1), ',') AS refs FROM m WHERE marker <> ''""")
+def todo_scan(spark, sf):
+    e = load(spark, sf, "events").select(F.col("event_id").cast("string").alias("path"), F.expr(f"concat('// ', {MARKS}, event_type, ' #', event_id, ' see AB-', user_id)").alias("content"))
+    return facts.todos(e).select("path", "line", "marker", "category", "text", F.array_join("issue_refs", ",").alias("refs"))
+
+
+@query("SELECT event_id, concat('EV_', upper(event_type), ',U', user_id) AS vars FROM events")
+def env_refs(spark, sf):
+    line = F.expr("concat('x = process.env.EV_', upper(event_type), ' || os.getenv(\"U', user_id, '\") || process.env.lower')")
+    return load(spark, sf, "events").select("event_id", F.array_join(T.env_refs(line), ",").alias("vars"))
+
+
+@query("SELECT p_partkey, p_size AS tests FROM part")
+def count_tests(spark, sf):
+    return load(spark, sf, "part").select("p_partkey", T.count_tests(F.repeat(F.lit("it('x', f);\n"), F.col("p_size")), "vitest").alias("tests"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, concat('lib-', p_size) AS name, concat('>=', p_size, '.0') AS version, 'production' AS type FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'bare', '*', 'production' FROM part")
+def manifest_requirements(spark, sf):
+    p = load(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), F.expr("concat('# c\\n-r x.txt\\nlib-', p_size, '>=', p_size, '.0 # why\\n\\nbare\\n')").alias("content"))
+    return manifests.requirements(p)
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, concat('ex.org/a', p_size) AS name, concat('v1.', p_size, '.0') AS version, 'production' AS type FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'ex.org/one', 'v0.1.0', 'production' FROM part")
+def manifest_go(spark, sf):
+    p = load(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), F.expr("concat('module m\\nrequire (\\n\\tex.org/a', p_size, ' v1.', p_size, '.0\\n)\\nrequire ex.org/one v0.1.0\\n')").alias("content"))
+    return manifests.go_mod(p)
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, concat('a', p_size) AS name, concat('^', p_size) AS version, 'production' AS type FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'b', '1', 'development' FROM part")
+def manifest_package_json(spark, sf):
+    p = load(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), F.expr("""concat('{"dependencies":{"a', p_size, '":"^', p_size, '"},"devDependencies":{"b":"1"}}')""").alias("content"))
+    return manifests.package_json(p)
+
+
+EDGES = "SELECT DISTINCT concat('m', l_partkey % 50, '/p', l_partkey, '.ts') AS src, concat('../m', l_suppkey % 50, '/s', l_suppkey, '.js') AS specifier FROM lineitem"
+KNOWN = "SELECT concat('m', s_suppkey % 50, '/s', s_suppkey, CASE s_nationkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.ts' ELSE '.md' END) AS path FROM supplier"
+RESOLVED = f"""e AS ({EDGES}), k AS ({KNOWN}),
+r AS (SELECT e.src, e.specifier, k.path AS dst FROM e JOIN k ON k.path IN (regexp_replace(substr(e.specifier, 4), '\\.js$', '.ts'), regexp_replace(substr(e.specifier, 4), '\\.js$', '/index.ts')))"""
+
+
+def _resolved(spark, sf):
+    load(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
+    load(spark, sf, "supplier").createOrReplaceTempView("supplier")
+    return graph.resolve(spark.sql(EDGES), spark.sql(KNOWN))
+
+
+@query(f"WITH {RESOLVED} SELECT * FROM r")
+def import_resolution(spark, sf):
+    return _resolved(spark, sf)
+
+
+@query(f"WITH {RESOLVED} SELECT dst AS path, count(DISTINCT src) AS importers FROM r GROUP BY 1")
+def importer_count(spark, sf):
+    return graph.importers(_resolved(spark, sf))
+
+
+@query(f"WITH {RESOLVED} SELECT DISTINCT split_part(src, '/', 1) AS a, split_part(dst, '/', 1) AS b FROM r WHERE split_part(src, '/', 1) <> split_part(dst, '/', 1)")
+def module_graph(spark, sf):
+    edges = graph.file_graph(_resolved(spark, sf))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return graph.lift(edges, nodes.select("node", T.top_dir("node").alias("grp"), F.lit(0).alias("seq")))
+
+
+@query("WITH l AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 50 AND l_discount >= 0.1) SELECT n_nationkey AS node FROM nation WHERE n_nationkey NOT IN (SELECT a FROM l UNION SELECT b FROM l)")
+def isolated_modules(spark, sf):
+    li = load(spark, sf, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.1").select("l_orderkey", "l_suppkey")
+    o, c, s = load(spark, sf, "orders"), load(spark, sf, "customer"), load(spark, sf, "supplier")
+    e = li.join(o.select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.expr("o_custkey = c_custkey")).join(s.select("s_suppkey", "s_nationkey"), F.expr("l_suppkey = s_suppkey"))
+    return graph.isolated(load(spark, sf, "nation").select(F.col("n_nationkey").alias("node")), e.select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")))
+
+
+@query("""WITH f AS (SELECT CASE p_partkey % 4 WHEN 0 THEN concat('src/p', p_partkey, '.test.ts') WHEN 1 THEN concat('pkg', p_partkey, '/package.json') ELSE concat('src/p', p_partkey, '.ts') END AS path, p_partkey, p_size FROM part),
+i AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS importers, count(*) AS changes FROM lineitem GROUP BY 1)
+SELECT path, CAST(greatest(0, least(100, least(3 * coalesce(importers, 0), 30) + least(2 * p_size, 20) + least(coalesce(changes, 0), 10) + CASE WHEN p_size > 25 THEN 10 ELSE 0 END
+ + CASE WHEN p_partkey % 4 = 1 THEN 15 ELSE 0 END - CASE WHEN p_partkey % 4 = 0 THEN 15 ELSE 0 END)) AS INT) AS score FROM f LEFT JOIN i ON l_partkey = p_partkey""")
+def file_score(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", "p_size", F.expr("CASE p_partkey % 4 WHEN 0 THEN concat('src/p', p_partkey, '.test.ts') WHEN 1 THEN concat('pkg', p_partkey, '/package.json') ELSE concat('src/p', p_partkey, '.ts') END").alias("path"))
+    n = load(spark, sf, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("importers"), F.count("*").alias("changes"))
+    f = p.join(n, F.expr("l_partkey = p_partkey"), "left").select("path", "importers", "changes", F.col("p_size").alias("exports"), (F.col("p_size") > 25).cast("int").alias("todos"))
+    return scoring.score(f).select("path", "score")
+
+
+@query()
+def pack_greedy(spark, sf):
+    d = load(spark, sf, "documents").join(load(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("q")), "doc_id", "left")
+    tokens = T.estimate_tokens("text")
+    rows = d.select(F.col("doc_id").cast("string").alias("path"), (50 * F.coalesce("q", F.lit(0))).alias("score"), tokens.cast("double").alias("full"), F.lit(None).cast("double").alias("sections"), F.lit(None).cast("double").alias("signatures"), T.estimate_tokens(scoring.fallback_summary(F.col("text"))).cast("double").alias("summary"), F.lit(False).alias("unreadable"), F.lit(False).alias("changed"), F.col("doc_id").alias("rank"))
+    return scoring.pack(rows.withColumn("rank", F.col("rank") - F.col("score") * 1_000_000), 100_000)
+
+
+@query("""SELECT item_id, EXISTS (SELECT 1 FROM documents d WHERE d.text = b.text) AS held FROM benchmark b""")
+def claim_validation(spark, sf):
+    return incremental.validate(load(spark, sf, "benchmark"), load(spark, sf, "documents"), ["text"]).select("item_id", "held")
+
+
+@query("SELECT count(*) FILTER (h) AS validated, count(*) FILTER (NOT h) AS corrected, count(*) AS total, count(*) FILTER (NOT h)::DOUBLE / count(*) AS drop_rate FROM (SELECT doc_id IN (SELECT doc_id FROM labels) AS h FROM documents)")
+def validation_summary(spark, sf):
+    return incremental.validation_summary(incremental.validate(load(spark, sf, "documents").select("doc_id"), load(spark, sf, "labels"), ["doc_id"]))
+
+
+CHANGED = "s_acctbal < 0"
+
+
+@query(f"""WITH c AS (SELECT s_suppkey AS path, s_nationkey FROM supplier WHERE {CHANGED}), k AS (SELECT n_name AS renderer, s_suppkey AS path FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey < 4)
+SELECT renderer, array_to_string(list_sort(list(DISTINCT k.path)), ',') AS reasons FROM c JOIN k USING (path) WHERE path <> 3 GROUP BY 1""")
+def renderer_filter(spark, sf):
+    s, n = load(spark, sf, "supplier"), load(spark, sf, "nation")
+    claims = s.join(n.filter("n_regionkey < 4"), F.expr("n_nationkey = s_nationkey")).select(F.col("n_name").alias("renderer"), F.col("s_suppkey").alias("path"))
+    hit, _ = incremental.affected(s.filter(CHANGED).select(F.col("s_suppkey").alias("path")), claims, spark.createDataFrame([(3,)], "path long"))
+    return hit.select("renderer", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"""WITH h AS (SELECT DISTINCT s_nationkey FROM supplier WHERE {CHANGED}) SELECT n_name AS renderer, concat(lower(n_name), '.md') AS filename FROM nation JOIN h ON n_nationkey = s_nationkey WHERE n_regionkey <> 0""")
+def staleness(spark, sf):
+    s, n = load(spark, sf, "supplier"), load(spark, sf, "nation")
+    claims = s.join(n, F.expr("n_nationkey = s_nationkey")).select(F.col("n_name").alias("renderer"), F.col("s_suppkey").alias("path"))
+    hit, _ = incremental.affected(s.filter(CHANGED).select(F.col("s_suppkey").alias("path")), claims, spark.createDataFrame([], "path long"))
+    docs = n.select(F.col("n_name").alias("renderer"), F.concat(F.lower("n_name"), F.lit(".md")).alias("filename"), "n_regionkey")
+    return incremental.stale(hit, docs, docs.filter("n_regionkey = 0")).select("renderer", "filename")
+
+
+#: Rounds and the rounds each needs.
+ROUND_DEPS = [(2, 1), (3, 2), (4, 3), (5, 2), (6, 2)]
+
+
+@query("WITH RECURSIVE e(a, b) AS (VALUES (2, 1), (3, 2), (4, 3), (5, 2), (6, 2)), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a::BIGINT AS a, b::BIGINT AS b FROM r")
+def round_closure(spark, sf):
+    return graph.closure(spark.createDataFrame(ROUND_DEPS, "a long, b long"))
+
+
+ALIAS = [("overview", "01"), ("architecture", "03"), ("arch", "03"), ("modules", "06"), ("tests", "12")]
+GROUPS = [("core", "overview"), ("core", "architecture"), ("quality", "tests")]
+
+
+@query("SELECT * FROM (VALUES ('Core', '01'), ('Core', '03'), ('arch', '03'), ('nope', NULL)) t(token, doc)")
+def alias_resolution(spark, sf):
+    t = spark.createDataFrame([("Core",), ("arch",), ("nope",)], "token string")
+    return incremental.resolve_aliases(t, spark.createDataFrame(ALIAS, "alias string, doc string"), spark.createDataFrame(GROUPS, "name string, alias string"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, 0 AS chunk_index, 'Root' AS section_path, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS hash FROM documents WHERE regexp_matches(text, '\\S') AND NOT regexp_matches(text, '(?m)^#{1,3}\\s+.+$')")
+def chunk_headerless(spark, sf):
+    d = load(spark, sf, "documents").filter(~F.rlike("text", F.lit(r"(?m)^#{1,3}\s+.+$")))
+    c = chunks.chunk(d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("doc_type"), F.col("source").alias("source_file"), F.col("text").alias("content")))
+    return c.select("doc_id", "chunk_index", "section_path", F.sha2("content", 256).alias("hash"))
+
+
+@query()
+def chunk_sections(spark, sf):
+    d = load(spark, sf, "documents")
+    return chunks.chunk(d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("doc_type"), F.col("source").alias("source_file"), F.concat(F.lit("# "), "source", F.lit("\n\n"), "text").alias("content")))
+
+
+def _vector(spark, sf, vec_id=0):
+    return load(spark, sf, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()[0]
+
+
+V0 = "SELECT embedding AS q FROM embeddings WHERE vec_id = 0"
+DIST = "sqrt(list_sum(list_transform(list_zip(embedding, q), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)))"
+
+
+def _knn(spark, sf, types=None, k=10):
+    e = load(spark, sf, "embeddings")
+    return retrieval.knn(e, _vector(spark, sf), k, types, ("vec_id",), "label").select("vec_id", "label", F.round("distance", 6).alias("distance"), T.relevance("distance").alias("relevance"))
+
+
+KNN = f"SELECT vec_id, label, round(d, 6) AS distance, round(100 * greatest(0.0, least(1.0, 1 - d / 2)), 2) AS relevance FROM (SELECT vec_id, label, {DIST} AS d FROM embeddings, ({V0}) {{}}) ORDER BY d, vec_id LIMIT 10"
+
+
+@query(KNN.format(""))
+def knn_topk(spark, sf):
+    return _knn(spark, sf)
+
+
+@query(KNN.format("WHERE label IN (1, 5)"))
+def knn_filtered(spark, sf):
+    return _knn(spark, sf, [1, 5])
+
+
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5), d AS (SELECT query_id, vec_id, sqrt(list_sum(list_transform(list_zip(embedding, q), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))) AS d FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM d) SELECT query_id, vec_id, round(d, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 5")
+def knn_batch(spark, sf):
+    e = load(spark, sf, "embeddings")
+    q = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieval.knn_batch(e, q, 5, "query_id", "vec_id").select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(f"WITH k AS ({KNN.format('')}), a AS (SELECT max(relevance) AS top, list_sort(list(relevance), 'DESC')[2] AS second, count(DISTINCT label) AS sources FROM k) SELECT top, second, sources, top < 58 OR second < 45 OR sources < 2 AS weak FROM a")
+def evidence(spark, sf):
+    m = _knn(spark, sf).select("relevance", F.col("label").cast("string").alias("source_file"))
+    return retrieval.evidence(m).select("top", "second", "sources", "weak")
+
+
+@query(f"WITH k AS ({KNN.format('')}) SELECT label::VARCHAR AS source_file, 'Root' AS section_path, vec_id % 3 AS chunk_index, min(distance) AS distance FROM k GROUP BY ALL")
+def citations(spark, sf):
+    m = _knn(spark, sf).select(F.col("label").cast("string").alias("source_file"), F.lit("Root").alias("section_path"), (F.col("vec_id") % 3).alias("chunk_index"), "distance")
+    return retrieval.citations(m)
+
+
+DOC_TYPES = ["overview", "getting-started", "architecture", "file-structure", "features", "modules", "dependencies", "environment", "edge-cases", "tech-debt", "conventions", "testing-strategy", "deployment"]
+
+
+@query(f"WITH t(v) AS (VALUES ('modul'), ('featurs'), ('zzzzzzzzzzzz')), k AS (SELECT unnest({DOC_TYPES}) AS n, generate_subscripts({DOC_TYPES}, 1) AS i), m AS (SELECT v, n, i FROM t, k WHERE levenshtein(n, v) <= 4), r AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY i) AS rn FROM m) SELECT t.v AS value, coalesce((SELECT string_agg(n, ',' ORDER BY i) FROM r WHERE r.v = t.v AND rn <= 3), '') AS names FROM t")
+def doc_type_suggest(spark, sf):
+    return spark.createDataFrame([("modul",), ("featurs",), ("zzzzzzzzzzzz",)], "value string").select("value", F.array_join(T.suggest("value", DOC_TYPES), ",").alias("names"))
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 25 OFFSET 25")
+def pagination(spark, sf):
+    offset = spark.range(1).select(T.decode_cursor(T.encode_cursor(F.lit(25)))).first()[0]
+    return retrieval.page(load(spark, sf, "part").select("p_partkey", "p_name"), ["p_name", "p_partkey"], offset)
+
+
+@query("""WITH u AS (SELECT conv_id, turn, role, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t FROM conversations)
+SELECT role AS model, sum(t)::BIGINT AS tokens, round(sum((t * p + t * o) / 1e6), 6) AS cost FROM (SELECT *, CASE role WHEN 'user' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS p, CASE role WHEN 'user' THEN 15.0::DOUBLE ELSE 5.0::DOUBLE END AS o FROM u) GROUP BY 1""")
+def usage_cost(spark, sf):
+    t = T.estimate_tokens("text")
+    u = load(spark, sf, "conversations").select(F.col("role").alias("model"), t.alias("input"), t.alias("output"), F.lit(0).alias("cache_read"), F.lit(0).alias("cache_write"))
+    c = incremental.usage_cost(u, spark.createDataFrame([("user", 3.0, 15.0), ("default", 1.0, 5.0)], "model string, price_in double, price_out double"))
+    return c.groupBy("model").agg(F.sum("input").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"))
+
+
+def _session_events(spark, sf):
+    return load(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), (F.col("turn") + 1).alias("sequence"), F.when(F.col("role") == "assistant", "final").otherwise("progress").alias("kind"))
+
+
+@query("SELECT conv_id AS session_id, turn + 1 AS sequence, CASE role WHEN 'assistant' THEN 'final' ELSE 'progress' END AS kind FROM conversations WHERE turn + 1 > 3")
+def session_replay(spark, sf):
+    return sessions.replay(_session_events(spark, sf), 3)
+
+
+@query("WITH e AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) SELECT conv_id AS session_id, CASE role WHEN 'assistant' THEN 'completed' ELSE 'active' END AS status, turn + 1 AS last FROM e WHERE k = 1")
+def session_state(spark, sf):
+    e = _session_events(spark, sf).groupBy("session_id", "sequence").agg(F.max("kind").alias("kind"))
+    return sessions.status(e).select("session_id", "status", "last")
+
+
+@query("SELECT conv_id AS session_id, turn + 1 AS sequence, turn = coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) + 1, 0) AS ok FROM conversations")
+def session_gaps(spark, sf):
+    return sessions.check_sequence(_session_events(spark, sf)).select("session_id", "sequence", "ok")
+
+
+@query("SELECT page_id, replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped, concat('<a href=\"', page_id, '.html#x\">') AS link FROM pages")
+def html_link_rewrite(spark, sf):
+    return load(spark, sf, "pages").select("page_id", T.escape_html("url").alias("escaped"), T.rewrite_md_links(F.concat(F.lit('<a href="'), F.col("page_id").cast("string"), F.lit('.md#x">'))).alias("link"))
+
+
+@query("SELECT event_type, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END AS severity, count(*) AS n FROM events GROUP BY ALL ORDER BY severity, event_type")
+def severity_report(spark, sf):
+    s = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "signup", 1).otherwise(2)
+    return load(spark, sf, "events").groupBy("event_type", s.alias("severity")).agg(F.count("*").alias("n")).orderBy("severity", "event_type")
+
+
+@query("SELECT * FROM (SELECT l_suppkey, l_partkey, count(*) AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_partkey) AS rank FROM lineitem GROUP BY 1, 2) WHERE rank <= 3")
+def top_per_group(spark, sf):
+    n = load(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
+    return facts.per_group(n, 3, ["l_suppkey"], F.desc("n"), "l_partkey")
+
+
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
