@@ -79,9 +79,8 @@ def lay_out(items: list) -> list[str]:
         if x.__class__ is str:
             run.append(x)
         elif x.__class__ is int:
-            if not end() and x == 0 and lines and gap < 2:
-                gap = gap + 1 if gap else 1
-            gap = max(gap, x)
+            flushed = end()
+            gap = max(gap, x or (1 if flushed else 2))
         else:
             end()
             put(x)
@@ -131,7 +130,7 @@ class Builder:
         node = self.stack[-1]
         if not s or node.tag in ("table", "thead", "tbody", "tfoot", "tr") and not s.strip():
             return
-        if node.seen:
+        if node.seen and node.info != "closed":
             s = entities.unescape(s) if "&" in s else s
             node.out.append(s.replace("\xa0", " ") if "\xa0" in s else s)
 
