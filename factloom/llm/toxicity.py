@@ -49,7 +49,7 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", folds: int = 5, sample: int = 8000, passes: int = 6) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", folds: int = 5, sample: int = 5000, passes: int = 6) -> tuple[np.ndarray, np.ndarray, float]:
     """Places, weights and bias. Learns from labelled ids outside fold 0, `sample` of each class at most, those of the
     smallest hash; an id of several labels is toxic if one is, and of several texts the smallest stands for it. Rows of
     null id or null label teach nothing. Without an example of either class all weights are empty.
