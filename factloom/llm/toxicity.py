@@ -56,6 +56,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(target).alias("y"))
     known = known.filter(~held_out("id", folds))
+    rate = {x["y"]: x["count"] for x in known.groupBy("y").count().collect()}
     drawn = [x for y in (0, 1) for x in known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
     if not all(any(x["y"] == y for x in drawn) for y in (0, 1)):
         return np.zeros(0, np.int32), np.zeros(0), 0.0
@@ -71,13 +72,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     got = texts.select("id", "y", F.col("t").cast("binary").alias("t")).mapInArrow(features, f"id {id_type}, y int, f binary").withColumn("h", F.xxhash64("id")).collect()
     got = [(np.frombuffer(x["f"], np.int32), x["y"]) for x in sorted(got, key=lambda x: (x["h"], x["id"]))]
+    n1 = sum(y for _, y in got)
+    if not 0 < n1 < len(got):  # labels without documents
+        return np.zeros(0, np.int32), np.zeros(0), 0.0
     model = Ftrl()
     for _ in range(passes):
         for f, y in got:
             model.learn(f, y)
     w = model.weights(np.arange((1 << BITS) + 1))
     at = np.nonzero(w[:-1])[0].astype(np.int32)
-    return at, w[at], float(w[-1])
+    prior = np.log(rate[1] / rate[0]) - np.log(n1 / (len(got) - n1))  # the sample holds the classes in other shares
+    return at, w[at], float(w[-1] + prior)
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", payload: list[str] | None = None, folds: int = 5) -> DataFrame:
