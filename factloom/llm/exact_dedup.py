@@ -4,7 +4,8 @@ A document's string is the length of its normalised text, then its bytes. Docume
 first digit of `first` bytes; groups of one leave; the others are split again by their next digit, each `growth` times as
 long as the one before, until the text has ended. Members of an ended group agree in every byte; no digest is compared.
 A level moves only what has not left: its digits are counted with map-side sums, and the counts are joined back, which
-Spark's skew join splits for a group of any size.
+Spark's skew join splits for a group of any size. These joins are merge joins at every size, as the counts grow with the
+documents: a small table takes no way that a large one could not.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "row", "id", "t", F.coalesce(F.length("t"), F.lit(0)).alias("n_cp"), F.octet_length("n").alias("len"), F.substring("n", 1, first).alias("dig"), F.sha2("n", 256).alias("sha")
     )
     groups = _groups(rows, ["len", "dig"], scratch, "g0")
-    out = rows.withColumn("uid", F.monotonically_increasing_id()).join(groups, ["len", "dig"], "left")
+    out = rows.withColumn("uid", F.monotonically_increasing_id()).join(groups.hint("merge"), ["len", "dig"], "left")
     out = scratch.table(out.select("uid", "row", "id", "n_cp", "len", "sha", "gid", F.when(F.col("gid").isNotNull(), text).alias("t")), "level0")
     alone = [out.filter(F.col("gid").isNull()).select("uid", "row", "id", "sha")]
     ended, active, done, level, digit = [], out.filter(F.col("gid").isNotNull()), first, 0, first
@@ -49,7 +50,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         groups = _groups(cut, ["was", "dig"], scratch, f"g{level}")
         done += digit
         out = scratch.table(
-            cut.join(groups, ["was", "dig"], "left").select("uid", "row", "id", "n_cp", "len", "sha", F.when(F.col("gid").isNotNull(), F.col("gid") + F.lit(level) * F.lit(1 << 58)).alias("gid"), F.when((F.col("gid").isNotNull()) & (F.col("len") > done), text).alias("t")),
+            cut.join(groups.hint("merge"), ["was", "dig"], "left").select("uid", "row", "id", "n_cp", "len", "sha", F.when(F.col("gid").isNotNull(), F.col("gid") + F.lit(level) * F.lit(1 << 58)).alias("gid"), F.when((F.col("gid").isNotNull()) & (F.col("len") > done), text).alias("t")),
             f"level{level}",
         )
         alone.append(out.filter(F.col("gid").isNull()).select("uid", "row", "id", "sha"))
@@ -63,7 +64,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     copies = union(ended)
     best = copies.groupBy("gid").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_cp")).alias("c"), F.col("id").isNull().alias("z"), F.col("id").alias("keep_id"), F.col("uid").alias("u"))).alias("b"))
-    copies = copies.join(best, "gid").select("row", F.col("b.keep_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("b.u")).alias("kept"), F.col("sha").alias("text_sha256"))
+    copies = copies.join(best.hint("merge"), "gid").select("row", F.col("b.keep_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("b.u")).alias("kept"), F.col("sha").alias("text_sha256"))
     single = union(alone).select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     return single.unionByName(copies).select(*(F.col(f"row.`{c}`").alias(c) for c in [id_col, *payload]), "keep_id", "group_size", "kept", "text_sha256")
 
