@@ -29,15 +29,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     payload = [c for c in payload or [] if c != id_col]
     scratch = Scratch(docs.sparkSession, "exact")
-    text = F.col("t")
+    text, own = F.col("t"), text_col in payload  # a text that is carried anyway is not carried twice
+    carried = lambda still: F.lit(None).cast("string") if own else F.when(still, text)
+    reread = lambda df: df.withColumn("t", F.col(f"row.`{text_col}`")) if own else df
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in [id_col, *payload])).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
     norm = normalised(text)
     rows = rows.withColumn("n", norm.cast("binary")).select(
         "row", "id", "t", F.coalesce(F.length("t"), F.lit(0)).alias("n_cp"), F.octet_length("n").alias("len"), F.substring("n", 1, first).alias("dig"), F.sha2("n", 256).alias("sha")
     )
     groups = _groups(rows, ["len", "dig"], scratch, "g0")
+    if own:
+        rows = rows.drop("t")
     out = rows.withColumn("uid", F.monotonically_increasing_id()).join(groups.hint("merge"), ["len", "dig"], "left")
-    out = scratch.table(out.select("uid", "row", "id", "n_cp", "len", "sha", "gid", F.when(F.col("gid").isNotNull(), text).alias("t")), "level0")
+    out = scratch.table(reread(out).select("uid", "row", "id", "n_cp", "len", "sha", "gid", carried(F.col("gid").isNotNull()).alias("t")), "level0")
     alone = [out.filter(F.col("gid").isNull()).select("uid", "row", "id", "sha")]
     ended, active, done, level, digit = [], out.filter(F.col("gid").isNotNull()), first, 0, first
     while True:
@@ -46,11 +50,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if active.isEmpty():
             break
         level, digit = level + 1, digit * growth
-        cut = active.withColumn("dig", F.substring(normalised(text).cast("binary"), done + 1, digit)).withColumnRenamed("gid", "was")
+        cut = reread(active).withColumn("dig", F.substring(normalised(text).cast("binary"), done + 1, digit)).withColumnRenamed("gid", "was")
         groups = _groups(cut, ["was", "dig"], scratch, f"g{level}")
         done += digit
         out = scratch.table(
-            cut.join(groups.hint("merge"), ["was", "dig"], "left").select("uid", "row", "id", "n_cp", "len", "sha", F.when(F.col("gid").isNotNull(), F.col("gid") + F.lit(level) * F.lit(1 << 58)).alias("gid"), F.when((F.col("gid").isNotNull()) & (F.col("len") > done), text).alias("t")),
+            cut.join(groups.hint("merge"), ["was", "dig"], "left").select("uid", "row", "id", "n_cp", "len", "sha", F.when(F.col("gid").isNotNull(), F.col("gid") + F.lit(level) * F.lit(1 << 58)).alias("gid"), carried(F.col("gid").isNotNull() & (F.col("len") > done)).alias("t")),
             f"level{level}",
         )
         alone.append(out.filter(F.col("gid").isNull()).select("uid", "row", "id", "sha"))

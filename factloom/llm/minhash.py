@@ -179,7 +179,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["row", "id", "n", "fp", "bands", "sketch"])
 
     row_type = source.schema["row"].dataType.simpleString()
-    signed = scratch.table(source.mapInArrow(sign, f"row {row_type}, id {id_type}, n long, fp binary, bands array<long>, sketch binary"), "signed")
+    narrow = source if not payload else source.withColumn("row", F.struct(F.col("id").alias(id_col)))
+    narrow_type = narrow.schema["row"].dataType.simpleString()
+    signed = scratch.table(narrow.mapInArrow(sign, f"row {narrow_type}, id {id_type}, n long, fp binary, bands array<long>, sketch binary"), "signed")
+
+    def mark(batches):
+        for b in batches:
+            w = [words_of(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(x) if x else None for x in w], pa.binary())], names=["row", "id", "fp"])
+
     classes = signed.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = scratch.table(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
     keyed = classes.select("v", "n", F.explode("bands").alias("key"))
@@ -269,5 +277,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label = classes.select("v", "fp", "first").join(label, "v", "left").withColumn("c", F.coalesce("c", "v"))
     top = label.groupBy("c").agg(F.min("first").alias("component_id"))
     of = label.join(top, "c").select("fp", "component_id")
-    out = signed.select("row", "id", "n", "fp").join(of, "fp", "left").withColumn("component_id", F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id")))
+    if payload:  # rows with all their columns are read again rather than kept beside the signatures
+        sizes = signed.filter("fp is not null").groupBy("fp").agg(F.first("n").alias("n"))
+        wide = source.mapInArrow(mark, f"row {row_type}, id {id_type}, fp binary").join(of.join(sizes, "fp"), "fp", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    else:
+        wide = signed.select("row", "id", "n", "fp").join(of, "fp", "left")
+    out = wide.withColumn("component_id", F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return out.select(*(F.col(f"row.`{c}`").alias(c) for c in [id_col, *payload]), F.col("n").alias("n_shingles"), "component_id", F.expr("id <=> component_id").alias("kept"))
