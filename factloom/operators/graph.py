@@ -17,7 +17,7 @@ def resolve(imports: DataFrame, known: DataFrame, suffixes: tuple = SUFFIXES) ->
     Candidates are expanded with their rank and met by an equi-join, and the smallest rank wins. A specifier that ends
     like compiled code is tried as written, then without its extension.
     """
-    base = T.resolve_path("src", "specifier")
+    base = F.explode(F.array(T.resolve_path("src", "specifier")))  # a generator, so that it is computed once and not for each use
     rows = imports.select("src", "specifier", base.alias("base")).filter("base is not null")
     bare = F.when(F.rlike("base", F.lit(r"\.(js|jsx|mjs|cjs)$")), T.strip_extension("base"))
     ends = F.array(*map(F.lit, suffixes))
