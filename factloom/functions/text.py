@@ -182,12 +182,21 @@ def escape_html(text) -> Column:
 
 def import_class(source) -> Column:
     """F31, P21."""
-    return F.when(F.startswith(col(source), F.lit(".")), "relative").when(F.startswith(col(source), F.lit("@")), "scoped").otherwise("package")
+    return F.when(F.startswith(col(source), F.lit(".")), "relative").when(F.startswith(col(source), F.lit("@")), "scoped-package").otherwise("package")
 
 
-def specificity(text, pattern: str = r"`[^`]+`") -> Column:
+#: What counts as a reference to code.
+REFERENCE = r"(?:src/|\.ts\b|\.js\b|\.py\b|\.rs\b|\.go\b|function\s+\w+|class\s+\w+)"
+
+
+def references(text) -> Column:
+    """references to code in a text."""
+    return F.regexp_count(col(text), F.lit(REFERENCE))
+
+
+def specificity(text) -> Column:
     """references per hundred characters."""
-    return F.regexp_count(col(text), F.lit(pattern)) / F.greatest(F.length(col(text)) / 100, F.lit(1.0))
+    return references(text) / F.greatest(utf16_length(text) / 100, F.lit(1.0))
 
 
 def path_claims(text) -> Column:

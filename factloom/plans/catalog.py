@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators import chunks, facts, graph, incremental, retrieval, scoring
+from factloom.operators import chunks, facts, graph, incremental, reports, retrieval, scoring
 from factloom.sources import manifests
 from factloom.streaming import sessions
 
@@ -394,6 +394,153 @@ def top_per_group(spark, sf):
     return facts.per_group(n, 3, ["l_suppkey"], F.desc("n"), "l_partkey")
 
 
+TEST_PATH = "CASE p_partkey % 6 WHEN 0 THEN concat('src/unit/p', p_partkey, '.ts') WHEN 1 THEN concat('a/integration/p', p_partkey, '.test.ts') WHEN 2 THEN concat('a/e2e/test_p', p_partkey, '.py') WHEN 3 THEN concat('pkg/p', p_partkey, '_test.go') WHEN 4 THEN concat('x/tests/p', p_partkey, '.rs') ELSE concat('contests/p', p_partkey, '.rs') END"
+
+
+def _tests(spark, sf):
+    return load(spark, sf, "part").select(F.expr(TEST_PATH).alias("path"), F.col("p_size").cast("long").alias("tests"))
+
+
+@query("SELECT CASE p_partkey % 6 WHEN 1 THEN 'vitest' WHEN 2 THEN 'pytest' WHEN 3 THEN 'go_test' ELSE 'rust_test' END AS framework, count(*) AS files, sum(p_size)::BIGINT AS tests FROM part WHERE p_partkey % 6 BETWEEN 1 AND 4 GROUP BY 1")
+def tests_by_framework(spark, sf):
+    return reports.tests_by_framework(_tests(spark, sf))
+
+
+@query("SELECT kind, count(*) AS files, sum(p_size)::BIGINT AS tests FROM (SELECT p_size, unnest(CASE p_partkey % 6 WHEN 0 THEN ['unit'] WHEN 1 THEN ['unit', 'integration'] WHEN 2 THEN ['e2e'] ELSE ['other'] END) AS kind FROM part) GROUP BY 1")
+def test_kinds(spark, sf):
+    return reports.test_kinds(_tests(spark, sf))
+
+
+SPECIFIER = "concat(CASE l_suppkey % 3 WHEN 0 THEN './' WHEN 1 THEN '@org/' ELSE '' END, 's', l_suppkey)"
+
+
+def _imports(spark, sf):
+    return load(spark, sf, "lineitem").select(F.expr(SPECIFIER).alias("specifier"), F.col("l_orderkey").alias("seq"))
+
+
+@query("SELECT CASE l_suppkey % 3 WHEN 0 THEN 'relative' WHEN 1 THEN 'scoped-package' ELSE 'package' END AS class, count(*) AS imports FROM lineitem GROUP BY 1")
+def import_classes(spark, sf):
+    return reports.import_classes(_imports(spark, sf))
+
+
+@query(f"SELECT {SPECIFIER} AS specifier, count(*) AS imports FROM lineitem GROUP BY 1 ORDER BY imports DESC, min(l_orderkey), specifier LIMIT 20")
+def most_imported_top20(spark, sf):
+    return reports.most_imported(_imports(spark, sf))
+
+
+@query(f"SELECT split_part({PATHS}, '/', 1) AS dir, count(*) AS files FROM pages GROUP BY 1 ORDER BY files DESC, dir LIMIT 20")
+def files_by_top_dir(spark, sf):
+    return reports.files_by_top_dir(load(spark, sf, "pages").select(F.expr(PATHS).alias("path")))
+
+
+DIRS = "concat('src/', CASE p_size % 5 WHEN 0 THEN 'UserControllers' WHEN 1 THEN 'api-service' WHEN 2 THEN 'plain' WHEN 3 THEN 'eventStore' ELSE 'views/x' END)"
+
+
+@query(f"SELECT p_partkey, {DIRS} AS path, CASE p_size % 5 WHEN 0 THEN 'controller' WHEN 1 THEN 'service' WHEN 3 THEN 'store' END AS layer FROM part")
+def layer_dirs(spark, sf):
+    return load(spark, sf, "part").select("p_partkey", F.expr(DIRS).alias("path")).withColumn("layer", reports.layer("path"))
+
+
+CI_PATH = "CASE p_size % 5 WHEN 0 THEN concat('.github/workflows/p', p_partkey, '.yml') WHEN 1 THEN concat('a', p_partkey, '/jenkinsfile') WHEN 2 THEN concat('p', p_partkey, '/Dockerfile') WHEN 3 THEN concat('p', p_partkey, '/xtravisyml') ELSE concat('p', p_partkey, '/.travis.yml') END"
+
+
+@query(f"SELECT {CI_PATH} AS path, CASE p_size % 5 WHEN 0 THEN 'GitHub Actions' WHEN 1 THEN 'Jenkins' WHEN 4 THEN 'Travis CI' END AS provider FROM part WHERE p_size % 5 <> 3")
+def ci_files(spark, sf):
+    return reports.ci_files(load(spark, sf, "part").select(F.expr(CI_PATH).alias("path")))
+
+
+@query("SELECT variable, count(*) AS refs, array_to_string((list(loc ORDER BY k))[1:3], ',') AS locations FROM (SELECT upper(event_type) AS variable, concat('u', user_id, ':', event_id) AS loc, row_number() OVER (PARTITION BY event_type ORDER BY concat('u', user_id), event_id) AS k FROM events) GROUP BY 1")
+def env_locations(spark, sf):
+    r = load(spark, sf, "events").select(F.upper("event_type").alias("variable"), F.concat(F.lit("u"), "user_id").alias("file"), F.col("event_id").alias("line"))
+    return reports.locations(r, 3).withColumn("locations", F.array_join("locations", ","))
+
+
+DOC_FILE = "concat('f', lpad(CAST(event_id AS VARCHAR(20)), 9, '0'), CASE event_id % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.rs' ELSE '.md' END)"
+
+
+@query(f"WITH f AS (SELECT {DOC_FILE} AS path, event_id % 4 = 0 AND event_type = 'click' OR event_id % 4 = 2 AND event_type <> 'click' AS has FROM events WHERE event_id % 4 <> 3 ORDER BY path LIMIT 100) SELECT count(*) AS sampled, count(*) FILTER (has) AS documented, CAST(floor(100.0 * count(*) FILTER (has) / count(*) + 0.5) AS INT) AS percent FROM f")
+def inline_doc_coverage(spark, sf):
+    content = F.when(F.col("event_type") == "click", "/** a\n b */ x").otherwise("/// x")
+    return reports.inline_doc_coverage(load(spark, sf, "events").select(F.expr(DOC_FILE).alias("path"), content.alias("content")))
+
+
+@query("WITH r AS (SELECT turn + 2 AS round, count(*) FILTER (role = 'user') AS v, count(*) FILTER (role <> 'user') AS c FROM conversations WHERE turn < 4 GROUP BY 1) SELECT n AS round, CASE WHEN r.round IS NULL THEN 'skipped' ELSE 'success' END AS status, coalesce(v, 0) AS validated, coalesce(c, 0) AS corrected FROM range(1, 7) t(n) LEFT JOIN r ON r.round = n")
+def round_table(spark, sf):
+    c = load(spark, sf, "conversations").filter("turn < 4").groupBy((F.col("turn") + 2).alias("round"))
+    return reports.round_table(c.agg(F.lit("success").alias("status"), F.count_if(F.col("role") == "user").alias("validated"), F.count_if(F.col("role") != "user").alias("corrected")))
+
+
+@query("WITH f AS (SELECT s_nationkey AS module, lower(p_brand) AS pattern, p_partkey AS seq, p_name FROM part JOIN supplier ON s_suppkey = p_partkey % 10 + 1) SELECT pattern, arg_min(p_name, seq) AS description, concat('Found in ', count(*), ' of ', (SELECT count(DISTINCT module) FROM f), ' modules') AS frequency FROM f GROUP BY 1 HAVING count(*) >= 2")
+def cross_cutting_conventions(spark, sf):
+    s = load(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("module"))
+    p = load(spark, sf, "part").select(F.concat(F.lit("\t "), "p_brand", F.lit(" \n")).alias("pattern"), F.col("p_name").alias("description"), F.col("p_partkey").alias("seq"))
+    return reports.conventions(p.join(s, F.expr("s_suppkey = seq % 10 + 1")))
+
+
+@query("SELECT count(*) FILTER (event_type = 'error') AS critical, count(*) FILTER (event_type = 'signup') AS warning, count(*) FILTER (event_type NOT IN ('error', 'signup')) AS info FROM events")
+def edge_case_severities(spark, sf):
+    s = F.when(F.col("event_type") == "error", "critical").when(F.col("event_type") == "signup", "warning")
+    return reports.severities(load(spark, sf, "events").select(s.alias("severity")))
+
+
+@query("SELECT count(*) AS chunks, count(DISTINCT source) AS docs, array_to_string(list_sort(list(DISTINCT lang)), ',') AS types FROM documents")
+def index_stats(spark, sf):
+    d = load(spark, sf, "documents").select(F.col("source").alias("doc_id"), F.col("lang").alias("doc_type"))
+    return reports.index_stats(d).withColumn("types", F.array_join("types", ","))
+
+
+@query("SELECT p_partkey, CASE p_size % 6 WHEN 5 THEN 13 * p_size >= 200 AND p_size >= 2 ELSE 13 * p_size >= 500 AND p_size >= 5 END AS acceptable, p_size AS references FROM part")
+def round_quality(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", (F.col("p_size") % 6 + 1).alias("round"), F.repeat(F.lit("see a/b.ts . "), F.col("p_size")).alias("text"))
+    return reports.quality(p).select("p_partkey", "acceptable", "references")
+
+
+@query("SELECT 4::BIGINT AS round UNION ALL SELECT 5 UNION ALL SELECT 6")
+def terminal_rounds(spark, sf):
+    rounds = spark.range(1, 7).select(F.col("id").alias("round"))
+    return reports.terminal(rounds, spark.createDataFrame(ROUND_DEPS, "round long, needs long"))
+
+
+@query("WITH r AS (SELECT c_nationkey, arg_max(c_mktsegment, c_custkey) AS role FROM customer WHERE c_nationkey < 20 GROUP BY 1) SELECT s_name AS name, s_nationkey, coalesce(role, '-') AS role, CASE s_suppkey % 4 WHEN 0 THEN 'production' WHEN 1 THEN 'development' ELSE 'peer' END AS section FROM supplier LEFT JOIN r ON c_nationkey = s_nationkey")
+def dependency_roles(spark, sf):
+    d = load(spark, sf, "supplier").select(F.col("s_nationkey").alias("name"), F.col("s_name").alias("dep"), F.expr("element_at(array('production', 'development', 'peer', 'optional'), cast(s_suppkey % 4 + 1 as int))").alias("type"))
+    r = load(spark, sf, "customer").filter("c_nationkey < 20").select(F.col("c_nationkey").alias("name"), F.col("c_mktsegment").alias("role"), F.col("c_custkey").alias("seq"))
+    return reports.with_role(d, r).select(F.col("dep").alias("name"), F.col("name").alias("s_nationkey"), "role", "section")
+
+
+@query("SELECT concat('n', p_size) AS path, p_partkey, CASE WHEN p_size < 25 THEN n_name END AS purpose FROM part LEFT JOIN nation ON n_nationkey = p_size")
+def directory_annotation(spark, sf):
+    modules = load(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("path"), F.col("n_name").alias("purpose"), F.lit(0).alias("files"))
+    return reports.annotated(load(spark, sf, "part").select(F.concat(F.lit("n"), "p_size").alias("path"), "p_partkey"), modules)
+
+
+@query("SELECT concat('k', p_partkey) AS key, CASE WHEN p_partkey % 5 = 0 THEN 'missing' WHEN p_partkey % 5 = 1 THEN 'unknown' WHEN p_partkey % 5 = 2 AND p_size <> 7 THEN 'customized' ELSE 'at-default' END AS action FROM part")
+def config_diff(spark, sf):
+    p = load(spark, sf, "part").select(F.concat(F.lit("k"), "p_partkey").alias("key"), "p_size", (F.col("p_partkey") % 5).alias("m"))
+    own = p.filter("m != 0").select("key", F.when(F.col("m") == 2, F.col("p_size")).alias("value"))
+    return reports.config_diff(own, p.filter("m != 1").select("key", F.when(F.col("m") == 2, 7).alias("value"))).select("key", "action")
+
+
+@query("SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'index' ELSE 'skip' END AS action FROM documents")
+def reindex_plan(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", T.document_fingerprint("source", "text").alias("fingerprint"), "source")
+    stored = d.filter("source != 'src1'").select("doc_id", F.when(F.col("source") == "src2", "old").otherwise(F.col("fingerprint")).alias("fingerprint"))
+    return reports.reindex_plan(d.select("doc_id", "fingerprint"), stored).select("doc_id", "action")
+
+
+@query("SELECT p_partkey AS round, p_size % 3 = 0 AND p_partkey % 2 = 0 AS hit FROM part")
+def round_cache(spark, sf):
+    p = load(spark, sf, "part").select(F.col("p_partkey").alias("round"), F.sha2(F.col("p_name"), 256).alias("hash"), "p_size")
+    held = p.select("round", F.when(F.col("p_size") % 3 == 0, F.col("hash")).otherwise("other").alias("hash"), (F.col("round") % 2).alias("version"), F.lit("{}").alias("result"))
+    return reports.cached_rounds(p.select("round", "hash"), held, 0).select("round", "hit")
+
+
+@query("SELECT n_name AS doc, array_to_string(list_sort(list(DISTINCT r)), ',') AS rounds FROM (SELECT n_name, unnest([n_regionkey + 1, n_nationkey % 3 + 1]) AS r FROM nation) WHERE r IN (2, 3) GROUP BY 1")
+def degraded_docs(spark, sf):
+    docs = load(spark, sf, "nation").select(F.col("n_name").alias("doc"), F.array(F.col("n_regionkey") + 1, F.col("n_nationkey") % 3 + 1).alias("rounds"))
+    return reports.affected_by(spark.createDataFrame([(2,), (3,)], "round int"), docs).withColumn("rounds", F.array_join("rounds", ","))
+
+
 def queries():
     return dict(QUERIES)
 

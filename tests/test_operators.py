@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators import chunks, facts, graph, incremental, retrieval, scoring
+from factloom.operators import chunks, facts, graph, incremental, reports, retrieval, scoring
 from factloom.sources import files, manifests
 from factloom.streaming import sessions
 
@@ -22,7 +22,7 @@ def one(spark, column, value="x"):
         (T.estimate_tokens, "abcde", 2), (T.estimate_tokens, "\U0001f600" * 2, 1), (T.strip_extension, "a/b.c/d.ts", "a/b.c/d"), (T.basename, "a/b.ts", "b.ts"), (T.dirname, "b.ts", ""), (T.extname, ".env", ""), (T.line_count, "a\nb\n", 3),
         (T.todo_marker, "// TODO: x", "TODO"), (T.todo_marker, "# fixme: broken", "FIXME"), (T.todo_marker, "const TODONT = 1;", None), (T.env_refs, "process.env.A || process.env.B", ["A", "B"]), (T.env_refs, "os.getenv('X') process.env.Y", ["X", "Y"]),
         (T.env_refs, "process.env.notAVar", []), (T.env_file_var, "  BAR=1", "BAR"), (T.env_file_var, "lower=2", None), (T.issue_refs, "fix #123 see PROJ-45", ["#123", "PROJ-45"]), (T.canonical_target, "  Full Project_x ", "full-project-x"),
-        (T.diagram_id, "1a-b", "n_1a_b"), (T.human_size, "1536", "1.5 KB"), (T.strip_frontmatter, "---\na: 1\n---\n\nx", "x"), (T.path_claims, "see `src/a.ts` and b.ts, src/a.ts", ["src/a.ts"]), (T.import_class, "@a/b", "scoped"),
+        (T.diagram_id, "1a-b", "n_1a_b"), (T.human_size, "1536", "1.5 KB"), (T.strip_frontmatter, "---\na: 1\n---\n\nx", "x"), (T.path_claims, "see `src/a.ts` and b.ts, src/a.ts", ["src/a.ts"]), (T.import_class, "@a/b", "scoped-package"),
         (T.decode_cursor, "eyJvZmZzZXQiOjI1fQ", 25), (T.decode_cursor, "???", None), (T.anchor, "A (b) c", "a-b-c"),
     ],
 )
@@ -151,3 +151,37 @@ def test_branches(spark):
     b = spark.createDataFrame([("develop", datetime.datetime(2024, 1, 1)), ("release/1", datetime.datetime(2024, 3, 1))], "name string, commit_ts timestamp")
     assert facts.branch_strategy(b).first()[0] == "git-flow"
     assert [r["age"] for r in facts.branch_age(b, F.lit("2024-04-01").cast("date")).orderBy("name").collect()] == ["stale", "between"]
+
+
+def test_report_rules(spark):
+    assert one(spark, lambda _: reports.framework(F.lit("contests/a.rs"))) is None
+    assert one(spark, lambda _: reports.framework(F.lit("tests/a/b.rs"))) == "rust_test"
+    assert one(spark, lambda _: reports.framework(F.lit("a/test_x.py"))) == "pytest"
+    assert one(spark, lambda _: reports.layer(F.lit("src/serviceModels"))) == "service"
+    assert one(spark, lambda _: reports.ci_provider(F.lit("x/.GITHUB/workflows/a.yml"))) == "GitHub Actions"
+    assert one(spark, lambda _: T.specificity(F.lit("src/a.ts"))) == 2.0
+
+
+def test_locations_order_and_cap(spark):
+    refs = spark.createDataFrame([("A", "b", 10), ("A", "b", 9), ("A", "a", 3), ("B", "c", 1)], "variable string, file string, line int")
+    got = {r.variable: (r.refs, r.locations) for r in reports.locations(refs, 2).collect()}
+    assert got == {"A": (3, ["a:3", "b:9"]), "B": (1, ["c:1"])}
+
+
+def test_reports_of_nothing(spark):
+    none = lambda schema: spark.createDataFrame([], schema)
+    assert reports.severities(none("severity string")).first().asDict() == {"critical": 0, "warning": 0, "info": 0}
+    assert reports.inline_doc_coverage(none("path string, content string")).first().asDict() == {"sampled": 0, "documented": 0, "percent": 0}
+    assert [r.status for r in reports.round_table(none("round long, status string, validated long, corrected long")).collect()] == ["skipped"] * 6
+    assert reports.conventions(none("module string, pattern string, description string, seq long")).count() == 0
+
+
+def test_config_diff_and_cache(spark):
+    own = spark.createDataFrame([("a", "1"), ("b", None), ("x", "1")], "key string, value string")
+    defaults = spark.createDataFrame([("a", "2"), ("b", None), ("c", "3")], "key string, value string")
+    assert {r.key: r.action for r in reports.config_diff(own, defaults).collect()} == {"a": "customized", "b": "at-default", "c": "missing", "x": "unknown"}
+    keys = spark.createDataFrame([(1, "h"), (2, "i"), (3, "j")], "round int, hash string")
+    cache = spark.createDataFrame([(1, "h", 2, "r"), (2, "i", 1, "r"), (3, "old", 2, "r")], "round int, hash string, version int, result string")
+    assert {r["round"]: r.hit for r in reports.cached_rounds(keys, cache, 2).collect()} == {1: True, 2: False, 3: False}
+    plan = reports.reindex_plan(spark.createDataFrame([(1, "f"), (2, "g")], "doc_id int, fingerprint string"), spark.createDataFrame([(1, "f")], "doc_id int, fingerprint string"))
+    assert {r.doc_id: r.action for r in plan.collect()} == {1: "skip", 2: "index"}
