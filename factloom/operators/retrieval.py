@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +27,62 @@ def knn(chunks: DataFrame, query: list[float], k: int, types: list | None = None
     return chunks.withColumn("distance", distance("embedding", vector)).orderBy("distance", *order).limit(k)
 
 
+def nearest(x, y, bad, k: int):
+    """Per row of y the k nearest rows of x, as (row of y, row of x, distance); bad rows of x come last, equal ones in x's order."""
+    d = np.zeros((len(y), len(x)))
+    for j in range(x.shape[1]):  # the order in which l2_distance adds up, so that both agree to the last bit
+        d += (y[:, j, None] - x[None, :, j]) ** 2
+    d = np.sqrt(d)
+    d[:, bad] = np.nan
+    far = np.partition(d, k - 1, axis=1)[:, k - 1, None] if k < len(x) else np.full((len(y), 1), np.nan)
+    near = ~(d > far)
+    for i in range(len(y)):
+        at = np.flatnonzero(near[i])
+        at = at[np.lexsort((d[i, at], bad[at]))[:k]]
+        yield np.full(len(at), i), at, d[i, at]
+
+
 def knn_batch(chunks: DataFrame, queries: DataFrame, k: int, key: str, id_col: str) -> DataFrame:
-    """V1 for many queries (key, vector): queries are the small side and are sent to the chunks; each task keeps k rows
-    of each query, so the shuffle carries k rows per query and task."""
-    near = chunks.join(F.broadcast(queries), how="cross") if queries.count() <= 10_000 else chunks.crossJoin(queries)  # at most 10,000 query rows are sent
-    d = near.select(key, id_col, T.l2_distance("embedding", "vector").alias("distance"))
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", id_col))).filter(F.col("rank") <= k)
+    """V1 for many queries (key, vector): blocks of queries meet blocks of chunks, and each two blocks give k rows of each
+    query. Vectors that are null, hold a null or differ in length from the query have no distance and come last."""
+    n = queries.count()
+    types = {"key": dict(queries.dtypes)[key], "id": dict(chunks.dtypes)[id_col]}
+
+    def pack(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), c) for c in part.columns], names=["ids", "x"])
+
+    def packed(df, kind, a, b):
+        rows = df.mapInArrow(pack, f"ids array<{kind}>, x array<array<double>>")
+        return rows.select(F.col("ids").alias(a), F.col("x").alias(b))
+
+    def matrix(x, dim: int):
+        """Vectors of that length as rows, and which rows are not such vectors."""
+        bad = np.array([v is None or len(v) != dim or None in v for v in x])
+        return np.array([[0.0] * dim if w else v for v, w in zip(x, bad, strict=True)], np.float64).reshape(len(x), dim), bad
+
+    def compare(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, keys = batch.column(0)[r].values, batch.column(2)[r].values
+                order = pc.sort_indices(ids, null_placement="at_start")
+                ids, x, y = ids.take(order), batch.column(1)[r].values.take(order).to_pylist(), batch.column(3)[r].as_py()
+                for dim in {len(v) if v is not None else 0 for v in y}:
+                    of = [i for i, v in enumerate(y) if (len(v) if v is not None else 0) == dim]
+                    (m, bad), (q, lost) = matrix(x, dim), matrix([y[i] for i in of], dim)
+                    for mask, rows in ((bad, np.flatnonzero(~lost)), (np.ones(len(x), bool), np.flatnonzero(lost))):
+                        if len(rows):
+                            i, at, d = (np.concatenate(f) for f in zip(*nearest(m, q[rows], mask, k), strict=True))
+                            yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.array(of)[rows][i])), ids.take(pa.array(at)), pa.array(d, mask=mask[at])], names=["key", "id", "distance"])
+
+    c = packed(chunks.select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("x")), types["id"], "ids", "x")
+    q = packed(queries.select(F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("x")).repartition(max(1, -(-n // 256))), types["key"], "keys", "y")
+    met = c.crossJoin(F.broadcast(q) if n <= 10_000 else q)  # at most 10,000 query rows are sent
+    d = met.select("ids", "x", "keys", "y").mapInArrow(compare, f"key {types['key']}, id {types['id']}, distance double")
+    near = d.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.asc_nulls_last("distance"), "id"))).filter(F.col("rank") <= k)
+    return near.select(F.col("key").alias(key), F.col("id").alias(id_col), "distance", "rank")
 
 
 def evidence(matches: DataFrame) -> DataFrame:

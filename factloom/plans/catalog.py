@@ -322,6 +322,13 @@ def knn_batch(spark, sf):
     return retrieval.knn_batch(e, q, 5, "query_id", "vec_id").select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT query_id, vec_id, sqrt(list_sum(list_transform(list_zip(embedding, q), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))) AS d FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM d) SELECT query_id, vec_id, round(d, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 5")
+def knn_batch_all(spark, sf):
+    e = load(spark, sf, "embeddings")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieval.knn_batch(e, q, 5, "query_id", "vec_id").select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query(f"WITH k AS ({KNN.format('')}), a AS (SELECT max(relevance) AS top, list_sort(list(relevance), 'DESC')[2] AS second, count(DISTINCT label) AS sources FROM k) SELECT top, second, sources, top < 58 OR second < 45 OR sources < 2 AS weak FROM a")
 def evidence(spark, sf):
     m = _knn(spark, sf).select("relevance", F.col("label").cast("string").alias("source_file"))

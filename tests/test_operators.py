@@ -1,6 +1,7 @@
 """Operators on literal fixtures."""
 
 import datetime
+import os
 
 import pandas as pd
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators import chunks, facts, graph, incremental, reports, retrieval, scoring
+from factloom.plans import catalog
 from factloom.sources import files, manifests
 from factloom.streaming import sessions
 
@@ -135,6 +137,25 @@ def test_evidence_and_upsert(spark):
     assert sorted(map(tuple, t.collect())) == [(1, "a"), (2, "c")]
 
 
+def test_knn_batch_takes_every_query(spark):
+    rows = [(i, [float(i // 3), 0.0]) for i in range(3000)] + [(3000, None), (3001, [1.0]), (3002, [None, 0.0])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    q = e.filter("vec_id < 3000 and vec_id % 7 = 0 or vec_id = 3000").selectExpr("vec_id as query_id", "embedding as vector")
+    got = {}
+    for r in retrieval.knn_batch(e, q, 4, "query_id", "vec_id").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.distance))
+    plain = lambda v: sorted((abs(i // 3 - v // 3), i) for i in range(3000))[:4]
+    assert got == {v: [(i, float(d)) for d, i in plain(v)] for v in range(0, 3000, 7)} | {3000: [(i, None) for i in range(4)]}
+    few = retrieval.knn_batch(e.filter("vec_id >= 2999"), q.filter("query_id = 7"), 9, "query_id", "vec_id").orderBy("rank").collect()
+    assert [(r.vec_id, r.distance) for r in few] == [(2999, 997.0), (3000, None), (3001, None), (3002, None)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
+def test_knn_batch_all_follows_the_table(spark):
+    got = catalog.QUERIES["knn_batch_all"](spark, "/root/testdata/sf0.1").groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {i: 5 for i in range(0, 2000, 50)}
+
+
 def test_sessions(spark, tmp_path):
     e = spark.createDataFrame([(1, 1, "progress"), (1, 2, "final"), (2, 1, "progress"), (2, 3, "progress")], "session_id long, sequence long, kind string")
     assert [r["ok"] for r in sessions.check_sequence(e).orderBy("session_id", "sequence").collect()] == [True, True, True, False]
