@@ -30,6 +30,8 @@ PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure
 BLOCK = PARAGRAPH | frozenset("address article aside body center details dialog dir div dd dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary tr caption thead tbody tfoot".split())
 CLOSES_P = (BLOCK | {"hr", "xmp"}) - frozenset("html body tr caption thead tbody tfoot option optgroup".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What an open head takes in; any other start tag and any text but white space end it.
+IN_HEAD = frozenset("base link meta noframes noscript script style template title".split())
 #: Start tag: elements that it ends, and those at which the search for them stops.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir", "td", "th", "table"}), "dt": ({"dt", "dd"}, {"dl", "td", "th", "table"}), "dd": ({"dt", "dd"}, {"dl", "td", "th", "table"}),
@@ -127,6 +129,8 @@ class Builder:
         self.title: list[str] = []
 
     def text(self, s: str) -> None:
+        if self.stack[-1].tag == "head" and (entities.unescape(s) if "&" in s else s).strip(" \t\n\r\f"):
+            self.pop()
         node = self.stack[-1]
         if not s or node.tag in ("table", "thead", "tbody", "tfoot", "tr") and not s.strip():
             return
@@ -135,6 +139,8 @@ class Builder:
             node.out.append(s.replace("\xa0", " ") if "\xa0" in s else s)
 
     def open(self, tag: str, attrs: str) -> None:
+        if self.stack[-1].tag == "head" and tag not in IN_HEAD:
+            self.pop()
         if tag in CLOSES_P:
             self.close_implied({"p"}, SCOPE)
         if tag in IMPLIED:

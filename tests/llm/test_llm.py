@@ -395,6 +395,17 @@ def test_html(source, want):
     assert html_layout.render(source)[1] == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<head><title>T</title><p>Hello", ("T", "Hello")), ("<html><head><meta charset=utf-8>\n<link rel=x><script>s()</script><style>p{}</style><div>a</div>b", ("", "a\nb")), ("<head><title>T</title> text <b>b</b>", ("T", "text b")),
+        ("<head>&#32;<title>T</title>&nbsp;x", ("T", "x")), ("<head><template><p>no</p>no</template><noscript><p>no</noscript><p>yes", ("", "yes")), ("<head><title>T</title></head><body><p>x", ("T", "x")), ("<head><title>T</title><body><p>x", ("T", "x")),
+    ],
+)
+def test_html_ends_an_open_head(source, want):
+    assert html_layout.render(source) == want
+
+
 def test_html_is_robust(spark):
     assert html_layout.render("<div>" * 20000 + "x" + "</div>" * 20000)[1] == "x"
     assert html_layout.render("<a \"" * 3000 + "x")[1] is not None
