@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>|<[!?/][^>]*+>?",
-    re.S,
-)
+TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)|<[!?/][^>]*+>?", re.S)
+UNENDED = re.compile(r"<[!?/]|\Z")
+NAME = re.compile(r"[\s/]*+(=?[^\s/>=]*+)(?:\s*+(=)\s*+)?")
+BARE = re.compile(r"[^\s>]*+")
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HIDE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -122,6 +122,36 @@ def number(value, least: int, default: int) -> int:
     return max(least, int(m[1])) if m else default
 
 
+def attributes(source: str, at: int, dead: set) -> tuple[dict, int]:
+    """Attributes of the tag whose name ends at `at`, and where the tag ends; quoted values may have any length and hold '>'.
+
+    A tag whose quotes do not close ends at the first '>', of which there must be one. dead: quotes from which no end is
+    reached; they are kept for the page, so each is followed once.
+    """
+    found, begun, first = {}, [], at
+    while at < len(source):
+        if source[at] == ">":
+            return found, at + 1
+        m = NAME.match(source, at)
+        name, value, at = m[1], "", m.end()
+        if m[2]:
+            quote = source[at : at + 1]
+            if quote in ("'", '"'):
+                stop = -1 if at in dead else source.find(quote, at + 1)
+                begun.append(at)
+                if stop < 0:
+                    break
+                value, at = source[at + 1 : stop], stop + 1
+            else:
+                value = BARE.match(source, at)[0]
+                at += len(value)
+        if name:
+            found[name.lower()] = value
+    dead.update(begun)
+    stop = source.find(">", first)
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(source, first, stop)}, stop + 1
+
+
 class Builder:
     def __init__(self):
         self.top: list = []
@@ -138,7 +168,7 @@ class Builder:
             s = entities.unescape(s) if "&" in s else s
             node.out.append(s.replace("\xa0", " ") if "\xa0" in s else s)
 
-    def open(self, tag: str, attrs: str) -> None:
+    def open(self, tag: str, found: dict) -> None:
         if self.stack[-1].tag == "head" and tag not in IN_HEAD:
             self.pop()
         if tag in CLOSES_P:
@@ -152,7 +182,6 @@ class Builder:
             elif parent.seen and tag == "hr":
                 parent.out.append(2)
             return
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)} if attrs else {}
         seen = parent.seen and not hidden(tag, found)
         if parent.tag == "details" and parent.info == "closed" and tag != "summary":
             seen = False
@@ -202,7 +231,7 @@ class Builder:
         if tag == "p":
             self.stack[-1].out.append(2)
         elif tag == "br":
-            self.open("br", "")
+            self.open("br", {})
         return None
 
     def pop(self) -> None:
@@ -253,19 +282,23 @@ class Builder:
 def render(source: str | None) -> tuple[str, str]:
     """Title and visible text of a page. Null is an empty page; text outside any tag is visible."""
     b, at, source = Builder(), 0, source or ""
-    low = None
+    low, last, dead = None, source.rfind(">"), set()
     while m := TOKEN.search(source, at):
+        if m["tag"] and m.end() > last:  # from here on no tag ends
+            b.text(source[at : UNENDED.search(source, m.start()).start()])
+            at = len(source)
+            break
         if m.start() > at:
             b.text(source[at : m.start()])
         at = m.end()
-        tag = m["tag"] or m["tag2"]
-        if not tag:
+        if not m["tag"]:
             continue
-        tag = tag.lower()
-        if m["end"] or m["end2"]:
+        tag = m["tag"].lower()
+        found, at = attributes(source, at, dead)
+        if m["end"]:
             b.end(tag)
             continue
-        b.open(tag, m["attrs"] or m["attrs2"] or "")
+        b.open(tag, found)
         if tag in RAW:
             low = source.lower() if low is None else low
             stop = low.find(f"</{tag}", at) if len(low) == len(source) else source.find(f"</{tag}", at)

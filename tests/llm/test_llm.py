@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -406,6 +407,24 @@ def test_html_ends_an_open_head(source, want):
     assert html_layout.render(source) == want
 
 
+def test_html_long_attributes():
+    long = "<script>1 > 0 " * 8000
+    for q in "'\"":
+        assert html_layout.render(f"a<p data-x={q}{long}{q} hidden>b</p><p>c") == ("", "a\n\nc")
+        assert html_layout.render(f"<table><tr><td data-x = {q}{long}{q} colspan=2>wide cell<tr><td>x<td>y</table>")[1] == "wide cell\nx | y"
+    assert html_layout.render("<p title=it's>a</p>" + "b " * 5000 + "<p title=it's>c</p>")[1] == "a\n\n" + "b " * 4999 + "b\n\nc"
+    assert html_layout.render("<a href=x?y=\">t</a>")[1] == "t"
+    assert html_layout.render("<p hidden id='x>a</p><p>b")[1] == "b"
+    assert html_layout.render("x <b y </i z")[1] == "x <b y"
+
+
+@pytest.mark.parametrize("unit", ["<b a=\">\" ", "<b a=\">\" c='>' ", "<b a='", "<b a=\">", "<b ", "<b", "<b a=\"'>"])
+def test_html_takes_linear_time(unit):
+    began = time.process_time()
+    html_layout.render(unit * 60_000)
+    assert time.process_time() - began < 10
+
+
 def test_html_is_robust(spark):
     assert html_layout.render("<div>" * 20000 + "x" + "</div>" * 20000)[1] == "x"
     assert html_layout.render("<a \"" * 3000 + "x")[1] is not None
