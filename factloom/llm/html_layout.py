@@ -3,7 +3,8 @@
 A tree builder with the implied end tags of HTML keeps the open elements; elements that need their own layout (list items,
 table cells, preformatted text) collect their text until they close, all others write into the nearest such element. What
 is not displayed is left out. Blocks begin on new lines, paragraphs and headings are set off by an empty line, list items
-have bullets or numbers, and the cells of a table are aligned in columns.
+have bullets or numbers, and the cells of a table are aligned in columns. Cells are padded to 400 characters at most, so that
+one very wide cell does not widen each row of its table; no text is cut. A cell spans 1,000 columns at most, as in HTML.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ SPACES = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 UNSEEN = frozenset("head script style template noscript iframe noembed noframes object canvas audio video svg math select datalist textarea title".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset menu".split())
 BLOCK = PARAGRAPH | frozenset("address article aside body center details dialog dir div dd dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary tr caption thead tbody tfoot".split())
@@ -197,7 +199,7 @@ class Builder:
         elif tag == "tr":
             node.info, node.out = [], []
         elif tag in ("td", "th"):
-            node.info = number(found.get("colspan"), 1, 1) if number(found.get("colspan"), 1, 1) <= 100 else 100
+            node.info = min(number(found.get("colspan"), 1, 1), 1000)
         elif tag == "details" and "open" not in found:
             node.info = "closed"
         if seen and tag in COLLECTS:
@@ -282,7 +284,7 @@ class Builder:
 def render(source: str | None) -> tuple[str, str]:
     """Title and visible text of a page. Null is an empty page; text outside any tag is visible."""
     b, at, source = Builder(), 0, source or ""
-    low, last, dead = None, source.rfind(">"), set()
+    last, dead = source.rfind(">"), set()
     while m := TOKEN.search(source, at):
         if m["tag"] and m.end() > last:  # from here on no tag ends
             b.text(source[at : UNENDED.search(source, m.start()).start()])
@@ -300,9 +302,8 @@ def render(source: str | None) -> tuple[str, str]:
             continue
         b.open(tag, found)
         if tag in RAW:
-            low = source.lower() if low is None else low
-            stop = low.find(f"</{tag}", at) if len(low) == len(source) else source.find(f"</{tag}", at)
-            stop = len(source) if stop < 0 else stop
+            m = RAW_END[tag].search(source, at)
+            stop = m.start() if m else len(source)
             if tag == "title" and not b.title:
                 b.title.append(entities.unescape(source[at:stop]))
             elif tag == "xmp":

@@ -407,6 +407,21 @@ def test_html_ends_an_open_head(source, want):
     assert html_layout.render(source) == want
 
 
+def test_html_raw_text_ends_in_any_case():
+    assert html_layout.render("İ<SCRIPT>x</SCRIPT>a<STYLE>p{}</Style>b<TITLE>İ T</TiTle>c") == ("İ T", "İabc")
+    assert html_layout.render("<script>x</\u017fcript>y</script>a")[1] == "a"
+
+
+def test_html_wide_tables():
+    wide = "w" * 500
+    assert html_layout.render(f"<table><tr><td>{wide}<td>a<tr><td>b<td>c</table>")[1] == f"{wide} | a\nb{' ' * 399} | c"
+    cells = lambda n, x: "".join(f"<td>{x}" for _ in range(n))
+    got = html_layout.render(f"<table><tr><td colspan=150>s<td>e<tr>{cells(150, 'x')}<td>last</table>")[1].split("\n")
+    assert got == ["s".ljust(400) + " | e", " | ".join(["x"] * 150 + ["last"])]
+    got = html_layout.render(f"<table><tr><td colspan=150>s<td>e<tr>{cells(100, 'x')}<td>wide one<td>z</table>")[1].split("\n")
+    assert got[1] == " | ".join(["x"] * 100 + ["wide one", "z"])
+
+
 def test_html_long_attributes():
     long = "<script>1 > 0 " * 8000
     for q in "'\"":
