@@ -200,13 +200,18 @@ def module_graph(spark, sf):
 
 
 @query("WITH l AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 50 AND l_discount >= 0.1) SELECT n_nationkey AS node FROM nation WHERE n_nationkey NOT IN (SELECT a FROM l UNION SELECT b FROM l)")
-def isolated_modules(spark, sf):
-    li = load(spark, sf, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.1").select("l_orderkey", "l_suppkey")
+def isolated_modules(spark, sf, of="l_quantity >= 50 and l_discount >= 0.1"):
+    li = load(spark, sf, "lineitem").filter(of).select("l_orderkey", "l_suppkey")
     o, c, s = load(spark, sf, "orders"), load(spark, sf, "customer"), load(spark, sf, "supplier")
     e = li.join(o.select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.expr("o_custkey = c_custkey")).join(s.select("s_suppkey", "s_nationkey"), F.expr("l_suppkey = s_suppkey"))
     return graph.isolated(load(spark, sf, "nation").select(F.col("n_nationkey").alias("node")), e.select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")))
 
 
+@query(SQL["isolated_modules"].replace(" WHERE l_quantity >= 50 AND l_discount >= 0.1", ""))
+def isolated_modules_all(spark, sf):
+    return isolated_modules(spark, sf, "true")
+
+
 @query("""WITH f AS (SELECT CASE p_partkey % 4 WHEN 0 THEN concat('src/p', p_partkey, '.test.ts') WHEN 1 THEN concat('pkg', p_partkey, '/package.json') ELSE concat('src/p', p_partkey, '.ts') END AS path, p_partkey, p_size FROM part),
 i AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS importers, count(*) AS changes FROM lineitem GROUP BY 1)
 SELECT path, CAST(greatest(0, least(100, least(3 * coalesce(importers, 0), 30) + least(2 * p_size, 20) + least(coalesce(changes, 0), 10) + CASE WHEN p_size > 25 THEN 10 ELSE 0 END
@@ -241,13 +246,18 @@ CHANGED = "s_acctbal < 0"
 
 @query(f"""WITH c AS (SELECT s_suppkey AS path, s_nationkey FROM supplier WHERE {CHANGED}), k AS (SELECT n_name AS renderer, s_suppkey AS path FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey < 4)
 SELECT renderer, array_to_string(list_sort(list(DISTINCT k.path)), ',') AS reasons FROM c JOIN k USING (path) WHERE path <> 3 GROUP BY 1""")
-def renderer_filter(spark, sf):
+def renderer_filter(spark, sf, of="n_regionkey < 4"):
     s, n = load(spark, sf, "supplier"), load(spark, sf, "nation")
-    claims = s.join(n.filter("n_regionkey < 4"), F.expr("n_nationkey = s_nationkey")).select(F.col("n_name").alias("renderer"), F.col("s_suppkey").alias("path"))
+    claims = s.join(n.filter(of), F.expr("n_nationkey = s_nationkey")).select(F.col("n_name").alias("renderer"), F.col("s_suppkey").alias("path"))
     hit, _ = incremental.affected(s.filter(CHANGED).select(F.col("s_suppkey").alias("path")), claims, spark.createDataFrame([(3,)], "path long"))
     return hit.select("renderer", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query(SQL["renderer_filter"].replace(" WHERE n_regionkey < 4", ""))
+def renderer_filter_all(spark, sf):
+    return renderer_filter(spark, sf, "true")
+
+
 @query(f"""WITH h AS (SELECT DISTINCT s_nationkey FROM supplier WHERE {CHANGED}) SELECT n_name AS renderer, concat(lower(n_name), '.md') AS filename FROM nation JOIN h ON n_nationkey = s_nationkey WHERE n_regionkey <> 0""")
 def staleness(spark, sf):
     s, n = load(spark, sf, "supplier"), load(spark, sf, "nation")
@@ -472,9 +482,14 @@ def inline_doc_coverage(spark, sf):
 
 
 @query("WITH r AS (SELECT turn + 2 AS round, count(*) FILTER (role = 'user') AS v, count(*) FILTER (role <> 'user') AS c FROM conversations WHERE turn < 4 GROUP BY 1) SELECT n AS round, CASE WHEN r.round IS NULL THEN 'skipped' ELSE 'success' END AS status, coalesce(v, 0) AS validated, coalesce(c, 0) AS corrected FROM range(1, 7) t(n) LEFT JOIN r ON r.round = n")
-def round_table(spark, sf):
-    c = load(spark, sf, "conversations").filter("turn < 4").groupBy((F.col("turn") + 2).alias("round"))
-    return reports.round_table(c.agg(F.lit("success").alias("status"), F.count_if(F.col("role") == "user").alias("validated"), F.count_if(F.col("role") != "user").alias("corrected")))
+def round_table(spark, sf, of="turn < 4", rounds=6):
+    c = load(spark, sf, "conversations").filter(of).groupBy((F.col("turn") + 2).alias("round"))
+    return reports.round_table(c.agg(F.lit("success").alias("status"), F.count_if(F.col("role") == "user").alias("validated"), F.count_if(F.col("role") != "user").alias("corrected")), rounds)
+
+
+@query(SQL["round_table"].replace(" WHERE turn < 4", "").replace("range(1, 7) t(n)", "(SELECT unnest(range(1, greatest(6, max(turn) + 2) + 1)) AS n FROM conversations) t"))
+def round_table_all(spark, sf):
+    return round_table(spark, sf, "true", max(6, (load(spark, sf, "conversations").agg(F.max("turn")).first()[0] or 0) + 2))
 
 
 @query("WITH f AS (SELECT s_nationkey AS module, lower(p_brand) AS pattern, p_partkey AS seq, p_name FROM part JOIN supplier ON s_suppkey = p_partkey % 10 + 1) SELECT pattern, arg_min(p_name, seq) AS description, concat('Found in ', count(*), ' of ', (SELECT count(DISTINCT module) FROM f), ' modules') AS frequency FROM f GROUP BY 1 HAVING count(*) >= 2")
@@ -509,12 +524,17 @@ def terminal_rounds(spark, sf):
 
 
 @query("WITH r AS (SELECT c_nationkey, arg_max(c_mktsegment, c_custkey) AS role FROM customer WHERE c_nationkey < 20 GROUP BY 1) SELECT s_name AS name, s_nationkey, coalesce(role, '-') AS role, CASE s_suppkey % 4 WHEN 0 THEN 'production' WHEN 1 THEN 'development' ELSE 'peer' END AS section FROM supplier LEFT JOIN r ON c_nationkey = s_nationkey")
-def dependency_roles(spark, sf):
+def dependency_roles(spark, sf, of="c_nationkey < 20"):
     d = load(spark, sf, "supplier").select(F.col("s_nationkey").alias("name"), F.col("s_name").alias("dep"), F.expr("element_at(array('production', 'development', 'peer', 'optional'), cast(s_suppkey % 4 + 1 as int))").alias("type"))
-    r = load(spark, sf, "customer").filter("c_nationkey < 20").select(F.col("c_nationkey").alias("name"), F.col("c_mktsegment").alias("role"), F.col("c_custkey").alias("seq"))
+    r = load(spark, sf, "customer").filter(of).select(F.col("c_nationkey").alias("name"), F.col("c_mktsegment").alias("role"), F.col("c_custkey").alias("seq"))
     return reports.with_role(d, r).select(F.col("dep").alias("name"), F.col("name").alias("s_nationkey"), "role", "section")
 
 
+@query(SQL["dependency_roles"].replace(" WHERE c_nationkey < 20", ""))
+def dependency_roles_all(spark, sf):
+    return dependency_roles(spark, sf, "true")
+
+
 @query("SELECT concat('n', p_size) AS path, p_partkey, CASE WHEN p_size < 25 THEN n_name END AS purpose FROM part LEFT JOIN nation ON n_nationkey = p_size")
 def directory_annotation(spark, sf):
     modules = load(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("path"), F.col("n_name").alias("purpose"), F.lit(0).alias("files"))

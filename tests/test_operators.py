@@ -206,3 +206,34 @@ def test_config_diff_and_cache(spark):
     assert {r["round"]: r.hit for r in reports.cached_rounds(keys, cache, 2).collect()} == {1: True, 2: False, 3: False}
     plan = reports.reindex_plan(spark.createDataFrame([(1, "f"), (2, "g")], "doc_id int, fingerprint string"), spark.createDataFrame([(1, "f")], "doc_id int, fingerprint string"))
     assert {r.doc_id: r.action for r in plan.collect()} == {1: "skip", 2: "index"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_whole_tables_shape_the_answer(spark):
+    run = lambda name: catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    table = lambda name: catalog.load(spark, "/root/testdata/sf0.001", name)
+    assert run("isolated_modules_all").count() == 0
+    rounds = {r["round"]: (r.validated or 0) + (r.corrected or 0) for r in run("round_table_all").collect()}
+    assert rounds == {1: 0} | {r.turn + 2: r["count"] for r in table("conversations").groupBy("turn").count().collect()}
+    known = {r[0] for r in table("customer").select("c_nationkey").distinct().collect()}
+    assert all((r.role != "-") == (r.s_nationkey in known) for r in run("dependency_roles_all").collect())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
+def test_renderers_of_every_region(spark):
+    table = lambda name: catalog.load(spark, "/root/testdata/sf0.1", name)
+    hit = table("supplier").filter("s_acctbal < 0 and s_suppkey <> 3").join(table("nation"), F.expr("n_nationkey = s_nationkey"))
+    got = {r.renderer for r in catalog.QUERIES["renderer_filter_all"](spark, "/root/testdata/sf0.1").collect()}
+    assert got == {r[0] for r in hit.select("n_name").collect()}
+    assert len(got) > catalog.QUERIES["renderer_filter"](spark, "/root/testdata/sf0.1").count()
+
+
+
+def test_contrived_cases(spark):
+    deps = spark.createDataFrame([("a", "x", "production"), ("b", "y", "optional")], "name string, dep string, type string")
+    roles = spark.createDataFrame([("a", "old", 1), ("a", "new", 2)], "name string, role string, seq long")
+    assert {r.dep: (r.role, r.section) for r in reports.with_role(deps, roles).collect()} == {"x": ("new", "production"), "y": ("-", "peer")}
+    done = spark.createDataFrame([(2, "success", 1, 2), (5, "success", 3, None), (8, "success", 4, 4)], "round long, status string, validated long, corrected long")
+    assert [r.status for r in reports.round_table(done, 8).orderBy("round").collect()] == ["skipped", "success", "skipped", "skipped", "success", "skipped", "skipped", "success"]
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "node long")
+    assert [r.node for r in graph.isolated(nodes, spark.createDataFrame([(1, 3)], "a long, b long")).collect()] == [2]
