@@ -97,10 +97,14 @@ def activity_by_day(spark, sf):
     return e.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+@query("SELECT user_id, count(*) AS commits FROM events GROUP BY 1")
+def contributors_all(spark, sf):
+    return load(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("commits"))
+
+
 @query("SELECT user_id, count(*) AS commits FROM events GROUP BY 1 ORDER BY commits DESC, user_id LIMIT 10")
 def contributors(spark, sf):
-    n = load(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("commits"))
-    return facts.top(n, 10, F.desc("commits"), "user_id")
+    return facts.top(contributors_all(spark, sf), 10, F.desc("commits"), "user_id")
 
 
 @query("SELECT l_partkey, count(*) AS changes FROM lineitem GROUP BY 1 ORDER BY changes DESC, l_partkey LIMIT 30")

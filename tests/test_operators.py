@@ -237,3 +237,9 @@ def test_contrived_cases(spark):
     assert [r.status for r in reports.round_table(done, 8).orderBy("round").collect()] == ["skipped", "success", "skipped", "skipped", "success", "skipped", "skipped", "success"]
     nodes = spark.createDataFrame([(1,), (2,), (3,)], "node long")
     assert [r.node for r in graph.isolated(nodes, spark.createDataFrame([(1, 3)], "a long, b long")).collect()] == [2]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
+def test_every_contributor(spark):
+    users = catalog.load(spark, "/root/testdata/sf0.1", "events").select("user_id").distinct().count()
+    assert catalog.QUERIES["contributors_all"](spark, "/root/testdata/sf0.1").count() == users > 10
