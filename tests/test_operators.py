@@ -1,8 +1,10 @@
 """Operators on literal fixtures."""
 
 import datetime
+import hashlib
 import os
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -243,3 +245,16 @@ def test_contrived_cases(spark):
 def test_every_contributor(spark):
     users = catalog.load(spark, "/root/testdata/sf0.1", "events").select("user_id").distinct().count()
     assert catalog.QUERIES["contributors_all"](spark, "/root/testdata/sf0.1").count() == users > 10
+
+
+def test_links_of_whole_pages(spark, tmp_path):
+    body = "<p>x & y</p>\n" * 20_000
+    html = f'{body}<a href="a/b.md">1</a><a href="c.md#d">2</a><a href="https://h/e.md">3</a><a href=".md">4</a><a href="#f.md">5</a>{body}<a href="g.md?q">6</a><a href="x\ny.md">7</a>'
+    want = html.replace("a/b.md", "a/b.html").replace("c.md#d", "c.html#d").replace('".md"', '".html"').replace("y.md", "y.html")
+    spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.escaped, r.rewritten) for r in catalog.QUERIES["html_link_rewrite_all"](spark, str(tmp_path)).collect()}
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {1: (digest(html.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")), digest(want)), 2: (None, None)}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in con.sql(catalog.SQL["html_link_rewrite_all"]).fetchall()} == got
