@@ -440,6 +440,31 @@ def test_html_takes_linear_time(unit):
     assert time.process_time() - began < 10
 
 
+def test_minhash_finds_short_pairs_that_share_no_band(spark):
+    m, rng, lost = minhash.MinMax(56, 6, 5), random.Random(3), []
+    while len(lost) < 2:
+        w = [rng.randbytes(4).hex().encode() for _ in range(8)]
+        keys = [set(m.keys(m.signature(minhash.shingles(x, 5, minhash.Hashes()))).tolist()) for x in (w[:7], w)]
+        if not keys[0] & keys[1]:
+            lost.append(w)
+    rows = [(10 * i + j, b" ".join(x).decode()) for i, w in enumerate(lost) for j, x in enumerate((w[:7], w))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert tuples(minhash.near_groups(df), "doc_id", "component_id") == [(0, 0), (1, 0), (10, 10), (11, 10)]
+
+
+def test_minhash_prefixes_and_tiles():
+    rng = np.random.default_rng(4)
+    for n in range(1, 22):
+        s = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for k in range(-(-3 * n // 4), n):  # subsets that link
+            t = np.sort(rng.choice(s, k, replace=False))
+            assert set(minhash.prefix_keys(s, 75).tolist()) & set(minhash.prefix_keys(t, 75).tolist())
+    assert len(minhash.prefix_keys(np.arange(22, dtype=np.uint64), 75)) == 0
+    side = lambda v, n: (np.array([v]), np.array([n]), np.array([v]), np.full((1, 336), v, np.uint8))
+    assert minhash.candidates(side(1, 15), side(2, 16), False, 75) == ([0], [0])
+    assert minhash.candidates(side(1, 17), side(2, 18), False, 75) == ([], [])
+
+
 def test_html_is_robust(spark):
     assert html_layout.render("<div>" * 20000 + "x" + "</div>" * 20000)[1] == "x"
     assert html_layout.render("<a \"" * 3000 + "x")[1] is not None
