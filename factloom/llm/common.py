@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,21 +20,39 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a local one only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir, which all executors see; a local one only where none is set and Spark runs in one
+    process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Scratch folders in order of their making.
+LIVE: list[Scratch] = []
+
+
+def sweep(since: int = 0) -> None:
+    """Drops the scratch folders made since LIVE was so long."""
+    while len(LIVE) > since:
+        LIVE.pop().drop()
+
+
+atexit.register(sweep)
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive executors. They go when the process ends, or by drop()."""
+    """Tables written to the shared folder: they cut lineage and outlive executors. They go by drop(), by sweep(), or when the
+    process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/factloom-{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
+        LIVE.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -52,6 +72,35 @@ class Scratch:
                 raise
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of plans that are done: it does so once the driver has collected its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def by_bytes(values: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+    """The values of a string or binary array in slices of about `most` bytes, or of one longer value."""
+    at = np.frombuffer(values.buffers()[1], np.int64 if values.type in (pa.large_string(), pa.large_binary()) else np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else []
+    begin = 0
+    while begin < len(values):
+        end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, "right")) - 1)
+        yield values.slice(begin, end - begin)
+        begin = end
+
+
+def packed(docs: DataFrame, id_col: str, payload: list[str] | None):
+    """The id and the payload's columns as one struct, beside which results may have any name."""
+    return F.struct(*(F.col(f"`{c}`") for c in dict.fromkeys([id_col, *(payload or [])]))).alias("row")
+
+
+def unpacked(out: DataFrame, results: list, as_row: bool) -> DataFrame:
+    """`row` and the results, or its columns instead of it; of columns of one name the result stays."""
+    if as_row:
+        return out.select("row", *results)
+    own = out.select(*results).columns
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in out.schema["row"].dataType.names if c not in own), *results)
+
+
 def held_out(id_col: str, parts: int):
     """True where crc32 of the id as text leaves remainder 0; a null id counts as empty text, whose remainder is 0."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts == 0

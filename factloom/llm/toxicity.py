@@ -7,12 +7,14 @@ which is broadcast; scoring looks at whole texts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import held_out
+from factloom.llm.common import Scratch, by_bytes, held_out, packed, unpacked
 from factloom.llm.minhash import Hashes, P, mix64
 
 BITS = 20
@@ -49,65 +51,98 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", folds: int = 5, sample: int = 5000, passes: int = 6) -> tuple[np.ndarray, np.ndarray, float]:
-    """Places, weights and bias. Learns from labelled ids outside fold 0, `sample` of each class at most, those of the
-    smallest hash; an id of several labels is toxic if one is, and of several texts the smallest stands for it. Rows of
-    null id or null label teach nothing. Without an example of either class all weights are empty.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", folds: int = 5, sample: int = 5000, sample_bytes: int = 24 << 20, passes: int = 6) -> tuple[np.ndarray, np.ndarray, float]:
+    """Places, weights and bias. Learns from labelled ids outside fold 0: of each class, in the order of a hash of the id,
+    the first `sample` ids, and of these as many as have `sample_bytes` of text together, the first whatever its length.
+    An id of several labels is toxic if one is, and of several texts the smallest stands for it. Rows of null id or null
+    label teach nothing. Without an example of either class all weights are empty. One task learns, as FTRL takes one
+    example after the other; the driver sees weights only.
     """
-    known = labels.filter(F.col(id_col).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(target).alias("y"))
-    known = known.filter(~held_out("id", folds))
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "toxicity")
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{target}`").cast("int").alias("y")).filter("id is not null and y in (0, 1)")
+    known = known.groupBy("id").agg(F.max("y").alias("y")).filter(~held_out("id", folds))
     rate = {x["y"]: x["count"] for x in known.groupBy("y").count().collect()}
-    drawn = [x for y in (0, 1) for x in known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
-    if not all(any(x["y"] == y for x in drawn) for y in (0, 1)):
-        return np.zeros(0, np.int32), np.zeros(0), 0.0
-    id_type = dict(known.dtypes)["id"]
-    drawn = docs.sparkSession.createDataFrame(drawn, f"id {id_type}, y int")  # 2 * sample rows at most
+    if len(rate) < 2:
+        return NOTHING
+    drawn = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
+    drawn = scratch.table(drawn[0].unionByName(drawn[1]), "drawn")  # 2 * sample rows of two numbers at most
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min("t").alias("t"))
-
-    def features(batches):
+    texts = texts.select("y", F.xxhash64("id").alias("h"), F.col("id").cast("string").alias("id"), F.octet_length("t").alias("n"), places_udf()(F.col("t").cast("binary")).alias("f"))
+    examples = scratch.table(texts, "examples")
+    taken = F.lit(False)
+    listed = sorted(map(tuple, examples.select("y", "h", "id", "n").collect()))  # 2 * sample rows of four numbers at most
+    for y in (0, 1):
+        used, last = 0, None
+        for _, h, i, n in (x for x in listed if x[0] == y):
+            if used >= sample_bytes:
+                break
+            used, last = used + n, (h, i)
+        if last:
+            taken = taken | (F.col("y") == y) & ((F.col("h") < last[0]) | (F.col("h") == last[0]) & (F.col("id") <= last[1]))
+    taken = examples.filter(taken)
+
+    def learn(batches):
+        got = [(h, i, y, np.frombuffer(f, np.int32)) for b in batches for y, h, i, f in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)]
+        got.sort(key=lambda x: x[:2])
+        n1 = sum(x[2] for x in got)
+        if not 0 < n1 < len(got):  # labels without documents
+            return
+        model = Ftrl()
+        for _ in range(passes):
+            for _, _, y, f in got:
+                model.learn(f, y)
+        w = model.weights(np.arange((1 << BITS) + 1))
+        prior = np.log(rate[1] / rate[0]) - np.log(n1 / (len(got) - n1))  # the sample holds the classes in other shares
+        w[-1] += prior
+        at = np.nonzero(w)[0].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["i", "w"])
+
+    got = taken.select("y", "h", "id", "f").coalesce(1).mapInArrow(learn, "i int, w double").collect()  # the weights, 2^20 at most
+    scratch.drop()
+    if not got:
+        return NOTHING
+    at, w = (np.array(x) for x in zip(*sorted(map(tuple, got)), strict=True))
+    bias = float(w[-1]) if at[-1] == 1 << BITS else 0.0
+    return at[at < 1 << BITS].astype(np.int32), w[at < 1 << BITS], bias
+
+
+NOTHING = np.zeros(0, np.int32), np.zeros(0), 0.0
+
+
+def places_udf():
+    @F.arrow_udf("binary")
+    def features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = Hashes()
-        for b in batches:
-            f = [np.unique(places(t, hashes)).tobytes() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.binary())], names=["id", "y", "f"])
-
-    got = texts.select("id", "y", F.col("t").cast("binary").alias("t")).mapInArrow(features, f"id {id_type}, y int, f binary").withColumn("h", F.xxhash64("id")).collect()
-    got = [(np.frombuffer(x["f"], np.int32), x["y"]) for x in sorted(got, key=lambda x: (x["h"], x["id"]))]
-    n1 = sum(y for _, y in got)
-    if not 0 < n1 < len(got):  # labels without documents
-        return np.zeros(0, np.int32), np.zeros(0), 0.0
-    model = Ftrl()
-    for _ in range(passes):
-        for f, y in got:
-            model.learn(f, y)
-    w = model.weights(np.arange((1 << BITS) + 1))
-    at = np.nonzero(w[:-1])[0].astype(np.int32)
-    prior = np.log(rate[1] / rate[0]) - np.log(n1 / (len(got) - n1))  # the sample holds the classes in other shares
-    return at, w[at], float(w[-1] + prior)
-
-
-def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", payload: list[str] | None = None, folds: int = 5) -> DataFrame:
-    """One row per row of docs: id, payload, held_out, score (0 to 1), predicted (1 from 0.5 on).
-
-    Null and empty texts have the score of the bias alone. A model without weights scores 0. A null id is in fold 0.
+        for part in (p for whole in texts for p in by_bytes(whole)):
+            yield pa.array([np.unique(places(t, hashes)).tobytes() for t in part.to_pylist()], pa.binary())
+
+    return features
+
+
+def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", payload: list[str] | None = None, folds: int = 5, as_row: bool = False) -> DataFrame:
+    """One row per row of docs: id, payload, held_out, score (0 to 1), predicted (1 from 0.5 on); with as_row the id and the
+    payload as a struct `row`, else a payload of a result's name is left out.
+
+    Null and empty texts have the score of the bias alone. A model without weights scores 0. A null id is in fold 0. Rows
+    that repeat an id are scored each by its own text; equal texts have equal scores. Empty input gives no rows. Only the
+    text goes to Python, once, and only the score comes back.
     """
-    payload = [c for c in payload or [] if c != id_col]
     at, weights, bias = model
-    sent = docs.sparkSession.sparkContext.broadcast((at, weights))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in [id_col, *payload])).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
+    sent = docs.sparkSession.sparkContext.broadcast((at, weights))  # 2^20 weights at most
 
-    def apply(batches):
+    @F.arrow_udf("double")
+    def apply(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         at, weights = sent.value
         table, hashes = np.zeros(1 << BITS), Hashes()
         table[at] = weights
-        for b in batches:
+        for part in (p for whole in texts for p in by_bytes(whole)):
             out = []
-            for t in b.column(2).to_pylist():
+            for t in part.to_pylist():
                 p = places(t, hashes)
-                w = table[p]
-                out.append(table[np.unique(p[w != 0])].sum() + bias)
+                out.append(table[np.unique(p[table[p] != 0])].sum() + bias)
             s = 1 / (1 + np.exp(-np.clip(np.array(out, float), -700, 700)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s if len(at) else np.zeros(len(s)))], names=["row", "id", "score"])
+            yield pa.array(s if len(at) else np.zeros(len(s)))
 
-    row_type, id_type = rows.schema["row"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(apply, f"row {row_type}, id {id_type}, score double")
-    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in [id_col, *payload]), held_out("id", folds).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = docs.select(packed(docs, id_col, payload), apply(F.col(f"`{text_col}`").cast("binary")).alias("s"))
+    rows = rows.withColumn("id", F.col(f"row.`{id_col}`"))
+    return unpacked(rows, [held_out("id", folds).alias("held_out"), F.col("s").alias("score"), (F.col("s") >= 0.5).cast("int").alias("predicted")], as_row)
