@@ -9,12 +9,15 @@ scores of the characters that a word shares with the one before it are still on
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import by_bytes
 from factloom.llm.vocabulary import MARK, MODEL, Vocabulary, load
 
 MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -40,18 +43,22 @@ class Segmenter:
             node[""] = (i, vocabulary.scores[i])
 
     def segment(self, words: list[str]):
-        """ids of all words, one after the other, and where each word's begin; words are sorted and distinct."""
-        root, unknown = self.root, self.v.unknown
-        best, back, active, before = [0.0], [(0, -1)], [[]], ""
-        flat: list[int] = []
+        """ids of all words, one after the other, and where each word's begin; words are sorted and distinct.
+
+        Only the open pieces at places that the next word shares are kept, so a word costs 16 bytes a character.
+        """
+        root, unknown, byte_ids = self.root, self.v.unknown, self.v.byte_ids
+        best, origin, by, active, same = array("d", [0.0]), array("i", [0]), array("i", [-1]), [[]], 0
+        flat = array("i")
         starts = np.zeros(len(words) + 1, np.int64)
         for k, word in enumerate(words):
-            d, most = 0, min(len(word), len(before))
-            while d < most and word[d] == before[d]:
-                d += 1
-            del best[d + 1 :], back[d + 1 :], active[d + 1 :]
-            for d in range(d, len(word)):
-                c, top, last, now = word[d], None, None, []
+            del best[same + 1 :], origin[same + 1 :], by[same + 1 :], active[same + 1 :]
+            begin, after = same, words[k + 1] if k + 1 < len(words) else ""
+            same, most = 0, min(len(word), len(after))
+            while same < most and word[same] == after[same]:
+                same += 1
+            for d in range(begin, len(word)):
+                c, top, last, used, now = word[d], None, 0, -1, []
                 for start, node in active[d]:
                     if c in node:
                         node = node[c]
@@ -59,26 +66,30 @@ class Segmenter:
                         if "" in node:
                             i, s = node[""]
                             if top is None or best[start] + s > top:
-                                top, last = best[start] + s, (start, i)
+                                top, last, used = best[start] + s, start, i
                 node = root.get(c)
                 if node is not None:
                     now.append((d, node))
                 if node is not None and "" in node:
                     i, s = node[""]
                     if top is None or best[d] + s > top:
-                        top, last = best[d] + s, (d, i)
+                        top, last, used = best[d] + s, d, i
                 elif top is None or best[d] + unknown > top:
-                    top, last = best[d] + unknown, (d, -1)
+                    top, last, used = best[d] + unknown, d, -1
                 best.append(top)
-                back.append(last)
+                origin.append(last)
+                by.append(used)
                 active.append(now)
-            before, at, out = word, len(word), []
+                if d > same:
+                    active[d] = None
+            at, out = len(word), array("i")
             while at:
-                at, i = back[at]
-                out.extend((i,) if i >= 0 else reversed([self.v.byte_ids[b] for b in (MARK if word[at] == OWN else word[at]).encode()]))
-            flat.extend(reversed(out))
+                i, at = by[at], origin[at]
+                out.extend((i,) if i >= 0 else reversed([byte_ids[b] for b in (MARK if word[at] == OWN else word[at]).encode()]))
+            out.reverse()
+            flat.extend(out)
             starts[k + 1] = len(flat)
-        return np.array(flat, np.int32), starts
+        return np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32), starts
 
 
 class Numbers(dict):
@@ -109,44 +120,38 @@ def decode_ids(ids, surface: list[bytes]) -> str:
     return b"".join(map(surface.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model: str = MODEL, block_chars: int = 16 << 20) -> DataFrame:
-    """docs and `out_col`, the ids of each whole text; null of null, none of empty texts. A column of that name is replaced."""
-    keep = [c for c in docs.columns if c != out_col]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{text_col}`").alias("t"))
+def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model: str = MODEL, block_bytes: int = 6 << 20) -> DataFrame:
+    """docs and `out_col`, the ids of each whole text; null of null, none of empty texts. A column of that name is replaced.
+
+    Rows are coded one by one: of repeated rows and equal texts each gets the same ids. Empty input gives no rows. Words
+    share prefixes within a block of about block_bytes of texts, or one longer text. Only the text goes to Python, once.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(tuple(load(model)))
 
-    def run(batches):
+    @F.arrow_udf("array<int>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         segmenter = Segmenter(Vocabulary(*sent.value))
-        for b in batches:
-            texts, begin, chars = b.column(1).to_pylist(), 0, 0
-            for i, t in enumerate(texts):
-                chars += len(t or "")
-                if chars >= block_chars or i + 1 == len(texts):
-                    ids = list(encode_block(texts[begin : i + 1], segmenter))
-                    offsets = np.cumsum([0, *(0 if x is None else len(x) for x in ids)]).astype(np.int32)
-                    flat = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)])
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=pa.array([x is None for x in ids]))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, i + 1 - begin), lists], names=["row", "ids"])
-                    begin, chars = i + 1, 0
-
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
-    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in keep), F.col("ids").alias(out_col))
+        for part in (p for whole in texts for p in by_bytes(whole, block_bytes)):
+            flat, sizes, null = [np.zeros(0, np.int32)], [0], []
+            for x in encode_block(part.to_pylist(), segmenter):
+                null.append(x is None)
+                sizes.append(0 if x is None else len(x))
+                if x is not None:
+                    flat.append(x)
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate(flat), pa.int32()), mask=pa.array(null, pa.bool_()))
+
+    return docs.withColumn(out_col, run(F.col(f"`{text_col}`")))
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
-    """docs and `out_col`, the text of each list of ids; null of null. A column of that name is replaced."""
-    keep = [c for c in docs.columns if c != out_col]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{ids_col}`").alias("i"))
+    """docs and `out_col`, the text of each list of ids; null of null. A column of that name is replaced. Rows are decoded one
+    by one, repeated ones too. Empty input gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(load(model).surface)
 
-    def run(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                lists = part.column(1)
-                at, flat, null = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False), lists.is_null().to_pylist()
-                text = [None if null[i] else decode_ids(flat[at[i] : at[i + 1]], sent.value) for i in range(len(lists))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.string())], names=["row", "d"])
-
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, d string")
-    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in keep), F.col("d").alias(out_col))
+    @F.arrow_udf("string")
+    def run(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in lists:
+            at, flat, null = a.offsets.to_numpy(), a.values.to_numpy(zero_copy_only=False), a.is_null().to_pylist()
+            yield pa.array((None if null[i] else decode_ids(flat[at[i] : at[i + 1]], sent.value) for i in range(len(a))), pa.string())
+
+    return docs.withColumn(out_col, run(F.col(f"`{ids_col}`")))
