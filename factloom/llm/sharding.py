@@ -125,6 +125,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     )
     rows = scratch.table(rows, "rows")
     sums = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.sum("size").alias("size"), F.count("*").alias("rows"))
+    sums = scratch.table(sums, "sums")  # written, so that the join below can split a group of any size
     groups, parts = running(sums.select("first", "key", "size", "rows"), ["first", "key"], {"e": "size", "r": "rows"}, scratch, "groups")
     total = sum(p["e"] for p in parts)
     before, offsets = [0, 0], []
@@ -139,7 +140,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
         rows_at = dict(zip(known.ends.tolist(), known.rows.tolist(), strict=True))
         ends = [rows_at[e] for e in cut]
     first = sums.select("key", "first")
-    whole = rows.join(first, "key").select("first", "key", "doc_id", "size", "text_crc32", F.lit(1).alias("one"))
+    whole = rows.join(first.hint("merge"), "key").select("first", "key", "doc_id", "size", "text_crc32", F.lit(1).alias("one"))
     order = ["first", "key", "doc_id", "size"]
     whole, parts = running(whole, order, {"n": "one"}, scratch, "placed")
     offsets, seen = [], 0
