@@ -14,10 +14,13 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import WORD, Scratch
+from factloom.llm.common import WORD, Scratch, packed, unpacked
 
-#: What one more word of the first, second, ... use of a pattern costs.
-COSTS = (0, 1, 3)
+
+
+def costs_of(limit: int) -> tuple:
+    """What one more word of the first, second, ... use of a pattern costs: convex, so that uses spread over patterns."""
+    return tuple(k * (k + 1) // 2 for k in range(limit))
 
 
 def targets(sizes: dict, weights: dict, total: int, limit: float = 3.0) -> dict:
@@ -33,7 +36,7 @@ def targets(sizes: dict, weights: dict, total: int, limit: float = 3.0) -> dict:
     return out
 
 
-def flow(patterns: dict[tuple, int], quotas: dict, costs: tuple = COSTS) -> dict[tuple, dict]:
+def flow(patterns: dict[tuple, int], quotas: dict, costs: tuple = costs_of(3)) -> dict[tuple, dict]:
     """Words that each pattern sends to each of its sources: as much of the quotas as can be met, at least cost.
 
     Successive shortest paths; each path fills an arc, and paths of one cost are found by breadth first search.
@@ -84,25 +87,31 @@ def flow(patterns: dict[tuple, int], quotas: dict, costs: tuple = COSTS) -> dict
     return out
 
 
-def mix(docs: DataFrame, sources, weights: dict | tuple = (5, 2, 1), id_col: str = "doc_id", text_col: str = "text", seed: int = 17, limit: int = 3, payload: list[str] | None = None) -> tuple[DataFrame, dict]:
-    """One row per row of docs: id, payload, members (its sources), size (words), copies, taken (size x copies). Second:
-    (size, target) of each source.
+def mix(
+    docs: DataFrame, sources, weights: dict | tuple = (5, 2, 1), id_col: str = "doc_id", text_col: str = "text", seed: int = 17, limit: int = 3, payload: list[str] | None = None, as_row: bool = False, most_patterns: int = 100_000
+) -> tuple[DataFrame, dict]:
+    """One row per row of docs: id, payload, members (its sources), size (words), copies, taken (size x copies); with as_row
+    the id and the payload as a struct `row`, else a payload of a result's name is left out. Second: (size, target) of each
+    source.
 
     sources: a column, array of the sources that hold the document; null may be one of them, a document of none is never
     taken. weights: by source, or a tuple that repeats over the sources by code point, null last. A null text has size 0.
     Rows that share an id stand or fall together. Of a pattern's last repeat as many documents are taken as come nearest
-    to its quota. A pattern of no words at all stays once. Empty input gives no rows.
+    to its quota. A pattern of no words at all stays once. Empty input gives no rows. The flow runs on the driver over at
+    most most_patterns patterns; with more it raises ValueError rather than leave some out. Words are counted once.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    payload = [c for c in payload or [] if c != id_col]
     rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in [id_col, *payload])).alias("row"),
+        packed(docs, id_col, payload),
         F.coalesce(F.array_sort(F.array_distinct(sources)), F.array().cast("array<string>")).alias("members"),
         F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(f"`{id_col}`")).bitwiseAND((1 << 63) - 1).alias("h"),
     ).withColumn("mk", F.to_json("members"))
-    narrow = scratch.table(rows.select("mk", "members", "size", "h"), "narrow")
-    found = narrow.groupBy("mk", "members").agg(F.sum("size").alias("size")).collect()  # a row for each pattern
+    rows = scratch.table(rows, "rows")
+    narrow = rows.select("mk", "size", "h")
+    found = rows.groupBy("mk", "members").agg(F.sum("size").alias("size")).limit(most_patterns + 1).collect()  # a row for each pattern
+    if len(found) > most_patterns:
+        raise ValueError(f"more than {most_patterns} patterns of membership")
     sums, keys = {tuple(x["members"]): x["size"] for x in found}, {tuple(x["members"]): x["mk"] for x in found}
     sizes: dict = {}
     for p, n in sums.items():
@@ -113,15 +122,14 @@ def mix(docs: DataFrame, sources, weights: dict | tuple = (5, 2, 1), id_col: str
     if not isinstance(weights, dict):
         weights = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     wanted = targets({s: sizes[s] for s in order}, weights, sum(n for p, n in sums.items() if p), limit)
-    sent = flow({p: sums[p] for p in sorted(sums, key=lambda p: [last(s) for s in p])}, {s: round(t) for s, t in wanted.items()}, COSTS[:limit])
+    sent = flow({p: sums[p] for p in sorted(sums, key=lambda p: [last(s) for s in p])}, {s: round(t) for s, t in wanted.items()}, costs_of(limit))
     total = {p: sum(f.values()) for p, f in sent.items()}
     plan = {p: divmod(total[p], n) if n else (int(bool(p)), 0) for p, n in sums.items()}
     edge = _thresholds(narrow, {keys[p]: r for p, (_, r) in plan.items() if r})
     listed = docs.sparkSession.createDataFrame([(keys[p], q, edge.get(keys[p])) for p, (q, _) in plan.items()], "mk string, q long, edge long")
     copies = F.col("q") + F.when(F.col("h") <= F.col("edge"), 1).otherwise(0)
-    out = rows.join(F.broadcast(listed), "mk")
-    out = out.select(*(F.col(f"row.`{c}`").alias(c) for c in [id_col, *payload]), "members", "size", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
-    return out, {s: (sizes[s], wanted[s]) for s in order}
+    out = rows.join(F.broadcast(listed), "mk")  # most_patterns rows at most
+    return unpacked(out, ["members", "size", copies.alias("copies"), (F.col("size") * copies).alias("taken")], as_row), {s: (sizes[s], wanted[s]) for s in order}
 
 
 def _thresholds(narrow: DataFrame, rest: dict[str, int], bits: int = 12) -> dict[str, int]:
