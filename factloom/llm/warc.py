@@ -2,8 +2,9 @@
 
 Each archive begins with a skippable frame that holds a dictionary built from its own records; each record is a Zstandard
 frame of its own, so it can be read alone. Of records with equal payloads one is the response, the others are revisits
-that carry its id and no payload. Spark's text writer puts the frames into files, with an empty skippable frame after each,
-so archives go wherever Spark writes and its commit protocol covers lost executors.
+that carry its id and no payload. Archives are cut by bytes and are files of their own: Spark's text writer writes each as
+one value with an empty skippable frame as its end, so archives go wherever Spark writes, its commit protocol covers lost
+executors, and a reader's task holds one archive of bounded size at a time.
 """
 
 from __future__ import annotations
@@ -50,39 +51,43 @@ def dictionary(samples: list[bytes], size: int):
         return None
 
 
-def frames(records, size: int, sample_bytes: int, per_archive: int, level: int):
-    """Frames of one archive after the other, per_archive each: the dictionary's, then the records'."""
-    records = iter(records)
-    while True:
-        held, n = [], 0
-        for r in records:
-            held.append(r)
-            n += len(r)
-            if n >= sample_bytes or len(held) == per_archive - 1:
-                break
-        if not held:
-            return
-        d = dictionary([r[:65536] for r in held], size)
-        raw = d.as_bytes() if d else b""
-        yield DICT_MAGIC + struct.pack("<I", len(raw)) + raw
-        c = zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=True) if d else zstandard.ZstdCompressor(level=level, write_checksum=True)
-        for i in range(per_archive - 1):
-            r = held[i] if i < len(held) else next(records, None)
-            if r is None:
-                return
-            if i < len(held):
-                held[i] = None
-            yield c.compress(r)
-
-
-def parse(archive: bytes):
+def archive(records: list[bytes], full: list[bool], size: int, sample_bytes: int, level: int) -> bytes:
+    """One archive: the frame of the dictionary, then that of each record, each followed by an empty frame but the last.
+
+    The dictionary is built from every k-th of the archive's records that carry a payload (full), k the least for which
+    they have about sample_bytes; whole, in pieces of 64 KB as the trainer takes short samples.
+    """
+    bodies = [r for r, f in zip(records, full, strict=True) if f]
+    bodies = bodies[:: max(1, -(-sum(map(len, bodies)) // sample_bytes))]
+    d = dictionary([r[i : i + 65536] for r in bodies for i in range(0, len(r), 65536)], size)
+    raw = d.as_bytes() if d else b""
+    c = zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=True) if d else zstandard.ZstdCompressor(level=level, write_checksum=True)
+    return EMPTY_FRAME.encode().join([DICT_MAGIC + struct.pack("<I", len(raw)) + raw, *map(c.compress, records)])
+
+
+def archives(records, size: int, sample_bytes: int, archive_bytes: int, level: int):
+    """Archives of records (bytes, whether it carries a payload): each of about archive_bytes before compression, or of one
+    larger record."""
+    held: list = []
+    n = 0
+    for r in records:
+        if held and n + len(r[0]) > archive_bytes:
+            yield archive(*map(list, zip(*held, strict=True)), size, sample_bytes, level)
+            held, n = [], 0
+        held.append(r)
+        n += len(r[0])
+    if held:
+        yield archive(*map(list, zip(*held, strict=True)), size, sample_bytes, level)
+
+
+def parse(archive):
     """(headers, block) of each record of an archive."""
-    at, d = 0, None
+    at, d, archive = 0, None, memoryview(archive)
     if archive[:4] == DICT_MAGIC:
         n = struct.unpack("<I", archive[4:8])[0]
-        at, d = 8 + n, zstandard.ZstdCompressionDict(archive[8 : 8 + n]) if n else None
+        at, d = 8 + n, zstandard.ZstdCompressionDict(bytes(archive[8 : 8 + n])) if n else None
     z = zstandard.ZstdDecompressor(dict_data=d) if d else zstandard.ZstdDecompressor()
-    with z.stream_reader(memoryview(archive)[at:], read_across_frames=True) as f:
+    with z.stream_reader(archive[at:], read_across_frames=True) as f:
         held = bytearray()
 
         def fill() -> bool:
@@ -108,12 +113,13 @@ def parse(archive: bytes):
             del held[: stop + 4]
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", dict_bytes: int = 65536, sample_bytes: int = 4 << 20, per_archive: int = 16384, level: int = 3) -> None:
-    """Writes a record per row of pages to archives below path.
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", dict_bytes: int = 65536, sample_bytes: int = 4 << 20, archive_bytes: int = 32 << 20, level: int = 3) -> None:
+    """Writes a record per row of pages to archives below path, each a file of about archive_bytes before compression.
 
     Null payloads count as empty. Of equal payloads of at least min_bytes, compared by SHA-256, the row of the smallest id
     (null last) is the response; of rows that repeat that id, the first one read. Ids and urls may be null. pages must give
-    the same rows in the same partitions each time it is read, as files do. Empty input gives an archive of no records.
+    the same rows in the same partitions each time it is read, as files do. Empty input gives no archive. Other columns are
+    ignored, whatever their names.
     """
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
@@ -127,17 +133,16 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
             return f"urn:x-page:{'null' if i is None else i}:{uid}"
 
         def records():
-            for b in batches:
-                for p in b.to_pylist():
-                    least, own = p["least"], name(p["id"], p["uid"])
-                    first = name(least["id"], least["uid"]) if least else own
-                    digest = b32(hashlib.sha1(p["payload"]).digest())
-                    yield record("response" if first == own else "revisit", own, p["id"], p["url"], p["payload"], digest, None if first == own else first, date)
+            for p in (p for b in batches for k in range(0, b.num_rows, 256) for p in b.slice(k, 256).to_pylist()):
+                least, own = p["least"], name(p["id"], p["uid"])
+                first = name(least["id"], least["uid"]) if least else own
+                digest = b32(hashlib.sha1(p["payload"]).digest())
+                yield record("response" if first == own else "revisit", own, p["id"], p["url"], p["payload"], digest, None if first == own else first, date), first == own and len(p["payload"]) > 0
 
-        for f in frames(records(), dict_bytes, sample_bytes, per_archive, level):
-            yield pa.RecordBatch.from_arrays([pa.array([f], pa.binary())], names=["frame"])
+        for f in archives(records(), dict_bytes, sample_bytes, archive_bytes, level):
+            yield pa.RecordBatch.from_arrays([pa.array([f], pa.binary())], names=["archive"])
 
-    out.mapInArrow(compress, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", per_archive).text(path)
+    out.mapInArrow(compress, "archive binary").select(F.col("archive").cast("string")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -146,7 +151,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     cols = ["record_id", "record_type", "uri", "page_id", "refers_to_id", "payload_bytes", "payload_digest", "payload"]
     schema = pa.schema([(c, pa.int64() if c == "payload_bytes" else pa.binary() if c == "payload" else pa.string()) for c in cols])
 
-    def rows(archive: bytes):
+    def rows(archive):
         for h, block in parse(archive):
             head, _, body = block.partition(b"\r\n\r\n")
             size = int(re.search(rb"Content-Length: (\d+)", head)[1])
@@ -158,12 +163,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for archive in b.column(0):
-                held = []
-                for r in rows(archive.as_py()):
+                held, n = [], 0
+                for r in rows(archive.as_buffer()):
                     held.append(r)
-                    if len(held) == 512:
+                    n += len(r[-1] or b"") + 512
+                    if n >= 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-                        held = []
+                        held, n = [], 0
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
