@@ -1,22 +1,24 @@
 """LM scoring by subword lattice likelihood.
 
 A text is the sequence of its words, each a mark and its bytes, then one end. A unigram model over the pieces of an
-existing vocabulary and the 256 bytes generates a word piece by piece; the probability of the word is the sum over all its
-segmentations, by forward recursion in log space. The vocabulary's scores give the first weights; expectation maximisation
-over the distinct words of the training documents gives the ones used. A word seen in training is an edge of the lattice
-too, of weight (c - d) / N; the discount d leaves d V / N to the pieces, so that the sum over all words is 1. All of this is
-done once for each distinct word, in blocks of documents, not for each occurrence.
+existing vocabulary generates a word piece by piece; the probability of a word, seen in training or not, is the sum over
+all its segmentations, by forward recursion in log space. The weight of a segmentation is exp(sharpness * sum of the
+vocabulary's scores), normalised over all pieces. The training documents give two numbers, by expectation maximisation over
+all their words: the sharpness (the scores of a file of merges are ranks, not logarithms; sharpness 1 takes them as they
+are) and the probability of the end. All of this is done once for each distinct word, not for each occurrence.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Scratch, held_out
+from factloom.llm.common import Scratch, by_bytes, held_out
 from factloom.llm.minhash import mix64
 from factloom.llm.pieces import Numbers
 from factloom.llm.vocabulary import MODEL, load
@@ -24,16 +26,42 @@ from factloom.llm.vocabulary import MODEL, load
 K = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Words of more bytes go through the recursion alone, piece by piece.
+LONG = 256
+
+
 def pieces(path: str = MODEL) -> tuple[list[bytes], np.ndarray]:
-    """Distinct surfaces, the 256 single bytes first, and their first log weights: 1 / (2 - score), as scores are ranks."""
+    """Distinct surfaces, the 256 single bytes first, and their scores as the file has them. A byte that is no piece has the
+    score of a character that no piece has: the least one less 10. Words carry one mark, so pieces of several are no edges."""
     v = load(path)
-    weight = {bytes([b]): 1e-6 for b in range(256)}
-    for i in v.ids.values():
-        s = v.surface[i]
-        if not s.startswith(b"  "):  # words carry one mark
-            weight[s] = max(weight.get(s, 0), 1.0 / (2.0 - v.scores[i]))
-    w = np.array(list(weight.values()))
-    return list(weight), np.log(w / w.sum())
+    own = [(v.surface[i], v.scores[i]) for i in v.ids.values() if not v.surface[i].startswith(b"  ")]
+    least = min(s for _, s in own) - 10
+    score = {bytes([b]): least for b in range(256)}
+    for s, x in own:
+        score[s] = max(score.get(s, -np.inf), x)
+    return list(score), np.array(list(score.values()))
+
+
+def log_weights(scores, sharpness: float):
+    """Normalised log weights of the pieces."""
+    x = sharpness * scores
+    return x - x.max() - np.log(np.exp(x - x.max()).sum())
+
+
+def sharpness_of(scores, mean: float) -> float:
+    """The sharpness under which a piece's expected score is `mean`: the likelihood of pieces of that mean has its maximum there."""
+    low, high = 0.0, 1.0
+    if mean <= scores.mean():
+        return 0.0
+    while high < 64 and (np.exp(log_weights(scores, high)) * scores).sum() < mean:
+        high *= 2
+    for _ in range(60):
+        mid = (low + high) / 2
+        if (np.exp(log_weights(scores, mid)) * scores).sum() < mean:
+            low = mid
+        else:
+            high = mid
+    return (low + high) / 2
 
 
 class Lattice:
@@ -75,38 +103,66 @@ class Lattice:
         return out
 
 
-def _logsum(parts):
-    top = parts[0] if len(parts) == 1 else np.maximum.reduce(parts)
-    safe = np.where(np.isfinite(top), top, 0.0)
-    return top if len(parts) == 1 else safe + np.log(sum(np.exp(p - safe) for p in parts))
-
-
-def forward(edges, logp, n: int):
-    """log of the summed weight of all segmentations of the first j bytes, j = 0..n; logp has -inf at its end, for -1."""
-    a = [np.zeros(len(edges[0]))]
+def forward(edges, logp, n: int, scores=None):
+    """For words of n bytes each: the log of the summed weight of all segmentations; with scores also the expected number of
+    pieces and the expected sum of their scores, given the word. logp and scores have an entry more, for edge -1: no piece."""
+    one = np.zeros(len(edges[0]))
+    a, k, t = [one], [one], [one]
+    some = [(e >= 0).any(0) for e in edges]
     for j in range(1, n + 1):
-        a.append(_logsum([a[j - s] + logp[edges[s - 1][:, j - s]] for s in range(1, min(j, len(edges)) + 1)]))
-    return a
-
-
-def expected(edges, logp, n: int, counts, out) -> None:
-    """Adds the expected number of uses of each piece in words that occur counts times."""
-    a = forward(edges, logp, n)
-    b = [None] * n + [np.zeros(len(counts))]
-    for i in range(n - 1, -1, -1):
-        b[i] = _logsum([b[i + s] + logp[edges[s - 1][:, i]] for s in range(1, min(n - i, len(edges)) + 1)])
-    for s, e in enumerate(edges, 1):
-        for i in range(n - s + 1):
-            p = e[:, i]
-            r = np.nonzero(p >= 0)[0]
-            if len(r):
-                out += np.bincount(p[r], np.exp(a[i][r] + logp[p[r]] + b[i + s][r] - a[n][r]) * counts[r], len(out))[: len(out)]
+        sizes = [s for s in range(1, min(j, len(edges)) + 1) if some[s - 1][j - s]]
+        at = [edges[s - 1][:, j - s] for s in sizes]
+        parts = np.stack([a[j - s] + logp[e] for s, e in zip(sizes, at, strict=True)])
+        top = parts.max(0)
+        w = np.exp(parts - top)
+        total = w.sum(0)
+        a.append(top + np.log(total))
+        if scores is not None:
+            w /= total
+            k.append(sum(x * k[j - s] for x, s in zip(w, sizes, strict=True)) + 1)
+            t.append(sum(x * (t[j - s] + scores[e]) for x, s, e in zip(w, sizes, at, strict=True)))
+    return (a[n], k[n], t[n]) if scores is not None else a[n]
+
+
+def forward_long(lattice, word: bytes, logp, scores, window: int = 1 << 15):
+    """What forward() gives for one word of any length, in memory that does not grow with it but for the word itself: a ring
+    holds the sums that still have pieces to come."""
+    x, n, ring = np.frombuffer(word, np.uint8), len(word), lattice.longest + 1
+    coming: list[list] = [[] for _ in range(ring)]
+    coming[0].append((0.0, 0.0, 0.0))
+
+    def settle(i):
+        terms = coming[i % ring]
+        coming[i % ring] = []
+        top = max(t[0] for t in terms)
+        w = [math.exp(t[0] - top) for t in terms]
+        total = sum(w)
+        return top + math.log(total), sum(u * t[1] for u, t in zip(w, terms, strict=True)) / total, sum(u * t[2] for u, t in zip(w, terms, strict=True)) / total
+
+    for begin in range(0, n, window):
+        found = lattice.edges(x[None, begin : begin + window + lattice.longest - 1])
+        size, start = [], []
+        for s, e in enumerate(found, 1):
+            i = np.nonzero(e[0, :window] >= 0)[0]
+            start.append(i)
+            size.append(np.full(len(i), s))
+        start, size = np.concatenate(start), np.concatenate(size)
+        order = np.argsort(start, kind="stable")
+        start, size = start[order], size[order]
+        piece = np.array([found[s - 1][0, i] for s, i in zip(size.tolist(), start.tolist(), strict=True)])
+        now = -1
+        for i, s, w, c in zip(start.tolist(), size.tolist(), logp[piece].tolist(), scores[piece].tolist(), strict=True):
+            if i != now:
+                now, (a, k, t) = i, settle(begin + i)
+            coming[(begin + i + s) % ring].append((a + w, k + 1, t + c))
+    return settle(n)
 
 
 def by_length(words: list[bytes], most: int = 1 << 17):
-    """Indexes of words of one length and their bytes as rows, some at a time."""
+    """Indexes of words of one length up to LONG and their bytes as rows, some at a time."""
     size = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(size, kind="stable")
+    order = order[size[order] <= LONG]
     cut = np.flatnonzero(np.diff(size[order])) + 1
     for group in np.split(order, cut):
         if len(group) and size[group[0]]:
@@ -117,17 +173,26 @@ def by_length(words: list[bytes], most: int = 1 << 17):
                 yield part, np.frombuffer(b"".join([words[i] for i in part]), np.uint8).reshape(len(part), n)
 
 
-def _expand(logp):
-    return np.append(logp, -np.inf)
+def likelihoods(lattice, words: list[bytes], logp, scores, moments: bool = False):
+    """Of each word the log of its marginal probability, and with moments its expected pieces and sum of scores."""
+    out, logp, scores = np.zeros((3, len(words))), np.append(logp, -np.inf), np.append(scores, 0.0)
+    for part, x in by_length(words):
+        out[: 3 if moments else 1, part] = forward(lattice.edges(x), logp, x.shape[1], scores if moments else None)
+    for i, w in enumerate(words):
+        if len(w) > LONG:
+            out[:, i] = forward_long(lattice, w, logp, scores)
+    return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, passes: int = 2, smoothing: float = 0.05, model: str = MODEL, block_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, passes: int = 3, sharpness: float | None = None, model: str = MODEL, block_bytes: int = 24 << 20) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens: words of other than ASCII white space, A-Z in lower case, then one end. Documents of fold 0 teach nothing; a
     null id is in fold 0. base_score: sum over tokens of log10((c + 0.1) / (N + 0.1 (V + 1))); c, N, V from training
-    tokens. score: log10 of the probability under the lattice model. Null counts as empty, whose only token is the end.
-    Without training documents the model has the vocabulary's own weights. Empty input gives no rows.
+    tokens. score: log10 of the marginal probability under the lattice model, whose sharpness `passes` passes over all
+    training words fit unless it is given. Null counts as empty, whose only token is the end. Rows that repeat an id or a
+    text count and are scored each. Without training documents the sharpness is 1 / 4096 and an end as likely as 100 other
+    pieces. Empty input gives no rows.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lattice")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t")).withColumn("held", held_out("id", folds))
@@ -158,17 +223,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(t), x) for x in types[4:])], names=names)
             numbers, ids, held, lids, counts, used, k = Numbers(), [], [], [], [], 0, k + 1
 
-        for b in batches:
-            for i, t, h in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                w = np.fromiter(map(numbers.__getitem__, (t or b"").lower().split()), np.int32)
-                u, c = np.unique(w, return_counts=True)
-                ids.append(i)
-                held.append(h)
-                lids.append(u)
-                counts.append(c)
-                used += len(t or b"")
-                if used >= block_bytes:
-                    yield from flush()
+        rows = ((i, t, h) for b in batches for p in by_bytes(b.column(1)) for i, t, h in zip(*(b.column(c).slice(p.offset - b.column(1).offset, len(p)).to_pylist() for c in range(3)), strict=True))
+        for i, t, h in rows:
+            w = np.fromiter(map(numbers.__getitem__, (t or b"").lower().split()), np.int32)
+            u, c = np.unique(w, return_counts=True)
+            ids.append(i)
+            held.append(h)
+            lids.append(u)
+            counts.append(c)
+            used += len(t or b"")
+            if used >= block_bytes:
+                yield from flush()
         if ids:
             yield from flush()
 
@@ -176,46 +241,42 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     tokens = blocks.filter("token is not null").select("block", "lid", "token", "train")
     words = scratch.table(tokens.groupBy("token").agg(F.sum("train").alias("c")), "words")
     n_docs = rows.filter(~F.col("held")).count()
-    stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
+    stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_train, v_train = stats["n"] + n_docs, stats["v"] + (n_docs > 0)
     norm = np.log10(n_train + 0.1 * (v_train + 1))
 
-    surfaces, logp = pieces(model)
-    discount = stats["n1"] / (stats["n1"] + 2 * stats["n2"]) if stats["n1"] else 0.5
-    log_end = float(np.log(n_docs / n_train)) if n_docs else float(np.log(0.01))
-    left = np.log(discount * stats["v"] / n_train) if stats["v"] else np.log1p(-np.exp(log_end))
-    if stats["n"]:
-        sent = spark.sparkContext.broadcast(surfaces)
-        for _ in range(passes):
-            now = spark.sparkContext.broadcast(logp)
-
-            def count(batches):
-                lattice, out = Lattice(sent.value), np.zeros(len(sent.value))
-                table = _expand(now.value)
-                for b in batches:
-                    for part, x in by_length([b" " + t for t in b.column(0).to_pylist()]):
-                        expected(lattice.edges(x), table, x.shape[1], np.ones(len(part)), out)
-                at = np.nonzero(out)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], names=["i", "e"])
-
-            got = words.filter("c > 0").select("token").mapInArrow(count, "i int, e double").groupBy("i").agg(F.sum("e").alias("e")).collect()  # a row for each piece
-            uses = np.full(len(surfaces), smoothing)
-            for x in got:
-                uses[x["i"]] += x["e"]
-            logp = np.log(uses / uses.sum())
-    last = spark.sparkContext.broadcast((surfaces, logp))
+    surfaces, scores = pieces(model)
+    sent, given = spark.sparkContext.broadcast((surfaces, scores)), sharpness is not None
+    sharpness, log_end = sharpness if given else 1 / 4096, math.log(0.01)
+    for _ in range(passes if stats["n"] and not given else bool(stats["n"])):
+        now = log_weights(scores, sharpness)
+        now = spark.sparkContext.broadcast(now)
+
+        def expect(batches, now=now):
+            surfaces, scores = sent.value
+            lattice, sums = Lattice(surfaces), np.zeros(2)
+            for b in batches:
+                for t in by_bytes(b.column(0)):
+                    out = likelihoods(lattice, [b" " + w for w in t.to_pylist()], now.value, scores, True)
+                    sums += out[1:] @ b.column(1).slice(t.offset - b.column(0).offset, len(t)).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=["k", "s"])
+
+        got = words.filter("c > 0").select("token", "c").mapInArrow(expect, "k double, s double").agg(F.sum("k"), F.sum("s")).first()
+        if not given:
+            sharpness = sharpness_of(scores, got[1] / got[0])
+        log_end = math.log(n_docs / (n_docs + got[0]))
+    if not stats["n"] and n_docs:
+        log_end = math.log(n_docs / (n_docs + 1))
+    last = spark.sparkContext.broadcast(log_weights(scores, sharpness) + math.log1p(-math.exp(log_end)))
 
     def weigh(batches):
-        surfaces, logp = last.value
-        lattice, table = Lattice(surfaces), _expand(logp)
+        surfaces, scores = sent.value
+        lattice = Lattice(surfaces)
         for b in batches:
-            out = np.zeros(b.num_rows)
-            for part, x in by_length([b" " + t for t in b.column(0).to_pylist()]):
-                out[part] = forward(lattice.edges(x), table, x.shape[1])[-1]
-            c = b.column(1).to_numpy()
-            with np.errstate(divide="ignore"):
-                out = np.logaddexp(np.log(np.maximum(c - discount, 0.0) / max(1, n_train)), out + left)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out / np.log(10))], names=["token", "c", "p"])
+            for t in by_bytes(b.column(0)):
+                c = b.column(1).slice(t.offset - b.column(0).offset, len(t))
+                out = likelihoods(lattice, [b" " + w for w in t.to_pylist()], last.value, scores)[0]
+                yield pa.RecordBatch.from_arrays([t, c, pa.array(out / np.log(10))], names=["token", "c", "p"])
 
     weighed = words.mapInArrow(weigh, "token binary, c long, p double")
     values = tokens.select("block", "lid", "token").join(weighed, "token").select("block", "lid", "c", "p")
