@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import shutil
 import time
 import zlib
 
@@ -104,8 +105,10 @@ def test_minhash(spark, docs, none):
         for k in rng.sample(range(200), 5 if i else 0):
             w[k] = f"c{i}_{k}"
         rows.append((500 - i, " ".join(w)))
-    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert tuples(got, "doc_id", "n_shingles", "component_id") == near_brute(rows)
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), near_brute(rows)
+    for pivot_from, block_rows, block_bytes in ((8, 256, 1 << 21), (2, 7, 1 << 21), (10_000, 256, 4096)):
+        got = minhash.near_groups(df, pivot_from=pivot_from, block_rows=block_rows, block_bytes=block_bytes)
+        assert tuples(got, "doc_id", "n_shingles", "component_id") == want
 
 
 def test_minmax_is_unbiased():
@@ -151,8 +154,8 @@ def test_vectors(spark):
     want = sorted(((r[0], sum(map(bool, link[i])), least[i]) for i, r in enumerate(rows)), key=str)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     assert sum(w[1] for w in want) > 50
-    for block in (8, 1024):
-        assert tuples(embed_dedup.near_vectors(df, block=block), "vec_id", "n_links", "component_id") == want
+    for block, size in ((8, 1 << 20), (1024, 1 << 20), (1024, 16 * 20)):
+        assert tuples(embed_dedup.near_vectors(df, block=block, block_bytes=size), "vec_id", "n_links", "component_id") == want
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
 
@@ -160,10 +163,26 @@ def test_quantisation_bound():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    q, s, e = embed_dedup.quantise(x)
-    length = s * np.linalg.norm(q.astype(float), axis=1)
-    bound = (q.astype(float) @ q.astype(float).T) * s[:, None] * s + e[:, None] * length + e
-    assert (bound >= x @ x.T - 1e-9).all()
+    q, s, e, length = embed_dedup.quantise(x)
+    error = e[:, None] * length + e
+    about = (q.astype(float) @ q.astype(float).T) * s[:, None] * s
+    assert (np.abs(about - x @ x.T) <= error + 1e-9).all()
+    x[::3] = x[0] + rng.normal(size=x[::3].shape) * rng.random((100, 1)) * 0.05
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    true = np.triu(x @ x.T >= 0.93, 1)
+    sure, open_ = (np.zeros(true.shape, bool) for _ in range(2))
+    for m, (p, q) in zip((sure, open_), embed_dedup.tile_links(embed_dedup.quantise(x), embed_dedup.quantise(x), 0.93, True), strict=True):
+        m[p, q] = True
+    assert sure.any()
+    assert open_.any()
+    assert (~sure | true).all()
+    assert (~true | sure | open_).all()
+
+
+def test_vectors_of_any_magnitude(spark):
+    rows = [(0, [1e200, 2e200], 0), (1, [1e200, 2.0001e200], 0), (2, [1e-200, 2e-200], 0), (3, [5e-324, 1e-323], 0), (4, [-1e200, 2e200], 0), (5, [1.0, 2.0], 0), (6, [1.0, 2.0], 1)]
+    df = spark.createDataFrame([(*r, "clash", 9) for r in rows], "vec_id long, embedding array<double>, label int, x string, kept int")
+    assert tuples(embed_dedup.near_vectors(df), "vec_id", "n_links", "component_id", "kept") == [(0, 4, 0, True), (1, 4, 0, False), (2, 4, 0, False), (3, 4, 0, False), (4, 0, 4, True), (5, 4, 0, False), (6, 0, 6, True)]
 
 
 @pytest.mark.parametrize("shards", [1, 5, 24])
@@ -241,6 +260,49 @@ def test_flow_prefers_fewest_repeats():
     assert all(total[p] >= n for p, n in {("a",): 10, ("a", "b"): 10, ("b",): 2}.items())
 
 
+def test_flow_is_the_best_of_all():
+    rng, costs = random.Random(7), mixing.costs_of(2)
+    for _ in range(25):
+        sizes = {("a",): rng.randrange(4), ("a", "b"): rng.randrange(1, 4), ("b",): rng.randrange(4)}
+        quotas = {"a": rng.randrange(9), "b": rng.randrange(9)}
+
+        def cost(n, size):
+            return sum(c * min(max(n - k * size, 0), size) for k, c in enumerate(costs))
+
+        best = None
+        for x in range(2 * sizes["a",] + 1):
+            for y in range(2 * sizes["a", "b"] + 1):
+                for z in range(2 * sizes["a", "b"] - y + 1):
+                    for w in range(2 * sizes["b",] + 1):
+                        if x + y <= quotas["a"] and z + w <= quotas["b"]:
+                            this = (-(x + y + z + w), cost(x, sizes["a",]) + cost(y + z, sizes["a", "b"]) + cost(w, sizes["b",]))
+                            best = this if best is None else min(best, this)
+        sent = mixing.flow(sizes, quotas, costs)
+        assert all(sum(f.get(s, 0) for f in sent.values()) <= q for s, q in quotas.items())
+        assert (-sum(n for f in sent.values() for n in f.values()), sum(cost(sum(f.values()), sizes[p]) for p, f in sent.items())) == best
+
+
+def test_mixing_of_overlapping_sources(spark):
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.randrange(1, 30), rng.choice([["a"], ["b"], ["b", "a"], ["a", "b", "a"], ["c", "b"], [], None]), "clash", -1) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, of array<string>, members string, size int")
+    for limit in (3, 5):
+        out, stats = mixing.mix(df, F.col("of"), {"a": 1, "b": 1, "c": 40}, limit=limit, payload=["of", "members", "size"], as_row=True)
+        got = out.collect()
+        assert all(r["row"]["members"] == "clash" and r["row"]["size"] == -1 for r in got)
+        assert {r["copies"] for r in got if not r["members"]} == {0}
+        assert max(r["copies"] for r in got) == limit
+        sizes = {}
+        for r in got:
+            sizes[tuple(r["members"])] = sizes.get(tuple(r["members"]), 0) + r["size"]
+        sent = mixing.flow({p: n for p, n in sorted(sizes.items()) if p}, {s: round(t) for s, (_, t) in stats.items()}, mixing.costs_of(limit))
+        for p, f in sent.items():
+            assert abs(sum(r["taken"] for r in got if tuple(r["members"]) == p) - sum(f.values())) <= 30
+        assert (stats["c"][1] == limit * stats["c"][0]) == (limit == 3)
+    with pytest.raises(ValueError, match="patterns"):
+        mixing.mix(df, F.col("of"), most_patterns=2)
+
+
 def test_mixing(spark, none):
     rng = random.Random(4)
     rows = [(i, words(rng, rng.randrange(5, 60)), rng.choice(["a", "a", "a", "b", None])) for i in range(600)] + [(900, None, "a"), (901, "", "zz")]
@@ -263,21 +325,25 @@ def test_mixing(spark, none):
 
 
 def segment_brute(word, v):
-    best = [(0.0, [])]
+    longest = max(map(len, v.ids))
+    best = [(0.0, 0, [])]
     for j in range(1, len(word) + 1):
         top = None
-        for i in range(j):
+        for i in range(max(0, j - longest), j):
             piece = word[i:j]
             if piece in v.ids:
-                cand = (best[i][0] + v.scores[v.ids[piece]], [*best[i][1], v.ids[piece]])
+                cand = (best[i][0] + v.scores[v.ids[piece]], i, [v.ids[piece]])
             elif j - i == 1:
-                cand = (best[i][0] + v.unknown, [*best[i][1], *(v.byte_ids[b] for b in ("▁" if piece == pieces.OWN else piece).encode())])
+                cand = (best[i][0] + v.unknown, i, [v.byte_ids[b] for b in ("▁" if piece == pieces.OWN else piece).encode()])
             else:
                 continue
             if top is None or cand[0] > top[0]:
                 top = cand
         best.append(top)
-    return best[-1][1]
+    out, j = [], len(word)
+    while j:
+        out, j = best[j][2] + out, best[j][1]
+    return out
 
 
 TEXTS = ["Hello world, the thonder of  things.", "", " ", "   x", "a▁b ▁", "tab\tand\nline", "ünïcode 漢字 \U0001f600 ends ", "x" * 3000, "no break\x00nul"]
@@ -287,13 +353,17 @@ def test_pieces(spark):
     v = vocabulary.load()
     s = pieces.Segmenter(v)
     for t, ids in zip(TEXTS, pieces.encode_block(TEXTS, s), strict=True):
-        want = [i for w in pieces.marked(t) for i in segment_brute(w, v)] if len(t) < 100 else ids.tolist()
-        assert ids.tolist() == want
+        assert ids.tolist() == [i for w in pieces.marked(t) for i in segment_brute(w, v)]
         assert pieces.decode_ids(ids, v.surface) == t
     df = spark.createDataFrame([(i, t, "r", [1]) for i, t in enumerate([*TEXTS, None])], "doc_id long, text string, row string, ids array<int>")
-    got = pieces.decode(pieces.encode(df, block_chars=50)).collect()
+    df = df.unionByName(df)
+    assert pieces.decode(pieces.encode(df.limit(0))).columns == [*df.columns, "decoded"]
+    assert pieces.decode(pieces.encode(df.limit(0))).count() == 0
+    got = pieces.decode(pieces.encode(df, block_bytes=50)).collect()
+    assert len(got) == 2 * len(TEXTS) + 2
+    assert all(r["row"] == "r" for r in got)
     assert all(r["text"] == r["decoded"] for r in got)
-    assert [r["ids"] for r in got if r["text"] is None] == [None]
+    assert [r["ids"] for r in got if r["text"] is None] == [None, None]
 
 
 def test_no_segmentation_of_the_library_scores_better():
@@ -317,13 +387,36 @@ def test_lattice_sums_all_segmentations():
     def brute(w):
         return 1.0 if not w else sum(math.exp(logp[at[w[:k]]]) * brute(w[k:]) for k in range(1, len(w) + 1) if w[:k] in at)
 
-    lat, ws = lattice.Lattice(surfaces), [b" abc", b" a", b" aab", b" zzzz"]
-    out, uses = np.zeros(4), np.zeros(len(surfaces))
-    for part, x in lattice.by_length(ws):
-        out[part] = lattice.forward(lat.edges(x), table, x.shape[1])[-1]
-        lattice.expected(lat.edges(x), table, x.shape[1], np.ones(len(part)), uses)
-    assert np.allclose(np.exp(out), [brute(w) for w in ws])
-    assert np.isclose(sum(n * len(s) for n, s in zip(uses, surfaces, strict=True)), sum(map(len, ws)))
+    lat, ws, scores = lattice.Lattice(surfaces), [b" abc", b" a", b" aab", b" zzzz", b" " + b"abcab" * 80], -np.arange(len(surfaces)) * 1.0
+    out = lattice.likelihoods(lat, ws, logp, scores, True)
+    assert np.allclose(np.exp(out[0, :4]), [brute(w) for w in ws[:4]])
+
+    def ways(w):
+        return [[at[w[:k]], *r] for k in range(1, len(w) + 1) if w[:k] in at for r in ways(w[k:])] if w else [[]]
+
+    for i, w in enumerate(ws[:4]):
+        p = np.array([math.exp(logp[x].sum()) for x in ways(w)])
+        assert np.isclose(out[1, i], (p * [len(x) for x in ways(w)]).sum() / p.sum())
+        assert np.isclose(out[2, i], (p * [scores[x].sum() for x in ways(w)]).sum() / p.sum())
+    for window in (7, 1 << 15):  # long words take another way to the same sums
+        for i, w in enumerate(ws):
+            assert np.allclose(lattice.forward_long(lat, w, table, np.append(scores, 0.0), window), out[:, i])
+    x = np.frombuffer(ws[-1], np.uint8)[None]
+    assert np.allclose(lattice.forward(lat.edges(x), table, len(ws[-1]), np.append(scores, 0.0)), out[:, -1:])
+
+
+def test_lattice_takes_long_words():
+    surfaces, scores = lattice.pieces()
+    lat, began = lattice.Lattice(surfaces), time.process_time()
+    word = b"abcdefghij" * 20_000
+    assert lattice.likelihoods(lat, [word], lattice.log_weights(scores, 1 / 4096), scores)[0, 0] < -len(word) / 10
+    assert time.process_time() - began < 20
+
+
+def test_sharpness():
+    scores = -np.arange(50.0)
+    for x in (0.01, 0.3, 1.0, 5.0):
+        assert np.isclose(lattice.sharpness_of(scores, (np.exp(lattice.log_weights(scores, x)) * scores).sum()), x, rtol=1e-6)
 
 
 def test_lattice_scores(docs, none):
@@ -343,14 +436,48 @@ def test_lattice_scores(docs, none):
     assert sorted([(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got], key=str) == sorted(want, key=str)
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
     assert lattice.score(none).count() == 0
+    few = docs.filter("doc_id < 40 or doc_id is null")
+    surfaces, scores = lattice.pieces()
+    piece = dict(zip(surfaces, scores, strict=True))
+    longest = max(map(len, surfaces))
+    for sharp in (1.0, None):
+        got = lattice.score(few, sharpness=sharp).collect()
+        train = [w for r in corpus() if (r[0] is None or r[0] < 40) and not held(r[0]) for w in (r[1] or "").encode().lower().split()]
+        n = sum(1 for r in corpus() if r[0] is not None and r[0] < 40 and not held(r[0]))
+
+        def sums(word, x, z):
+            """log of the sum of all segmentations' weights, expected pieces and sum of scores, in plain arithmetic of logarithms"""
+            a = [(0.0, 0.0, 0.0)]
+            for j in range(1, len(word) + 1):
+                terms = [(a[i][0] + x * piece[word[i:j]] - z, a[i][1] + 1, a[i][2] + piece[word[i:j]]) for i in range(max(0, j - longest), j) if word[i:j] in piece]
+                top = max(t[0] for t in terms)
+                w = [math.exp(t[0] - top) for t in terms]
+                a.append((top + math.log(sum(w)), sum(u * t[1] for u, t in zip(w, terms, strict=True)) / sum(w), sum(u * t[2] for u, t in zip(w, terms, strict=True)) / sum(w)))
+            return a[-1]
+
+        x = sharp or 1 / 4096
+        for _ in range(1 if sharp else 3):
+            z = math.log(sum(math.exp(x * v) for v in piece.values()))
+            of = {w: sums(b" " + w, x, z) for w in set(train)}
+            k, t = sum(of[w][1] for w in train), sum(of[w][2] for w in train)
+            if not sharp:
+                x = lattice.sharpness_of(scores, t / k)
+        z, end = math.log(sum(math.exp(x * v) for v in piece.values())), n / (n + k)
+        text = {r[0]: r[1] for r in corpus() if r[0] is not None and r[0] < 40}
+        for r in got:
+            if r["doc_id"] is not None:
+                want = math.log(end) + sum(sums(b" " + w, x, z - math.log(1 - end))[0] for w in (text[r["doc_id"]] or "").encode().lower().split())
+                assert math.isclose(r["score"], want / math.log(10), rel_tol=1e-6), (sharp, r["doc_id"])
 
 
 def test_warc(spark):
     rows = [(3, "http://a/ b\n", "<p>x</p>" * 50), (1, None, "<p>x</p>" * 50), (2, "u", None), (5, "u", ""), (1, "dup", "<p>x</p>" * 50), (7, "u", "é" * 100), (None, "u", "<p>x</p>" * 50)] + [(100 + i, f"http://h/{i}", f"<html>{i} " + "shared words " * 40) for i in range(60)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).checkpoint()
-    for per in (16384, 10):
+    df = df.withColumns({"payload": F.lit(7), "record_type": F.lit("clash"), "least": F.lit(1), "uid": F.lit(0), "key": F.lit("k")})
+    for per in (32 << 20, 3000):
         path = Scratch(spark, "t").path("w")
-        warc.write(df, path, per_archive=per)
+        warc.write(df, path, archive_bytes=per)
+        assert (spark.read.format("binaryFile").load(path).count() > 4) == (per == 3000)
         got = warc.read(spark, path).collect()
         assert len(got) == len(rows)
         assert sorted((r["payload_bytes"], r["payload_digest"]) for r in got) == sorted((len(b), warc.b32(hashlib.sha1(b).digest())) for b in ((r[2] or "").encode() for r in rows))
@@ -375,7 +502,10 @@ def test_warc_frames_stand_alone():
     import zstandard
 
     records = [warc.record("response", f"urn:{i}", i, "u", b"shared content " * 30 + str(i).encode(), "D", None, "d") for i in range(200)]
-    first, *rest = warc.frames(records, 4096, 1 << 20, 1 << 20, 3)
+    whole = list(warc.archives([(r, True) for r in records], 4096, 1 << 20, 1 << 20, 3))
+    assert len(whole) == 1
+    assert len(list(warc.archives([(r, True) for r in records], 4096, 1 << 20, 1, 3))) == 200
+    first, *rest = whole[0].split(warc.EMPTY_FRAME.encode())
     assert first[:4] == warc.DICT_MAGIC
     raw = first[8:]
     assert struct.unpack("<I", first[4:8])[0] == len(raw) > 0
@@ -383,6 +513,14 @@ def test_warc_frames_stand_alone():
     assert [d.decompress(f) for f in rest] == records
 
 
+def test_warc_long_pages(spark):
+    long = [(i, "u", "".join(chr(97 + (i * j * j) % 26) for j in range(300_000))) for i in range(1, 6)]
+    path = Scratch(spark, "t").path("w")
+    warc.write(spark.createDataFrame(long, "page_id long, url string, html string").coalesce(1), path, archive_bytes=700_000)
+    assert sorted(r["payload"].decode() for r in warc.read(spark, path).collect()) == sorted(x[2] for x in long)
+    assert spark.read.format("binaryFile").load(path).filter("length > 0").count() == 3
+
+
 @pytest.mark.parametrize(
     ("source", "want"),
     [
@@ -414,12 +552,35 @@ def test_html_raw_text_ends_in_any_case():
 
 def test_html_wide_tables():
     wide = "w" * 500
-    assert html_layout.render(f"<table><tr><td>{wide}<td>a<tr><td>b<td>c</table>")[1] == f"{wide} | a\nb{' ' * 399} | c"
+    assert html_layout.render(f"<table><tr><td>{wide}<td>a<tr><td>b<td>c</table>")[1] == f"{wide} | a\nb{' ' * 499} | c"
     cells = lambda n, x: "".join(f"<td>{x}" for _ in range(n))
     got = html_layout.render(f"<table><tr><td colspan=150>s<td>e<tr>{cells(150, 'x')}<td>last</table>")[1].split("\n")
-    assert got == ["s".ljust(400) + " | e", " | ".join(["x"] * 150 + ["last"])]
-    got = html_layout.render(f"<table><tr><td colspan=150>s<td>e<tr>{cells(100, 'x')}<td>wide one<td>z</table>")[1].split("\n")
-    assert got[1] == " | ".join(["x"] * 100 + ["wide one", "z"])
+    assert got == ["s".ljust(597) + " | e", " | ".join(["x"] * 150 + ["last"])]
+    ragged = html_layout.render(f"<table><tr><td>{'w' * 40_000}<td>a" + "<tr><td>b<td>c" * 40_000 + "</table>")[1]
+    assert ragged == "w" * 40_000 + " | a" + "\nb | c" * 40_000
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A | b\n  | c"), ("<table><tr><td colspan=2>wide cell<td>q<tr><td>x<td>y<td>z</table>", "wide cell | q\nx | y     | z"), ("<table><tr><td rowspan=0>A<td>b<tr><td>c<tr><td>d</table>", "A | b\n  | c\n  | d"),
+        ("<p style='visibility:hidden'>a<b style='visibility:visible'>c</b></p>", "c"), ("<p style='display:none'>a<b style='display:block'>c</b></p>", ""), ("<p hidden style='display:block'>a", "a"), ("<p style='visibility:hidden;visibility:visible'>a", "a"),
+        ("<svg><title>t</title><text>hi</text></svg> <math><mi>x</mi><annotation>no</annotation></math>", "hi x"), ("<textarea>\na &lt;b\nc</textarea>d", "a <b\ncd"), ("<form>Name <input value=Bob> <input type=hidden value=no><input type=submit value=Go></form>", "Name Bob Go"),
+        ("<select><option>a<option selected>b</select>z", "b z"), ("<select><option>a<option>b</select>", "a"), ("<select multiple><option>a<optgroup><option>b</select>z", "a\nb\nz"), ("<datalist><option>a</datalist>b", "b"),
+        ("<ol><li value=5>x<li>y</ol>", "5. x\n6. y"), ("<ol reversed><li>x<li>y</ol>", "2. x\n1. y"), ("<ol type=i start=4><li>x<li>y</ol>", "iv. x\nv. y"), ("<ol type=A start=27><li>x</ol>", "AA. x"), ("a<plaintext><p>b</p>", "a\n\n<p>b</p>"),
+        ("<ul><li><ul><li>x<li>y</ul><li></ul>z", "- - x\n  - y\n\nz"), ("<blockquote>q<p>r</blockquote>s", "  q\n\n  r\n\ns"), ("<pre>a\n<ul><li>x</ul>b</pre>", "a\n- x\nb"), ("<ul><li>a<table><tr><td>x<td>y</table>b</ul>", "- a\n\n  x | y\n\n  b"),
+    ],
+)
+def test_html_layout(source, want):
+    assert html_layout.render(source)[1] == want
+
+
+@pytest.mark.parametrize("unit", ["<li>", "<ul><li>", "<ul><li>x", "<div>", "<p><b>", "<blockquote>x", "<pre>x", "<td rowspan=60000>x", "<select><option>x", "<p><table><td><span>"])
+def test_html_of_deep_pages_takes_linear_time(unit):
+    began = time.process_time()
+    got = html_layout.render(unit * 20_000)[1]
+    assert time.process_time() - began < 5
+    assert got.count("x") == 20_000 * unit.count("x")
 
 
 def test_html_long_attributes():
@@ -460,9 +621,15 @@ def test_minhash_prefixes_and_tiles():
             t = np.sort(rng.choice(s, k, replace=False))
             assert set(minhash.prefix_keys(s, 75).tolist()) & set(minhash.prefix_keys(t, 75).tolist())
     assert len(minhash.prefix_keys(np.arange(22, dtype=np.uint64), 75)) == 0
-    side = lambda v, n: (np.array([v]), np.array([n]), np.array([v]), np.full((1, 336), v, np.uint8))
-    assert minhash.candidates(side(1, 15), side(2, 16), False, 75) == ([0], [0])
-    assert minhash.candidates(side(1, 17), side(2, 18), False, 75) == ([], [])
+    sets = [np.unique(rng.integers(0, 400, n, np.uint64)) for n in rng.integers(1, 300, 40)]
+    want = [[len(np.intersect1d(s, t)) for t in sets[25:]] for s in sets[:25]]
+    for columns in (7, 4096):
+        assert minhash.overlaps(sets[:25], sets[25:], columns).tolist() == want
+    side = lambda v, *s: (np.array(v), np.array([len(x) for x in s]), np.array(v), list(s))
+    a, b = np.arange(15, dtype=np.uint64), np.arange(20, dtype=np.uint64)
+    assert list(minhash.tile(side([1], a), side([2], b), False, 75)) == [(1, 2)]
+    assert list(minhash.tile(side([1], a[1:]), side([2], b), False, 75)) == []
+    assert list(minhash.tile(side([1, 2, 3], a, b, b), side([1, 2, 3], a, b, b), True, 75)) == [(1, 2), (1, 3)]
 
 
 def test_html_is_robust(spark):
@@ -502,6 +669,71 @@ def test_toxicity(spark, none):
     assert {r["predicted"] for r in toxicity.score(df, empty).collect()} == {0}
 
 
+def test_ftrl_against_plain_python(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["aa", "bb", "cc", "dd", "Ee!"]) for _ in range(rng.randrange(9)))) for i in range(60)]
+    marks = [(i, int("bb" in t and "cc" in t)) for i, t in rows]
+    df, lab = spark.createDataFrame([(*r, "clash", 0.5) for r in rows], "doc_id long, text string, toxic string, score double"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    hashes = minhash.Hashes()
+
+    def features(t):
+        return sorted(set(toxicity.places(t.encode(), hashes).tolist())) + [1 << toxicity.BITS]
+
+    train = [(t, y) for (i, t), (_, y) in zip(rows, marks, strict=True) if zlib.crc32(str(i).encode()) % 5]
+    order = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    train = sorted(((order[i], t, y) for (i, t), (_, y) in zip(rows, marks, strict=True) if zlib.crc32(str(i).encode()) % 5))
+    z, n = {}, {}
+
+    def weight(f):
+        x, l1 = z.get(f, 0.0), 0.0 if f == 1 << toxicity.BITS else 8.0
+        return 0.0 if abs(x) <= l1 else -(x - math.copysign(l1, x)) / ((1.0 + math.sqrt(n.get(f, 0.0))) / 2.0)
+
+    for _ in range(6):
+        for _, t, y in train:
+            fs = features(t)
+            w = {f: weight(f) for f in fs}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for f in fs:
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(n.get(f, 0.0) + g * g) - math.sqrt(n.get(f, 0.0))) / 2.0 * w[f]
+                n[f] = n.get(f, 0.0) + g * g
+    got = toxicity.score(df, toxicity.train(df, lab), payload=df.columns, as_row=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-sum(weight(f) for f in features(r["row"]["text"])))), rel_tol=1e-6)
+        assert r["row"]["score"] == 0.5
+    bounded = toxicity.train(df, lab, sample_bytes=1)  # the first example of each class
+    assert all(np.isfinite(bounded[1]))
+
+
+CLASH = ["predicted", "score", "held_out", "kept", "keep_id", "group_size", "text_sha256", "n_shingles", "component_id", "members", "size", "copies", "taken", "copy", "row", "id", "t", "h", "h1", "uid", "n", "fp", "key", "ids", "n_pieces", "mk"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    text = [None, "", " \t", "one", *(words(rng, 40) for _ in range(12)), words(rng, 40_000)]
+    rows = [(i if i % 7 else None, t, None if i % 5 else "en", [None, "s0", "s1"][i % 3], i, *(7 for _ in CLASH)) for i, t in enumerate(text * 2)]
+    rows += rows[:6]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in CLASH)
+    spark.createDataFrame([(i, 1, int(i % 3 == 0), "clash") for i in range(30)], "doc_id long, quality int, toxic int, text string").write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before = docs
+            docs = Scratch(spark, "t").table(stage(spark, docs, str(tmp_path)), f"s{k}")
+            if k < 4:
+                assert docs.columns == before.columns
+                assert docs.exceptAll(before.withColumn("copy3", F.explode(F.array(*map(F.lit, range(3))))).drop("copy3")).count() == 0
+            assert all(r[0] == 7 for r in docs.select("predicted", "copy", "size").distinct().collect())
+        assert set(docs.columns) == set(before.columns)
+        if rows and before.count():
+            v = vocabulary.load()
+            for r in docs.collect():
+                assert (r["ids"] is None) == (r["text"] is None)
+                assert r["n_pieces"] == len(r["ids"] or [])
+                assert pieces.decode_ids(np.array(r["ids"] or [], np.int32), v.surface) == (r["text"] or "")
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -527,3 +759,6 @@ def test_pipeline(spark, tmp_path):
         assert pieces.decode_ids(np.array(r.ids), v.surface) == r.text
     assert len(seen[4]) == len(seen[3])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
+    shutil.rmtree(tmp_path / "documents.parquet")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
