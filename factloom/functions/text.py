@@ -163,8 +163,13 @@ def diagram_id(name) -> Column:
 
 
 def table_cell(text) -> Column:
-    """backslashes and bars escaped for a markdown table."""
-    return F.regexp_replace(F.regexp_replace(col(text), r"\\", r"\\\\\\\\"), r"\|", r"\\\\|")
+    """backslashes, then bars, escaped for a markdown table."""
+    return F.replace(F.replace(col(text), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+
+
+def table_row(cells: list) -> Column:
+    """a row of a markdown table."""
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(table_cell(c), F.lit("")) for c in cells)), F.lit(" |"))
 
 
 def rewrite_md_links(html) -> Column:
@@ -199,9 +204,14 @@ def specificity(text) -> Column:
     return references(text) / F.greatest(utf16_length(text) / 100, F.lit(1.0))
 
 
+#: White space, what may stand before a path that a text names, and what paths look like.
+WIDE_SPACE = r"\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+PATH_CLAIM = rf"(?:^|[{WIDE_SPACE}\"',\[(])([a-zA-Z0-9_./-]+\.(?:ts|js|tsx|jsx|py|rs|go|json|yml|yaml|toml|md|css|html|sh|Dockerfile))(?![a-zA-Z0-9_])"
+
+
 def path_claims(text) -> Column:
     """Distinct paths with a folder that a text names, in order."""
-    found = F.regexp_extract_all(col(text), F.lit(r"(?:^|[\s`'\"(])([\w@.-]+(?:/[\w@.-]+)+\.(?:tsx|ts|jsx|js|mjs|cjs|py|rs|go|java|rb|php|json|yaml|yml|toml|md|css|html|sql|sh))\b"), F.lit(1))
+    found = F.regexp_extract_all(col(text), F.lit(PATH_CLAIM), F.lit(1))
     return F.array_distinct(F.filter(found, lambda x: F.contains(x, F.lit("/"))))
 
 

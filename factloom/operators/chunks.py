@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,64 +14,92 @@ from factloom.functions import text as T
 
 #: Tokens of a chunk and of its overlap, characters per token, separators by preference.
 SIZE, OVERLAP, SEPARATORS = 512, 75, ("\n\n", "\n", " ")
-HEADER = re.compile(r"^(#{1,3})\s+(.+)$")
+#: White space at which texts are trimmed, and characters that end a line.
+SPACE = "\t\n\v\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+ENDS = "\n\r\u2028\u2029"
+HEADER = re.compile(f"(#{{1,3}})[{SPACE}]+([^{ENDS}]+)")
+ANY_HEADER = re.compile(f"(?:\\A|(?<=[{ENDS}]))#{{1,3}}[{SPACE}]")
+
+
+def units(text: str) -> str:
+    """A character for each UTF-16 code unit of the text: characters beyond the basic plane become two."""
+    return text if text.isascii() or max(text) < "\U00010000" else "".join(map(chr, array("H", text.encode("utf-16-le", "surrogatepass"))))
+
+
+def characters(text: str) -> str:
+    """The text of UTF-16 code units; halves that lost their other half become U+FFFD."""
+    return text if text.isascii() else text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
 def sections(text: str) -> list[tuple[str, str, str, str]]:
-    """(h1, h2, h3, body) between headers; a header clears those below it."""
-    heads, body, out = ["", "", ""], [], []
-    for line in text.split("\n"):
-        m = HEADER.match(line)
-        if m:
-            out.append((*heads, "\n".join(body)))
-            k = len(m[1]) - 1
-            heads[k:] = [m[2].strip()] + [""] * (2 - k)
-            body = [line]
-        else:
-            body.append(line)
-    out.append((*heads, "\n".join(body)))
-    return [s for s in out if s[3].strip()]
+    """(h1, h2, h3, body) between headers, blank ones too; a header clears those below it."""
+    lines = text.split("\n")
+    marks = [(i, m) for i, x in enumerate(lines) if x.startswith("#") and (m := HEADER.fullmatch(x))]
+    cuts = [i for i, _ in marks] + [len(lines)]
+    out, heads = [("", "", "", "\n".join(lines[: cuts[0]]))] if cuts[0] else [], ["", "", ""]
+    for (i, m), end in zip(marks, cuts[1:], strict=True):
+        level = len(m[1]) - 1
+        heads = [*heads[:level], m[2].strip(SPACE), *[""] * (2 - level)]
+        out.append((*heads, "\n".join(lines[i:end])))
+    return out
+
+
+def boundary(text: str, start: int, most: int) -> int:
+    """Where a run from start ends: after the last of the most preferred separator that stands in its second half."""
+    end = start + most
+    if end >= len(text):
+        return len(text)
+    found = (text.rfind(s, start, end) + len(s) for s in SEPARATORS if text.rfind(s, start, end) - start > most / 2)
+    return next(found, end)
 
 
 def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Runs of at most 4 * size characters. A run ends after the last separator in its second half; the next begins
-    overlap tokens earlier, but only where that lies beyond the length of the run before it, so the first boundary has none."""
-    most, back, start, out = size * 4, overlap * 4, 0, []
-    while start < len(text):
-        end = min(start + most, len(text))
-        if end < len(text):
-            for s in SEPARATORS:
-                at = text.rfind(s, start, end)
-                if at >= 0 and at - start > most // 2:
-                    end = at + len(s)
-                    break
-        piece = text[start:end]
-        out.append(piece.strip() if piece.strip() else "")
-        if end >= len(text):
-            break
-        start = end - back if end - back > len(piece) else end
-    return [p for p in out if p]
+    """Runs of at most 4 * size units. The next run begins overlap tokens before the end of the last one, if that lies
+    beyond the length of the last piece that was kept, else at its end, so the first boundary has no overlap."""
+    out, start, end = [], 0, 0
+    while end < len(text):
+        end = boundary(text, start, 4 * size)
+        piece = text[start:end].strip(SPACE)
+        out += [piece] if piece else []
+        back = end - 4 * overlap
+        start = back if back > (len(out[-1]) if out else 0) else end
+    return out
 
 
 def chunk_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[dict]:
-    """None of blank text, one of text without headers, else those of each section."""
-    text = re.sub(r"\A---\n.*?\n---\n+", "", text, flags=re.S)
-    if not text.strip():
+    """None of blank text, one of text without headers, else those of each section; lengths are UTF-16 units."""
+    if not text.strip(SPACE):
         return []
-    if not any(HEADER.match(x) for x in text.split("\n")):
-        return [{"h1": "", "h2": "", "h3": "", "content": text.strip()}]
-    return [{"h1": a, "h2": b, "h3": c, "content": w} for a, b, c, body in sections(text) for w in ([body.strip()] if len(body) <= size * 4 else windows(body, size, overlap))]
+    text = units(re.sub(r"\A---\n.*?\n---\n+", "", text, count=1, flags=re.S))
+    if not ANY_HEADER.search(text):
+        return [_chunk(("", "", ""), text.strip(SPACE))]
+    out = []
+    for *heads, body in sections(text):
+        body = body.strip(SPACE)
+        for piece in [body] if len(body) <= 4 * size else windows(body, size, overlap):
+            out.append(_chunk(heads, piece))
+    return out
+
+
+FIELDS = ("h1", "h2", "h3", "content", "preview")
+
+
+def _chunk(heads, piece: str) -> dict:
+    """With what F25 shows of it: its first 200 units, trimmed."""
+    return dict(zip(FIELDS, map(characters, (*heads, piece, piece[:200].strip(SPACE))), strict=True))
 
 
 def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """docs(doc_id, doc_type, source_file, content) as chunks with their place, headers, tokens and preview."""
-    @F.pandas_udf("array<struct<h1 string, h2 string, h3 string, content string>>")
-    def cut(content: pd.Series) -> pd.Series:
-        return content.map(lambda t: chunk_text(t or "", size, overlap))
+    @F.arrow_udf(f"array<struct<{', '.join(f'{c} string' for c in FIELDS)}>>")
+    def cut(contents: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([(c, pa.string()) for c in FIELDS]))
+        for a in contents:
+            yield pa.array((chunk_text(t.as_py() or "", size, overlap) for t in a), kind)
 
     rows = docs.select("doc_id", "doc_type", "source_file", F.posexplode(cut("content")).alias("chunk_index", "c"))
     return rows.select(
-        "doc_id", "doc_type", "source_file", "chunk_index", T.section_path("c.h1", "c.h2", "c.h3").alias("section_path"), "c.h1", "c.h2", "c.h3", T.estimate_tokens("c.content").cast("int").alias("token_count"), T.preview("c.content").alias("content_preview"), "c.content"
+        "doc_id", "doc_type", "source_file", "chunk_index", T.section_path("c.h1", "c.h2", "c.h3").alias("section_path"), "c.h1", "c.h2", "c.h3", T.estimate_tokens("c.content").cast("int").alias("token_count"), F.col("c.preview").alias("content_preview"), "c.content"
     )
 
 

@@ -11,20 +11,28 @@ from factloom.functions import text as T
 SUFFIXES = ("", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js")
 
 
+#: Endings of compiled code, which are also tried without.
+COMPILED = ("js", "jsx", "mjs", "cjs")
+
+
 def resolve(imports: DataFrame, known: DataFrame, suffixes: tuple = SUFFIXES) -> DataFrame:
     """imports(src, specifier) with the known path that the first matching candidate names; others leave.
 
-    Candidates are expanded with their rank and met by an equi-join, and the smallest rank wins. A specifier that ends
-    like compiled code is tried as written, then without its extension.
+    Each known path tells the few bases from which a candidate leads to it, with the candidate's rank, and imports meet
+    these by their base in one equi-join; the smallest rank wins. A base that ends like compiled code is tried as written,
+    then without its extension.
     """
     base = F.explode(F.array(T.resolve_path("src", "specifier")))  # a generator, so that it is computed once and not for each use
     rows = imports.select("src", "specifier", base.alias("base")).filter("base is not null")
-    bare = F.when(F.rlike("base", F.lit(r"\.(js|jsx|mjs|cjs)$")), T.strip_extension("base"))
-    ends = F.array(*map(F.lit, suffixes))
-    written = F.transform(ends, lambda s: F.concat("base", s))
-    tried = F.coalesce(F.concat(written, F.when(bare.isNotNull(), F.transform(ends, lambda s: F.concat(bare, s)))), written)
-    rows = rows.select("src", "specifier", F.posexplode(tried).alias("rank", "path"))
-    return rows.join(known.select("path").distinct(), "path").groupBy("src", "specifier").agg(F.min_by("path", "rank").alias("dst"))
+    path, n = F.col("path"), len(suffixes)
+    cut = lambda s: F.substring(path, F.lit(1), F.length(path) - len(s))
+    pair = lambda b, rank: F.struct(b.alias("base"), F.lit(rank).alias("rank"))
+    ways = []
+    for i, s in enumerate(suffixes):
+        ends = F.endswith(path, F.lit(s)) & (F.length(path) > len(s))
+        ways.append(F.when(ends, F.array(pair(cut(s), i), *(pair(F.concat(cut(s), F.lit("." + e)), n + i) for e in COMPILED))))
+    leads = known.select("path").distinct().select("path", F.explode(F.flatten(F.filter(F.array(*ways), lambda w: w.isNotNull()))).alias("w")).select("path", "w.base", "w.rank")
+    return rows.join(leads, "base").groupBy("src", "specifier").agg(F.min_by("path", "rank").alias("dst"))
 
 
 def file_graph(resolved: DataFrame) -> DataFrame:
@@ -56,15 +64,16 @@ def connected(claims: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """All (a, b) where b is reached from a; paths double in length each round."""
+    """All (a, b) where b is reached from a; paths double in length each round, so 64 rounds are beyond any graph.
+    RuntimeError if they are not enough, rather than an incomplete answer."""
     paths, known = edges.select("a", "b").distinct(), -1
     for _ in range(rounds):
         paths = paths.unionByName(paths.alias("x").join(paths.alias("y"), F.expr("x.b = y.a")).select("x.a", "y.b")).distinct().checkpoint()
         n = paths.count()
         if n == known:
-            break
+            return paths
         known = n
-    return paths
+    raise RuntimeError(f"paths still grew after {rounds} rounds")
 
 
 def validate_steps(steps: list[tuple[str, list[str]]]) -> dict:

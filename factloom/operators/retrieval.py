@@ -1,4 +1,4 @@
-"""Vector search, evidence and citations."""
+"""Vector search: routes and compatibility of an index, nearest chunks, evidence, citations and answers."""
 
 from __future__ import annotations
 
@@ -14,6 +14,111 @@ from factloom.functions import text as T
 TOP, SECOND, SOURCES, GAP, FAR = 58, 45, 2, 18, 0.65
 
 
+#: Kinds of documents that a search may ask for; how many matches an answer is built from and how many of a
+#: tool's results carry their content.
+DOC_TYPES = (
+    "project-overview", "getting-started", "architecture", "file-structure", "features", "modules", "dependencies", "environment", "edge-cases-and-gotchas", "tech-debt-and-todos", "conventions", "testing-strategy", "deployment",
+)
+QA_K, SEARCH_K, WITH_CONTENT = 8, 10, 3
+
+
+class SearchError(ValueError):
+    """A search that cannot run; code says why."""
+
+    def __init__(self, code: str, what: str):
+        super().__init__(f"{code}: {what}")
+        self.code = code
+
+
+def check_index(stored: tuple[str, int] | None, model: str, dims: int, writing: bool = False) -> None:
+    """V3: an index (model, dimensions) serves searches of the same model and dimensions only; it may be written under another
+    name of a model of the same dimensions. No index fits all."""
+    if stored and (stored[1] != dims or stored[0] != model and not writing):
+        raise SearchError("SEARCH_EMBEDDING_MISMATCH", f"the index holds {stored[0]} ({stored[1]}D), not {model} ({dims}D)")
+
+
+def dimensions(configured: int, stored: tuple[str, int] | None, model: str, probe=None) -> int:
+    """V4: as configured; else as stored for the same model; else, when writing, as probe() finds."""
+    found = configured if configured > 0 else stored[1] if stored and stored[0] == model else probe() if probe else 0
+    if not found or found <= 0:
+        raise SearchError("SEARCH_EMBEDDING_DIMENSIONS_UNKNOWN" if probe is None else "EMBEDDING_DIMENSIONS_UNKNOWN", f"nothing tells the dimensions of {model}")
+    return found
+
+
+def route(mode: str, remote, local=None, health=None, interactive: bool = False, confirm=None) -> tuple[object, str]:
+    """V5: the embedder to use and its kind, 'remote' or 'local'. health(local) is None if it is ready, else what is wrong;
+    confirm(problem) lets a person accept the remote one instead."""
+    if mode == "remote-only":
+        return remote, "remote"
+    if local is None:
+        raise SearchError("EMBEDDING_LOCAL_PROVIDER_MISSING", f"mode {mode} needs a local embedder")
+    problem = health(local) if health else None
+    if problem is None:
+        return local, "local"
+    if mode == "local-only":
+        raise SearchError("EMBEDDING_LOCAL_UNAVAILABLE", problem)
+    if not interactive:
+        raise SearchError("EMBEDDING_CONFIRMATION_REQUIRED", problem)
+    if confirm is None:
+        raise SearchError("EMBEDDING_CONFIRMATION_HANDLER_MISSING", problem)
+    if not confirm(problem):
+        raise SearchError("EMBEDDING_FALLBACK_DECLINED", problem)
+    return remote, "remote"
+
+
+def type_filters(types, known: tuple = DOC_TYPES) -> list[str]:
+    """The types asked for, in lower case and each once; empty and unknown ones are errors."""
+    asked = [t.strip().lower() for t in types or ()]
+    for t in asked:
+        if t not in known:
+            raise SearchError("SEARCH_INVALID_TYPE" if not t else "SEARCH_UNKNOWN_TYPE", f"{t!r} is none of {', '.join(known)}")
+    return list(dict.fromkeys(asked))
+
+
+def search(chunks: DataFrame, query: str, embed, k: int | None = None, types=None, known: tuple = DOC_TYPES) -> tuple[DataFrame, dict]:
+    """V6, V7: the nearest chunks with their relevance and rank, and (query, k, types, indexed chunks and types, whether even
+    the nearest is far). embed(text) gives the query's vector and is asked only if anything is indexed."""
+    query = query.strip()
+    if not query:
+        raise SearchError("SEARCH_EMPTY_QUERY", "a query needs text")
+    k, types = SEARCH_K if k is None else k, type_filters(types, known)
+    if not isinstance(k, int) or k < 1:
+        raise SearchError("SEARCH_INVALID_TOP_K", "k must be a positive integer")
+    stats = chunks.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("doc_type")).alias("types")).first()  # one row
+    vector = embed(query) if stats["n"] else []
+    found = knn(chunks, vector, k, types or None).withColumn("relevance", T.relevance("distance"))
+    found = found.withColumn("rank", F.row_number().over(Window.orderBy("distance", "source_file", "chunk_index")))  # k rows
+    top = found.agg(F.min("distance")).first()[0]
+    return found, {"query": query, "k": k, "types": types, "indexed": stats["n"], "available": stats["types"], "far": top is not None and top > FAR}
+
+
+def tool_results(matches: DataFrame, by: tuple = ()) -> DataFrame:
+    """What a tool shows of matches (of a query); contents of the first few only."""
+    content = F.when(F.col("rank") <= WITH_CONTENT, F.col("content")).alias("content")
+    return matches.select(*by, "rank", "relevance", F.col("source_file").alias("source"), F.col("section_path").alias("section"), F.col("content_preview").alias("snippet"), "doc_type", content)
+
+
+def prompt_context(matches: DataFrame, by: tuple = ()) -> DataFrame:
+    """Matches in their order as a prompt's text, one row or one of each query; at most k rows of a query are gathered."""
+    part = F.concat(
+        F.lit("["), F.col("rank").cast("string"), F.lit("]\nsource_file: "), "source_file", F.lit("\nsection_path: "), "section_path", F.lit("\nchunk_index: "), F.col("chunk_index").cast("string"),
+        F.lit("\nrelevance: "), F.format_string("%.2f%%", F.col("relevance").cast("double")), F.lit("\ncontent:\n"), T.unicode_trim("content"), F.lit("\n"),
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))), lambda x: x["part"])
+    return matches.groupBy(*by).agg(T.unicode_trim(F.array_join(listed, "\n")).alias("context"))
+
+
+def answers(matches: DataFrame, by: tuple = (), name: str = "query") -> DataFrame:
+    """V9: for each query either its prompt's context and citations, to answer from, or the question back that its weak
+    evidence calls for; name: the column that holds the query's text. Queries without matches are not among matches: they
+    are clarified by evidence() of none."""
+    gate, context = evidence(matches, by), prompt_context(matches, by)
+    cited = citations(matches, by).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "source_file", "section_path", "chunk_index"))), lambda c: F.struct(c["source_file"].alias("source_file"), c["section_path"].alias("section_path"), c["chunk_index"].alias("chunk_index"))).alias("citations"))
+    both = gate.join(context, list(by)).join(cited, list(by)) if by else gate.crossJoin(context).crossJoin(cited)  # one row each
+    ask = F.concat(F.lit('I need clarification before answering "'), F.col(name) if name in by else F.lit(name), F.lit('". '), F.array_join("reasons", " "), F.lit(" Please narrow your request to a specific subsystem, command, or file path."))
+    return both.select(*by, F.when(F.col("weak"), "clarification").otherwise("answer").alias("kind"), F.when(F.col("weak"), ask).alias("question"), F.when(~F.col("weak"), F.col("context")).alias("context"), "citations")
+
+
 def knn(chunks: DataFrame, query: list[float], k: int, types: list | None = None, order: tuple = ("source_file", "chunk_index"), type_col: str = "doc_type", distance=T.l2_distance) -> DataFrame:
     """The k nearest among the given types, filtered before they are ranked.
 
@@ -44,8 +149,9 @@ def nearest(x, y, bad, k: int):
 
 def knn_batch(chunks: DataFrame, queries: DataFrame, k: int, key: str, id_col: str) -> DataFrame:
     """V1 for many queries (key, vector): blocks of queries meet blocks of chunks, and each two blocks give k rows of each
-    query. Vectors that are null, hold a null or differ in length from the query have no distance and come last."""
-    n = queries.count()
+    query, of which a task passes on k. Vectors that are null, hold a null or differ in length from the query have no
+    distance and come last. Tasks grow with chunks times queries, 65,536 by 4,096 each; nothing is broadcast."""
+    groups, shares = (max(1, -(-df.count() // n)) for df, n in ((queries, 4096), (chunks, 65536)))
     types = {"key": dict(queries.dtypes)[key], "id": dict(chunks.dtypes)[id_col]}
 
     def pack(batches):
@@ -78,27 +184,48 @@ def knn_batch(chunks: DataFrame, queries: DataFrame, k: int, key: str, id_col: s
                             yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.array(of)[rows][i])), ids.take(pa.array(at)), pa.array(d, mask=mask[at])], names=["key", "id", "distance"])
 
     c = packed(chunks.select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("x")), types["id"], "ids", "x")
-    q = packed(queries.select(F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("x")).repartition(max(1, -(-n // 256))), types["key"], "keys", "y")
-    met = c.crossJoin(F.broadcast(q) if n <= 10_000 else q)  # at most 10,000 query rows are sent
+    q = packed(queries.select(F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("x")).repartition(groups), types["key"], "keys", "y")
+    # each group of queries meets each share of the chunks in a task of its own
+    c = c.select("*", F.pmod(F.xxhash64("ids"), F.lit(shares)).alias("share"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    q = q.select("*", F.spark_partition_id().alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"))
+    met = c.join(q.hint("merge"), ["group", "share"])
     d = met.select("ids", "x", "keys", "y").mapInArrow(compare, f"key {types['key']}, id {types['id']}, distance double")
     near = d.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.asc_nulls_last("distance"), "id"))).filter(F.col("rank") <= k)
     return near.select(F.col("key").alias(key), F.col("id").alias(id_col), "distance", "rank")
 
 
-def evidence(matches: DataFrame) -> DataFrame:
-    """One row: whether what was found is too weak to answer from, and why. matches(relevance, source_file)."""
-    a = matches.agg(F.slice(F.sort_array(F.collect_list("relevance"), asc=False), 1, 2).alias("r"), F.countDistinct("source_file").alias("sources"))
-    a = a.select(F.coalesce(F.get("r", F.lit(0)), F.lit(0.0)).alias("top"), F.coalesce(F.get("r", F.lit(1)), F.lit(0.0)).alias("second"), "sources")
+def evidence(matches: DataFrame, by: tuple = ()) -> DataFrame:
+    """Whether what was found is too weak to answer from, and why: one row, or one of each query (`by`) that has
+    matches. matches(by..., relevance, source_file). A gap of GAP or more before a second match of some relevance means
+    conflicting signals, whatever the first one's relevance."""
+    a = matches.groupBy(*by).agg(F.slice(F.sort_array(F.collect_list("relevance"), asc=False), 1, 2).alias("r"), F.countDistinct("source_file").alias("sources"), F.count("*").alias("n"))
+    at = lambda i: F.coalesce(F.get("r", F.lit(i)), F.lit(0.0)).cast("double")
+    a = a.select(*by, at(0).alias("top"), at(1).alias("second"), "sources", "n")
+    gap = F.greatest(F.lit(0.0), F.col("top") - F.col("second"))
+    a = a.withColumn("conflicting", (gap >= GAP) & (F.col("second") > 0))
     why = F.array(
-        F.when(F.col("top") < TOP, "top"), F.when(F.col("second") < SECOND, "second"), F.when(F.col("sources") < SOURCES, "sources"), F.when((F.col("second") > 0) & (F.col("top") - F.col("second") < GAP) & (F.col("top") < TOP), "gap")
-    )
-    return a.withColumn("reasons", F.filter(why, lambda x: x.isNotNull())).withColumn("weak", F.size("reasons") > 0)
+        F.when(F.col("top") < TOP, F.format_string(f"Top result relevance is %.2f%%, below {TOP:.2f}%%.", "top")), F.when(F.col("second") < SECOND, F.format_string(f"Second result relevance is %.2f%%, below {SECOND:.2f}%%.", "second")),
+        F.when(F.col("sources") < SOURCES, "Evidence comes from a single source file, reducing cross-document confidence."), F.when(F.col("conflicting"), F.format_string("Evidence is inconsistent (top-two relevance gap %.2f%% suggests conflicting support).", gap)),
+    )
+    reasons = F.when(F.col("n") == 0, F.array(F.lit("No matching documentation chunks were found."))).otherwise(F.filter(why, lambda x: x.isNotNull()))
+    return a.withColumn("reasons", reasons).withColumn("weak", F.size("reasons") > 0).drop("n")
+
+
+def citations(matches: DataFrame, by: tuple = ()) -> DataFrame:
+    """One row per file, section and chunk (of a query), the nearest, with its place in reading order."""
+    first = matches.groupBy(*by, "source_file", "section_path", "chunk_index").agg(F.min("distance").alias("distance"))
+    order = [F.collate("source_file", "UNICODE"), F.collate("section_path", "UNICODE"), "chunk_index"]
+    return first.withColumn("place", F.row_number().over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(*order)))
+
+
+def footnotes(cited: DataFrame) -> DataFrame:
+    """The lines below an answer."""
+    return cited.select("place", F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), "source_file", F.lit(" :: "), "section_path", F.lit(" (chunk "), F.col("chunk_index").cast("string"), F.lit(")")).alias("line"))
 
 
-def citations(matches: DataFrame) -> DataFrame:
-    """One row per file, section and chunk, the nearest, in reading order."""
-    first = matches.groupBy("source_file", "section_path", "chunk_index").agg(F.min("distance").alias("distance"))
-    return first.orderBy(F.collate("source_file", "UNICODE"), F.collate("section_path", "UNICODE"), "chunk_index")
+def sources(matches: DataFrame) -> DataFrame:
+    """Distinct files of matches, in order."""
+    return matches.filter("source_file != ''").select("source_file").distinct().orderBy(F.collate("source_file", "UNICODE"))
 
 
 def page(df: DataFrame, order: list, offset: int = 0, limit: int | None = None) -> DataFrame:

@@ -1,30 +1,44 @@
-"""File scores and packing into a token budget."""
+"""File scores, summaries of files, and packing into a token budget."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 
 #: Weights, steps and caps of the score.
 ENTRY, IMPORT_STEP, IMPORT_CAP, EXPORT_STEP, EXPORT_CAP, GIT_CAP, EDGE, CONFIG, TEST = 30, 3, 30, 2, 20, 10, 10, 15, -15
-#: A file above so many tokens with at least this score is cut to sections.
+#: A file above so many tokens with at least this score is cut to sections; lines of a fallback summary.
 OVERSIZE_TOKENS, OVERSIZE_SCORE, SUMMARY_LINES = 8000, 30, 20
+#: Files that are left out, and what makes an entry point, a configuration and a test.
 LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "go.sum")
-ENTRY_POINT = r"^(?:src/)?(?:index|main|app|server)\.[^./]+$|^cli\.[^./]+$"
-CONFIG_FILE = r"(?:^|/)(?:package\.json|tsconfig[^/]*\.json|Dockerfile|docker-compose[^/]*)$|\.config\.[^./]+$"
-TEST_FILE = r"(?:^|/)(?:__tests__|tests?)/|\.(?:test|spec)\.[^./]+$"
+ENTRY_POINT = (r"^(index|main|app|server|cli)\.[^/]+$", r"/(?:index|main|app|server)\.[^/]+$", r"^src/(?:index|main|app|server)\.[^/]+$")
+CONFIG_FILE = (r"\.config\.[^/]+$", r"^\.?(babel|eslint|prettier|jest|vitest|webpack|tsconfig|rollup|vite)", r"^\.env", r"^(package\.json|Cargo\.toml|go\.mod|pyproject\.toml|Makefile|Dockerfile)$")
+TEST_FILE = (r"\.test\.", r"\.spec\.", r"__tests__/", r"__test__/")
+#: What marks a function of an oversized file as an edge case.
+EDGE_MARKERS = r"\b(TODO|FIXME|HACK|XXX)\b"
+
+
+def matches(path, patterns: tuple) -> Column:
+    """Whether one of the patterns is found in the path."""
+    return F.rlike(path, F.lit("|".join(f"(?:{p})" for p in patterns)))
 
 
 def score(files: DataFrame, facts: list[DataFrame] = ()) -> DataFrame:
-    """files(path) with any of importers, exports, changes, todos joined by path; missing facts count 0."""
+    """files(path) with any of importers, exports, changes, todos joined by path; missing facts count 0.
+
+    Importers that name no file are looked up by the path without its extension.
+    """
     df = files.filter(~T.basename("path").isin(*LOCK_FILES))
     for f in facts:
         df = df.join(f, "path", "left")
+        if "importers" in f.columns:
+            bare = f.select(F.col("path").alias("bare"), F.col("importers").alias("by_bare"))
+            df = df.withColumn("bare", T.strip_extension("path")).join(bare, "bare", "left").withColumn("importers", F.coalesce("importers", "by_bare")).drop("bare", "by_bare")
     n = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in df.columns else F.lit(0)
-    hit = lambda p, v: F.when(F.rlike("path", F.lit(p)), v).otherwise(0)
+    hit = lambda p, v: F.when(matches("path", p), v).otherwise(0)
     parts = {
         "entry_point": hit(ENTRY_POINT, ENTRY), "import_count": F.least(n("importers") * IMPORT_STEP, F.lit(IMPORT_CAP)), "export_count": F.least(n("exports") * EXPORT_STEP, F.lit(EXPORT_CAP)),
         "git_activity": F.least(n("changes"), F.lit(GIT_CAP)), "edge_cases": F.when(n("todos") > 0, EDGE).otherwise(0), "config_file": hit(CONFIG_FILE, CONFIG), "test": hit(TEST_FILE, TEST),
@@ -38,45 +52,179 @@ def by_score(scored: DataFrame) -> DataFrame:
     return scored.orderBy(F.desc("score"), F.collate("path", "UNICODE"), "path")
 
 
-def pack_plan(rows: pd.DataFrame, budget: int) -> pd.DataFrame:
-    """K5, K6: tiers of rows in order, each with the tokens of its whole, sections, signatures and summary (null: has none)."""
-    if rows["full"].sum() <= budget:
-        return rows.assign(tier="full", tokens=rows["full"])[["path", "tier", "tokens", "rank"]]
+def _call(f) -> Column:
+    """name(a: A, b): R of a function symbol."""
+    params = F.transform(f["parameters"], lambda p: F.concat(p["name"], F.when(F.coalesce(p["type"], F.lit("")) != "", F.concat(F.lit(": "), p["type"])).otherwise("")))
+    back = F.when(F.coalesce(f["return_type"], F.lit("")) != "", F.concat(F.lit(": "), f["return_type"])).otherwise("")
+    return F.concat(f["name"], F.lit("("), F.array_join(params, ", "), F.lit(")"), back)
+
+
+def signature_summary(path="path", ast="ast") -> Column:
+    """K2: exported functions, classes with their public methods, constants, and where imports come from; ast: a column as
+    symbols.AST."""
+    path, a = T.col(path), T.col(ast)
+    names = F.transform(a["exports"], lambda e: e["name"])
+    head = F.concat(F.lit("// FILE: "), path, F.lit(" ("), a["line_count"].cast("string"), F.lit(" lines)"))
+    functions = F.transform(F.filter(a["functions"], lambda f: F.array_contains(names, f["name"])), lambda f: F.concat(F.lit("export "), F.when(f["is_async"], "async ").otherwise(""), F.lit("function "), _call(f)))
+    methods = lambda c: F.array_join(F.transform(F.filter(c["methods"], lambda m: m["visibility"] == "public"), _call), "; ")
+    classes = F.transform(F.filter(a["classes"], lambda c: F.array_contains(names, c["name"])), lambda c: F.concat(F.lit("export class "), c["name"], F.lit(" { "), methods(c), F.lit(" }")))
+    constants = F.transform(F.filter(a["constants"], lambda c: c["is_exported"]), lambda c: F.concat(F.lit("export const "), c["name"], F.when(F.coalesce(c["type"], F.lit("")) != "", F.concat(F.lit(": "), c["type"])).otherwise("")))
+    sources = F.transform(a["imports"], lambda i: i["source"])
+    imports = F.when(F.size(sources) > 0, F.array(F.concat(F.lit("// "), F.size(sources).cast("string"), F.lit(" imports from: "), F.array_join(sources, ", ")))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.array(head), functions, classes, constants, imports), "\n")
+
+
+def fallback_summary(path, content) -> Column:
+    """K3: a header, the first lines as comments, and how many more there are."""
+    lines = F.split(T.col(content), "\n")
+    head = F.concat(F.lit("// FILE: "), T.col(path), F.lit(" ("), F.size(lines).cast("string"), F.lit(" lines)"))
+    more = F.when(F.size(lines) > SUMMARY_LINES, F.array(F.concat(F.lit("// ... ("), (F.size(lines) - SUMMARY_LINES).cast("string"), F.lit(" more lines)")))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.array(head), F.transform(F.slice(lines, 1, SUMMARY_LINES), lambda x: F.concat(F.lit("// "), x)), more), "\n")
+
+
+def sections(content="content", ast="ast") -> Column:
+    """K4: (label, content) of exported functions, exported classes, then functions that hold an edge marker; lines that an
+    earlier section covers from first to last are not taken again."""
+    a, lines = T.col(ast), F.split(T.col(content), "\n")
+    names = F.transform(a["exports"], lambda e: e["name"])
+
+    def cut(symbols, label):
+        return F.transform(symbols, lambda s: F.struct(s["line"].alias("line"), s["end_line"].alias("end"), F.concat(F.lit(label), s["name"]).alias("label"), F.array_join(F.slice(lines, s["line"], F.greatest(F.lit(0), s["end_line"] - s["line"] + 1)), "\n").alias("content")))
+
+    exported = lambda kind: F.filter(a[kind], lambda s: F.array_contains(names, s["name"]))
+    marked = F.filter(cut(a["functions"], "Edge case: "), lambda s: F.rlike(s["content"], F.lit(EDGE_MARKERS)))
+    every = F.concat(cut(exported("functions"), "Export: "), cut(exported("classes"), "Export: "), marked)
+    none = F.filter(every, lambda s: F.lit(False))
+    once = F.aggregate(every, none, lambda got, s: F.when(F.exists(got, lambda g: (g["line"] == s["line"]) & (g["end"] == s["end"])), got).otherwise(F.concat(got, F.array(s))))
+    return F.transform(once, lambda s: F.struct(s["label"].alias("label"), s["content"].alias("content")))
+
+
+#: Columns of packing costs: tokens of the whole file (null: unreadable), UTF-16 units of its summary, whether it was parsed,
+#: and per section its tokens and the units of its text with label.
+COSTS = ("full", "summary_chars", "parsed", "sections")
+
+
+def costs(files: DataFrame) -> DataFrame:
+    """What pack() needs of files(path, content, ast): numbers only; ast null where a file was not parsed, content null where
+    it could not be read."""
+    parsed = F.col("ast").isNotNull()
+    summary = F.when(parsed, signature_summary()).otherwise(fallback_summary("path", "content"))
+    cut = F.transform(sections(), lambda s: F.struct(T.estimate_tokens(s["content"]).cast("long").alias("tokens"), (F.lit(len("// ---  ---\n")) + T.utf16_length(s["label"]) + T.utf16_length(s["content"])).cast("long").alias("chars")))
+    return files.select(
+        *(c for c in files.columns if c not in ("content", "ast")), F.when(F.col("content").isNotNull(), T.estimate_tokens("content")).cast("long").alias("full"), T.utf16_length(summary).cast("long").alias("summary_chars"),
+        parsed.alias("parsed"), F.coalesce(F.when(parsed, cut), F.array().cast("array<struct<tokens:bigint,chars:bigint>>")).alias("sections"),
+    )
+
+
+def _tokens(chars) -> int:
+    return -(-int(chars) // T.CHARS_PER_TOKEN)
+
+
+def pack_plan(rows: pd.DataFrame, budget: int, compress: bool = False) -> pd.DataFrame:
+    """K5-K7: for rows in order, (path, tier, tokens, rank, shape, taken): what of each file is taken. shape: whole, sections,
+    summary or none; taken: places of the sections.
+
+    Whether a file with all its sections fits is judged by the sum of their tokens; what it costs is the tokens of the joined
+    text, labels included, so that the budget may be overdrawn.
+    """
+    readable = rows["full"].notna()
+    if not compress and rows["full"].sum() <= budget:
+        return rows.assign(tier="full", tokens=rows["full"].fillna(0).astype("int64"), shape="whole", taken=[[] for _ in range(len(rows))])[["path", "tier", "tokens", "rank", "shape", "taken"]]
     left, out = budget, []
-    for r in rows.itertuples():
-        choices = []
-        if not r.unreadable:
-            if r.full > OVERSIZE_TOKENS and r.score >= OVERSIZE_SCORE and r.sections == r.sections and not r.changed:
-                choices = [("sections", r.sections)]
-            else:
-                choices = [("full", r.full)]
-            choices += [("signatures", r.signatures), ("summary", r.summary)]
-        tier, tokens = next(((t, int(n)) for t, n in choices if n == n and n is not None and n <= left), ("skip", 0))
-        left -= tokens
-        out.append((r.path, tier, tokens, r.rank))
-    return pd.DataFrame(out, columns=["path", "tier", "tokens", "rank"])
-
-
-def pack(costs: DataFrame, budget: int) -> DataFrame:
-    """First fit in the order of scores; a later smaller file may follow a larger one that was passed over.
-
-    The fold is sequential by definition, so it runs over narrow rows (a path and five numbers for each file of one
-    repository), never over contents; those join back by path. costs(path, rank, score, full, sections, signatures,
-    summary, unreadable, changed).
+
+    def best(r):
+        whole, brief = int(r.full), _tokens(r.summary_chars)
+        if compress:
+            return ("signatures", brief, "summary", []) if brief <= left else SKIP
+        if r.changed and whole <= left:
+            return "full", whole, "whole", []
+        if whole > OVERSIZE_TOKENS and r.score >= OVERSIZE_SCORE and r.parsed:
+            parts = [(s["tokens"], s["chars"]) for s in r.sections]
+            if brief > left:
+                return SKIP
+            taken, room = [], left - brief
+            for i, (tokens, _) in enumerate(parts):
+                if tokens <= room:
+                    taken.append(i)
+                    room -= tokens
+            every = len(taken) == len(parts)
+            joined = r.summary_chars + sum(2 + parts[i][1] for i in taken) + (2 if every and not parts else 0)
+            return "full" if every else "signatures", _tokens(joined), "sections", taken
+        if whole <= left:
+            return "full", whole, "whole", []
+        return ("signatures", brief, "summary", []) if brief <= left else SKIP
+
+    for ok, r in zip(readable, rows.itertuples(), strict=True):
+        got = best(r) if ok else SKIP
+        left -= got[1]
+        out.append((r.path, got[0], got[1], r.rank, got[2], got[3]))
+    return pd.DataFrame(out, columns=["path", "tier", "tokens", "rank", "shape", "taken"])
+
+
+SKIP = ("skip", 0, "none", [])
+
+
+def pack(costs: DataFrame, budget: int, by: tuple = (), compress: bool = False) -> DataFrame:
+    """First fit in the order of rank within each repository (`by`); a later smaller file may follow a larger one
+    that was passed over. costs(by..., path, rank, score, changed and COSTS).
+
+    The fold of one repository is sequential by definition, so it runs over narrow rows, never over contents, which join
+    back by path; repositories are packed side by side.
     """
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pack_plan(pdf.sort_values("rank"), budget)
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pack_plan(pdf.sort_values("rank"), budget, compress)
+        for name, value in zip(by, key, strict=False):
+            out.insert(0, name, value)
+        return out
+
+    keys = by or ("repo",)
+    kinds = "".join(f"`{k}` {dict(costs.dtypes)[k]}, " for k in reversed(by))
+    rows = costs if by else costs.withColumn("repo", F.lit(1))
+    return rows.groupBy(*keys).applyInPandas(fold, f"{kinds}path string, tier string, tokens long, rank long, shape string, taken array<int>")
+
+
+def packed_content(packed: DataFrame, files: DataFrame, by: tuple = ()) -> DataFrame:
+    """The packed files with their contents; files(by..., path, content, ast)."""
+    both = packed.join(files, [*by, "path"], "left")
+    brief = F.when(F.col("ast").isNotNull(), signature_summary()).otherwise(fallback_summary("path", "content"))
+    parts = F.transform("taken", lambda i: F.get(sections(), i))
+    joined = F.array_join(F.transform(parts, lambda s: F.concat(F.lit("// --- "), s["label"], F.lit(" ---\n"), s["content"])), "\n\n")
+    cut = F.when((F.size("taken") > 0) | (F.col("tier") == "full"), F.concat(brief, F.lit("\n\n"), joined)).otherwise(brief)
+    content = F.when(F.col("shape") == "whole", F.coalesce("content", F.lit(""))).when(F.col("shape") == "sections", cut).when(F.col("shape") == "summary", brief).otherwise("")
+    return both.select(*packed.columns, content.alias("content"))
+
+
+def packing_summary(packed: DataFrame, budget: int, by: tuple = ()) -> DataFrame:
+    """One row, or one of each repository."""
+    tiers = [F.count_if(F.col("tier") == t).alias(t) for t in ("full", "signatures", "skip")]
+    used = F.coalesce(F.sum("tokens"), F.lit(0))
+    percent = F.floor(100 * used / F.lit(budget) + 0.5) if budget > 0 else F.lit(0)
+    return packed.groupBy(*by).agg(F.count("*").alias("files"), *tiers, used.alias("used_tokens"), percent.cast("int").alias("utilisation"))
 
-    return costs.withColumn("repo", F.lit(1)).groupBy("repo").applyInPandas(fold, "path string, tier string, tokens long, rank long")
 
+#: What is cut first to fit a round's context, and how many of each are kept at least where there are any.
+CONTEXT_ORDER = (("open_questions", 0), ("findings", 1), ("relationships", 0), ("modules", 0))
+
+
+def context_text(number, modules, findings, relationships, open_questions) -> Column:
+    """K8: a round's result as the next one reads it."""
+    line = lambda label, items, sep: F.when(F.size(items) > 0, F.array(F.concat(F.lit(label), F.array_join(items, sep)))).otherwise(F.array().cast("array<string>"))
+    listed = F.when(F.size(findings) > 0, F.concat(F.array(F.lit("Findings:")), F.transform(findings, lambda f: F.concat(F.lit("- "), f)))).otherwise(F.array().cast("array<string>"))
+    head = F.array(F.concat(F.lit("## Round "), T.col(number).cast("string"), F.lit(" Context")))
+    return F.array_join(F.concat(head, line("Modules: ", modules, ", "), listed, line("Relationships: ", relationships, "; "), line("Open questions: ", open_questions, "; ")), "\n")
 
-def packing_summary(packed: DataFrame, budget: int) -> DataFrame:
-    """A27."""
-    tiers = [F.count_if(F.col("tier") == t).alias(t) for t in ("full", "sections", "signatures", "summary", "skip")]
-    used = F.coalesce(F.sum("tokens"), F.lit(0))
-    return packed.agg(*tiers, used.alias("used_tokens"), (F.round(100 * used / F.lit(budget)) if budget else F.lit(0)).cast("int").alias("utilisation"))
 
+def compress_context(rounds: DataFrame, most: int = 2000) -> DataFrame:
+    """K8: rounds(round, modules, findings, relationships, open_questions) cut from the end of each list in turn until the
+    text has at most `most` tokens, or nothing is left to cut but one finding; with `tokens`."""
+    names = ("modules", "findings", "relationships", "open_questions")
+    def tokens(name: str, n) -> Column:
+        """Of the text with the first n of that list."""
+        return T.estimate_tokens(context_text("round", *(F.slice(F.col(c), 1, n) if c == name else F.col(c) for c in names)))
 
-def fallback_summary(content):
-    """K3: the first lines as comments."""
-    return F.array_join(F.transform(F.slice(F.split(content, "\n"), 1, SUMMARY_LINES), lambda x: F.concat(F.lit("// "), x)), "\n")
+    out = rounds
+    for name, keep in CONTEXT_ORDER:
+        size, least = F.size(name), F.least(F.size(name), F.lit(keep))
+        n = F.coalesce(F.array_max(F.filter(F.sequence(least, size), lambda n: tokens(name, n) <= most)), least)  # noqa: B023  used at once
+        out = out.withColumn(name, F.slice(F.col(name), F.lit(1), n))
+    return out.withColumn("tokens", T.estimate_tokens(context_text("round", *map(F.col, names))).cast("long"))

@@ -5,12 +5,14 @@ The tables stand in for files, commits, references and documents; the docstring
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators import chunks, facts, graph, incremental, reports, retrieval, scoring
 from factloom.sources import manifests
 from factloom.streaming import sessions
+from factloom.symbols import extract
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -216,23 +218,53 @@ def isolated_modules_all(spark, sf):
     return isolated_modules(spark, sf, "true")
 
 
-@query("""WITH f AS (SELECT CASE p_partkey % 4 WHEN 0 THEN concat('src/p', p_partkey, '.test.ts') WHEN 1 THEN concat('pkg', p_partkey, '/package.json') ELSE concat('src/p', p_partkey, '.ts') END AS path, p_partkey, p_size FROM part),
-i AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS importers, count(*) AS changes FROM lineitem GROUP BY 1)
-SELECT path, CAST(greatest(0, least(100, least(3 * coalesce(importers, 0), 30) + least(2 * p_size, 20) + least(coalesce(changes, 0), 10) + CASE WHEN p_size > 25 THEN 10 ELSE 0 END
- + CASE WHEN p_partkey % 4 = 1 THEN 15 ELSE 0 END - CASE WHEN p_partkey % 4 = 0 THEN 15 ELSE 0 END)) AS INT) AS score FROM f LEFT JOIN i ON l_partkey = p_partkey""")
+#: A path for each part: entry points, configurations, tests, look-alikes of each, and plain files.
+SCORED = """CASE p_partkey % 16 WHEN 0 THEN concat('src/p', p_partkey, '.test.ts') WHEN 1 THEN concat('pkg', p_partkey, '/package.json') WHEN 2 THEN concat('d', p_partkey, '/index.ts') WHEN 3 THEN concat('cli.x', p_partkey)
+ WHEN 4 THEN concat('bin', p_partkey, '/cli.ts') WHEN 5 THEN concat('.env.p', p_partkey) WHEN 6 THEN concat('vite', p_partkey, '.ts') WHEN 7 THEN concat('a/b', p_partkey, '.config.js') WHEN 8 THEN concat('tests/t', p_partkey, '.py')
+ WHEN 9 THEN concat('x', p_partkey, '/__tests__/a.ts') WHEN 10 THEN concat('p', p_partkey, '/yarn.lock') WHEN 11 THEN concat('src/server.p', p_partkey) WHEN 12 THEN concat('e', p_partkey, '/main.spec.ts') WHEN 13 THEN concat('tsconfig.', p_partkey)
+ WHEN 14 THEN concat('mainly', p_partkey, '.go') ELSE concat('src/p', p_partkey, '.ts') END"""
+BARE = r"regexp_replace(path, '\\.[^./]+$', '')"
+
+
+@query(rf"""WITH f AS (SELECT {SCORED} AS path, p_partkey, p_size FROM part),
+n AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS importers, count(*) AS changes FROM lineitem GROUP BY 1),
+g AS (SELECT f.*, regexp_matches(path, '^(index|main|app|server|cli)\.[^/]+$') OR regexp_matches(path, '/(index|main|app|server)\.[^/]+$') AS entry,
+ regexp_matches(path, '\.config\.[^/]+$') OR regexp_matches(path, '^\.?(babel|eslint|prettier|jest|vitest|webpack|tsconfig|rollup|vite)') OR regexp_matches(path, '^\.env') OR regexp_matches(path, '^(package\.json|Cargo\.toml|go\.mod|pyproject\.toml|Makefile|Dockerfile)$') AS config,
+ regexp_matches(path, '\.test\.') OR regexp_matches(path, '\.spec\.') OR contains(path, '__tests__/') OR contains(path, '__test__/') AS test FROM f WHERE path NOT LIKE '%/yarn.lock')
+SELECT path, CAST(greatest(0, least(100, CASE WHEN entry THEN 30 ELSE 0 END + least(3 * coalesce(importers, 0), 30) + least(2 * p_size, 20) + least(coalesce(changes, 0), 10) + CASE WHEN p_size > 25 THEN 10 ELSE 0 END
+ + CASE WHEN config THEN 15 ELSE 0 END - CASE WHEN test THEN 15 ELSE 0 END)) AS INT) AS score FROM g LEFT JOIN n ON l_partkey = p_partkey""")
 def file_score(spark, sf):
-    p = load(spark, sf, "part").select("p_partkey", "p_size", F.expr("CASE p_partkey % 4 WHEN 0 THEN concat('src/p', p_partkey, '.test.ts') WHEN 1 THEN concat('pkg', p_partkey, '/package.json') ELSE concat('src/p', p_partkey, '.ts') END").alias("path"))
+    p = load(spark, sf, "part").select("p_partkey", "p_size", F.expr(SCORED).alias("path"))
     n = load(spark, sf, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("importers"), F.count("*").alias("changes"))
-    f = p.join(n, F.expr("l_partkey = p_partkey"), "left").select("path", "importers", "changes", F.col("p_size").alias("exports"), (F.col("p_size") > 25).cast("int").alias("todos"))
-    return scoring.score(f).select("path", "score")
+    both = p.join(n, F.expr("l_partkey = p_partkey"))
+    importers = both.select(F.when((F.col("p_partkey") % 3 == 0) & F.contains("path", F.lit("/")) & ~F.startswith("path", F.lit("src/server")), T.strip_extension("path")).otherwise(F.col("path")).alias("path"), "importers")  # some are known by the path without its extension
+    facts_of = p.select("path", F.col("p_size").alias("exports"), (F.col("p_size") > 25).cast("int").alias("todos"))
+    return scoring.by_score(scoring.score(facts_of, [importers, both.select("path", "changes")])).select("path", "score")
 
 
-@query()
+PACK_BUDGET = 40_000
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1),
+d AS (SELECT source, CAST(documents.doc_id AS VARCHAR) AS path, 50 * coalesce(q, 0) AS score, text, string_split(text, chr(10)) AS l, documents.doc_id AS id FROM documents LEFT JOIN q ON q.doc_id = documents.doc_id),
+c AS (SELECT source, path, CAST(ceil(length(text) / 4.0) AS BIGINT) AS whole,
+ CAST(ceil((length(concat('// FILE: ', path, ' (', len(l), ' lines)')) + list_sum(list_transform(l[1:20], lambda x: length(x) + 4)) + CASE WHEN len(l) > 20 THEN length(concat(chr(10), '// ... (', len(l) - 20, ' more lines)')) ELSE 0 END) / 4.0) AS BIGINT) AS brief,
+ row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS rank FROM d),
+t AS (SELECT source, sum(whole) <= {PACK_BUDGET} AS fits FROM c GROUP BY 1),
+r AS (SELECT source, CAST(0 AS BIGINT) AS rank, CAST({PACK_BUDGET} AS BIGINT) AS room, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS tier, CAST(0 AS BIGINT) AS tokens FROM t WHERE NOT fits
+ UNION ALL SELECT c.source, c.rank, room - CASE WHEN whole <= room THEN whole WHEN brief <= room THEN brief ELSE 0 END, c.path, CASE WHEN whole <= room THEN 'full' WHEN brief <= room THEN 'signatures' ELSE 'skip' END,
+ CASE WHEN whole <= room THEN whole WHEN brief <= room THEN brief ELSE 0 END FROM r JOIN c ON c.source = r.source AND c.rank = r.rank + 1)
+SELECT source, path, tier, tokens, rank FROM r WHERE rank > 0 UNION ALL SELECT c.source, c.path, 'full', c.whole, c.rank FROM c JOIN t ON t.source = c.source WHERE fits""")
 def pack_greedy(spark, sf):
     d = load(spark, sf, "documents").join(load(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("q")), "doc_id", "left")
-    tokens = T.estimate_tokens("text")
-    rows = d.select(F.col("doc_id").cast("string").alias("path"), (50 * F.coalesce("q", F.lit(0))).alias("score"), tokens.cast("double").alias("full"), F.lit(None).cast("double").alias("sections"), F.lit(None).cast("double").alias("signatures"), T.estimate_tokens(scoring.fallback_summary(F.col("text"))).cast("double").alias("summary"), F.lit(False).alias("unreadable"), F.lit(False).alias("changed"), F.col("doc_id").alias("rank"))
-    return scoring.pack(rows.withColumn("rank", F.col("rank") - F.col("score") * 1_000_000), 100_000)
+    rows = d.select("source", F.col("doc_id").cast("string").alias("path"), (50 * F.coalesce("q", F.lit(0))).alias("score"), "doc_id", F.col("text").alias("content"), F.lit(None).cast(extract.AST).alias("ast"), F.lit(False).alias("changed"))
+    ranked = scoring.costs(rows).withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "doc_id")).cast("long"))
+    return scoring.pack(ranked, PACK_BUDGET, ("source",)).select("source", "path", "tier", "tokens", "rank")
+
+
+@query(f"WITH p AS ({SQL['pack_greedy'].replace('WITH RECURSIVE', 'WITH RECURSIVE ')}) SELECT source, count(*) AS files, count(*) FILTER (tier = 'full') AS full, count(*) FILTER (tier = 'signatures') AS signatures, count(*) FILTER (tier = 'skip') AS skip, sum(tokens)::BIGINT AS used_tokens, CAST(floor(100.0 * sum(tokens) / {PACK_BUDGET} + 0.5) AS INT) AS utilisation FROM p GROUP BY 1")
+def packing_summary(spark, sf):
+    return scoring.packing_summary(pack_greedy(spark, sf), PACK_BUDGET, ("source",))
 
 
 @query("""SELECT item_id, EXISTS (SELECT 1 FROM documents d WHERE d.text = b.text) AS held FROM benchmark b""")
@@ -343,16 +375,28 @@ def knn_batch_all(spark, sf):
     return retrieval.knn_batch(e, q, 5, "query_id", "vec_id").select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query(f"WITH k AS ({KNN.format('')}), a AS (SELECT max(relevance) AS top, list_sort(list(relevance), 'DESC')[2] AS second, count(DISTINCT label) AS sources FROM k) SELECT top, second, sources, top < 58 OR second < 45 OR sources < 2 AS weak FROM a")
+NEAR8 = "q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT query_id, vec_id, label, sqrt(list_sum(list_transform(list_zip(embedding, q), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))) AS d FROM embeddings, q), m AS (SELECT *, round(100 * greatest(0.0, least(1.0, 1 - d / 2)), 2) AS relevance, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM d QUALIFY rank <= 8)"
+
+
+def _matches(spark, sf):
+    """The 8 nearest vectors of every vector whose id is divisible by 50, as chunks of documents named by label."""
+    e = load(spark, sf, "embeddings")
+    near = retrieval.knn_batch(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), retrieval.QA_K, "query_id", "vec_id")
+    of = e.select("vec_id", F.col("label").cast("string").alias("source_file"), (F.col("vec_id") % 3).alias("chunk_index"), F.concat(F.lit("S"), (F.col("vec_id") % 2).cast("string")).alias("section_path"))
+    return near.join(of, "vec_id").withColumn("relevance", T.relevance("distance"))
+
+
+@query(f"""WITH {NEAR8}, a AS (SELECT query_id, max(relevance) AS top, list_sort(list(relevance), 'DESC')[2] AS second, count(DISTINCT label) AS sources FROM m GROUP BY 1), g AS (SELECT *, top - second >= 18 AND second > 0 AS conflicting FROM a)
+SELECT query_id, top, second, sources, conflicting, top < 58 OR second < 45 OR sources < 2 OR conflicting AS weak,
+ CAST(top < 58 AS INT) + CAST(second < 45 AS INT) + CAST(sources < 2 AS INT) + CAST(conflicting AS INT) AS reasons FROM g""")
 def evidence(spark, sf):
-    m = _knn(spark, sf).select("relevance", F.col("label").cast("string").alias("source_file"))
-    return retrieval.evidence(m).select("top", "second", "sources", "weak")
+    return retrieval.evidence(_matches(spark, sf), ("query_id",)).withColumn("reasons", F.size("reasons"))
 
 
-@query(f"WITH k AS ({KNN.format('')}) SELECT label::VARCHAR AS source_file, 'Root' AS section_path, vec_id % 3 AS chunk_index, min(distance) AS distance FROM k GROUP BY ALL")
+@query(f"""WITH {NEAR8}, u AS (SELECT query_id, label::VARCHAR AS source_file, concat('S', vec_id % 2) AS section_path, vec_id % 3 AS chunk_index, min(d) AS d FROM m GROUP BY ALL)
+SELECT query_id, source_file, section_path, chunk_index, round(d, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY source_file, section_path, chunk_index)::INT AS place FROM u""")
 def citations(spark, sf):
-    m = _knn(spark, sf).select(F.col("label").cast("string").alias("source_file"), F.lit("Root").alias("section_path"), (F.col("vec_id") % 3).alias("chunk_index"), "distance")
-    return retrieval.citations(m)
+    return retrieval.citations(_matches(spark, sf), ("query_id",)).withColumn("distance", F.round("distance", 6))
 
 
 DOC_TYPES = ["overview", "getting-started", "architecture", "file-structure", "features", "modules", "dependencies", "environment", "edge-cases", "tech-debt", "conventions", "testing-strategy", "deployment"]

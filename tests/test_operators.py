@@ -26,7 +26,7 @@ def one(spark, column, value="x"):
         (T.estimate_tokens, "abcde", 2), (T.estimate_tokens, "\U0001f600" * 2, 1), (T.strip_extension, "a/b.c/d.ts", "a/b.c/d"), (T.basename, "a/b.ts", "b.ts"), (T.dirname, "b.ts", ""), (T.extname, ".env", ""), (T.line_count, "a\nb\n", 3),
         (T.todo_marker, "// TODO: x", "TODO"), (T.todo_marker, "# fixme: broken", "FIXME"), (T.todo_marker, "const TODONT = 1;", None), (T.env_refs, "process.env.A || process.env.B", ["A", "B"]), (T.env_refs, "os.getenv('X') process.env.Y", ["X", "Y"]),
         (T.env_refs, "process.env.notAVar", []), (T.env_file_var, "  BAR=1", "BAR"), (T.env_file_var, "lower=2", None), (T.issue_refs, "fix #123 see PROJ-45", ["#123", "PROJ-45"]), (T.canonical_target, "  Full Project_x ", "full-project-x"),
-        (T.diagram_id, "1a-b", "n_1a_b"), (T.human_size, "1536", "1.5 KB"), (T.strip_frontmatter, "---\na: 1\n---\n\nx", "x"), (T.path_claims, "see `src/a.ts` and b.ts, src/a.ts", ["src/a.ts"]), (T.import_class, "@a/b", "scoped-package"),
+        (T.diagram_id, "1a-b", "n_1a_b"), (T.human_size, "1536", "1.5 KB"), (T.strip_frontmatter, "---\na: 1\n---\n\nx", "x"), (T.path_claims, "see `src/a.ts` and b.ts, src/a.ts", ["src/a.ts"]), (T.import_class, "@a/b", "scoped-package"), (T.path_claims, '{"p":["src/a.ts","x/Main.java","(b/c.tsx","n.md"," d/e.Dockerfile"]}', ["src/a.ts", "b/c.tsx", "d/e.Dockerfile"]), (T.table_cell, "a|b\\c", "a\\|b\\\\c"),
         (T.decode_cursor, "eyJvZmZzZXQiOjI1fQ", 25), (T.decode_cursor, "???", None), (T.anchor, "A (b) c", "a-b-c"),
     ],
 )
@@ -67,19 +67,32 @@ def test_steps():
 
 
 def test_score_and_lock_files(spark):
-    f = spark.createDataFrame([("index.ts", 20, 30, 99, 1), ("a.test.ts", 0, 0, 0, 0), ("yarn.lock", 9, 9, 9, 9), ("x/package.json", 0, 1, 0, 0)], "path string, importers int, exports int, changes int, todos int")
-    assert {r["path"]: r["score"] for r in scoring.score(f).collect()} == {"index.ts": 100, "a.test.ts": 0, "x/package.json": 17}
+    f = spark.createDataFrame([("index.ts", 20, 30, 99, 1), ("a.test.ts", 0, 0, 0, 0), ("yarn.lock", 9, 9, 9, 9), ("x/package.json", 0, 1, 0, 0), ("package.json", 0, 1, 0, 0)], "path string, importers int, exports int, changes int, todos int")
+    assert {r["path"]: r["score"] for r in scoring.score(f).collect()} == {"index.ts": 100, "a.test.ts": 0, "x/package.json": 2, "package.json": 17}
     bare = scoring.score(spark.createDataFrame([("main.py",)], "path string")).first()
     assert bare["score"] == 30
     assert bare["breakdown"]["entry_point"] == 30
 
 
 def test_packing_is_first_fit():
-    base = {"sections": float("nan"), "summary": float("nan"), "unreadable": False, "changed": False, "score": 10}
-    rows = pd.DataFrame([base | {"path": "a", "full": 60, "signatures": 10, "rank": 1}, base | {"path": "b", "full": 90, "signatures": 50, "rank": 2}, base | {"path": "c", "full": 35, "signatures": 1, "rank": 3}])
+    row = lambda path, full, brief, rank, **more: {"path": path, "full": full, "summary_chars": 4 * brief, "rank": rank, "sections": [], "parsed": True, "changed": False, "score": 10} | more
+    rows = pd.DataFrame([row("a", 60, 10, 1), row("b", 90, 50, 2), row("c", 35, 1, 3)])
     assert scoring.pack_plan(rows, 100)["tier"].tolist() == ["full", "skip", "full"]
     assert scoring.pack_plan(rows, 185)["tier"].tolist() == ["full", "full", "full"]
     assert scoring.pack_plan(rows, 120)["tier"].tolist() == ["full", "signatures", "signatures"]
+    assert scoring.pack_plan(rows, 55, compress=True)["tokens"].tolist() == [10, 0, 1]
+    part = [{"tokens": 100, "chars": 400}, {"tokens": 900, "chars": 3600}, {"tokens": 50, "chars": 200}]
+    big = row("big", 9000, 20, 1, score=50, sections=part)
+    plan = lambda budget, **more: scoring.pack_plan(pd.DataFrame([big | more]), budget).iloc[0]
+    assert tuple(plan(8000)[["tier", "tokens"]]) == ("full", (80 + 400 + 3600 + 200 + 6 + 3) // 4)
+    assert (plan(1070).tier, plan(1070).tokens) == ("full", 1072)  # labels and separators overdraw the budget
+    assert (plan(200).tier, plan(200).taken) == ("signatures", [0, 2])
+    assert (plan(30).tier, plan(30).taken, plan(30).tokens) == ("signatures", [], 20)
+    assert plan(19).tier == "skip"
+    assert plan(8999, changed=True)["shape"] == "sections"
+    assert plan(8500, parsed=False).tier == "signatures"
+    unreadable = pd.DataFrame([row("x", None, 1, 1), row("y", 10, 1, 2)])
+    assert scoring.pack_plan(unreadable, 5)["tier"].tolist() == ["skip", "signatures"]
 
 
 def test_chunks():
@@ -88,6 +101,13 @@ def test_chunks():
         starts.append((text.index(w), len(w)))
     assert starts == [(0, 2048), (2048, 2048), (3796, 2048), (5544, 1456)]
     assert [len(w) for w in chunks.windows("word " * 2000)] == [2044] * 5 + [974]
+    pairs = chunks.chunk_text("# H\n" + "\U0001f600 " * 700)
+    assert [len(c["content"].encode("utf-16-le")) // 2 for c in pairs] == [2046, 56]
+    assert chunks.windows(" " * 3000 + "x" * 10) == ["x" * 10]
+    blank = chunks.chunk_text("\n \n# A\nx")
+    assert [(c["h1"], c["content"]) for c in blank] == [("", ""), ("A", "# A\nx")]
+    long = chunks.chunk_text("# A\n" + "  " * 1500 + "y")  # trimmed before it is measured
+    assert len(long) == len(chunks.windows("# A\n" + "  " * 1500 + "y"))
     got = chunks.chunk_text("# A\nx\n## B\ny\n### C\nz\n# D\nw")
     assert [(c["h1"], c["h2"], c["h3"]) for c in got] == [("A", "", ""), ("A", "B", ""), ("A", "B", "C"), ("D", "", "")]
     assert chunks.chunk_text("  \n") == []
