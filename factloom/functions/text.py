@@ -38,21 +38,29 @@ def human_size(n) -> Column:
 
 
 def short_count(n) -> Column:
-    """counts with K and M."""
+    """tokens with K and M, one decimal unless it is 0."""
     n = col(n)
-    return F.when(n >= 1000000, F.format_string("%.1fM", n / 1000000.0)).when(n >= 1000, F.format_string("%.1fK", n / 1000.0)).otherwise(n.cast("string"))
+    part = lambda unit, mark: F.concat(F.when(n % unit == 0, F.format_string("%d", F.floor(n / unit))).otherwise(F.format_string("%.1f", n / float(unit))), F.lit(f"{mark} tokens"))
+    return F.when(n >= 1_000_000, part(1_000_000, "M")).when(n >= 1_000, part(1_000, "K")).otherwise(F.concat(n.cast("string"), F.lit(" tokens")))
+
+
+def money(dollars) -> Column:
+    """F4."""
+    return F.format_string("$%.2f", col(dollars).cast("double"))
 
 
 def duration(ms) -> Column:
-    """seconds with one decimal below a minute, else minutes and seconds."""
+    """whole seconds, with minutes from one minute on."""
     s = F.floor(col(ms) / 1000)
-    return F.when(col(ms) < 60000, F.format_string("%.1fs", col(ms) / 1000.0)).otherwise(F.format_string("%dm %ds", F.floor(s / 60), s % 60))
+    return F.when(s < 60, F.format_string("%ds", s)).otherwise(F.format_string("%dm %ds", F.floor(s / 60), s % 60))
 
 
-def bar(part, whole, width: int = 20) -> Column:
-    """a bar of filled and empty cells."""
-    n = F.least(F.lit(width), F.greatest(F.lit(0), F.round(col(part) * width / F.greatest(col(whole), F.lit(1))).cast("int")))
-    return F.concat(F.repeat(F.lit("█"), n), F.repeat(F.lit("░"), F.lit(width) - n))
+def bar(part, whole, width: int = 20, plain: bool = False) -> Column:
+    """a bar of filled and empty cells; plain: without box characters."""
+    full, empty = ("=", "-") if plain else ("━", "─")
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), col(part) / F.greatest(col(whole), F.lit(1))))
+    n = F.floor(share * width + 0.5).cast("int")
+    return F.concat(F.repeat(F.lit(full), n), F.repeat(F.lit(empty), F.lit(width) - n))
 
 
 def truncate(text, n: int) -> Column:
@@ -62,7 +70,7 @@ def truncate(text, n: int) -> Column:
 
 def anchor(text) -> Column:
     """heading to link target."""
-    return F.regexp_replace(F.regexp_replace(F.lower(col(text)), r"[^\w\s-]", ""), r"\s+", "-")
+    return F.regexp_replace(F.regexp_replace(F.lower(col(text)), r"[^a-z0-9 -]", ""), r" +", "-")
 
 
 def resolve_path(base, relative) -> Column:
@@ -107,14 +115,22 @@ def content_hash(text) -> Column:
     return F.sha2(col(text), 256)
 
 
+def json_text(value) -> Column:
+    """A struct as JSON whose control characters are written in lower case, as JSON.stringify does."""
+    plain = out = F.to_json(value)
+    for c in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):  # those whose codes have a letter
+        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u00{c:02X}", rf"$1\\u00{c:02x}")
+    return F.when(F.rlike(plain, F.lit(r"\\u00[01][A-F]")), out).otherwise(plain)
+
+
 def document_fingerprint(source, content) -> Column:
     """F16: stable hash of a document and where it comes from."""
-    return F.sha2(F.to_json(F.struct(col(source).alias("sourceFile"), col(content).alias("content"))), 256)
+    return F.sha2(json_text(F.struct(col(source).alias("sourceFile"), col(content).alias("content"))), 256)
 
 
 def round_key(number, model, fingerprint, prior) -> Column:
     """changes with the model, the files and every earlier round's result."""
-    return F.sha2(F.to_json(F.struct(col(number).alias("round"), col(model).alias("model"), col(fingerprint).alias("fingerprint"), col(prior).alias("priorHashes"))), 256)
+    return F.sha2(json_text(F.struct(col(number).alias("roundNumber"), col(model).alias("model"), col(fingerprint).alias("analysisFingerprint"), col(prior).alias("priorRoundHashes"))), 256)
 
 
 def relevance(distance) -> Column:
@@ -167,6 +183,19 @@ def table_cell(text) -> Column:
     return F.replace(F.replace(col(text), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
 
 
+def code_ref(path, line=None) -> Column:
+    """a path, without what leads to the root, and a line as code."""
+    bare = F.regexp_replace(col(path), r"^\.?/", "")
+    return F.concat(F.lit("`"), bare, F.lit("`")) if line is None else F.concat(F.lit("`"), bare, F.lit(":L"), col(line).cast("string"), F.lit("`"))
+
+
+def cross_ref(doc, anchor_of=None, label=None) -> Column:
+    """a link to a document, shown by its name unless a label is given."""
+    words = F.regexp_replace(F.regexp_replace(col(doc), r"^\d+-", ""), "-", " ")
+    shown = col(label) if label is not None else F.array_join(F.transform(F.split(words, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " ")
+    return F.concat(F.lit("["), shown, F.lit("]("), col(doc), F.lit(".md"), F.concat(F.lit("#"), col(anchor_of)) if anchor_of is not None else F.lit(""), F.lit(")"))
+
+
 def table_row(cells: list) -> Column:
     """a row of a markdown table."""
     return F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(table_cell(c), F.lit("")) for c in cells)), F.lit(" |"))
@@ -248,6 +277,21 @@ def cache_saving(read, price_in) -> Column:
     return F.when(col(read) > 0, col(read) * col(price_in) * (1 - CACHE_READ) / 1e6)
 
 
+def cache_share(inp, read, written) -> Column:
+    """percent of the input that came from the cache; null if nothing was read from it."""
+    return F.when(col(read) > 0, 100 * col(read) / (col(inp) + col(read) + col(written)))
+
+
+def six_months_before(now) -> Column:
+    """the date half a year earlier by the calendar."""
+    return F.add_months(col(now).cast("date"), -6)
+
+
+def expires(at, ttl_ms: int) -> Column:
+    """F39."""
+    return col(at) + F.make_dt_interval(secs=F.lit(ttl_ms / 1000))
+
+
 #: Marker to category.
 TODO_CATEGORY = {"FIXME": "bugs", "HACK": "bugs", "XXX": "bugs", "TODO": "tasks", "NOTE": "notes", "WARN": "notes", "DEPRECATED": "debt", "TEMP": "debt", "OPTIMIZE": "optimization", "REVIEW": "optimization"}
 TODO = rf"(?i)\b({'|'.join(TODO_CATEGORY)})(?::\s*|\s+)(.*)"
@@ -269,13 +313,13 @@ def todo_text(line) -> Column:
     return F.trim(F.regexp_extract(col(line), TODO, 2))
 
 
-def issue_refs(text) -> Column:
-    """#12 and AB-12."""
-    return F.regexp_extract_all(col(text), F.lit(r"(#\d+|\b[A-Z][A-Z0-9]+-\d+)"), F.lit(1))
+def issue_refs(line) -> Column:
+    """#12 and AB-12 anywhere in a line."""
+    return F.regexp_extract_all(col(line), F.lit(r"(#\d+|[A-Z]{2,}-\d+)"), F.lit(1))
 
 
 #: How languages read a variable of the environment.
-ENV_REFS = (r"process\.env\.([A-Z_][A-Z0-9_]*)", r"os\.environ\[['\"]([A-Z_][A-Z0-9_]*)['\"]\]", r"os\.(?:getenv|environ\.get)\(['\"]([A-Z_][A-Z0-9_]*)['\"]", r"env::var\(\"([A-Z_][A-Z0-9_]*)\"\)", r"os\.Getenv\(\"([A-Z_][A-Z0-9_]*)\"\)")
+ENV_REFS = (r"process\.env\.([A-Z_][A-Z0-9_]*)", r"os\.environ\[['\"]([A-Z_][A-Z0-9_]*)['\"]\]", r"os\.getenv\(['\"]([A-Z_][A-Z0-9_]*)['\"]\)", r"env::var\(['\"]([A-Z_][A-Z0-9_]*)['\"]\)", r"os\.Getenv\(['\"]([A-Z_][A-Z0-9_]*)['\"]\)")
 
 
 def env_refs(line) -> Column:
@@ -286,11 +330,13 @@ def env_refs(line) -> Column:
 
 def env_file_var(line) -> Column:
     """S13."""
-    return F.nullif(F.regexp_extract(F.trim(col(line)), r"^([A-Z_][A-Z0-9_]*)=", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(unicode_trim(line), r"^([A-Z_][A-Z0-9_]*)=", 1), F.lit(""))
 
 
 #: What counts as a test, by framework.
-TEST_PATTERNS = {"vitest": (r"\b(?:it|test)\s*\(",), "pytest": (r"(?m)^\s*(?:async\s+)?def\s+test_",), "go": (r"(?m)^func\s+Test",), "rust": (r"#\[test\]", r"#\[cfg\(test\)\]")}
+TEST_PATTERNS = {
+    "vitest": (r"\b(?:it|test|describe)\s*\(",), "jest": (r"\b(?:it|test|describe)\s*\(",), "mocha": (r"\b(?:it|describe)\s*\(",), "pytest": (r"\bdef\s+test_",), "go_test": (r"\bfunc\s+Test[A-Z]",), "rust_test": (r"#\[test\]", r"#\[cfg\(test\)\]"),
+}
 
 
 def count_tests(content, framework: str) -> Column:
@@ -302,5 +348,5 @@ def suggest(value, known: list[str], edits: int = 4, most: int = 3) -> Column:
     """up to `most` known names, in list order: those within `edits`, or if there are none those that contain value."""
     names = F.array(*map(F.lit, known))
     near = F.filter(names, lambda n: F.levenshtein(n, col(value)) <= edits)
-    within = F.filter(names, lambda n: F.contains(n, col(value)) | F.contains(col(value), n))
+    within = F.filter(names, lambda n: F.contains(n, col(value)))
     return F.slice(F.when(F.size(near) > 0, near).otherwise(within), 1, most)

@@ -37,6 +37,11 @@ def owners(changes: DataFrame) -> DataFrame:
     return n.groupBy("path").agg(F.max_by("author", F.struct("n", (-F.col("first")).alias("f"))).alias("owner"), F.max("n").alias("changes"))
 
 
+def contributors(commits: DataFrame) -> DataFrame:
+    """Commits of each name and e-mail; commits(name, email)."""
+    return commits.groupBy("name", "email").agg(F.count("*").alias("commits"))
+
+
 def by_month(commits: DataFrame) -> DataFrame:
     """By the first seven characters of the date, in the author's own offset."""
     return commits.groupBy(F.substring("date", 1, 7).alias("month")).agg(F.count("*").alias("commits"))
@@ -50,7 +55,7 @@ def lines(files: DataFrame, key: str = "path") -> DataFrame:
 def todos(files: DataFrame) -> DataFrame:
     """One row per line with a marker."""
     found = lines(files).withColumn("marker", T.todo_marker("text")).filter("marker is not null")
-    return found.select("path", "line", "marker", T.todo_category("marker").alias("category"), T.todo_text("text").alias("text"), T.issue_refs(T.todo_text("text")).alias("issue_refs"))
+    return found.select("path", "line", "marker", T.todo_category("marker").alias("category"), T.todo_text("text").alias("text"), T.issue_refs("text").alias("issue_refs"))
 
 
 def shares(df: DataFrame, by: str) -> DataFrame:
@@ -75,6 +80,6 @@ def branch_age(branches: DataFrame, now) -> DataFrame:
 def branch_strategy(branches: DataFrame) -> DataFrame:
     """One row."""
     some = lambda p: F.coalesce(F.bool_or(F.rlike("name", F.lit(p))), F.lit(False))
-    return branches.agg(some(r"(^|/)develop(ment)?$").alias("d"), some(r"(^|/)release[/-]").alias("r"), some(r"(^|/)(feature|feat)[/-]").alias("f"), F.count("*").alias("n")).select(
+    return branches.agg(some(r"(?:^|/)(?:develop|dev)$").alias("d"), some(r"release[/-]").alias("r"), some(r"feature[/-]").alias("f"), F.count("*").alias("n")).select(
         F.when(F.col("d") & F.col("r"), "git-flow").when(F.col("f") & ~F.col("d"), "feature-branch").when(F.col("n") <= 3, "trunk-based").otherwise("unknown").alias("strategy")
     )

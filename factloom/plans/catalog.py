@@ -99,14 +99,17 @@ def activity_by_day(spark, sf):
     return e.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-@query("SELECT user_id, count(*) AS commits FROM events GROUP BY 1")
+WHO = "concat('u', user_id % 40) AS name, concat('m', user_id % 60, '@x') AS email"
+
+
+@query(f"SELECT {WHO}, count(*) AS commits FROM events GROUP BY 1, 2")
 def contributors_all(spark, sf):
-    return load(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("commits"))
+    return facts.contributors(load(spark, sf, "events").selectExpr("concat('u', user_id % 40) as name", "concat('m', user_id % 60, '@x') as email"))
 
 
-@query("SELECT user_id, count(*) AS commits FROM events GROUP BY 1 ORDER BY commits DESC, user_id LIMIT 10")
+@query(f"SELECT {WHO}, count(*) AS commits FROM events GROUP BY 1, 2 ORDER BY commits DESC, name, email LIMIT 10")
 def contributors(spark, sf):
-    return facts.top(contributors_all(spark, sf), 10, F.desc("commits"), "user_id")
+    return facts.top(contributors_all(spark, sf), 10, F.desc("commits"), "name", "email")
 
 
 @query("SELECT l_partkey, count(*) AS changes FROM lineitem GROUP BY 1 ORDER BY changes DESC, l_partkey LIMIT 30")
@@ -139,9 +142,9 @@ MARKS = "CASE event_type WHEN 'click' THEN 'TODO: ' WHEN 'purchase' THEN 'fixme
 
 
 @query(f"""WITH l AS (SELECT event_id, concat('// ', {MARKS}, event_type, ' #', event_id, ' see AB-', user_id) AS text FROM events),
-m AS (SELECT event_id, upper(regexp_extract(text, '(?i)\\b(TODO|FIXME|HACK|NOTE)(?::\\s*|\\s+)(.*)', 1)) AS marker, trim(regexp_extract(text, '(?i)\\b(TODO|FIXME|HACK|NOTE)(?::\\s*|\\s+)(.*)', 2)) AS text FROM l)
+m AS (SELECT event_id, text AS line, upper(regexp_extract(text, '(?i)\\b(TODO|FIXME|HACK|NOTE)(?::\\s*|\\s+)(.*)', 1)) AS marker, trim(regexp_extract(text, '(?i)\\b(TODO|FIXME|HACK|NOTE)(?::\\s*|\\s+)(.*)', 2)) AS text FROM l)
 SELECT CAST(event_id AS VARCHAR) AS path, 1 AS line, marker, CASE marker WHEN 'TODO' THEN 'tasks' WHEN 'NOTE' THEN 'notes' ELSE 'bugs' END AS category, text,
-  array_to_string(regexp_extract_all(text, '(#\\d+|\\b[A-Z][A-Z0-9]+-\\d+)', 1), ',') AS refs FROM m WHERE marker <> ''""")
+  array_to_string(regexp_extract_all(line, '(#\\d+|[A-Z]{{2,}}-\\d+)', 1), ',') AS refs FROM m WHERE marker <> ''""")
 def todo_scan(spark, sf):
     e = load(spark, sf, "events").select(F.col("event_id").cast("string").alias("path"), F.expr(f"concat('// ', {MARKS}, event_type, ' #', event_id, ' see AB-', user_id)").alias("content"))
     return facts.todos(e).select("path", "line", "marker", "category", "text", F.array_join("issue_refs", ",").alias("refs"))
@@ -153,15 +156,27 @@ def env_refs(spark, sf):
     return load(spark, sf, "events").select("event_id", F.array_join(T.env_refs(line), ",").alias("vars"))
 
 
-@query("SELECT p_partkey, p_size AS tests FROM part")
+#: Documents as test code: words of their texts become calls, definitions and attributes of the frameworks.
+TESTS = "replace(replace(replace(replace(replace(text, ' the ', concat(chr(10), 'it (')), ' of ', concat(chr(10), '  def test_x')), ' and ', concat(chr(10), 'func TestA')), ' to ', ' #[test] '), ' a ', ' describe( func Test_ ')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {TESTS} AS c FROM documents) SELECT doc_id, len(regexp_extract_all(c, '\\b(?:it|test|describe)\\s*\\(')) AS vitest, len(regexp_extract_all(c, '\\b(?:it|describe)\\s*\\(')) AS mocha, len(regexp_extract_all(c, '\\bdef\\s+test_')) AS pytest,
+ len(regexp_extract_all(c, '\\bfunc\\s+Test[A-Z]')) AS go_test, len(regexp_extract_all(c, '#\\[test\\]')) + len(regexp_extract_all(c, '#\\[cfg\\(test\\)\\]')) AS rust_test FROM t""")
 def count_tests(spark, sf):
-    return load(spark, sf, "part").select("p_partkey", T.count_tests(F.repeat(F.lit("it('x', f);\n"), F.col("p_size")), "vitest").alias("tests"))
+    d = load(spark, sf, "documents").select("doc_id", F.expr(TESTS).alias("c"))
+    return d.select("doc_id", *(T.count_tests("c", f).cast("long").alias(f) for f in ("vitest", "mocha", "pytest", "go_test", "rust_test")))
+
+
+#: Documents as lists of requirements: a word a line, some with versions, comments, flags and extras.
+NEEDED = "replace(replace(replace(replace(text, ' a ', concat(' # ', chr(10), '--x ')), ', ', '>=1.0 '), '. ', '[x]==2 '), ' ', chr(10))"
+WIDE = r"[\s\x{0B}\x{A0}\x{85}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS path, concat('lib-', p_size) AS name, concat('>=', p_size, '.0') AS version, 'production' AS type FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'bare', '*', 'production' FROM part")
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split({NEEDED}, chr(10))) AS l FROM documents), c AS (SELECT doc_id, regexp_replace(l, '^{WIDE}|{WIDE}$', '', 'g') AS l FROM l)
+SELECT doc_id::VARCHAR AS path, regexp_extract(l, '^([a-zA-Z0-9_.-]+)\\s*([><=!~]+.*)?', 1) AS name, coalesce(nullif(trim(regexp_extract(l, '^([a-zA-Z0-9_.-]+)\\s*([><=!~]+.*)?', 2)), ''), '*') AS version, 'production' AS type
+FROM c WHERE regexp_matches(l, '^[a-zA-Z0-9_.-]') AND NOT regexp_matches(l, '^(#|-r|-e|-i|--)')""")
 def manifest_requirements(spark, sf):
-    p = load(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), F.expr("concat('# c\\n-r x.txt\\nlib-', p_size, '>=', p_size, '.0 # why\\n\\nbare\\n')").alias("content"))
-    return manifests.requirements(p)
+    return manifests.requirements(load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.expr(NEEDED).alias("content")))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS path, concat('ex.org/a', p_size) AS name, concat('v1.', p_size, '.0') AS version, 'production' AS type FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'ex.org/one', 'v0.1.0', 'production' FROM part")
@@ -205,19 +220,14 @@ def module_graph(spark, sf):
     return graph.lift(edges, nodes.select("node", T.top_dir("node").alias("grp"), F.lit(0).alias("seq")))
 
 
-@query("WITH l AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 50 AND l_discount >= 0.1) SELECT n_nationkey AS node FROM nation WHERE n_nationkey NOT IN (SELECT a FROM l UNION SELECT b FROM l)")
-def isolated_modules(spark, sf, of="l_quantity >= 50 and l_discount >= 0.1"):
-    li = load(spark, sf, "lineitem").filter(of).select("l_orderkey", "l_suppkey")
+@query("WITH l AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey) SELECT n_nationkey AS node FROM nation WHERE n_nationkey NOT IN (SELECT a FROM l UNION SELECT b FROM l)")
+def isolated_modules(spark, sf):
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
     o, c, s = load(spark, sf, "orders"), load(spark, sf, "customer"), load(spark, sf, "supplier")
     e = li.join(o.select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.expr("o_custkey = c_custkey")).join(s.select("s_suppkey", "s_nationkey"), F.expr("l_suppkey = s_suppkey"))
     return graph.isolated(load(spark, sf, "nation").select(F.col("n_nationkey").alias("node")), e.select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")))
 
 
-@query(SQL["isolated_modules"].replace(" WHERE l_quantity >= 50 AND l_discount >= 0.1", ""))
-def isolated_modules_all(spark, sf):
-    return isolated_modules(spark, sf, "true")
-
-
 #: A path for each part: entry points, configurations, tests, look-alikes of each, and plain files.
 SCORED = """CASE p_partkey % 16 WHEN 0 THEN concat('src/p', p_partkey, '.test.ts') WHEN 1 THEN concat('pkg', p_partkey, '/package.json') WHEN 2 THEN concat('d', p_partkey, '/index.ts') WHEN 3 THEN concat('cli.x', p_partkey)
  WHEN 4 THEN concat('bin', p_partkey, '/cli.ts') WHEN 5 THEN concat('.env.p', p_partkey) WHEN 6 THEN concat('vite', p_partkey, '.ts') WHEN 7 THEN concat('a/b', p_partkey, '.config.js') WHEN 8 THEN concat('tests/t', p_partkey, '.py')
@@ -280,20 +290,15 @@ def validation_summary(spark, sf):
 CHANGED = "s_acctbal < 0"
 
 
-@query(f"""WITH c AS (SELECT s_suppkey AS path, s_nationkey FROM supplier WHERE {CHANGED}), k AS (SELECT n_name AS renderer, s_suppkey AS path FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey < 4)
+@query(f"""WITH c AS (SELECT s_suppkey AS path, s_nationkey FROM supplier WHERE {CHANGED}), k AS (SELECT n_name AS renderer, s_suppkey AS path FROM supplier JOIN nation ON n_nationkey = s_nationkey)
 SELECT renderer, array_to_string(list_sort(list(DISTINCT k.path)), ',') AS reasons FROM c JOIN k USING (path) WHERE path <> 3 GROUP BY 1""")
-def renderer_filter(spark, sf, of="n_regionkey < 4"):
+def renderer_filter(spark, sf):
     s, n = load(spark, sf, "supplier"), load(spark, sf, "nation")
-    claims = s.join(n.filter(of), F.expr("n_nationkey = s_nationkey")).select(F.col("n_name").alias("renderer"), F.col("s_suppkey").alias("path"))
+    claims = s.join(n, F.expr("n_nationkey = s_nationkey")).select(F.col("n_name").alias("renderer"), F.col("s_suppkey").alias("path"))
     hit, _ = incremental.affected(s.filter(CHANGED).select(F.col("s_suppkey").alias("path")), claims, spark.createDataFrame([(3,)], "path long"))
     return hit.select("renderer", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query(SQL["renderer_filter"].replace(" WHERE n_regionkey < 4", ""))
-def renderer_filter_all(spark, sf):
-    return renderer_filter(spark, sf, "true")
-
-
 @query(f"""WITH h AS (SELECT DISTINCT s_nationkey FROM supplier WHERE {CHANGED}) SELECT n_name AS renderer, concat(lower(n_name), '.md') AS filename FROM nation JOIN h ON n_nationkey = s_nationkey WHERE n_regionkey <> 0""")
 def staleness(spark, sf):
     s, n = load(spark, sf, "supplier"), load(spark, sf, "nation")
@@ -303,23 +308,26 @@ def staleness(spark, sf):
     return incremental.stale(hit, docs, docs.filter("n_regionkey = 0")).select("renderer", "filename")
 
 
-#: Rounds and the rounds each needs.
-ROUND_DEPS = [(2, 1), (3, 2), (4, 3), (5, 2), (6, 2)]
+NEEDS = "SELECT n_nationkey::BIGINT AS a, (n_nationkey // 3)::BIGINT AS b FROM nation WHERE n_nationkey > 0 UNION SELECT n_nationkey, n_nationkey - 7 FROM nation WHERE n_nationkey % 5 = 0 AND n_nationkey > 7"
 
 
-@query("WITH RECURSIVE e(a, b) AS (VALUES (2, 1), (3, 2), (4, 3), (5, 2), (6, 2)), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a::BIGINT AS a, b::BIGINT AS b FROM r")
-def round_closure(spark, sf):
-    return graph.closure(spark.createDataFrame(ROUND_DEPS, "a long, b long"))
+def _needs(spark, sf):
+    n = load(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("a"))
+    return n.filter("a > 0").withColumn("b", F.floor(F.col("a") / 3)).unionByName(n.filter("a % 5 = 0 and a > 7").withColumn("b", F.col("a") - 7))
 
 
-ALIAS = [("overview", "01"), ("architecture", "03"), ("arch", "03"), ("modules", "06"), ("tests", "12")]
-GROUPS = [("core", "overview"), ("core", "architecture"), ("quality", "tests")]
+@query(f"WITH RECURSIVE e AS ({NEEDS}), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a, b FROM r")
+def round_closure(spark, sf):
+    return graph.closure(_needs(spark, sf))
 
 
-@query("SELECT * FROM (VALUES ('Core', '01'), ('Core', '03'), ('arch', '03'), ('nope', NULL)) t(token, doc)")
+@query("""WITH t AS (SELECT DISTINCT c_mktsegment AS token FROM customer UNION SELECT concat('  ', n_name) FROM nation UNION SELECT r_name FROM region), g AS (SELECT lower(r_name) AS name, lower(n_name) AS alias FROM region JOIN nation ON n_regionkey = r_regionkey),
+w AS (SELECT token, coalesce(alias, lower(trim(token))) AS alias FROM t LEFT JOIN g ON g.name = lower(trim(token))) SELECT DISTINCT token, n_nationkey::VARCHAR AS doc FROM w LEFT JOIN nation ON lower(n_name) = alias""")
 def alias_resolution(spark, sf):
-    t = spark.createDataFrame([("Core",), ("arch",), ("nope",)], "token string")
-    return incremental.resolve_aliases(t, spark.createDataFrame(ALIAS, "alias string, doc string"), spark.createDataFrame(GROUPS, "name string, alias string"))
+    n, r = load(spark, sf, "nation"), load(spark, sf, "region")
+    tokens = load(spark, sf, "customer").select(F.col("c_mktsegment").alias("token")).unionByName(n.select(F.concat(F.lit("  "), "n_name").alias("token"))).unionByName(r.select(F.col("r_name").alias("token"))).distinct()
+    groups = r.join(n, F.expr("n_regionkey = r_regionkey")).select(F.lower("r_name").alias("name"), F.lower("n_name").alias("alias"))
+    return incremental.resolve_aliases(tokens, n.select(F.lower("n_name").alias("alias"), F.col("n_nationkey").cast("string").alias("doc")), groups)
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, 0 AS chunk_index, 'Root' AS section_path, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS hash FROM documents WHERE regexp_matches(text, '\\S') AND NOT regexp_matches(text, '(?m)^#{1,3}\\s+.+$')")
@@ -361,15 +369,8 @@ def knn_filtered(spark, sf):
     return _knn(spark, sf, [1, 5])
 
 
-@query("WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5), d AS (SELECT query_id, vec_id, sqrt(list_sum(list_transform(list_zip(embedding, q), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))) AS d FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM d) SELECT query_id, vec_id, round(d, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 5")
-def knn_batch(spark, sf):
-    e = load(spark, sf, "embeddings")
-    q = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return retrieval.knn_batch(e, q, 5, "query_id", "vec_id").select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
-
-
 @query("WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT query_id, vec_id, sqrt(list_sum(list_transform(list_zip(embedding, q), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))) AS d FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM d) SELECT query_id, vec_id, round(d, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 5")
-def knn_batch_all(spark, sf):
+def knn_batch(spark, sf):
     e = load(spark, sf, "embeddings")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return retrieval.knn_batch(e, q, 5, "query_id", "vec_id").select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
@@ -399,12 +400,17 @@ def citations(spark, sf):
     return retrieval.citations(_matches(spark, sf), ("query_id",)).withColumn("distance", F.round("distance", 6))
 
 
-DOC_TYPES = ["overview", "getting-started", "architecture", "file-structure", "features", "modules", "dependencies", "environment", "edge-cases", "tech-debt", "conventions", "testing-strategy", "deployment"]
+DOC_TYPES = list(retrieval.DOC_TYPES)
+ASKED = f"substr(list_extract({DOC_TYPES}, (p_partkey % 13 + 1)::INT), (p_size % 3 + 1)::INT, (p_size % 17 + 1)::INT)"
 
 
-@query(f"WITH t(v) AS (VALUES ('modul'), ('featurs'), ('zzzzzzzzzzzz')), k AS (SELECT unnest({DOC_TYPES}) AS n, generate_subscripts({DOC_TYPES}, 1) AS i), m AS (SELECT v, n, i FROM t, k WHERE levenshtein(n, v) <= 4), r AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY i) AS rn FROM m) SELECT t.v AS value, coalesce((SELECT string_agg(n, ',' ORDER BY i) FROM r WHERE r.v = t.v AND rn <= 3), '') AS names FROM t")
+@query(f"""WITH t AS (SELECT p_partkey, {ASKED} AS v FROM part), k AS (SELECT unnest({DOC_TYPES}) AS n, generate_subscripts({DOC_TYPES}, 1) AS i), m AS (SELECT p_partkey, n, i, levenshtein(n, v) <= 4 AS near, contains(n, v) AS within FROM t, k),
+f AS (SELECT p_partkey, bool_or(near) AS has FROM m GROUP BY 1), r AS (SELECT p_partkey, n, i, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS rn FROM m JOIN f USING (p_partkey) WHERE CASE WHEN f.has THEN near ELSE within END)
+SELECT p_partkey, v AS value, coalesce((SELECT string_agg(n, ',' ORDER BY i) FROM r WHERE r.p_partkey = t.p_partkey AND rn <= 3), '') AS names FROM t""")
 def doc_type_suggest(spark, sf):
-    return spark.createDataFrame([("modul",), ("featurs",), ("zzzzzzzzzzzz",)], "value string").select("value", F.array_join(T.suggest("value", DOC_TYPES), ",").alias("names"))
+    known = "array(" + ", ".join(f"'{t}'" for t in DOC_TYPES) + ")"
+    asked = F.expr(f"substr(element_at({known}, cast(p_partkey % 13 + 1 as int)), cast(p_size % 3 + 1 as int), cast(p_size % 17 + 1 as int))")
+    return load(spark, sf, "part").select("p_partkey", asked.alias("value")).withColumn("names", F.array_join(T.suggest("value", DOC_TYPES), ","))
 
 
 @query("SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 25 OFFSET 25")
@@ -540,22 +546,20 @@ def inline_doc_coverage(spark, sf):
     return reports.inline_doc_coverage(load(spark, sf, "events").select(F.expr(DOC_FILE).alias("path"), content.alias("content")))
 
 
-@query("WITH r AS (SELECT turn + 2 AS round, count(*) FILTER (role = 'user') AS v, count(*) FILTER (role <> 'user') AS c FROM conversations WHERE turn < 4 GROUP BY 1) SELECT n AS round, CASE WHEN r.round IS NULL THEN 'skipped' ELSE 'success' END AS status, coalesce(v, 0) AS validated, coalesce(c, 0) AS corrected FROM range(1, 7) t(n) LEFT JOIN r ON r.round = n")
-def round_table(spark, sf, of="turn < 4", rounds=6):
-    c = load(spark, sf, "conversations").filter(of).groupBy((F.col("turn") + 2).alias("round"))
+@query("WITH r AS (SELECT turn + 2 AS round, count(*) FILTER (role = 'user') AS v, count(*) FILTER (role <> 'user') AS c FROM conversations GROUP BY 1) SELECT n AS round, CASE WHEN r.round IS NULL THEN 'skipped' ELSE 'success' END AS status, coalesce(v, 0) AS validated, coalesce(c, 0) AS corrected FROM (SELECT unnest(range(1, greatest(6, max(turn) + 2) + 1)) AS n FROM conversations) t LEFT JOIN r ON r.round = n")
+def round_table(spark, sf):
+    every = load(spark, sf, "conversations")
+    rounds = max(6, (every.agg(F.max("turn")).first()[0] or 0) + 2)
+    c = every.groupBy((F.col("turn") + 2).alias("round"))
     return reports.round_table(c.agg(F.lit("success").alias("status"), F.count_if(F.col("role") == "user").alias("validated"), F.count_if(F.col("role") != "user").alias("corrected")), rounds)
 
 
-@query(SQL["round_table"].replace(" WHERE turn < 4", "").replace("range(1, 7) t(n)", "(SELECT unnest(range(1, greatest(6, max(turn) + 2) + 1)) AS n FROM conversations) t"))
-def round_table_all(spark, sf):
-    return round_table(spark, sf, "true", max(6, (load(spark, sf, "conversations").agg(F.max("turn")).first()[0] or 0) + 2))
-
-
-@query("WITH f AS (SELECT s_nationkey AS module, lower(p_brand) AS pattern, p_partkey AS seq, p_name FROM part JOIN supplier ON s_suppkey = p_partkey % 10 + 1) SELECT pattern, arg_min(p_name, seq) AS description, concat('Found in ', count(*), ' of ', (SELECT count(DISTINCT module) FROM f), ' modules') AS frequency FROM f GROUP BY 1 HAVING count(*) >= 2")
+@query("WITH f AS (SELECT s_nationkey AS module, lower(p_brand) AS pattern, p_partkey AS seq, p_name FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) + 1) SELECT pattern, arg_min(p_name, seq) AS description, concat('Found in ', count(*), ' of ', (SELECT count(DISTINCT module) FROM f), ' modules') AS frequency FROM f GROUP BY 1 HAVING count(*) >= 2")
 def cross_cutting_conventions(spark, sf):
     s = load(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("module"))
     p = load(spark, sf, "part").select(F.concat(F.lit("\t "), "p_brand", F.lit(" \n")).alias("pattern"), F.col("p_name").alias("description"), F.col("p_partkey").alias("seq"))
-    return reports.conventions(p.join(s, F.expr("s_suppkey = seq % 10 + 1")))
+    n = s.agg(F.count("*").alias("n"))
+    return reports.conventions(p.crossJoin(F.broadcast(n)).join(s, F.expr("s_suppkey = seq % n + 1")))  # one row
 
 
 @query("SELECT count(*) FILTER (event_type = 'error') AS critical, count(*) FILTER (event_type = 'signup') AS warning, count(*) FILTER (event_type NOT IN ('error', 'signup')) AS info FROM events")
@@ -576,24 +580,18 @@ def round_quality(spark, sf):
     return reports.quality(p).select("p_partkey", "acceptable", "references")
 
 
-@query("SELECT 4::BIGINT AS round UNION ALL SELECT 5 UNION ALL SELECT 6")
+@query(f"WITH e AS ({NEEDS}) SELECT n_nationkey::BIGINT AS round FROM nation WHERE n_nationkey NOT IN (SELECT b FROM e)")
 def terminal_rounds(spark, sf):
-    rounds = spark.range(1, 7).select(F.col("id").alias("round"))
-    return reports.terminal(rounds, spark.createDataFrame(ROUND_DEPS, "round long, needs long"))
+    return reports.terminal(load(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("round")), _needs(spark, sf).select(F.col("a").alias("round"), F.col("b").alias("needs")))
 
 
-@query("WITH r AS (SELECT c_nationkey, arg_max(c_mktsegment, c_custkey) AS role FROM customer WHERE c_nationkey < 20 GROUP BY 1) SELECT s_name AS name, s_nationkey, coalesce(role, '-') AS role, CASE s_suppkey % 4 WHEN 0 THEN 'production' WHEN 1 THEN 'development' ELSE 'peer' END AS section FROM supplier LEFT JOIN r ON c_nationkey = s_nationkey")
-def dependency_roles(spark, sf, of="c_nationkey < 20"):
+@query("WITH r AS (SELECT c_nationkey, arg_max(c_mktsegment, c_custkey) AS role FROM customer GROUP BY 1) SELECT s_name AS name, s_nationkey, coalesce(role, '-') AS role, CASE s_suppkey % 4 WHEN 0 THEN 'production' WHEN 1 THEN 'development' ELSE 'peer' END AS section FROM supplier LEFT JOIN r ON c_nationkey = s_nationkey")
+def dependency_roles(spark, sf):
     d = load(spark, sf, "supplier").select(F.col("s_nationkey").alias("name"), F.col("s_name").alias("dep"), F.expr("element_at(array('production', 'development', 'peer', 'optional'), cast(s_suppkey % 4 + 1 as int))").alias("type"))
-    r = load(spark, sf, "customer").filter(of).select(F.col("c_nationkey").alias("name"), F.col("c_mktsegment").alias("role"), F.col("c_custkey").alias("seq"))
+    r = load(spark, sf, "customer").select(F.col("c_nationkey").alias("name"), F.col("c_mktsegment").alias("role"), F.col("c_custkey").alias("seq"))
     return reports.with_role(d, r).select(F.col("dep").alias("name"), F.col("name").alias("s_nationkey"), "role", "section")
 
 
-@query(SQL["dependency_roles"].replace(" WHERE c_nationkey < 20", ""))
-def dependency_roles_all(spark, sf):
-    return dependency_roles(spark, sf, "true")
-
-
 @query("SELECT concat('n', p_size) AS path, p_partkey, CASE WHEN p_size < 25 THEN n_name END AS purpose FROM part LEFT JOIN nation ON n_nationkey = p_size")
 def directory_annotation(spark, sf):
     modules = load(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("path"), F.col("n_name").alias("purpose"), F.lit(0).alias("files"))

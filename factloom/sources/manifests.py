@@ -23,21 +23,28 @@ def package_json(files: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
+#: Lines that are no requirements, and what one looks like.
+NOT_NEEDED = ("#", "-r", "-e", "-i", "--")
+REQUIREMENT = r"^([a-zA-Z0-9_.-]+)\s*([><=!~]+.*)?"
+
+
 def requirements(files: DataFrame) -> DataFrame:
-    """Lines but comments and flags; the version is what follows the name, or *."""
-    line = files.select("path", F.explode(F.split("content", "\n")).alias("l")).withColumn("l", F.trim(F.regexp_replace("l", r"\s*#.*$|\r", "")))
-    line = line.filter((F.col("l") != "") & ~F.startswith("l", F.lit("-")))
-    m = r"^([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*([=<>!~][^;]*)?"
-    return line.filter(F.rlike("l", F.lit(m))).select("path", F.regexp_extract("l", m, 1).alias("name"), F.coalesce(F.nullif(F.trim(F.regexp_extract("l", m, 2)), F.lit("")), F.lit("*")).alias("version"), F.lit("production").alias("type"))
+    """Lines but comments and some flags; the version is what follows the name with a comparison, to the line's end, or *."""
+    line = files.select("path", F.explode(F.split("content", "\n")).alias("l")).withColumn("l", T.unicode_trim("l"))
+    for mark in NOT_NEEDED:
+        line = line.filter(~F.startswith("l", F.lit(mark)))
+    line = line.filter(F.rlike("l", F.lit(REQUIREMENT)))
+    version = F.coalesce(F.nullif(T.unicode_trim(F.regexp_extract("l", REQUIREMENT, 2)), F.lit("")), F.lit("*"))
+    return line.select("path", F.regexp_extract("l", REQUIREMENT, 1).alias("name"), version.alias("version"), F.lit("production").alias("type"))
 
 
 def go_mod(files: DataFrame) -> DataFrame:
-    """Require blocks and single lines."""
-    blocks = F.array_join(F.regexp_extract_all("content", F.lit(r"(?m)^require\s*\(([^)]*)\)"), F.lit(1)), "\n")
-    single = F.array_join(F.regexp_extract_all("content", F.lit(r"(?m)^require\s+([^\s(]+\s+\S+)"), F.lit(1)), "\n")
-    line = files.select("path", F.explode(F.split(F.concat_ws("\n", blocks, single), "\n")).alias("l"))
-    m = r"^\s*(\S+)\s+(v\S+)"
-    return line.filter(F.rlike("l", F.lit(m))).select("path", F.regexp_extract("l", m, 1).alias("name"), F.regexp_extract("l", m, 2).alias("version"), F.lit("production").alias("type"))
+    """Pairs of words that begin a line of a require block, but comments; and single requirements."""
+    pair, alone = r"(?m)^\s*(\S+)\s+(\S+)", r"(?m)^require[ \t]+(\S+)[ \t]+(\S+)"
+    found = lambda text, p: F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("name"), F.regexp_extract_all(text, F.lit(p), F.lit(2)).alias("version"))
+    blocks = F.transform(F.regexp_extract_all("content", F.lit(r"require\s*\(([\s\S]*?)\)"), F.lit(1)), lambda b: F.filter(found(b, pair), lambda d: ~F.startswith(d["name"], F.lit("//"))))
+    rows = files.select("path", F.explode(F.concat(F.flatten(blocks), found(F.col("content"), alone))).alias("d"))
+    return rows.select("path", "d.name", "d.version", F.lit("production").alias("type"))
 
 
 def _toml(read):
@@ -66,7 +73,8 @@ def _pyproject(doc):
     p = doc.get("project", {})
     for kind, specs in [("production", p.get("dependencies", [])), *(("development", g) for g in p.get("optional-dependencies", {}).values())]:
         for s in specs:
-            yield re.match(r"[A-Za-z0-9._-]*", s.strip())[0], s, kind
+            if m := re.match(r"[a-zA-Z0-9_.-]+", str(s)):
+                yield m[0], str(s), kind
 
 
 def _exploded(files: DataFrame, parse) -> DataFrame:

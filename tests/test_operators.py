@@ -34,6 +34,23 @@ def test_scalars(spark, f, value, want):
     assert one(spark, (lambda c: f(c.cast("long"))) if f is T.human_size else f, value) == want
 
 
+def test_formats(spark):
+    of = lambda f, v: one(spark, lambda c: f(c.cast("long")), str(v))
+    assert [of(T.short_count, n) for n in (999, 2000, 1500, 3_000_000, 1_250_000)] == ["999 tokens", "2K tokens", "1.5K tokens", "3M tokens", "1.3M tokens"]
+    assert [of(T.duration, n) for n in (999, 59_999, 61_000)] == ["0s", "59s", "1m 1s"]
+    assert one(spark, lambda _: T.bar(F.lit(1), F.lit(4), 4, True)) == "=---"
+    assert one(spark, lambda _: T.money(F.lit(1.005))) in ("$1.00", "$1.01")
+    assert one(spark, lambda _: T.cross_ref(F.lit("03-FILE-X"), F.lit("a"))) == "[FILE X](03-FILE-X.md#a)"
+    assert one(spark, lambda _: T.code_ref(F.lit("./a.ts"), F.lit(3))) == "`a.ts:L3`"
+    assert one(spark, T.issue_refs, "#12 x-1 abAB-7 Z9-3") == ["#12", "AB-7"]
+    assert one(spark, T.env_refs, "os.getenv('A') os.environ.get('B') env::var('C') os.Getenv('D') os.getenv('E', 1)") == ["A", "C", "D"]
+    assert one(spark, T.anchor, "Über_x  (y) z") == "berx-y-z"
+    want = hashlib.sha256('{"sourceFile":"a","content":"q\\u000b \\\\u000B\\n\\"é"}'.encode()).hexdigest()
+    assert one(spark, lambda c: T.document_fingerprint(F.lit("a"), c), 'q\x0b \\u000B\n"é') == want
+    assert one(spark, lambda _: T.six_months_before(F.lit("2024-08-31")).cast("string")) == "2024-02-29"
+    assert one(spark, lambda _: T.cache_share(F.lit(50), F.lit(25), F.lit(25))) == 25.0
+
+
 def test_cursor_and_relevance(spark):
     assert one(spark, lambda _: T.encode_cursor(F.lit(25))) == "eyJvZmZzZXQiOjI1fQ"
     assert one(spark, lambda _: T.relevance(F.lit(0.5))) == 75.0
@@ -116,11 +133,11 @@ def test_chunks():
 
 def test_manifests(spark):
     rows = [
-        ("a/package.json", '{"dependencies":{"x":"1"},"optionalDependencies":{"y":"2"}}'), ("Cargo.toml", '[dependencies]\nserde = "1"\ntokio = {version = "2"}\n[dev-dependencies]\nq = {path = "."}'), ("go.mod", "require (\n\ta.b/c v1.0.0\n)\nrequire d.e/f v2.0.0\n"),
-        ("requirements.txt", "# no\nflask==1.0\n-r x\nbare\n"), ("pyproject.toml", '[project]\ndependencies=["a>=1"]\n[project.optional-dependencies]\ndev=["b"]'), ("b/Cargo.toml", "not = [toml"),
+        ("a/package.json", '{"dependencies":{"x":"1"},"optionalDependencies":{"y":"2"}}'), ("Cargo.toml", '[dependencies]\nserde = "1"\ntokio = {version = "2"}\n[dev-dependencies]\nq = {path = "."}'), ("go.mod", "require (\n\t// no v0\n\ta.b/c v1.0.0 // indirect\n)\nrequire d.e/f v2.0.0\n"),
+        ("requirements.txt", "# no\nflask==1.0\n-r x\nbare\n  django[x]>=2 # why\n_o ~= 1 # c\n--index y\n"), ("pyproject.toml", '[project]\ndependencies=["a>=1"]\n[project.optional-dependencies]\ndev=["b"]'), ("b/Cargo.toml", "not = [toml"),
     ]
     got = {(r["name"], r["version"], r["type"]) for r in manifests.dependencies(spark.createDataFrame(rows, "path string, content string")).collect()}
-    assert got == {("x", "1", "production"), ("y", "2", "optional"), ("serde", "1", "production"), ("tokio", "2", "production"), ("q", "*", "development"), ("a.b/c", "v1.0.0", "production"), ("d.e/f", "v2.0.0", "production"), ("flask", "==1.0", "production"), ("bare", "*", "production"), ("a", "a>=1", "production"), ("b", "b", "development")}
+    assert got == {("x", "1", "production"), ("y", "2", "optional"), ("serde", "1", "production"), ("tokio", "2", "production"), ("q", "*", "development"), ("a.b/c", "v1.0.0", "production"), ("d.e/f", "v2.0.0", "production"), ("flask", "==1.0", "production"), ("bare", "*", "production"), ("django", "*", "production"), ("_o", "~= 1 # c", "production"), ("a", "a>=1", "production"), ("b", "b", "development")}
 
 
 def test_discovery_and_git(spark, tmp_path):
@@ -173,8 +190,8 @@ def test_knn_batch_takes_every_query(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
-def test_knn_batch_all_follows_the_table(spark):
-    got = catalog.QUERIES["knn_batch_all"](spark, "/root/testdata/sf0.1").groupBy("query_id").count().collect()
+def test_knn_batch_follows_the_table(spark):
+    got = catalog.QUERIES["knn_batch"](spark, "/root/testdata/sf0.1").groupBy("query_id").count().collect()
     assert {r.query_id: r["count"] for r in got} == {i: 5 for i in range(0, 2000, 50)}
 
 
@@ -234,21 +251,20 @@ def test_config_diff_and_cache(spark):
 def test_whole_tables_shape_the_answer(spark):
     run = lambda name: catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     table = lambda name: catalog.load(spark, "/root/testdata/sf0.001", name)
-    assert run("isolated_modules_all").count() == 0
-    rounds = {r["round"]: (r.validated or 0) + (r.corrected or 0) for r in run("round_table_all").collect()}
+    assert run("isolated_modules").count() == 0
+    rounds = {r["round"]: (r.validated or 0) + (r.corrected or 0) for r in run("round_table").collect()}
     assert rounds == {1: 0} | {r.turn + 2: r["count"] for r in table("conversations").groupBy("turn").count().collect()}
     known = {r[0] for r in table("customer").select("c_nationkey").distinct().collect()}
-    assert all((r.role != "-") == (r.s_nationkey in known) for r in run("dependency_roles_all").collect())
+    assert all((r.role != "-") == (r.s_nationkey in known) for r in run("dependency_roles").collect())
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
 def test_renderers_of_every_region(spark):
     table = lambda name: catalog.load(spark, "/root/testdata/sf0.1", name)
     hit = table("supplier").filter("s_acctbal < 0 and s_suppkey <> 3").join(table("nation"), F.expr("n_nationkey = s_nationkey"))
-    got = {r.renderer for r in catalog.QUERIES["renderer_filter_all"](spark, "/root/testdata/sf0.1").collect()}
+    got = {r.renderer for r in catalog.QUERIES["renderer_filter"](spark, "/root/testdata/sf0.1").collect()}
     assert got == {r[0] for r in hit.select("n_name").collect()}
-    assert len(got) > catalog.QUERIES["renderer_filter"](spark, "/root/testdata/sf0.1").count()
-
+    assert len(got) > 20
 
 
 def test_contrived_cases(spark):
@@ -263,7 +279,7 @@ def test_contrived_cases(spark):
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
 def test_every_contributor(spark):
-    users = catalog.load(spark, "/root/testdata/sf0.1", "events").select("user_id").distinct().count()
+    users = catalog.load(spark, "/root/testdata/sf0.1", "events").selectExpr("user_id % 40", "user_id % 60").distinct().count()
     assert catalog.QUERIES["contributors_all"](spark, "/root/testdata/sf0.1").count() == users > 10
 
 
