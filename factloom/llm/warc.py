@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.common import Scratch
+
 #: Skippable frames: the one that holds the dictionary, and an empty one that stands between records.
 DICT_MAGIC = b"\x5d\x2a\x4d\x18"
 EMPTY_FRAME = "P*M\x18\0\0\0\0"
@@ -117,16 +119,16 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     """Writes a record per row of pages to archives below path, each a file of about archive_bytes before compression.
 
     Null payloads count as empty. Of equal payloads of at least min_bytes, compared by SHA-256, the row of the smallest id
-    (null last) is the response; of rows that repeat that id, the first one read. Ids and urls may be null. pages must give
-    the same rows in the same partitions each time it is read, as files do. Empty input gives no archive. Other columns are
-    ignored, whatever their names.
+    (null last) is the response; of rows that repeat that id, the first one read. Ids and urls may be null. Empty input gives
+    no archive. Other columns are ignored, whatever their names.
     """
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("key", F.unhex(F.sha2("payload", 256))).withColumn("uid", F.monotonically_increasing_id())
+    scratch = Scratch(pages.sparkSession, "warc")
+    rows = scratch.table(rows.withColumn("key", F.unhex(F.sha2("payload", 256))).withColumn("uid", F.monotonically_increasing_id()), "rows")  # written, so that the numbers hold if a task runs again
     rank = F.struct(F.col("id").isNull().alias("z"), "id", "uid")
-    same = rows.filter(F.length("payload") >= min_bytes).groupBy("key").agg(F.min(rank).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    out = rows.join(same, "key", "left")
+    same = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.min(rank).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    out = rows.join(scratch.table(same, "same").hint("merge"), "key", "left")  # both sides are tables, so that a payload of any number of pages is split
 
     def compress(batches):
         def name(i, uid):
@@ -143,6 +145,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array([f], pa.binary())], names=["archive"])
 
     out.mapInArrow(compress, "archive binary").select(F.col("archive").cast("string")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).text(path)
+    scratch.drop()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
