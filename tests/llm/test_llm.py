@@ -322,6 +322,11 @@ def test_mixing(spark, none):
     two, st = mixing.mix(df, F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("e"), F.lit("all"))).otherwise(F.array(F.lit("all"))), {"e": 1, "all": 3})
     assert two.count() == len(rows)
     assert mixing.mix(none, F.array("source"))[0].count() == 0
+    odd = spark.createDataFrame([(1, "w " * 200_000, "a"), (2, "x", "a"), (2, "x", "a"), (None, "y", None), (None, None, None)] + rows[:50], "doc_id long, text string, source string")
+    got = mixing.mix(odd, F.array("source"))[0].collect()
+    assert len(got) == 55
+    assert next(r["size"] for r in got if r["doc_id"] == 1 and r["size"] > 100) == 200_000
+    assert len({r["copies"] for r in got if r["doc_id"] == 2 and r["size"] == 1}) == 1
 
 
 def segment_brute(word, v):
@@ -638,6 +643,12 @@ def test_html_is_robust(spark):
     assert html_layout.render(None) == ("", "")
     df = spark.createDataFrame([(1, None, "t"), (2, "<title>A &amp; b</title><p>x", "t")], "page_id long, html string, title string")
     assert tuples(html_layout.extract(df), "page_id", "title", "text") == [(1, "", ""), (2, "A & b", "x")]
+    long = "<ul>" + "<li>item " * 100_000
+    again = df.unionByName(df).unionByName(spark.createDataFrame([(3, long, "t")], df.schema)).withColumns({"text": F.lit("clash"), "r": F.lit(1), "row": F.lit("x")})
+    got = html_layout.extract(again)
+    assert got.columns == ["page_id", "r", "row", "title", "text"]
+    assert sorted((r["page_id"], len(r["text"]), r["row"]) for r in got.collect()) == [(1, 0, "x"), (1, 0, "x"), (2, 1, "x"), (2, 1, "x"), (3, 100_000 * 7 - 1, "x")]
+    assert html_layout.extract(df.limit(0)).count() == 0
 
 
 def test_toxicity(spark, none):
@@ -664,6 +675,8 @@ def test_toxicity(spark, none):
     assert next(r for r in got if r["doc_id"] == 901)["predicted"] == 1
     assert len(got) == len(rows)
     assert len(model[0]) < 2000
+    twice = toxicity.score(df.unionByName(df).withColumns({"score": F.lit("clash"), "s": F.lit(1)}), model).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("score").alias("scores")).filter("doc_id is not null").collect()
+    assert {(r["n"], r["scores"]) for r in twice} == {(2, 1)}
     assert toxicity.score(none.select("doc_id", "text"), model).count() == 0
     empty = toxicity.train(df, lab.limit(0))
     assert {r["predicted"] for r in toxicity.score(df, empty).collect()} == {0}
