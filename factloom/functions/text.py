@@ -203,7 +203,7 @@ def table_row(cells: list) -> Column:
 
 def rewrite_md_links(html) -> Column:
     """href to a local .md page leads to its .html."""
-    return F.regexp_replace(col(html), r'href="(?![a-zA-Z][a-zA-Z0-9+.-]*://)([^"#]*)\.md(#[^"]*)?"', r'href="$1.html$2"')
+    return F.regexp_replace(col(html), r'href="(?![a-zA-Z][a-zA-Z0-9+.-]*://)([^"]+)\.md(#[^"]*)?"', r'href="$1.html$2"')
 
 
 def escape_html(text) -> Column:

@@ -448,19 +448,14 @@ def session_gaps(spark, sf):
     return sessions.check_sequence(_session_events(spark, sf)).select("session_id", "sequence", "ok")
 
 
-@query("SELECT page_id, replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped, concat('<a href=\"', page_id, '.html#x\">') AS link FROM pages")
-def html_link_rewrite(spark, sf):
-    return load(spark, sf, "pages").select("page_id", T.escape_html("url").alias("escaped"), T.rewrite_md_links(F.concat(F.lit('<a href="'), F.col("page_id").cast("string"), F.lit('.md#x">'))).alias("link"))
-
-
 #: RE2 has no lookahead: links with a scheme are marked by chr(1), which HTML forbids, while the others are rewritten.
 ABROAD = "[a-zA-Z][a-zA-Z0-9+.-]*://"
 LINKS = f"""regexp_replace(html, 'href="({ABROAD})', concat('href="', chr(1), '\\1'), 'g')"""
-LINKS = f"""regexp_replace({LINKS}, concat('href="([^"#', chr(1), '][^"#]*)?\\.md(#[^"]*)?"'), 'href="\\1.html\\2"', 'g')"""
+LINKS = f"""regexp_replace({LINKS}, concat('href="([^"', chr(1), '][^"]*)\\.md(#[^"]*)?"'), 'href="\\1.html\\2"', 'g')"""
 
 
 @query(f"""SELECT page_id, sha256(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped, sha256(replace({LINKS}, concat('href="', chr(1)), 'href="')) AS rewritten FROM pages""")
-def html_link_rewrite_all(spark, sf):
+def html_link_rewrite(spark, sf):
     return load(spark, sf, "pages").select("page_id", F.sha2(T.escape_html("html"), 256).alias("escaped"), F.sha2(T.rewrite_md_links("html"), 256).alias("rewritten"))
 
 

@@ -2,26 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators.incremental import glob_regex
 
 #: Largest file, extensions of binary files, folders that are never read.
 MAX_BYTES = 2 * 1024 * 1024
-BINARY = "png jpg jpeg gif bmp ico svg webp mp3 mp4 wav avi mov zip tar gz bz2 7z rar pdf doc docx xls xlsx exe dll so dylib woff woff2 ttf eot".split()
-IGNORED = "node_modules dist build coverage target vendor __pycache__ .git .next".split()
+BINARY = "png jpg jpeg gif bmp ico svg woff woff2 ttf eot otf mp4 mp3 avi mov webm wav pdf zip tar gz rar 7z exe dll so dylib wasm o obj pyc class".split()
+IGNORED = "node_modules .git dist build coverage .next __pycache__ target vendor".split()
 
 
-def discover(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFrame:
-    """Text files up to 2 MiB below root, without hidden ones, with their contents; ignore: more globs."""
-    from factloom.operators.incremental import glob_regex
+def ignore_rules(text: str) -> list[tuple[str, bool]]:
+    """A .gitignore as (regular expression, whether it ignores) in order; a later rule that matches overrules earlier ones."""
+    out = []
+    for line in text.split("\n"):
+        line = re.sub(r"(?<!\\)\s+$", "", line.rstrip("\r"))
+        if not line or line.startswith("#"):
+            continue
+        keep = line.startswith("!")
+        line = line[1:] if keep else line.removeprefix("\\")
+        anchored = "/" in line.rstrip("/")
+        body = glob_regex(line.strip("/"))[1:-1]
+        out.append(((r"^" if anchored else r"(?:^|.*/)") + body + ("/.*$" if line.endswith("/") else "(?:/.*)?$"), not keep))
+    return out
+
+
+def ignored(path, rules: list[tuple[str, bool]]) -> Column:
+    """Whether the last rule that matches ignores the path."""
+    return F.coalesce(*(F.when(F.rlike(path, F.lit(p)), F.lit(no)) for p, no in reversed(rules)), F.lit(False))
 
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, also of a hidden one, which readers of tables pass over; None if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def discover(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFrame:
+    """Text files up to 2 MiB below root, without hidden ones and those that its .gitignore names, with their
+    contents; ignore: more globs."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + root.removeprefix("file://").rstrip("/") + "/", "")
-    files = raw.filter(F.col("length") <= MAX_BYTES).select(path.alias("path"), F.col("length").alias("size"), "content").withColumn("extension", F.lower(T.extname("path")))
-    skip = r"(^|/)\.|(^|/)(" + "|".join(IGNORED) + r")/"
-    files = files.filter(~F.rlike("path", F.lit(skip)) & ~F.col("extension").isin(*("." + b for b in BINARY)))
+    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(root.removeprefix("file://").rstrip("/")) + "/", "")
+    files = raw.filter(F.col("length") <= MAX_BYTES).select(path.alias("path"), F.col("length").alias("size"), "content").withColumn("extension", T.extname("path"))
+    skip = r"(^|/)\.|(^|/)(" + "|".join(map(re.escape, IGNORED)) + r")/"
+    files = files.filter(~F.rlike("path", F.lit(skip)) & ~F.lower("extension").isin(*("." + b for b in BINARY)))
+    files = files.filter(~ignored("path", ignore_rules(read_text(spark, f"{root.rstrip('/')}/.gitignore") or "")))
     for g in ignore:
         files = files.filter(~F.rlike("path", F.lit(glob_regex(g))))
     return files.withColumn("content", F.decode("content", "UTF-8"))

@@ -145,6 +145,11 @@ def test_discovery_and_git(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(content)
     assert sorted(r["path"] for r in files.discover(spark, str(tmp_path)).collect()) == ["a.py", "d/e.ts"]
+    for name in ("logs/x.log", "keep.log", "gen/a.ts", "sub/gen/b.ts", "sub/only.ts", "only.ts", "ends.tsx"):
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / ".gitignore").write_text("# c\n*.log\n!keep.log\ngen/\n/only.ts\n")
+    assert sorted(r["path"] for r in files.discover(spark, str(tmp_path), ["**/*.tsx"]).collect()) == ["a.py", "d/e.ts", "keep.log", "sub/only.ts"]
     log = files.git_log(spark.createDataFrame([("h|a|e|2024-01-31T23:00:00-05:00|fix | pipes",), ("",)], "value string")).collect()
     assert [(r["author"], r["message"]) for r in log] == [("a", "fix | pipes")]
     assert facts.by_month(spark.createDataFrame(log)).first()["month"] == "2024-01"
@@ -286,11 +291,11 @@ def test_every_contributor(spark):
 def test_links_of_whole_pages(spark, tmp_path):
     body = "<p>x & y</p>\n" * 20_000
     html = f'{body}<a href="a/b.md">1</a><a href="c.md#d">2</a><a href="https://h/e.md">3</a><a href=".md">4</a><a href="#f.md">5</a>{body}<a href="g.md?q">6</a><a href="x\ny.md">7</a>'
-    want = html.replace("a/b.md", "a/b.html").replace("c.md#d", "c.html#d").replace('".md"', '".html"').replace("y.md", "y.html")
+    want = html.replace("a/b.md", "a/b.html").replace("c.md#d", "c.html#d").replace("#f.md", "#f.html").replace("y.md", "y.html")
     spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    got = {r.page_id: (r.escaped, r.rewritten) for r in catalog.QUERIES["html_link_rewrite_all"](spark, str(tmp_path)).collect()}
+    got = {r.page_id: (r.escaped, r.rewritten) for r in catalog.QUERIES["html_link_rewrite"](spark, str(tmp_path)).collect()}
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got == {1: (digest(html.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")), digest(want)), 2: (None, None)}
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
-    assert {r[0]: r[1:] for r in con.sql(catalog.SQL["html_link_rewrite_all"]).fetchall()} == got
+    assert {r[0]: r[1:] for r in con.sql(catalog.SQL["html_link_rewrite"]).fetchall()} == got
