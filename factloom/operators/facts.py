@@ -42,6 +42,21 @@ def contributors(commits: DataFrame) -> DataFrame:
     return commits.groupBy("name", "email").agg(F.count("*").alias("commits"))
 
 
+def recent(commits: DataFrame, n: int = 100) -> DataFrame:
+    """The first n commits in the order of the log; commits(seq)."""
+    return commits.orderBy("seq").limit(n)
+
+
+def months(commits: DataFrame) -> DataFrame:
+    """Commits of each month, the latest first."""
+    return by_month(commits).orderBy(F.desc("month"))
+
+
+def remark_counts(todos: DataFrame) -> DataFrame:
+    """Remarks of each file."""
+    return todos.groupBy("path").agg(F.count("*").alias("todos"))
+
+
 def by_month(commits: DataFrame) -> DataFrame:
     """By the first seven characters of the date, in the author's own offset."""
     return commits.groupBy(F.substring("date", 1, 7).alias("month")).agg(F.count("*").alias("commits"))

@@ -75,3 +75,20 @@ def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     rows = usage.join(F.broadcast(named), "model", "left").crossJoin(F.broadcast(other))  # a price list; one row
     pi, po = F.coalesce("price_in", "di"), F.coalesce("price_out", "do")
     return rows.select(*usage.columns, T.round_cost("input", "output", "cache_read", "cache_write", pi, po).alias("cost"))
+
+
+def usage_totals(costs: DataFrame) -> DataFrame:
+    """One row: tokens and cost of all rounds, of a table as usage_cost gives."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return costs.agg(*map(total, ("input", "output", "cache_read", "cache_write", "cost")))
+
+
+def rounds_needed(docs: DataFrame, deps: DataFrame) -> DataFrame:
+    """Rounds of the selected documents and those they need directly; docs(rounds), deps(round, needs)."""
+    own = docs.select(F.explode("rounds").alias("round")).distinct()
+    return own.unionByName(deps.join(own, "round").select(F.col("needs").alias("round"))).distinct()
+
+
+def unselected(docs: DataFrame, selected: DataFrame) -> DataFrame:
+    """Documents that were not asked for."""
+    return docs.join(selected.select("doc"), "doc", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators import predicates, reindex, retrieval, rounds, scoring, steps
+from factloom.operators import facts, incremental, predicates, reindex, retrieval, rounds, scoring, steps
 from factloom.plans.catalog import NEAR8, _matches, load, query
 from factloom.sources import settings
 from factloom.streaming import sessions
@@ -256,3 +256,28 @@ def joined_jobs(spark, sf):
 def document_states(spark, sf):
     o = load(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 3 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1), F.lit(2))).alias("req"), F.array(F.when(F.col("o_orderkey") % 2 == 0, 1), F.when(F.col("o_orderkey") % 3 == 0, 2)).alias("has"), (F.col("o_custkey") % 4 != 0).alias("made"))
     return o.select("o_orderkey", rounds.document_status("req", "has", "made").alias("status"))
+
+
+@query("SELECT event_id AS seq, event_type FROM events ORDER BY event_id LIMIT 100")
+def recent_commits(spark, sf):
+    return facts.recent(load(spark, sf, "events").select(F.col("event_id").alias("seq"), "event_type"))
+
+
+@query("SELECT concat('f', user_id) AS path, count(*) AS todos FROM events WHERE event_type <> 'view' GROUP BY 1")
+def remark_counts(spark, sf):
+    return facts.remark_counts(load(spark, sf, "events").filter("event_type != 'view'").select(F.concat(F.lit("f"), "user_id").alias("path")))
+
+
+@query("WITH o AS (SELECT DISTINCT unnest([o_custkey % 4 + 3, o_orderkey % 3 + 9]) AS r FROM orders WHERE o_orderkey % 5 = 0) SELECT r AS round FROM o UNION SELECT n_nationkey // 3 FROM nation JOIN o ON n_nationkey = r WHERE n_nationkey > 0")
+def rounds_needed(spark, sf):
+    docs = load(spark, sf, "orders").filter("o_orderkey % 5 = 0").select(F.array((F.col("o_custkey") % 4 + 3).cast("long"), (F.col("o_orderkey") % 3 + 9).cast("long")).alias("rounds"))
+    deps = load(spark, sf, "nation").filter("n_nationkey > 0").select(F.col("n_nationkey").cast("long").alias("round"), F.floor(F.col("n_nationkey") / 3).alias("needs"))
+    return incremental.rounds_needed(docs, deps)
+
+
+@query("SELECT CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS input, round(sum(CAST(ceil(length(text) / 4.0) AS BIGINT) * CASE role WHEN 'user' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END / 1e6), 6) AS cost FROM conversations")
+def usage_totals(spark, sf):
+    t = T.estimate_tokens("text")
+    u = load(spark, sf, "conversations").select(F.col("role").alias("model"), t.alias("input"), F.lit(0).alias("output"), F.lit(0).alias("cache_read"), F.lit(0).alias("cache_write"))
+    costs = incremental.usage_cost(u, spark.createDataFrame([("user", 3.0, 15.0), ("default", 1.0, 5.0)], "model string, price_in double, price_out double"))
+    return incremental.usage_totals(costs).select("input", F.round("cost", 6).alias("cost"))
