@@ -3,9 +3,9 @@
 A text is the sequence of its words, each a mark and its bytes, then one end. A unigram model over the pieces of an
 existing vocabulary generates a word piece by piece; the probability of a word, seen in training or not, is the sum over
 all its segmentations, by forward recursion in log space. The weight of a segmentation is exp(sharpness * sum of the
-vocabulary's scores), normalised over all pieces. The training documents give two numbers, by expectation maximisation over
-all their words: the sharpness (the scores of a file of merges are ranks, not logarithms; sharpness 1 takes them as they
-are) and the probability of the end. All of this is done once for each distinct word, not for each occurrence.
+vocabulary's scores, as logarithms), normalised over all pieces. The training documents give two numbers, by expectation
+maximisation over all their words: the sharpness (1 takes the scores as they are) and the probability of the end. All of
+this is done once for each distinct word, not for each occurrence.
 """
 
 from __future__ import annotations
@@ -30,16 +30,25 @@ K = np.uint64(0x9E3779B97F4A7C15)
 LONG = 256
 
 
-def pieces(path: str = MODEL) -> tuple[list[bytes], np.ndarray]:
-    """Distinct surfaces, the 256 single bytes first, and their scores as the file has them. A byte that is no piece has the
-    score of a character that no piece has: the least one less 10. Words carry one mark, so pieces of several are no edges."""
+#: Files give pieces that no merge makes, such as the mark alone, scores below this.
+NEVER = -1e8
+
+
+def pieces(path: str = MODEL, zipf: bool = True) -> tuple[list[bytes], np.ndarray]:
+    """Distinct surfaces, the 256 single bytes first, and their scores as logarithms. Scores of a unigram file are logarithms
+    already; those of a file of merges are ranks (0, -1, -2, ...), and by Zipf's law the logarithm of a rank's share is
+    -log(1 + rank), up to the sharpness (without zipf they stay as they are). A byte that is no piece has the score of a character that no piece has: the file's
+    least one less 10; so has a piece that the file never makes. Words carry one mark and
+    no white space, so pieces with more of it are no edges."""
     v = load(path)
-    own = [(v.surface[i], v.scores[i]) for i in v.ids.values() if not v.surface[i].startswith(b"  ")]
-    least = min(s for _, s in own) - 10
+    own = [(v.surface[i], v.scores[i]) for i in v.ids.values() if len(v.surface[i].removeprefix(b" ").split()) < 2 and v.surface[i].removeprefix(b" ").strip() == v.surface[i].removeprefix(b" ")]
+    least = min(s for _, s in own if s > NEVER) - 10
     score = {bytes([b]): least for b in range(256)}
     for s, x in own:
-        score[s] = max(score.get(s, -np.inf), x)
-    return list(score), np.array(list(score.values()))
+        score[s] = max(score.get(s, least), x)
+    scores = np.array(list(score.values()))
+    ranks = zipf and (scores <= 0).all() and (scores == np.rint(scores)).all()
+    return list(score), -np.log1p(-scores) if ranks else scores
 
 
 def log_weights(scores, sharpness: float):
@@ -184,15 +193,15 @@ def likelihoods(lattice, words: list[bytes], logp, scores, moments: bool = False
     return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, passes: int = 3, sharpness: float | None = None, model: str = MODEL, block_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, passes: int = 3, sharpness: float | None = None, zipf: bool = True, model: str = MODEL, block_bytes: int = 24 << 20) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens: words of other than ASCII white space, A-Z in lower case, then one end. Documents of fold 0 teach nothing; a
     null id is in fold 0. base_score: sum over tokens of log10((c + 0.1) / (N + 0.1 (V + 1))); c, N, V from training
     tokens. score: log10 of the marginal probability under the lattice model, whose sharpness `passes` passes over all
-    training words fit unless it is given. Null counts as empty, whose only token is the end. Rows that repeat an id or a
-    text count and are scored each. Without training documents the sharpness is 1 / 4096 and an end as likely as 100 other
-    pieces. Empty input gives no rows.
+    training words fit unless it is given; zipf: as in pieces(). Null counts as empty, whose only token is the end. Rows that repeat an id or a
+    text count and are scored each. Without training documents the sharpness is 1 and one piece in a hundred is an
+    end. Empty input gives no rows.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lattice")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t")).withColumn("held", held_out("id", folds))
@@ -245,9 +254,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     n_train, v_train = stats["n"] + n_docs, stats["v"] + (n_docs > 0)
     norm = np.log10(n_train + 0.1 * (v_train + 1))
 
-    surfaces, scores = pieces(model)
+    surfaces, scores = pieces(model, zipf)
     sent, given = spark.sparkContext.broadcast((surfaces, scores)), sharpness is not None
-    sharpness, log_end = sharpness if given else 1 / 4096, math.log(0.01)
+    sharpness, log_end = sharpness if given else 1.0, math.log(0.01)
     for _ in range(passes if stats["n"] and not given else bool(stats["n"])):
         now = log_weights(scores, sharpness)
         now = spark.sparkContext.broadcast(now)

@@ -414,10 +414,21 @@ def test_lattice_takes_long_words():
     surfaces, scores = lattice.pieces()
     lat, began = lattice.Lattice(surfaces), time.process_time()
     word = b"abcdefghij" * 20_000
-    assert lattice.likelihoods(lat, [word], lattice.log_weights(scores, 1 / 4096), scores)[0, 0] < -len(word) / 10
+    assert lattice.likelihoods(lat, [word], lattice.log_weights(scores, 1.0), scores)[0, 0] < -len(word) / 10
     assert time.process_time() - began < 20
 
 
+def test_scores_of_merges_are_ranks():
+    v = vocabulary.load()
+    surfaces, scores = lattice.pieces()
+    at = {s: x for s, x in zip(surfaces, scores, strict=True)}
+    i = v.ids["▁t"]
+    assert math.isclose(at[b" t"], -math.log1p(-v.scores[i]))
+    assert at[b"\xff"] == scores.min()
+    given = dict(zip(*lattice.pieces(zipf=False), strict=True))
+    assert (given[b" t"], given[b"\xff"]) == (v.scores[i], min(x for x in v.scores if x > lattice.NEVER) - 10)
+
+
 def test_sharpness():
     scores = -np.arange(50.0)
     for x in (0.01, 0.3, 1.0, 5.0):
@@ -442,11 +453,10 @@ def test_lattice_scores(docs, none):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
     assert lattice.score(none).count() == 0
     few = docs.filter("doc_id < 40 or doc_id is null")
-    surfaces, scores = lattice.pieces()
-    piece = dict(zip(surfaces, scores, strict=True))
-    longest = max(map(len, surfaces))
-    for sharp in (1.0, None):
-        got = lattice.score(few, sharpness=sharp).collect()
+    longest = max(map(len, lattice.pieces()[0]))
+    for sharp, zipf in ((1.0, True), (1.0, False), (None, True)):
+        piece = dict(zip(*lattice.pieces(zipf=zipf), strict=True))
+        got = lattice.score(few, sharpness=sharp, zipf=zipf).collect()
         train = [w for r in corpus() if (r[0] is None or r[0] < 40) and not held(r[0]) for w in (r[1] or "").encode().lower().split()]
         n = sum(1 for r in corpus() if r[0] is not None and r[0] < 40 and not held(r[0]))
 
@@ -460,13 +470,13 @@ def test_lattice_scores(docs, none):
                 a.append((top + math.log(sum(w)), sum(u * t[1] for u, t in zip(w, terms, strict=True)) / sum(w), sum(u * t[2] for u, t in zip(w, terms, strict=True)) / sum(w)))
             return a[-1]
 
-        x = sharp or 1 / 4096
+        x = sharp or 1.0
         for _ in range(1 if sharp else 3):
             z = math.log(sum(math.exp(x * v) for v in piece.values()))
             of = {w: sums(b" " + w, x, z) for w in set(train)}
             k, t = sum(of[w][1] for w in train), sum(of[w][2] for w in train)
             if not sharp:
-                x = lattice.sharpness_of(scores, t / k)
+                x = lattice.sharpness_of(np.array(list(piece.values())), t / k)
         z, end = math.log(sum(math.exp(x * v) for v in piece.values())), n / (n + k)
         text = {r[0]: r[1] for r in corpus() if r[0] is not None and r[0] < 40}
         for r in got:
