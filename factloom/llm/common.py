@@ -51,6 +51,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_root(spark)}/factloom-{name}-{uuid.uuid4().hex}"
         LIVE.append(self)
 
@@ -72,6 +73,18 @@ class Scratch:
                 raise
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Spark hands to a Python worker at once, for this session: its default of 64 MB is held several times over,
+    by each task on both sides. A smaller bound that is set already stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > BATCH:
+        spark.conf.set(key, BATCH)
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark remove shuffle files of plans that are done: it does so once the driver has collected its garbage."""
     gc.collect()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import by_bytes
+from factloom.llm.common import by_bytes, small_batches
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)|<[!?/][^>]*+>?", re.S)
 UNENDED = re.compile(r"<[!?/]|\Z")
@@ -495,6 +495,7 @@ def extract(pages: DataFrame, html_col: str = "html", title_col: str = "title",
     Rows are rendered one by one, repeated rows and equal pages each alike; empty input gives no rows. Only the html goes to
     Python, whole and once."""
     keep = [c for c in pages.columns if c not in (html_col, title_col, text_col)]
+    small_batches(pages.sparkSession)
 
     @F.arrow_udf("title string, text string")
     def run(sources: Iterator[pa.Array]) -> Iterator[pa.Array]:

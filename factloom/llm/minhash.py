@@ -31,7 +31,7 @@ class Hashes(dict):
     """Word to 64-bit hash; forgets all when it is large."""
 
     def __missing__(self, word):
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import by_bytes
+from factloom.llm.common import by_bytes, small_batches
 from factloom.llm.vocabulary import MARK, MODEL, Vocabulary, load
 
 MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -120,12 +120,13 @@ def decode_ids(ids, surface: list[bytes]) -> str:
     return b"".join(map(surface.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model: str = MODEL, block_bytes: int = 6 << 20) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model: str = MODEL, block_bytes: int = 4 << 20) -> DataFrame:
     """docs and `out_col`, the ids of each whole text; null of null, none of empty texts. A column of that name is replaced.
 
     Rows are coded one by one: of repeated rows and equal texts each gets the same ids. Empty input gives no rows. Words
     share prefixes within a block of about block_bytes of texts, or one longer text. Only the text goes to Python, once.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(tuple(load(model)))
 
     @F.arrow_udf("array<int>")
@@ -146,6 +147,7 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model:
 def decode(docs: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
     """docs and `out_col`, the text of each list of ids; null of null. A column of that name is replaced. Rows are decoded one
     by one, repeated ones too. Empty input gives no rows."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(load(model).surface)
 
     @F.arrow_udf("string")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Scratch, by_bytes, held_out, packed, unpacked
+from factloom.llm.common import Scratch, by_bytes, held_out, packed, small_batches, unpacked
 from factloom.llm.minhash import Hashes, P, mix64
 
 BITS = 20
@@ -128,6 +128,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     text goes to Python, once, and only the score comes back.
     """
     at, weights, bias = model
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((at, weights))  # 2^20 weights at most
 
     @F.arrow_udf("double")

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Scratch
+from factloom.llm.common import Scratch, small_batches
 
 #: Skippable frames: the one that holds the dictionary, and an empty one that stands between records.
 DICT_MAGIC = b"\x5d\x2a\x4d\x18"
@@ -176,5 +176,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
+    small_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, "record_id string, record_type string, uri string, page_id string, refers_to_id string, payload_bytes long, payload_digest string, payload binary")
