@@ -81,7 +81,7 @@ def small_batches(spark: SparkSession) -> None:
     """Bounds what Spark hands to a Python worker at once, for this session: its default of 64 MB is held several times over,
     by each task on both sides. A smaller bound that is set already stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("bB")) > BATCH:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH:
         spark.conf.set(key, BATCH)
 
 

@@ -111,6 +111,33 @@ def test_minhash(spark, docs, none):
         assert tuples(got, "doc_id", "n_shingles", "component_id") == want
 
 
+def test_settings_of_the_session(spark):
+    from types import SimpleNamespace
+
+    from factloom.llm import common
+
+    key, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    for given, after in (("64m", common.BATCH), ("1m", 1 << 20), ("4194304b", 4 << 20)):
+        spark.conf.set(key, given)
+        common.small_batches(spark)
+        assert spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) == after
+    spark.conf.set(key, before)
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="local-cluster[3,2,3000]"))
+    with pytest.raises(ValueError, match="all executors share"):
+        common.shared_root(cluster)
+
+
+def test_slices_of_bytes():
+    import pyarrow as pa
+
+    from factloom.llm.common import by_bytes
+
+    values = pa.array(["x" * 10, None, "", "y" * 50, "z" * 3, "w" * 3])
+    for a in (values, values.cast(pa.large_string()), pa.array(["skip", *values.to_pylist()]).slice(1)):
+        assert [p.to_pylist() for p in by_bytes(a, 12)] == [["x" * 10, None, ""], ["y" * 50], ["z" * 3, "w" * 3]]
+    assert list(by_bytes(pa.array([], pa.string()))) == []
+
+
 def test_minmax_is_unbiased():
     rng = np.random.default_rng(1)
     m, got = minhash.MinMax(100, 6, 3), []
