@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import embed_dedup, exact_dedup, html_layout, lattice, minhash, mixing, pieces, sharding, toxicity, warc
+from factloom.llm import embed_dedup, exact_dedup, html_layout, lattice, minhash, mixing, name_join, pieces, sharding, toxicity, warc
 from factloom.llm.common import Scratch
 
 
@@ -64,8 +64,31 @@ def op10_minhash(spark, sf_dir):
     return minhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def misspelt(vendor_id, name):
+    """The stored name with two neighbours exchanged, by the crc32 of the id; as it is where that is odd or the name short."""
+    h, n = F.crc32(vendor_id.cast("string").cast("binary")), F.length(name)
+    i = (h % (n - 1)).cast("int")
+    part = lambda start, length: F.substring(name, start, length)
+    swapped = F.concat(part(F.lit(1), i), part(i + 2, F.lit(1)), part(i + 1, F.lit(1)), part(i + 3, n))
+    return F.when((h % 2 == 0) & (n >= 2), swapped).otherwise(name)
+
+
+def op11_name_join(spark, sf_dir):
+    scratch = Scratch(spark, "op11")
+    clients = table(spark, sf_dir, "clients").select("client_id", name_join.plain(F.col("name")).alias("name")).filter("name != ''")
+    clients = clients.groupBy("name").agg(F.count("*").alias("n"), F.min("client_id").alias("first"), F.sum(F.crc32(F.col("client_id").cast("string").cast("binary"))).alias("crc"))
+    clients = scratch.table(clients, "clients")
+    vendors = table(spark, sf_dir, "vendors").select("vendor_id", name_join.plain(misspelt(F.col("vendor_id"), F.col("name"))).alias("left_name"))
+    vendors = scratch.table(vendors.filter("left_name != ''"), "vendors")
+    pairs = name_join.join_names(vendors.select("left_name"), clients.select("name"), 1)
+    found = pairs.join(clients.withColumnRenamed("name", "right_name").hint("merge"), "right_name").groupBy("left_name", "distance")
+    found = found.agg(F.sum("n").alias("n_clients"), F.min("first").alias("first_client_id"), F.sum("crc").alias("clients_crc"))
+    found = scratch.table(found, "found")  # written, so that the join below can split a name of any number of vendors
+    return vendors.join(found.hint("merge"), "left_name").select("vendor_id", "distance", "n_clients", "first_client_id", "clients_crc")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_mixing, op4_lattice, op5_html, op6_exact_dedup, op7_embedding_dedup, op8_toxicity, op9_sharding, op10_minhash)}
+    return {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_mixing, op4_lattice, op5_html, op6_exact_dedup, op7_embedding_dedup, op8_toxicity, op9_sharding, op10_minhash, op11_name_join)}
 
 
 OP1 = """
@@ -110,5 +133,33 @@ SELECT m.v AS doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, m.v =
 """
 
 
+#: crc32 by its table of 256 entries; `tab` has them as one list.
+CRC = """
+steps(i, n, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, n + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE n < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM steps WHERE n = 8)"""
+
+
+def crc(text: str) -> str:
+    """SQL for the unsigned crc32 of a text of ASCII characters, where `tab` is in scope."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP11 = rf"""
+WITH RECURSIVE {CRC.strip()},
+c AS (SELECT client_id, translate(regexp_replace(name, '[\x20\x09-\x0D]+', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS y, {crc("client_id::VARCHAR")} AS crc FROM clients, tab),
+cn AS (SELECT y, count(*) AS n, min(client_id) AS first, sum(crc) AS crc FROM c WHERE y <> '' GROUP BY y),
+h AS (SELECT vendor_id, name, length(name) AS n, {crc("vendor_id::VARCHAR")} AS h FROM vendors, tab),
+m AS (SELECT vendor_id, CASE WHEN h % 2 = 0 AND n >= 2 THEN substr(name, 1, h % (n - 1)) || substr(name, h % (n - 1) + 2, 1) || substr(name, h % (n - 1) + 1, 1) || substr(name, h % (n - 1) + 3) ELSE name END AS name FROM h),
+v AS (SELECT vendor_id, translate(regexp_replace(name, '[\x20\x09-\x0D]+', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM m),
+p AS (SELECT vendor_id, x, y, n, first, crc, list_filter(range(1, length(x) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1)) AS dif
+  FROM v JOIN cn ON x <> '' AND abs(length(x) - length(y)) <= 1),
+d AS (SELECT *, CASE WHEN x = y THEN 0
+  WHEN length(x) = length(y) THEN CASE WHEN len(dif) = 1 OR len(dif) = 2 AND dif[2] = dif[1] + 1 AND substr(x, dif[1], 1) = substr(y, dif[2], 1) AND substr(x, dif[2], 1) = substr(y, dif[1], 1) THEN 1 END
+  WHEN length(x) > length(y) THEN CASE WHEN len(list_filter(range(1, length(x) + 1), lambda i: substr(x, 1, i - 1) || substr(x, i + 1) = y)) > 0 THEN 1 END
+  WHEN len(list_filter(range(1, length(y) + 1), lambda i: substr(y, 1, i - 1) || substr(y, i + 1) = x)) > 0 THEN 1 END AS distance FROM p)
+SELECT vendor_id, distance::INT AS distance, sum(n)::BIGINT AS n_clients, min(first) AS first_client_id, sum(crc)::BIGINT AS clients_crc FROM d WHERE distance IS NOT NULL GROUP BY vendor_id, x, distance
+"""
+
+
 def oracle_sql():
-    return {"op1_warc": OP1, "op6_exact_dedup": OP6, "op7_embedding_dedup": OP7, "op10_minhash": OP10}
+    return {"op1_warc": OP1, "op6_exact_dedup": OP6, "op7_embedding_dedup": OP7, "op10_minhash": OP10, "op11_name_join": OP11}
