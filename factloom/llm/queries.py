@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import embed_dedup, exact_dedup, html_layout, lattice, minhash, mixing, name_join, pieces, sharding, toxicity, warc
+from factloom.llm import embed_dedup, exact_dedup, html_layout, lattice, minhash, mixing, name_join, pieces, repeats, sharding, toxicity, warc
 from factloom.llm.common import Scratch
 
 
@@ -87,8 +87,14 @@ def op11_name_join(spark, sf_dir):
     return vendors.join(found.hint("merge"), "left_name").select("vendor_id", "distance", "n_clients", "first_client_id", "clients_crc")
 
 
+def op12_substring_dedup(spark, sf_dir):
+    out = repeats.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_mixing, op4_lattice, op5_html, op6_exact_dedup, op7_embedding_dedup, op8_toxicity, op9_sharding, op10_minhash, op11_name_join)}
+    return {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_mixing, op4_lattice, op5_html, op6_exact_dedup, op7_embedding_dedup, op8_toxicity, op9_sharding, op10_minhash, op11_name_join, op12_substring_dedup)}
 
 
 OP1 = """
@@ -161,5 +167,17 @@ SELECT vendor_id, distance::INT AS distance, sum(n)::BIGINT AS n_clients, min(fi
 """
 
 
+OP12 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: {'i': i, 's': list_aggregate(w[i:i+12], 'string_agg', ' ')})) AS g FROM w WHERE len(w) >= 13),
+f AS (SELECT doc_id, g.i AS i, min(doc_id) OVER (PARTITION BY g.s) AS first FROM g),
+c AS (SELECT DISTINCT doc_id, i + o AS i FROM f, range(13) AS r(o) WHERE first < doc_id),
+r AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  sha256(coalesce(list_aggregate(list_transform(list_filter(range(1, len(w.w) + 1), lambda i: gone IS NULL OR NOT list_contains(gone, i)), lambda i: w.w[i]), 'string_agg', ' '), '')) AS kept_sha256
+FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+"""
+
+
 def oracle_sql():
-    return {"op1_warc": OP1, "op6_exact_dedup": OP6, "op7_embedding_dedup": OP7, "op10_minhash": OP10, "op11_name_join": OP11}
+    return {"op1_warc": OP1, "op6_exact_dedup": OP6, "op7_embedding_dedup": OP7, "op10_minhash": OP10, "op11_name_join": OP11, "op12_substring_dedup": OP12}
