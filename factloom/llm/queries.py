@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import embed_dedup, exact_dedup, html_layout, lattice, minhash, mixing, name_join, pieces, repeats, sharding, toxicity, warc
+from factloom.llm import embed_dedup, exact_dedup, html_layout, lattice, minhash, mixing, name_join, pieces, ranked, repeats, sharding, toxicity, warc
 from factloom.llm.common import Scratch
 
 
@@ -93,8 +93,12 @@ def op12_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_ranked_search(spark, sf_dir):
+    return ranked.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_mixing, op4_lattice, op5_html, op6_exact_dedup, op7_embedding_dedup, op8_toxicity, op9_sharding, op10_minhash, op11_name_join, op12_substring_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_mixing, op4_lattice, op5_html, op6_exact_dedup, op7_embedding_dedup, op8_toxicity, op9_sharding, op10_minhash, op11_name_join, op12_substring_dedup, op13_ranked_search)}
 
 
 OP1 = """
@@ -179,5 +183,19 @@ FROM w LEFT JOIN r ON r.doc_id = w.doc_id
 """
 
 
+OP13 = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS d, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT doc_id, d, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM t),
+c AS (SELECT doc_id, d, term, count(*) AS tf FROM p GROUP BY doc_id, d, term),
+f AS (SELECT *, (sum(tf) OVER (PARTITION BY d))::BIGINT AS n FROM c),
+g AS (SELECT count(DISTINCT d) AS nn, sum(tf)::BIGINT AS l FROM f),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, g GROUP BY term, nn),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // l))))::BIGINT AS score FROM q JOIN w USING (term) JOIN f USING (term), g GROUP BY item_id, d, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql():
-    return {"op1_warc": OP1, "op6_exact_dedup": OP6, "op7_embedding_dedup": OP7, "op10_minhash": OP10, "op11_name_join": OP11, "op12_substring_dedup": OP12}
+    return {"op1_warc": OP1, "op6_exact_dedup": OP6, "op7_embedding_dedup": OP7, "op10_minhash": OP10, "op11_name_join": OP11, "op12_substring_dedup": OP12, "op13_ranked_search": OP13}
