@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators.written import Work
 
 #: Weights, steps and caps of the score.
 ENTRY, IMPORT_STEP, IMPORT_CAP, EXPORT_STEP, EXPORT_CAP, GIT_CAP, EDGE, CONFIG, TEST = 30, 3, 30, 2, 20, 10, 10, 15, -15
@@ -120,67 +121,126 @@ def _tokens(chars) -> int:
     return -(-int(chars) // T.CHARS_PER_TOKEN)
 
 
-def pack_plan(rows: pd.DataFrame, budget: int, compress: bool = False) -> pd.DataFrame:
-    """K5-K7: for rows in order, (path, tier, tokens, rank, shape, taken): what of each file is taken. shape: whole, sections,
-    summary or none; taken: places of the sections.
+def choice(r, left: int, compress: bool) -> tuple[str, int, str, list[int]]:
+    """K6, K7: tier, tokens, shape and sections of a readable file where so many tokens are left.
 
     Whether a file with all its sections fits is judged by the sum of their tokens; what it costs is the tokens of the joined
     text, labels included, so that the budget may be overdrawn.
     """
-    readable = rows["full"].notna()
-    if not compress and rows["full"].sum() <= budget:
-        return rows.assign(tier="full", tokens=rows["full"].fillna(0).astype("int64"), shape="whole", taken=[[] for _ in range(len(rows))])[["path", "tier", "tokens", "rank", "shape", "taken"]]
-    left, out = budget, []
-
-    def best(r):
-        whole, brief = int(r.full), _tokens(r.summary_chars)
-        if compress:
-            return ("signatures", brief, "summary", []) if brief <= left else SKIP
-        if r.changed and whole <= left:
-            return "full", whole, "whole", []
-        if whole > OVERSIZE_TOKENS and r.score >= OVERSIZE_SCORE and r.parsed:
-            parts = [(s["tokens"], s["chars"]) for s in r.sections]
-            if brief > left:
-                return SKIP
-            taken, room = [], left - brief
-            for i, (tokens, _) in enumerate(parts):
-                if tokens <= room:
-                    taken.append(i)
-                    room -= tokens
-            every = len(taken) == len(parts)
-            joined = r.summary_chars + sum(2 + parts[i][1] for i in taken) + (2 if every and not parts else 0)
-            return "full" if every else "signatures", _tokens(joined), "sections", taken
-        if whole <= left:
-            return "full", whole, "whole", []
+    brief = _tokens(r.summary_chars)
+    if compress:
         return ("signatures", brief, "summary", []) if brief <= left else SKIP
+    whole = int(r.full)
+    if r.changed and whole <= left:
+        return "full", whole, "whole", []
+    if whole > OVERSIZE_TOKENS and r.score >= OVERSIZE_SCORE and r.parsed:
+        if brief > left:
+            return SKIP
+        parts, taken, room = [(s["tokens"], s["chars"]) for s in r.sections], [], left - brief
+        for i, (tokens, _) in enumerate(parts):
+            if tokens <= room:
+                taken.append(i)
+                room -= tokens
+        every = len(taken) == len(parts)
+        joined = r.summary_chars + sum(2 + parts[i][1] for i in taken) + (2 if every and not parts else 0)
+        return "full" if every else "signatures", _tokens(joined), "sections", taken
+    if whole <= left:
+        return "full", whole, "whole", []
+    return ("signatures", brief, "summary", []) if brief <= left else SKIP
+
 
-    for ok, r in zip(readable, rows.itertuples(), strict=True):
-        got = best(r) if ok else SKIP
+def pack_plan(rows: pd.DataFrame, budget: int, compress: bool = False) -> pd.DataFrame:
+    """K5-K7 on the rows of one repository that fit into memory, in order: (path, tier, tokens, rank, shape, taken), what of
+    each file is taken. shape: whole, sections, summary or none; taken: places of the sections."""
+    names = ["path", "tier", "tokens", "rank", "shape", "taken"]
+    if not compress and rows["full"].sum() <= budget:
+        return rows.assign(tier="full", tokens=rows["full"].fillna(0).astype("int64"), shape="whole", taken=[[] for _ in range(len(rows))])[names]
+    left, out = budget, []
+    for ok, r in zip(rows["full"].notna(), rows.itertuples(), strict=True):
+        got = choice(r, left, compress) if ok else SKIP
         left -= got[1]
         out.append((r.path, got[0], got[1], r.rank, got[2], got[3]))
-    return pd.DataFrame(out, columns=["path", "tier", "tokens", "rank", "shape", "taken"])
+    return pd.DataFrame(out, columns=names)
 
 
 SKIP = ("skip", 0, "none", [])
 
 
-def pack(costs: DataFrame, budget: int, by: tuple = (), compress: bool = False) -> DataFrame:
-    """First fit in the order of rank within each repository (`by`); a later smaller file may follow a larger one
-    that was passed over. costs(by..., path, rank, score, changed and COSTS).
-
-    The fold of one repository is sequential by definition, so it runs over narrow rows, never over contents, which join
-    back by path; repositories are packed side by side.
+def _bounds(costs: DataFrame, compress: bool) -> DataFrame:
+    """costs with `free`, the tokens of each file where there is room for all of it, `need`, the room that this takes, and
+    `least`, the room without which it is passed over; least is null of files that leave the room as it is."""
+    brief, full = F.ceil(F.col("summary_chars") / T.CHARS_PER_TOKEN).cast("long"), F.col("full")
+    cut = (full > OVERSIZE_TOKENS) & (F.col("score") >= OVERSIZE_SCORE) & F.col("parsed") & ~F.col("changed")
+    total = lambda f: F.aggregate("sections", F.lit(0).cast("long"), lambda a, s: a + s[f])
+    joined = F.ceil((F.col("summary_chars") + total("chars") + F.greatest(2 * F.size("sections"), F.lit(2))) / T.CHARS_PER_TOKEN).cast("long")
+    if compress:
+        free, need, least = brief, brief, brief
+    else:
+        free, need = F.when(cut, joined).otherwise(full), F.when(cut, brief + total("tokens")).otherwise(full)
+        least = F.when(cut | (brief < full), brief).otherwise(full)
+    out = costs.withColumn("cut", F.lit(False) if compress else F.coalesce(cut, F.lit(False)))
+    out = out.withColumns({"free": F.when(full.isNull(), 0).otherwise(free), "need": F.when(full.isNull(), -(1 << 62)).otherwise(need)})
+    return out.withColumn("least", F.when(full.isNotNull() & ((F.col("free") > 0) | (F.col("need") > 0)), least))
+
+
+def pack(costs: DataFrame, budget: int, by: tuple = (), compress: bool = False, part_rows: int = 4096, ahead: int = 16) -> DataFrame:
+    """First fit in the order of rank within each repository (`by`); a later smaller file may follow a larger one
+    that was passed over. costs(by..., path, rank, score, changed and COSTS); ranks of a repository are 1, 2, ... and differ.
+
+    Repositories of any size are cut into parts of part_rows ranks. As long as everything fits, prefix sums over parts say
+    what is taken and what is left. From the first part where something does not fit, only the files go on that still could
+    be taken: the room never grows, so a part whose least file is beyond it is passed over unread, and the next `ahead` parts
+    that are not are folded by one task, all repositories at once. A pass takes at least one file of each repository that is
+    still open, and so their number is bounded by the budget, not by the files.
     """
+    work = Work(costs.sparkSession, "pack")
+    own = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))  # beside which columns below may have any name
+    rows = _bounds(costs.select(own.alias("own"), "path", "rank", "score", "changed", *COSTS), compress)
+    rows = work.table(rows.withColumns({"repo": F.to_json("own"), "part": F.expr(f"(rank - 1) div {part_rows}")}), "rows")
+    inside = Window.partitionBy("repo", "part").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.select("repo", "part", "full", "free", "least", (F.coalesce(F.sum("free").over(inside), F.lit(0)) + F.col("need")).alias("top"))
+    parts = tops.groupBy("repo", "part").agg(F.sum("free").alias("free"), F.max("top").alias("top"), F.min("least").alias("least"), F.sum("full").alias("full"))
+    before = F.lit(budget) - F.coalesce(F.sum("free").over(Window.partitionBy("repo").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = work.table(parts.withColumn("room", before.cast("long")), "parts")
+    open_ = F.when(F.col("top") > F.col("room"), F.col("part"))
+    fits = F.lit(not compress) & (F.coalesce(F.sum("full"), F.lit(0)) <= budget)
+    first = work.table(parts.groupBy("repo").agg(fits.alias("fits"), F.min(open_).alias("since"), F.min_by("room", open_).alias("room")), "first")
+
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pack_plan(pdf.sort_values("rank"), budget, compress)
-        for name, value in zip(by, key, strict=False):
-            out.insert(0, name, value)
-        return out
-
-    keys = by or ("repo",)
-    kinds = "".join(f"`{k}` {dict(costs.dtypes)[k]}, " for k in reversed(by))
-    rows = costs if by else costs.withColumn("repo", F.lit(1))
-    return rows.groupBy(*keys).applyInPandas(fold, f"{kinds}path string, tier string, tokens long, rank long, shape string, taken array<int>")
+        left, out = int(pdf["room"].iloc[0]), []
+        for r in pdf.sort_values("rank").itertuples():
+            got = choice(r, left, compress)
+            left -= got[1]
+            if got is not SKIP:
+                out.append((key[0], r.rank, *got, left))
+        return pd.DataFrame(out, columns=["repo", "rank", "tier", "tokens", "shape", "taken", "left"])
+
+    kind = "repo string, rank long, tier string, tokens long, shape string, taken array<int>, left long"
+    state, taken, turn = first.filter("not fits and since is not null").select("repo", "since", "room"), None, 0
+    while True:
+        near = parts.select("repo", "part", "least").join(state, "repo").filter("part >= since and least <= room")
+        near = near.withColumn("k", F.row_number().over(Window.partitionBy("repo").orderBy("part"))).filter(F.col("k") <= ahead)
+        near = work.table(near.select("repo", "part", "room"), f"near{turn}")
+        if near.isEmpty():
+            break
+        took = rows.drop("free", "need", "own", "path").join(near, ["repo", "part"]).filter("least <= room").groupBy("repo").applyInPandas(fold, kind)
+        took = work.table(took, f"took{turn}")
+        taken = took if taken is None else taken.unionByName(took)
+        after = near.groupBy("repo").agg((F.max("part") + 1).alias("since"), F.first("room").alias("was"))
+        after = after.join(took.groupBy("repo").agg(F.min("left").alias("left")), "repo", "left")
+        state, turn = work.table(after.select("repo", "since", F.coalesce("left", "was").alias("room")), f"state{turn}"), turn + 1
+    taken = rows.sparkSession.createDataFrame([], kind) if taken is None else taken
+    ends = taken.filter("left < 0").groupBy("repo").agg(F.min("rank").alias("end"))
+    all_ = rows.join(first.withColumnRenamed("room", "start"), "repo").join(ends, "repo", "left").join(taken.drop("left"), ["repo", "rank"], "left")
+    unread, closed, idle = F.col("full").isNull(), F.expr("since is null or part < since"), F.expr("least is null and start >= 0 and (end is null or rank < end)")
+    how = lambda whole, free, other, none: F.when(F.col("fits"), whole).when(unread, none).when(closed | idle, free).otherwise(F.coalesce(other, none))
+    nothing = F.array().cast("array<int>")
+    every = F.when(F.col("cut") & (F.size("sections") > 0), F.sequence(F.lit(0), F.size("sections") - 1)).otherwise(nothing)
+    mode = ("signatures", "summary", "summary") if compress else ("full", "whole", "sections")
+    return all_.select(
+        *(F.col(f"own.`{c}`").alias(c) for c in by), "path", how(F.lit("full"), F.lit(mode[0]), F.col("tier"), F.lit("skip")).alias("tier"), how(F.coalesce("full", F.lit(0)), F.col("free"), F.col("tokens"), F.lit(0)).cast("long").alias("tokens"), "rank",
+        how(F.lit("whole"), F.when(F.col("cut"), mode[2]).otherwise(mode[1]), F.col("shape"), F.lit("none")).alias("shape"), how(nothing, every, F.col("taken"), nothing).alias("taken"),
+    )
 
 
 def packed_content(packed: DataFrame, files: DataFrame, by: tuple = ()) -> DataFrame:
