@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
@@ -112,53 +112,66 @@ def steps_of(rounds: list[Round], p: Project, provider: Provider) -> list[Step]:
     return [Step(f"round-{r.number}", [f"round-{n}" for n in r.needs], run(r)) for r in rounds]
 
 
-OFF = "(AI analysis unavailable)"
+OFF = "not assessed: no model answered"
+#: Rows of facts that an answer in place of a model's lists at most; what it says of all of them is counted over all.
+LISTED = 1000
+
+
+def rows_of(df: DataFrame | None, limit: int, *order) -> list:
+    return df.orderBy(*order).limit(limit).collect() if df is not None else []
 
 
 def fallback_1(p: Project) -> dict:
-    files, deps, todos = p.facts["files"], p.facts.get("deps"), p.facts.get("todos")
-    total = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines")).first()
-    kinds = A.by_extension(files.select(T.extname("path").alias("extension"))).orderBy(F.desc("files"), "extension").limit(EXTENSIONS).collect()
-    prod = deps.filter("type = 'production'").orderBy("seq").limit(DEPS).select("name").collect() if deps is not None else []
-    marks = todos.orderBy("seq").limit(REMARKS).collect() if todos is not None else []
-    size = "small" if total["n"] < 50 else "medium" if total["n"] < 200 else "large"
+    files, deps = p.facts["files"], p.facts.get("deps")
+    total = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines")).withColumn("size", T.complexity("n")).first()
+    kinds = rows_of(A.by_extension(files.select(T.extname("path").alias("extension"))), EXTENSIONS, F.desc("files"), "extension")
+    prod = rows_of(deps.filter("type = 'production'").select("name", "seq") if deps is not None else None, DEPS, "seq")
     return {
-        "projectName": p.name, "primaryLanguage": kinds[0]["extension"] if kinds else "unknown", "purpose": OFF, "technicalLandscape": f"Total files: {total['n']}. Total lines: {total['lines']}. Extensions: " + ", ".join(f"{k['extension']}: {k['files']} files" for k in kinds),
-        "keyDependencies": [{"name": d["name"], "role": "production"} for d in prod], "entryPoints": [], "projectScale": {"fileCount": total["n"], "estimatedComplexity": size, "mainConcerns": []},
-        "techDebt": [f"[{t['marker']}] {t['text']} ({t['path']}:{t['line']})" for t in marks], "findings": ["AI analysis unavailable; showing raw static analysis data"], "openQuestions": [],
+        "projectName": p.name, "primaryLanguage": kinds[0]["extension"] if kinds else "unknown", "purpose": OFF, "technicalLandscape": f"{total['n']} files of {total['lines']} lines; " + ", ".join(f"{k['extension']} ({k['files']})" for k in kinds),
+        "keyDependencies": [{"name": d["name"], "role": "production"} for d in prod], "entryPoints": [], "projectScale": {"fileCount": total["n"], "estimatedComplexity": total["size"], "mainConcerns": []},
+        "techDebt": [f"{t['marker']} in {t['path']}:{t['line']}: {t['text']}" for t in rows_of(p.facts.get("todos"), REMARKS, "seq")], "findings": ["Counts of what was scanned, without a model's reading of it"], "openQuestions": [],
     }
 
 
 def fallback_2(p: Project) -> dict:
-    """Folders of the first level as modules, with the files below them; a repository's listing comes to the driver."""
-    top = p.facts["files"].filter(F.contains("path", F.lit("/")) & ~F.startswith("path", F.lit("."))).groupBy(T.top_dir("path").alias("dir")).agg(F.sort_array(F.collect_list("path")).alias("files"))
-    modules = [{"name": r["dir"], "path": r["dir"], "purpose": OFF, "publicApi": [], "files": r["files"]} for r in top.orderBy("dir").collect()]
-    return {"modules": modules, "relationships": [], "boundaryIssues": ["Module boundaries approximated from directory structure"], "findings": [], "openQuestions": []}
+    """Folders of the first level as modules, the first LISTED of them, each with the first LISTED files below it."""
+    below = p.facts["files"].filter(F.contains("path", F.lit("/")) & ~F.startswith("path", F.lit("."))).select(T.top_dir("path").alias("dir"), "path")
+    first = below.withColumn("k", F.row_number().over(Window.partitionBy("dir").orderBy("path"))).filter(F.col("k") <= LISTED)
+    top = first.groupBy("dir").agg(F.sort_array(F.collect_list("path")).alias("files"))
+    modules = [{"name": r["dir"], "path": r["dir"], "purpose": OFF, "publicApi": [], "files": r["files"]} for r in rows_of(top, LISTED, "dir")]
+    return {"modules": modules, "relationships": [], "boundaryIssues": ["Folders of the first level stand in for modules"], "findings": [], "openQuestions": []}
 
 
 def fallback_3(p: Project) -> dict:
-    return {"features": [], "crossModuleFlows": [], "findings": ["Feature extraction unavailable"]}
+    return {"features": [], "crossModuleFlows": [], "findings": ["Features are not told by facts alone"]}
 
 
 def fallback_4(p: Project) -> dict:
-    return {"patterns": [], "dataFlow": [], "findings": ["Architecture detection unavailable"]}
+    return {"patterns": [], "dataFlow": [], "findings": ["Patterns are not told by facts alone"]}
 
 
 def fallback_5(p: Project) -> dict:
-    """Remarks by folder as edge cases: the first of the first folders."""
+    """Remarks as edge cases: the first of the first folders, where they stand and with their markers."""
     from factloom.operators import rounds
 
-    todos = p.facts.get("todos")
-    rows = rounds.remarks_by_folder(todos).orderBy("first").collect() if todos is not None else []  # ten at most
-    none = {"strategy": OFF, "gaps": [], "patterns": []}
-    return {"modules": [{"moduleName": r["folder"], "edgeCases": [{"description": t, "file": r["folder"], "severity": "info", "evidence": t} for t in r["items"]], "conventions": [], "errorHandling": none} for r in rows], "crossCuttingConventions": [], "findings": ["Showing TODO/FIXME markers only"]}
+    todos, none = p.facts.get("todos"), {"strategy": OFF, "gaps": [], "patterns": []}
+    found = rows_of(rounds.remarks_by_folder(todos) if todos is not None else None, rounds.FOLDERS, "first")
+    case = lambda r: {"description": r["text"], "file": r["path"], "line": r["line"], "severity": "info", "evidence": f"{r['marker']}: {r['text']}"}
+    return {"modules": [{"moduleName": r["folder"], "edgeCases": [case(x) for x in r["remarks_listed"]], "conventions": [], "errorHandling": none} for r in found], "crossCuttingConventions": [], "findings": ["Edge cases are the remarks that the code holds"]}
 
 
 def fallback_6(p: Project) -> dict:
-    ci = reports.ci_files(p.facts["files"]).orderBy("path").limit(100).collect()
-    provider = next((r["provider"] for r in ci if r["provider"]), None)
-    docker = any(re.search(reports.CONTAINERS, r["path"], re.I) for r in ci)
-    return {"deployment": {"platform": None, "ciProvider": provider, "containerized": docker, "evidence": [r["path"] for r in ci]}, "envVars": [], "buildProcess": {"commands": [], "artifacts": [], "scripts": {}}, "infrastructure": [], "findings": ["Deployment inferred from files only"]}
+    """What names of files tell of deployment, over all files; of providers the one of the last path. Variables come from env
+    files, commands are told by naming the manifests that hold them."""
+    ci, env, deps = reports.ci_files(p.facts["files"]), p.facts.get("env_files"), p.facts.get("deps")
+    said = ci.agg(F.max_by("provider", F.when(F.col("provider").isNotNull(), F.col("path"))).alias("provider"), F.coalesce(F.bool_or(F.rlike("path", F.lit(f"(?i){reports.CONTAINERS}"))), F.lit(False)).alias("docker")).first()
+    variables = rows_of(env.select("path", F.posexplode("variables").alias("i", "name")) if env is not None else None, LISTED, "path", "i")
+    built = deps.filter(F.col("manager").isin("npm", "yarn", "pnpm") | (T.basename("path") == "package.json")).select("path").distinct() if deps is not None else None
+    return {
+        "deployment": {"platform": None, "ciProvider": said["provider"], "containerized": said["docker"], "evidence": [f"file {r['path']}" for r in rows_of(ci, LISTED, "path")] or ["no file of a known CI system or container"]},
+        "envVars": [{"name": v["name"], "purpose": OFF, "required": True, "source": v["path"]} for v in variables], "buildProcess": {"commands": [f"scripts of {r['path']}" for r in rows_of(built, LISTED, "path")], "artifacts": [], "scripts": {}},
+        "infrastructure": [], "findings": ["Deployment as far as names of files tell it"],
+    }
 
 
 FALLBACKS: dict[int, Callable[[Project], dict[str, Any]]] = {1: fallback_1, 2: fallback_2, 3: fallback_3, 4: fallback_4, 5: fallback_5, 6: fallback_6}

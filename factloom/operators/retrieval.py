@@ -115,7 +115,7 @@ def answers(matches: DataFrame, by: tuple = (), name: str = "query") -> DataFram
     gate, context = evidence(matches, by), prompt_context(matches, by)
     cited = citations(matches, by).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "source_file", "section_path", "chunk_index"))), lambda c: F.struct(c["source_file"].alias("source_file"), c["section_path"].alias("section_path"), c["chunk_index"].alias("chunk_index"))).alias("citations"))
     both = gate.join(context, list(by)).join(cited, list(by)) if by else gate.crossJoin(context).crossJoin(cited)  # one row each
-    ask = F.concat(F.lit('I need clarification before answering "'), F.col(name) if name in by else F.lit(name), F.lit('". '), F.array_join("reasons", " "), F.lit(" Please narrow your request to a specific subsystem, command, or file path."))
+    ask = F.concat(F.lit('Before "'), F.col(name) if name in by else F.lit(name), F.lit('" can be answered: '), F.array_join("reasons", " "), F.lit(" Name a module, a command or a file to look at."))
     return both.select(*by, F.when(F.col("weak"), "clarification").otherwise("answer").alias("kind"), F.when(F.col("weak"), ask).alias("question"), F.when(~F.col("weak"), F.col("context")).alias("context"), "citations")
 
 
@@ -204,10 +204,10 @@ def evidence(matches: DataFrame, by: tuple = ()) -> DataFrame:
     gap = F.greatest(F.lit(0.0), F.col("top") - F.col("second"))
     a = a.withColumn("conflicting", (gap >= GAP) & (F.col("second") > 0))
     why = F.array(
-        F.when(F.col("top") < TOP, F.format_string(f"Top result relevance is %.2f%%, below {TOP:.2f}%%.", "top")), F.when(F.col("second") < SECOND, F.format_string(f"Second result relevance is %.2f%%, below {SECOND:.2f}%%.", "second")),
-        F.when(F.col("sources") < SOURCES, "Evidence comes from a single source file, reducing cross-document confidence."), F.when(F.col("conflicting"), F.format_string("Evidence is inconsistent (top-two relevance gap %.2f%% suggests conflicting support).", gap)),
+        F.when(F.col("top") < TOP, F.format_string(f"The best match has %.2f%% of the {TOP:.2f}%% that it needs.", "top")), F.when(F.col("second") < SECOND, F.format_string(f"The next match has %.2f%% of the {SECOND:.2f}%% that it needs.", "second")),
+        F.when(F.col("sources") < SOURCES, "All matches are of one file."), F.when(F.col("conflicting"), F.format_string("The two best matches lie %.2f%% apart, as if they disagreed.", gap)),
     )
-    reasons = F.when(F.col("n") == 0, F.array(F.lit("No matching documentation chunks were found."))).otherwise(F.filter(why, lambda x: x.isNotNull()))
+    reasons = F.when(F.col("n") == 0, F.array(F.lit("Nothing in the index matches."))).otherwise(F.filter(why, lambda x: x.isNotNull()))
     return a.withColumn("reasons", reasons).withColumn("weak", F.size("reasons") > 0).drop("n")
 
 

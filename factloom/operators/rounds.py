@@ -74,14 +74,19 @@ def failure_line(counts: DataFrame) -> DataFrame:
     return counts.select(F.concat(F.lit("AI analysis: "), F.col("succeeded").cast("string"), F.lit("/"), F.col("rounds").cast("string"), F.lit(" rounds complete"), some, F.lit(", "), F.col("validated").cast("string"), F.lit(" claims validated, "), F.col("corrected").cast("string"), F.lit(" corrected")).alias("line"))
 
 
-def remarks_by_folder(todos: DataFrame, folders: int = 10, items: int = 5) -> DataFrame:
+#: Folders and remarks of each that stand in for edge cases.
+FOLDERS, FOLDER_ITEMS = 10, 5
+
+
+def remarks_by_folder(todos: DataFrame, folders: int = FOLDERS, items: int = FOLDER_ITEMS) -> DataFrame:
     """The first folders of the first level in the order of their first remark, with how many remarks each has and the
-    first of them; todos(path, text, seq)."""
+    first of them, as texts and whole; todos(path, text, seq), and line and marker where they are known."""
     t = todos.withColumn("folder", T.top_dir("path"))
     top = t.groupBy("folder").agg(F.min("seq").alias("first"), F.count("*").alias("remarks")).orderBy("first", "folder").limit(folders)
     few = t.withColumn("k", F.row_number().over(Window.partitionBy("folder").orderBy("seq"))).filter(F.col("k") <= items)
-    listed = few.groupBy("folder").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias("items"))
-    return top.join(listed, "folder").select("folder", "first", "remarks", "items")
+    fields = ["k", *(c for c in ("text", "path", "line", "marker") if c in todos.columns)]
+    listed = few.groupBy("folder").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("remarks_listed"))
+    return top.join(listed, "folder").select("folder", "first", "remarks", F.transform("remarks_listed", lambda x: x["text"]).alias("items"), "remarks_listed")
 
 
 def dependency_counts(deps: DataFrame) -> DataFrame:

@@ -224,7 +224,7 @@ def module_diagram(spark, sf):
 @query("WITH t AS (SELECT concat('src', event_id % 14, '/f') AS path, event_type AS text, event_id AS seq, concat('src', event_id % 14) AS folder FROM events), g AS (SELECT folder, min(seq) AS first, count(*) AS remarks FROM t GROUP BY 1 ORDER BY 2 LIMIT 10), k AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY seq) AS k FROM t QUALIFY k <= 5) SELECT folder, g.first, g.remarks, string_agg(text, ',' ORDER BY seq) AS items FROM g JOIN k USING (folder) GROUP BY ALL")
 def remarks_by_folder(spark, sf):
     e = load(spark, sf, "events").select(F.concat(F.lit("src"), (F.col("event_id") % 14).cast("string"), F.lit("/f")).alias("path"), F.col("event_type").alias("text"), F.col("event_id").alias("seq"))
-    return rounds.remarks_by_folder(e).withColumn("items", F.array_join("items", ","))
+    return rounds.remarks_by_folder(e).withColumn("items", F.array_join("items", ",")).drop("remarks_listed")
 
 
 @query("SELECT o_custkey AS path, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS production, count(*) FILTER (o_orderstatus = 'O') AS development, count(*) FILTER (o_orderstatus = 'P') AS peer, CAST(0 AS BIGINT) AS optional FROM orders GROUP BY 1")

@@ -93,7 +93,7 @@ def test_patterns_and_dispatch(spark):
     got = patterns.extract("import java.util.*;\n/**\n * Doc\n */\npublic class Foo<T> extends Bar {\n  private int add(int a, List<String> b) {\n    if (x) { }\n", "java")
     assert [(c["name"], c["extends"], c["docstring"]) for c in got["classes"]] == [("Foo", ["Bar"], "Doc")]
     assert [(f["name"], f["visibility"], [(p["name"], p["type"]) for p in f["parameters"]]) for f in got["functions"]] == [("add", "private", [("a", "int"), ("b", "List<String>")])]
-    assert patterns.extract("x = 1", "lua")["parse_errors"][0]["message"] == "No symbols extracted via regex fallback"
+    assert patterns.extract("x = 1", "lua")["parse_errors"][0]["message"] == "no line matches a pattern of a function, class or import"
     assert patterns.extract("  \n", "lua")["parse_errors"] == []
     assert [bare(x) for x in ("/** a\n * b\n */", "/// c", "# d")] == ["a\nb", "c", "d"]
     assert (extract.language_of("a.d.ts"), extract.language_of("a.R"), extract.language_of("a.TS"), extract.language_of("Makefile")) == ("typescript", "r", None, None)
@@ -166,10 +166,10 @@ def test_packed_contents(spark):
 def test_evidence(spark):
     judge = lambda rows: retrieval.evidence(spark.createDataFrame(rows, "relevance double, source_file string")).first()
     assert not judge([(80.0, "a"), (75.0, "b")])["weak"]
-    assert judge([])["reasons"] == ["No matching documentation chunks were found."]
+    assert judge([])["reasons"] == ["Nothing in the index matches."]
     assert (judge([(90.0, "a"), (60.0, "b")])["weak"], judge([(90.0, "a"), (60.0, "b")])["conflicting"]) == (True, True)
     weak = judge([(57.0, "a"), (50.0, "b")])
-    assert (weak["conflicting"], weak["reasons"]) == (False, ["Top result relevance is 57.00%, below 58.00%."])
+    assert (weak["conflicting"], weak["reasons"]) == (False, ["The best match has 57.00% of the 58.00% that it needs."])
     assert judge([(50.0, "a"), (90.0, "b")])["top"] == 90
     assert not judge([(80.0, "a")])["conflicting"]
 
@@ -184,7 +184,7 @@ def test_search_and_answers(spark):
     assert (answer["kind"], len(answer["citations"]), answer["context"].startswith("[1]\nsource_file: f0.md")) == ("answer", 4, True)
     back = retrieval.answers(found.withColumn("relevance", F.lit(10.0)), name="why").first()
     assert (back["kind"], back["context"]) == ("clarification", None)
-    assert back["question"].startswith('I need clarification before answering "why". Top result')
+    assert back["question"].startswith('Before "why" can be answered: The best match')
     assert [r["line"] for r in retrieval.footnotes(retrieval.citations(found)).orderBy("place").collect()][0] == "[1] f0.md :: S (chunk 0)"
     assert [r[0] for r in retrieval.sources(found).collect()] == ["f0.md", "f1.md"]
     empty, info = retrieval.search(c.limit(0), "q", lambda q: pytest.fail("nothing is indexed"))
