@@ -123,7 +123,7 @@ def build(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
 
         for b in batches:
             done = 0
-            for part in by_bytes(b.column(1)):
+            for part in by_bytes(b.column(1), min(4 << 20, segment_bytes)):
                 ids.append(b.column(0).slice(done, len(part)))
                 texts.append(part)
                 done, size = done + len(part), size + part.nbytes
