@@ -104,7 +104,7 @@ def best(groups: list[tuple], n_docs: int, k: int, docs, starts, ends, step: int
     return found, score[found]
 
 
-def build(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 16 << 20):
+def build(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 8 << 20):
     """The index of docs as a table of segments (INDEX), and each term's number of documents as (term, df).
 
     Every row is a document of its own, repeated ids too; null, empty and term-free texts are documents without terms and do
