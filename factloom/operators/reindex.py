@@ -46,30 +46,34 @@ def embedded(cut: DataFrame, embed, dims: int) -> DataFrame:
     return keyed.join(vectors.filter(F.size("embedding") == dims), "key").drop("key")
 
 
+def changes(docs: DataFrame, prints: DataFrame, embed, dims: int, force: bool = False, keep=lambda df, name: df) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What reindexing docs(doc_id, doc_type, source_file, content) changes: one row per document with its action and
+    number of chunks, the prints of those that were indexed, and their chunks with vectors. keep(table, name) may write what
+    is used more than once, so that nothing is embedded twice."""
+    now = docs.withColumn("fingerprint", T.document_fingerprint("source_file", "content"))
+    plan = keep(reports.reindex_plan(now, prints.select("doc_id", "fingerprint"), force).select("doc_id", "fingerprint", "action"), "plan")
+    cut = keep(chunks.chunk(docs.join(plan.filter("action = 'index'").select("doc_id"), "doc_id", "left_semi")), "cut")
+    found = keep(embedded(cut, embed, dims), "found")
+    n = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    outcome = plan.join(n(cut, "chunks"), "doc_id", "left").join(n(found, "vectors"), "doc_id", "left")
+    whole = F.coalesce("chunks", F.lit(0)) == F.coalesce("vectors", F.lit(0))
+    outcome = outcome.withColumn("action", F.when((F.col("action") == "index") & ~whole, "failed").otherwise(F.col("action")))
+    done = outcome.filter("action = 'index'").select("doc_id", "fingerprint", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunk_count"))
+    return outcome.select("doc_id", "action", F.coalesce("chunks", F.lit(0)).alias("chunks")), done, found.join(done.select("doc_id"), "doc_id", "left_semi")
+
+
 def reindex(docs: DataFrame, index: Index, embed, model: str, dims: int, force: bool = False) -> tuple[Index, DataFrame]:
     """The index of docs(doc_id, doc_type, source_file, content), and one row per document with whether it was
-    indexed, skipped or failed and its number of chunks.
+    indexed, skipped or failed and its number of chunks. `disk_index` keeps it between runs.
 
     Changed documents' old chunks go and their new ones enter together; documents that are no longer there keep theirs.
     A document fails if one of its chunks has no vector; then its old chunks and fingerprint stay. Documents of blank text
     are indexed with no chunk.
     """
     retrieval.check_index(stored(index.meta), model, dims, writing=True)
-    now = docs.withColumn("fingerprint", T.document_fingerprint("source_file", "content"))
-    plan = reports.reindex_plan(now, index.prints.select("doc_id", "fingerprint"), force).select("doc_id", "fingerprint", "action")
-    changed = now.join(plan.filter("action = 'index'").select("doc_id"), "doc_id", "left_semi").drop("fingerprint")
-    cut = chunks.chunk(changed)
-    found = embedded(cut, embed, dims)
-    n = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
-    outcome = plan.join(n(cut, "chunks"), "doc_id", "left").join(n(found, "vectors"), "doc_id", "left")
-    whole = F.coalesce("chunks", F.lit(0)) == F.coalesce("vectors", F.lit(0))
-    outcome = outcome.withColumn("action", F.when((F.col("action") == "index") & ~whole, "failed").otherwise(F.col("action")))
-    done = outcome.filter("action = 'index'").select("doc_id", "fingerprint", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunk_count"))
-    fresh = found.join(done.select("doc_id"), "doc_id", "left_semi").select(*index.chunks.columns)
-    table = index.chunks.join(done.select("doc_id"), "doc_id", "left_anti").unionByName(fresh)
-    prints = retrieval.upsert(index.prints, done, ["doc_id"])
-    meta = index.meta | {"embedding_model": model}
-    return Index(table.select(*index.chunks.columns), prints, meta), outcome.select("doc_id", "action", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+    outcome, done, fresh = changes(docs, index.prints, embed, dims, force)
+    table = index.chunks.join(done.select("doc_id"), "doc_id", "left_anti").unionByName(fresh.select(*index.chunks.columns))
+    return Index(table.select(*index.chunks.columns), retrieval.upsert(index.prints, done, ["doc_id"]), index.meta | {"embedding_model": model}), outcome
 
 
 def summary(outcome: DataFrame) -> DataFrame:

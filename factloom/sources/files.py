@@ -49,18 +49,13 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def discover(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFrame:
-    """Text files up to 2 MiB below root, without hidden ones and those that its .gitignore names, with their
-    contents; ignore: more globs."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(root.removeprefix("file://").rstrip("/")) + "/", "")
-    files = raw.filter(F.col("length") <= MAX_BYTES).select(path.alias("path"), F.col("length").alias("size"), "content").withColumn("extension", T.extname("path"))
-    skip = r"(^|/)\.|(^|/)(" + "|".join(map(re.escape, IGNORED)) + r")/"
-    files = files.filter(~F.rlike("path", F.lit(skip)) & ~F.lower("extension").isin(*("." + b for b in BINARY)))
-    files = files.filter(~ignored("path", ignore_rules(read_text(spark, f"{root.rstrip('/')}/.gitignore") or "")))
-    for g in ignore:
-        files = files.filter(~F.rlike("path", F.lit(glob_regex(g))))
-    return files.withColumn("content", F.decode("content", "UTF-8"))
+def discover(spark: SparkSession, root: str, ignore: list[str] = (), contents: bool = True) -> DataFrame:
+    """Text files up to 2 MiB below root in order of their paths, without hidden ones and those that ignore files
+    name, with their contents; ignore: more globs. See `tree`."""
+    from factloom.sources import tree
+
+    found = tree.scan(spark, root, ignore, contents).filter("warning is null").drop("warning")
+    return found.withColumn("content", F.decode("content", "UTF-8")).orderBy(F.collate("path", "UNICODE"), "path")
 
 
 def git_log(lines: DataFrame) -> DataFrame:
