@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators.written import Work
 
 #: What is tried after a specifier, in this order.
 SUFFIXES = ("", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js")
@@ -64,18 +65,70 @@ def connected(claims: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """All (a, b) where b is reached from a; paths double in length each round, so 64 rounds are beyond any graph.
-    RuntimeError if they are not enough, rather than an incomplete answer."""
-    paths, known = edges.select("a", "b").distinct(), -1
-    for _ in range(rounds):
-        paths = paths.unionByName(paths.alias("x").join(paths.alias("y"), F.expr("x.b = y.a")).select("x.a", "y.b")).distinct().checkpoint()
-        n = paths.count()
-        if n == known:
-            return paths
-        known = n
+    """All (a, b) where b is reached from a, for graphs whose pairs are the question; `reach` follows from given nodes only.
+    Each round joins the pairs that the last one found with pairs of the same length, so lengths double and 64 rounds are
+    beyond any graph. RuntimeError if they are not enough, rather than an incomplete answer."""
+    work = Work(edges.sparkSession, "closure")
+    known = fresh = work.table(edges.select("a", "b").distinct(), "pairs0")
+    for turn in range(1, rounds + 1):
+        longer = known.alias("x").join(fresh.alias("y"), F.expr("x.b = y.a")).select("x.a", "y.b").unionByName(fresh.alias("x").join(known.alias("y"), F.expr("x.b = y.a")).select("x.a", "y.b"))
+        fresh = work.table(longer.distinct().join(known, ["a", "b"], "left_anti"), f"fresh{turn}")
+        if fresh.isEmpty():
+            return known
+        known = known.unionByName(fresh)
     raise RuntimeError(f"paths still grew after {rounds} rounds")
 
 
+def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, hops) of what is reached from start(node) along edges(a, b), the start itself with 0 hops.
+
+    Semi-naive: a round follows the edges of the nodes that the last one found and keeps what is new, so work is in the edges
+    that are reached, and rounds are the longest way. Cycles end it like any other way.
+    """
+    work = Work(edges.sparkSession, "reach")
+    links = work.table(edges.select("a", F.col("b").alias("node")).distinct(), "edges")
+    fresh = known = work.table(start.select("node", F.lit(0).alias("hops")).filter("node is not null").distinct(), "found0")
+    turn = 0
+    while not fresh.isEmpty():
+        turn += 1
+        found = links.join(fresh.select(F.col("node").alias("a")), "a").select("node").filter("node is not null").distinct()
+        fresh = work.table(found.join(known.select("node"), "node", "left_anti").withColumn("hops", F.lit(turn)), f"found{turn}")
+        known = known.unionByName(fresh)
+    return known
+
+
+def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, layer) of each of nodes(node) by the longest way from a node that needs none; null for nodes on a cycle or
+    behind one. edges(a, b): b needs a; edges with an end that is no node count as met (they are `unknown_needs`).
+
+    Peeling: a layer's nodes leave together and tell the nodes behind them, whose number of open needs falls; only nodes that
+    were told are looked at. Rounds are the longest way.
+    """
+    work = Work(nodes.sparkSession, "layers")
+    known = nodes.select("node").filter("node is not null").distinct()
+    links = edges.select("a", "b").distinct().join(known.select(F.col("node").alias("a")), "a", "left_semi").join(known.select(F.col("node").alias("b")), "b", "left_semi")
+    links = work.table(links, "edges")
+    needs = links.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("open"))
+    needs = work.table(needs, "needs")
+    fresh = work.table(known.join(needs, "node", "left_anti").withColumn("layer", F.lit(0)), "layer0")
+    met, done, turn = None, fresh, 0
+    while not fresh.isEmpty():
+        turn += 1
+        told = links.join(fresh.select(F.col("node").alias("a")), "a").groupBy(F.col("b").alias("node")).agg(F.count("*").alias("met"))
+        told = told if met is None else told.join(met.withColumnRenamed("met", "before"), "node", "left").select("node", (F.col("met") + F.coalesce("before", F.lit(0))).alias("met"))
+        told = work.table(told.join(needs, "node").select("node", "met", "open"), f"told{turn}")
+        fresh = work.table(told.filter("met = open").select("node", F.lit(turn).alias("layer")), f"layer{turn}")
+        still = told.filter("met < open").select("node", "met")
+        met = still if met is None else work.table(met.join(told.select("node"), "node", "left_anti").unionByName(still), f"met{turn}")
+        done = done.unionByName(fresh)
+    return known.join(done, "node", "left")
+
+
+def unknown_needs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """G1: edges(a, b) whose node b needs one that is not there."""
+    return edges.join(nodes.select(F.col("node").alias("a")), "a", "left_anti")
+
+
 def validate_steps(steps: list[tuple[str, list[str]]]) -> dict:
     """G1: names that are unknown or given twice and, if there are none, those on or behind a cycle."""
     names = [s for s, _ in steps]

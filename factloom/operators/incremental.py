@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +44,37 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
+#: Characters of a glob's literal end by which paths find it.
+TAIL = 4
+
+
+def match_globs(globs: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, path) of the files(path) that each of globs(name, glob) matches, once.
+
+    An index of the globs by their literal folder, up to the first wildcard, and the literal end behind the last one: a path
+    probes it by equality with each of its folders and ends, and only globs that it finds meet it as regular expressions. One
+    scan of files, however many globs there are. Null globs and paths match nothing.
+    """
+    @F.arrow_udf("struct<folder string, tail string, regex string>")
+    def read(values: pa.Array) -> pa.Array:
+        out = []
+        for g in values.to_pylist():
+            parts = re.split(r"[*?]", g or "")
+            out.append({"folder": parts[0].rpartition("/")[0], "tail": parts[-1].rpartition("/")[2][-TAIL:], "regex": glob_regex(g or "")})
+        return pa.array(out, pa.struct([("folder", pa.string()), ("tail", pa.string()), ("regex", pa.string())]))
+
+    index = globs.filter("glob is not null").select("name", read("glob").alias("g")).select("name", "g.*").distinct()
+    deep = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(0), F.size(deep) - 1), lambda n: F.array_join(F.slice(deep, F.lit(1), n), "/"))
+    tails = F.transform(F.sequence(F.lit(0), F.lit(TAIL)), lambda n: F.when(n > 0, F.right("path", n)).otherwise(""))
+    probes = files.select("path").filter("path is not null").distinct().select("path", F.explode(F.array_distinct(folders)).alias("folder")).select("path", "folder", F.explode(F.array_distinct(tails)).alias("tail"))
+    return probes.join(index, ["folder", "tail"]).filter(F.rlike("path", F.col("regex"))).select("name", "path").distinct()
+
+
 def expand_globs(globs: list[tuple[str, str]], files: DataFrame) -> DataFrame:
     """(renderer, path) of the files that each glob matches."""
-    out = [files.filter(F.rlike("path", F.lit(glob_regex(g)))).select(F.lit(r).alias("renderer"), "path") for r, g in globs]
-    whole = out[0]
-    for df in out[1:]:
-        whole = whole.unionByName(df)
-    return whole.distinct()
+    listed = files.sparkSession.createDataFrame(globs, "name string, glob string")
+    return match_globs(listed, files).withColumnRenamed("name", "renderer")
 
 
 def resolve_aliases(tokens: DataFrame, aliases: DataFrame, groups: DataFrame) -> DataFrame:

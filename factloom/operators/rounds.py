@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators import inside
 
 #: Nodes that a diagram of modules, features and layers shows at most, characters of a configuration and of an
 #: infrastructure file that a round reads, and what output costs of the input's tokens.
@@ -22,34 +23,25 @@ def module_files(modules: DataFrame, facts: DataFrame, key: str = "path") -> Dat
 def module_tests(modules: DataFrame, tests: DataFrame) -> DataFrame:
     """Tests below a module's path or with its name anywhere in theirs; modules(module, path, files), tests(path, ...).
 
-    Tests below meet by their folders. Names inside paths meet every test, so this fits the modules of a repository, which
-    are sent to the tests: 10,000 at most, else it is an error.
+    Tests below meet by their folders, names inside paths by an index of grams, for any number of modules.
     """
     named = modules.filter(F.size("files") > 0)
-    if named.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 modules")
     own = tests.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.array_join(F.slice(F.split("path", "/"), 1, n), "/"))).alias("at"))
     below = own.filter("at != path").join(named.select("module", F.col("path").alias("at")), "at").select("module", *tests.columns)
-    inside = tests.join(F.broadcast(named.select("module")), F.contains(F.col("path"), F.col("module"))).select("module", *tests.columns)
-    return below.unionByName(inside).distinct()
+    held = inside.holders(named.select(F.col("module").alias("name")), tests.select(F.col("path").alias("text")))
+    found = tests.join(held.select(F.col("name").alias("module"), F.col("text").alias("path")), "path").select("module", *tests.columns)
+    return below.unionByName(found).distinct()
 
 
 def config_contents(configs: DataFrame, packed: DataFrame, chars: int = CONFIG_CHARS) -> DataFrame:
-    """Each configuration file with the packed file of its path, or else the first whose path ends like it, its content
-    cut to so many characters; skipped files have none. configs(file), packed(path, rank, tier, content).
+    """Each configuration file with the first packed file whose path ends like its path, its content cut to so many
+    characters; skipped files have none. configs(file), packed(path, rank, tier, content).
 
-    Ends of paths meet by equality: a packed path offers all its ends that begin a name, and a file all of its path; ends
-    that begin inside a name are found by the last name's end.
+    Files meet the paths that hold them by an index of grams, and then by the end of the path.
     """
-    name = T.basename("file")
-    by_name = packed.select("path", "rank", "tier", "content", T.basename("path").alias("name"))
-    whole = configs.select("file", name.alias("name")).join(by_name, "name").filter(F.endswith("path", F.col("file")))
-    part = configs.filter(~F.contains("file", F.lit("/"))).select("file", F.length("file").alias("n"))
-    sizes = [r[0] for r in part.select("n").distinct().limit(257).collect()]  # lengths of names, 255 at most
-    ends = by_name.select("*", F.explode(F.array(*(F.when(F.length("name") > n, F.substring("name", F.length("name") - n + 1, F.lit(n))) for n in sizes), F.lit(None).cast("string"))).alias("file")).filter("file is not null")
-    inside = part.select("file").join(ends, "file")
-    every = whole.select("file", "rank", "tier", "content").unionByName(inside.select("file", "rank", "tier", "content"))
-    first = every.groupBy("file").agg(F.min_by(F.struct("tier", "content"), "rank").alias("f"))
+    held = inside.holders(configs.select(F.col("file").alias("name")), packed.select(F.col("path").alias("text"))).filter(F.endswith("text", F.col("name")))
+    found = held.select(F.col("name").alias("file"), F.col("text").alias("path")).join(packed.select("path", "rank", "tier", "content"), "path")
+    first = found.groupBy("file").agg(F.min_by(F.struct("tier", "content"), "rank").alias("f"))
     return configs.join(first, "file", "left").select("file", F.when(F.col("f.tier") != "skip", F.substring("f.content", 1, chars)).alias("content"))
 
 

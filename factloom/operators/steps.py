@@ -10,7 +10,7 @@ from typing import Any, NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.graph import closure, validate_steps
+from factloom.operators.graph import reach, validate_steps
 
 
 class Step(NamedTuple):
@@ -68,7 +68,7 @@ def run(steps: list[Step], parallel: int = 8, seen: Callable[[str, str], None] =
 def states(steps: DataFrame, needs: DataFrame, failed: DataFrame) -> DataFrame:
     """G3 as a plan: steps(step) with their state when those of failed(step) fail; needs(step, needs)."""
     edges = needs.select(F.col("needs").alias("a"), F.col("step").alias("b"))
-    lost = closure(edges).join(failed.select(F.col("step").alias("a")).distinct(), "a").select(F.col("b").alias("step")).distinct().withColumn("state", F.lit("skipped"))
+    lost = reach(edges, edges.join(failed.select(F.col("step").alias("a")).distinct(), "a", "left_semi").select(F.col("b").alias("node"))).select(F.col("node").alias("step"), F.lit("skipped").alias("state"))
     own = failed.select("step").distinct().withColumn("own", F.lit("failed"))
     out = steps.join(lost, "step", "left").join(own, "step", "left")
     return out.select("step", F.coalesce("state", "own", F.lit("completed")).alias("state"))
