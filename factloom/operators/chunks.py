@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from array import array
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
@@ -17,90 +12,125 @@ SIZE, OVERLAP, SEPARATORS = 512, 75, ("\n\n", "\n", " ")
 #: White space at which texts are trimmed, and characters that end a line.
 SPACE = "\t\n\v\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 ENDS = "\n\r\u2028\u2029"
-HEADER = re.compile(f"(#{{1,3}})[{SPACE}]+([^{ENDS}]+)")
-ANY_HEADER = re.compile(f"(?:\\A|(?<=[{ENDS}]))#{{1,3}}[{SPACE}]")
+#: A line that is a header, and where one may begin in a text.
+HEADER = rf"\A(#{{1,3}})[{SPACE}]+([^{ENDS}]+)\z"
+ANY_HEADER = rf"(?:\A|(?<=[{ENDS}]))#{{1,3}}[{SPACE}]"
+#: Lengths are UTF-16 units: a character beyond the basic plane is followed by this one, which no text uses, as its second half.
+HALF = "\ufdd0"
+ASTRAL = r"[\x{10000}-\x{10FFFF}]"
+FIELDS = ("h1", "h2", "h3", "content", "preview")
+
+
+def units(text) -> Column:
+    """The text with a character for each UTF-16 unit."""
+    return F.when(F.rlike(text, F.lit(ASTRAL)), F.regexp_replace(text, f"({ASTRAL})", f"$1{HALF}")).otherwise(T.col(text))
+
+
+def characters(text) -> Column:
+    """The text of units; halves that lost their other half become U+FFFD."""
+    text = T.col(text)
+    whole = F.regexp_replace(F.regexp_replace(text, rf"\A{HALF}", "\ufffd"), rf"{ASTRAL}\z", "\ufffd")
+    return F.when(F.contains(text, F.lit(HALF)) | F.rlike(text, F.lit(rf"{ASTRAL}\z")), F.regexp_replace(whole, HALF, "")).otherwise(text)
+
+
+def trimmed(text) -> Column:
+    return F.btrim(text, F.lit(SPACE))
+
+
+def bound(value, use) -> Column:
+    """use(value), computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
-def units(text: str) -> str:
-    """A character for each UTF-16 code unit of the text: characters beyond the basic plane become two."""
-    return text if text.isascii() or max(text) < "\U00010000" else "".join(map(chr, array("H", text.encode("utf-16-le", "surrogatepass"))))
+def header_states(lines) -> Column:
+    """Of each header line its place and the headers that hold from it on: it clears those below its level."""
+    found = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.length(F.regexp_extract(x, HEADER, 1)).alias("level"), trimmed(F.regexp_extract(x, HEADER, 2)).alias("title")))
+    marks = F.filter(found, lambda m: m["level"] > 0)
+    none = F.array().cast("array<struct<i int, h1 string, h2 string, h3 string>>")
 
+    def follow(known, m):
+        last, level = F.get(known, F.size(known) - 1), m["level"]
+        held = lambda n: F.when(level == n, m["title"]).when(level > n, F.coalesce(last[f"h{n}"], F.lit(""))).otherwise("")
+        return F.concat(known, F.array(F.struct(m["i"].alias("i"), *(held(n).alias(f"h{n}") for n in (1, 2, 3)))))
 
-def characters(text: str) -> str:
-    """The text of UTF-16 code units; halves that lost their other half become U+FFFD."""
-    return text if text.isascii() else text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    return F.aggregate(marks, none, follow)
 
 
-def sections(text: str) -> list[tuple[str, str, str, str]]:
-    """(h1, h2, h3, body) between headers, blank ones too; a header clears those below it."""
-    lines = text.split("\n")
-    marks = [(i, m) for i, x in enumerate(lines) if x.startswith("#") and (m := HEADER.fullmatch(x))]
-    cuts = [i for i, _ in marks] + [len(lines)]
-    out, heads = [("", "", "", "\n".join(lines[: cuts[0]]))] if cuts[0] else [], ["", "", ""]
-    for (i, m), end in zip(marks, cuts[1:], strict=True):
-        level = len(m[1]) - 1
-        heads = [*heads[:level], m[2].strip(SPACE), *[""] * (2 - level)]
-        out.append((*heads, "\n".join(lines[i:end])))
-    return out
+def sections(lines, states) -> Column:
+    """(h1, h2, h3, body) between headers, blank ones too, and what stands before the first header."""
+    size = F.size(lines)
+    first = F.coalesce(F.get(states, F.lit(0))["i"], size)
+    body = lambda begin, end: F.array_join(F.slice(lines, begin + 1, end - begin), "\n")
+    before = F.when(first > 0, F.array(F.struct(F.lit("").alias("h1"), F.lit("").alias("h2"), F.lit("").alias("h3"), body(F.lit(0), first).alias("body"))))
+    after = F.transform(states, lambda s, k: F.struct(s["h1"].alias("h1"), s["h2"].alias("h2"), s["h3"].alias("h3"), body(s["i"], F.coalesce(F.get(states, k + 1)["i"], size)).alias("body")))
+    return F.concat(F.coalesce(before, F.array().cast("array<struct<h1 string, h2 string, h3 string, body string>>")), after)
 
 
-def boundary(text: str, start: int, most: int) -> int:
-    """Where a run from start ends: after the last of the most preferred separator that stands in its second half."""
-    end = start + most
-    if end >= len(text):
-        return len(text)
-    found = (text.rfind(s, start, end) + len(s) for s in SEPARATORS if text.rfind(s, start, end) - start > most / 2)
-    return next(found, end)
+def boundary(run, most: int) -> Column:
+    """How much of a run of `most` units is taken: up to and with the last of the most preferred separator in its second half."""
+    last = lambda s: F.length(run) - F.locate(s, F.reverse(run)) - len(s) + 1  # noqa: E731  separators read the same backwards
+    ends = [F.when((F.locate(s, F.reverse(run)) > 0) & (last(s) > most / 2), last(s) + len(s)) for s in SEPARATORS]
+    return F.coalesce(*ends, F.lit(most))
 
 
-def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
+def windows(text, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Runs of at most 4 * size units. The next run begins overlap tokens before the end of the last one, if that lies
-    beyond the length of the last piece that was kept, else at its end, so the first boundary has no overlap."""
-    out, start, end = [], 0, 0
-    while end < len(text):
-        end = boundary(text, start, 4 * size)
-        piece = text[start:end].strip(SPACE)
-        out += [piece] if piece else []
-        back = end - 4 * overlap
-        start = back if back > (len(out[-1]) if out else 0) else end
-    return out
-
-
-def chunk_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[dict]:
-    """None of blank text, one of text without headers, else those of each section; lengths are UTF-16 units."""
-    if not text.strip(SPACE):
-        return []
-    text = units(re.sub(r"\A---\n.*?\n---\n+", "", text, count=1, flags=re.S))
-    if not ANY_HEADER.search(text):
-        return [_chunk(("", "", ""), text.strip(SPACE))]
-    out = []
-    for *heads, body in sections(text):
-        body = body.strip(SPACE)
-        for piece in [body] if len(body) <= 4 * size else windows(body, size, overlap):
-            out.append(_chunk(heads, piece))
-    return out
+    beyond the length of the last piece that was kept, else at its end, so the first boundary has no overlap.
 
+    A fold over as many steps as there can be; runs are cut from blocks of their length, so that a step costs the same
+    wherever it is in the text.
+    """
+    most = 4 * size
+    state = "struct<start int, done boolean, last int, out array<string>>"
 
-FIELDS = ("h1", "h2", "h3", "content", "preview")
+    def runs(t) -> Column:
+        n = F.length(t["text"])
+        steps = F.sequence(F.lit(1), F.ceil(n / max(1, most // 2 - 4 * overlap)).cast("int") + 1)
+
+        def step(s, _):
+            at = F.floor(s["start"] / most).cast("int")
+            run = F.substring(F.concat(F.get(t["blocks"], at), F.coalesce(F.get(t["blocks"], at + 1), F.lit(""))), s["start"] % most + 1, F.lit(most))
+            taken = bound(run, lambda r: bound(F.when(s["start"] + most >= n, F.length(r)).otherwise(boundary(r, most)), lambda k: F.struct(k.alias("k"), trimmed(F.substring(r, F.lit(1), k)).alias("piece"))))
+
+            def after(x):
+                end, piece = s["start"] + x["k"], x["piece"]
+                last = F.when(piece != "", F.length(piece)).otherwise(s["last"])
+                back = end - 4 * overlap
+                out = F.when(piece != "", F.concat(s["out"], F.array(piece))).otherwise(s["out"])
+                return F.struct(F.when(back > last, back).otherwise(end).cast("int").alias("start"), (end >= n).alias("done"), last.cast("int").alias("last"), out.alias("out")).cast(state)
+
+            return F.when(s["done"], s).otherwise(bound(taken, after))
+
+        start = F.struct(F.lit(0).alias("start"), (n == 0).alias("done"), F.lit(0).alias("last"), F.array().cast("array<string>").alias("out")).cast(state)
+        return F.aggregate(steps, start, step)["out"]
+
+    return bound(F.struct(T.col(text).alias("text"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{most}}}"), F.lit(0)).alias("blocks")), runs)
+
+
+def pieces(text, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """(h1, h2, h3, piece) in units: none of blank text, one of text without headers, else those of each section."""
+    kind = "array<struct<h1 string, h2 string, h3 string, piece string>>"
+    piece = lambda x, p: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["h3"].alias("h3"), p.alias("piece"))
+    blank = F.struct(*(F.lit("").alias(h) for h in FIELDS[:3]))
+    whole = units(F.regexp_replace(text, r"\A---\n(?s:.*?)\n---\n+", ""))
+
+    def cut(x):
+        return bound(trimmed(x["body"]), lambda b: F.transform(F.when(F.length(b) <= 4 * size, F.array(b)).otherwise(windows(b, size, overlap)), lambda p: piece(x, p)))
 
+    def headed(t):
+        return bound(F.split(t, "\n"), lambda lines: bound(header_states(lines), lambda states: F.flatten(F.transform(sections(lines, states), cut))))
 
-def _chunk(heads, piece: str) -> dict:
-    """With what F25 shows of it: its first 200 units, trimmed."""
-    return dict(zip(FIELDS, map(characters, (*heads, piece, piece[:200].strip(SPACE))), strict=True))
+    made = bound(whole, lambda t: F.when(F.rlike(t, F.lit(ANY_HEADER)), headed(t).cast(kind)).otherwise(F.array(piece(blank, trimmed(t))).cast(kind)))
+    return F.when(trimmed(text) == "", F.array().cast(kind)).otherwise(made)
 
 
 def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """docs(doc_id, doc_type, source_file, content) as chunks with their place, headers, tokens and preview."""
-    @F.arrow_udf(f"array<struct<{', '.join(f'{c} string' for c in FIELDS)}>>")
-    def cut(contents: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([(c, pa.string()) for c in FIELDS]))
-        for a in contents:
-            yield pa.array((chunk_text(t.as_py() or "", size, overlap) for t in a), kind)
-
-    rows = docs.select("doc_id", "doc_type", "source_file", F.posexplode(cut("content")).alias("chunk_index", "c"))
-    return rows.select(
-        "doc_id", "doc_type", "source_file", "chunk_index", T.section_path("c.h1", "c.h2", "c.h3").alias("section_path"), "c.h1", "c.h2", "c.h3", T.estimate_tokens("c.content").cast("int").alias("token_count"), F.col("c.preview").alias("content_preview"), "c.content"
-    )
+    """docs(doc_id, doc_type, source_file, content) as chunks with their place, headers, tokens and preview (F25: the
+    first 200 units, trimmed). Expressions of one row, without Python and without a shuffle. Null contents count as empty."""
+    rows = docs.select("doc_id", "doc_type", "source_file", F.posexplode(pieces(F.coalesce("content", F.lit("")), size, overlap)).alias("chunk_index", "c"))
+    text = {"h1": "c.h1", "h2": "c.h2", "h3": "c.h3", "content": "c.piece", "preview": trimmed(F.substring("c.piece", 1, 200))}
+    rows = rows.select("doc_id", "doc_type", "source_file", "chunk_index", *(characters(x).alias(n) for n, x in text.items()))
+    return rows.select("doc_id", "doc_type", "source_file", "chunk_index", T.section_path("h1", "h2", "h3").alias("section_path"), "h1", "h2", "h3", T.estimate_tokens("content").cast("int").alias("token_count"), F.col("preview").alias("content_preview"), "content")
 
 
 def generated_docs(spark, path: str, index: str = "00-INDEX.md") -> DataFrame:

