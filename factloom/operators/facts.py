@@ -32,9 +32,10 @@ def per_group(df: DataFrame, n: int, by: list[str], *order) -> DataFrame:
 
 
 def owners(changes: DataFrame) -> DataFrame:
-    """A10: for each path the author of most changes; of equals the one seen first. changes(path, author, seq)."""
+    """A10: for each path the author of most changes; of equals the one seen first, of those seen
+    together the last by name. changes(path, author, seq)."""
     n = changes.groupBy("path", "author").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    return n.groupBy("path").agg(F.max_by("author", F.struct("n", (-F.col("first")).alias("f"))).alias("owner"), F.max("n").alias("changes"))
+    return n.groupBy("path").agg(F.max_by("author", F.struct("n", (-F.col("first")).alias("f"), "author")).alias("owner"), F.max("n").alias("changes"))
 
 
 def contributors(commits: DataFrame) -> DataFrame:

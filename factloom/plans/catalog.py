@@ -122,8 +122,7 @@ def most_changed_top30(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, first, author DESC) AS k FROM n) SELECT path, author AS owner, n AS changes FROM r WHERE k = 1""")
 def ownership_argmax(spark, sf):
     c = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("path"), F.col("l_suppkey").alias("author"), F.col("l_orderkey").alias("seq"))
-    n = c.groupBy("path", "author").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    return n.groupBy("path").agg(F.max_by("author", F.struct("n", (-F.col("first")).alias("f"), "author")).alias("owner"), F.max("n").alias("changes"))
+    return facts.owners(c)
 
 
 @query("SELECT age, count(*) AS n FROM (SELECT CASE WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') <= 30 THEN 'active' WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') >= 90 THEN 'stale' ELSE 'between' END AS age FROM orders) GROUP BY 1")
@@ -330,9 +329,9 @@ def alias_resolution(spark, sf):
     return incremental.resolve_aliases(tokens, n.select(F.lower("n_name").alias("alias"), F.col("n_nationkey").cast("string").alias("doc")), groups)
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, 0 AS chunk_index, 'Root' AS section_path, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS hash FROM documents WHERE regexp_matches(text, '\\S') AND NOT regexp_matches(text, '(?m)^#{1,3}\\s+.+$')")
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, 0 AS chunk_index, 'Root' AS section_path, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS hash FROM documents WHERE regexp_matches(text, '\\S')")
 def chunk_headerless(spark, sf):
-    d = load(spark, sf, "documents").filter(~F.rlike("text", F.lit(r"(?m)^#{1,3}\s+.+$")))
+    d = load(spark, sf, "documents")
     c = chunks.chunk(d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("doc_type"), F.col("source").alias("source_file"), F.col("text").alias("content")))
     return c.select("doc_id", "chunk_index", "section_path", F.sha2("content", 256).alias("hash"))
 

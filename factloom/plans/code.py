@@ -186,12 +186,11 @@ def qa_answers(spark, sf):
     return retrieval.answers(m, ("query_id",)).select("query_id", "kind", F.size("citations").alias("cited"))
 
 
-@query("""WITH d AS (SELECT doc_id::VARCHAR AS doc_id, doc_id AS id, source, text FROM documents WHERE regexp_matches(text, '\\S') AND NOT regexp_matches(text, '(?m)^#{1,3}\\s')),
+@query("""WITH d AS (SELECT doc_id::VARCHAR AS doc_id, doc_id AS id, source, text FROM documents WHERE regexp_matches(text, '\\S')),
 n AS (SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) ELSE 'old' END AS content, CASE WHEN source IN ('src1', 'src2') THEN 2 ELSE 1 END AS dims FROM d)
 SELECT * FROM n UNION ALL SELECT 'gone', 'old', 1""")
 def reindexed(spark, sf):
-    d = load(spark, sf, "documents").filter(F.rlike("text", F.lit(r"\S")) & ~F.rlike("text", F.lit(r"(?m)^#{1,3}\s")))
-    docs = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("doc_type"), F.col("source").alias("source_file"), F.col("text").alias("content"))
+    docs = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("doc_type"), F.col("source").alias("source_file"), F.col("text").alias("content"))
     known = docs.filter("source_file != 'src1'").select("doc_id", F.when(F.col("source_file") == "src2", "stale").otherwise(T.document_fingerprint("source_file", "content")).alias("fingerprint"), F.lit(1).cast("long").alias("chunk_count"))
     empty = reindex.new(spark, "m", 2)
     row = lambda ids: ids.select("doc_id", *(F.lit(None).cast(dict(empty.chunks.dtypes)[c]).alias(c) for c in empty.chunks.columns[1:-2]), F.lit("old").alias("content"), F.array(F.lit(0.0).cast("float")).alias("embedding"))
@@ -201,10 +200,10 @@ def reindexed(spark, sf):
     return after.chunks.select("doc_id", F.when(F.size("embedding") == 2, F.sha2("content", 256)).otherwise(F.col("content")).alias("content"), F.size("embedding").alias("dims"))
 
 
-@query("SELECT source, sha256(string_agg(concat(doc_id, ':', sha256(text)), chr(10) ORDER BY doc_id::VARCHAR)) AS fingerprint FROM documents WHERE source = 'src3' GROUP BY 1")
+@query("SELECT source, sha256(string_agg(concat(doc_id, ':', sha256(text)), chr(10) ORDER BY doc_id::VARCHAR)) AS fingerprint FROM documents GROUP BY 1")
 def repository_print(spark, sf):
-    d = load(spark, sf, "documents").filter("source = 'src3'").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("hash"))
-    return settings.repository_print(d).select(F.lit("src3").alias("source"), "fingerprint")
+    d = load(spark, sf, "documents").select("source", F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("hash"))
+    return settings.repository_print(d, "source")
 
 
 @query("WITH p AS (SELECT conv_id, list(concat(role, turn) ORDER BY turn) AS p FROM conversations GROUP BY 1) SELECT conv_id AS name, i - 1 AS place, p[i] AS \"from\", p[i + 1] AS \"to\" FROM p, unnest(range(1, len(p))) t(i)")
@@ -263,14 +262,14 @@ def recent_commits(spark, sf):
     return facts.recent(load(spark, sf, "events").select(F.col("event_id").alias("seq"), "event_type"))
 
 
-@query("SELECT concat('f', user_id) AS path, count(*) AS todos FROM events WHERE event_type <> 'view' GROUP BY 1")
+@query("SELECT concat('f', user_id) AS path, count(*) AS todos FROM events GROUP BY 1")
 def remark_counts(spark, sf):
-    return facts.remark_counts(load(spark, sf, "events").filter("event_type != 'view'").select(F.concat(F.lit("f"), "user_id").alias("path")))
+    return facts.remark_counts(load(spark, sf, "events").select(F.concat(F.lit("f"), "user_id").alias("path")))
 
 
-@query("WITH o AS (SELECT DISTINCT unnest([o_custkey % 4 + 3, o_orderkey % 3 + 9]) AS r FROM orders WHERE o_orderkey % 5 = 0) SELECT r AS round FROM o UNION SELECT n_nationkey // 3 FROM nation JOIN o ON n_nationkey = r WHERE n_nationkey > 0")
+@query("WITH o AS (SELECT DISTINCT unnest([o_custkey % 4 + 3, o_orderkey % 3 + 9]) AS r FROM orders) SELECT r AS round FROM o UNION SELECT n_nationkey // 3 FROM nation JOIN o ON n_nationkey = r WHERE n_nationkey > 0")
 def rounds_needed(spark, sf):
-    docs = load(spark, sf, "orders").filter("o_orderkey % 5 = 0").select(F.array((F.col("o_custkey") % 4 + 3).cast("long"), (F.col("o_orderkey") % 3 + 9).cast("long")).alias("rounds"))
+    docs = load(spark, sf, "orders").select(F.array((F.col("o_custkey") % 4 + 3).cast("long"), (F.col("o_orderkey") % 3 + 9).cast("long")).alias("rounds"))
     deps = load(spark, sf, "nation").filter("n_nationkey > 0").select(F.col("n_nationkey").cast("long").alias("round"), F.floor(F.col("n_nationkey") / 3).alias("needs"))
     return incremental.rounds_needed(docs, deps)
 

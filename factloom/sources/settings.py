@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import random
 import time
@@ -107,10 +108,32 @@ def embedder(post: Callable[[list[str]], list[dict]], dims: int, batch: int = BA
     return lambda rows: rows.select("key", "content").mapInArrow(run, "key string, embedding array<float>")
 
 
-def repository_print(files: DataFrame) -> DataFrame:
-    """one hash of all paths and hashes, in the order of paths as people sort them; files(path, hash).
+def repository_print(files: DataFrame, by: str | None = None) -> DataFrame:
+    """one hash of all paths and hashes, in the order of paths as people sort them, of each repository (`by`) or of all;
+    files(by, path, hash). (by, fingerprint); none of no files.
 
-    The lines of one repository meet in one row by definition, 100 bytes or so for each file.
+    A hash is made of a repository's lines one after the other: they are sorted on disk and pass through one task, which
+    holds a batch of them and not the repository.
     """
-    line = F.struct(F.collate("path", "UNICODE").alias("k"), F.col("path"), F.concat_ws(":", "path", "hash").alias("line"))
-    return files.agg(T.content_hash(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n")).alias("fingerprint"))
+    repo = F.col(by).cast("string") if by else F.lit("")
+    rows = files.select(repo.alias("repo"), F.concat_ws(":", "path", "hash").alias("line"), F.collate("path", "UNICODE").alias("k"), "path")
+    ordered = rows.repartition("repo").sortWithinPartitions("repo", "k", "path").select("repo", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repo, made = None, None
+        for b in batches:
+            done = []
+            for name, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if made is None or name != repo:
+                    done += [(repo, made)] if made else []
+                    repo, made = name, hashlib.sha256(line.encode())
+                else:
+                    made.update(b"\n" + line.encode())
+            yield prints(done)
+        yield prints([(repo, made)] if made else [])
+
+    def prints(done: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in done], pa.string()), pa.array([m.hexdigest() for _, m in done], pa.string())], names=["repo", "fingerprint"])
+
+    found = ordered.mapInArrow(run, "repo string, fingerprint string")
+    return found.withColumnRenamed("repo", by) if by else found.select("fingerprint")
