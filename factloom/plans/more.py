@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import graph, incremental, rounds
+from factloom.functions import text as T
+from factloom.operators import briefs, graph, incremental, rounds
 from factloom.operators.written import Work
 from factloom.plans.catalog import PATHS, load, query
 from factloom.sources import payloads
@@ -142,3 +143,158 @@ CASE WHEN p IS NULL THEN 'no payload' WHEN j IS NULL THEN 'no JSON' WHEN o IS NU
 def payloads_read(spark, sf):
     rows = payloads.read(load(spark, sf, "events").select("event_id", F.expr(PAYLOAD).alias("p")), "p", {"k": "$.k as long"}, {"noted": "$.note.by as string"})
     return rows.select("event_id", F.coalesce("fields.k", F.lit(-1)).alias("k"), "fields.noted", "refused")
+
+
+def _part(number: int, title: str, rows: str) -> str:
+    """SQL of a section: rows(place, part, line), below their title if there are any."""
+    return f"SELECT {number} AS section, place, part, line FROM ({rows}) UNION ALL SELECT {number}, 0, 0, '{title}' WHERE EXISTS (SELECT 1 FROM ({rows}))"
+
+
+def _top(rows: str, limit: int, order: str, line: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY {order}) AS place, 0 AS part, {line} AS line FROM ({rows}) QUALIFY place <= {limit}"
+
+
+def _nest(number: int, title: str, rows: str, entries: int, items: int) -> str:
+    """SQL of lists inside entries: rows(key, item, seq)."""
+    t = f"(SELECT key, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, key) AS place FROM ({rows}) GROUP BY key QUALIFY place <= {entries})"
+    k = f"(SELECT key, item, row_number() OVER (PARTITION BY key ORDER BY seq, item) AS k FROM ({rows}) QUALIFY k <= {items})"
+    return _part(number, title, f"SELECT place, 0 AS part, concat('  ', key, ':') AS line FROM {t} UNION ALL SELECT place, k, concat('    ', item) FROM {t} t JOIN {k} k USING (key) UNION ALL SELECT place, {items + 1}, concat('    and ', n - {items}, ' more') FROM {t} WHERE n > {items}")
+
+
+def _heads(rows: str, entries: int, items: int, order: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY {order}) AS place, 0 AS part, concat('  ', key, ': ', array_to_string(items[1:{items}], ', '), CASE WHEN n > {items} THEN concat(' and ', n - {items}, ' more') ELSE '' END) AS line FROM (SELECT key, count(*) AS n, min(seq) AS seq, list(item ORDER BY seq, item) AS items FROM ({rows}) GROUP BY key) QUALIFY place <= {entries}"
+
+
+def _brief(*parts: str) -> str:
+    return f"SELECT section::INT AS section, place::INT AS place, part::INT AS part, line FROM ({' UNION ALL '.join(parts)})"
+
+
+FILES = "SELECT concat('d', doc_id % 7, '/', source, '/f', doc_id, '.', lang) AS path, strlen(text) AS size, len(string_split(text, chr(10))) AS lines FROM documents"
+IMPORTS = "SELECT concat('d', l_suppkey % 5, '/f', l_partkey, '.ts') AS path, CASE l_suppkey % 3 WHEN 0 THEN './' WHEN 1 THEN '@scope/' ELSE '' END || 's' || l_suppkey AS source, l_orderkey * 10 + l_linenumber AS seq FROM lineitem"
+EXPORTED = "SELECT concat('d', event_id % 3, '/f', user_id, '.ts') AS path, concat(event_type, event_id % 11) AS name, event_id AS seq FROM events"
+NOTES = "SELECT concat('d', n_regionkey, '/m', n_nationkey) AS path, n_name AS module, n_nationkey AS seq FROM nation"
+
+
+def _files(spark, sf):
+    d = load(spark, sf, "documents")
+    return d.select(F.concat(F.lit("d"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), "source", F.lit("/f"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("path"), F.octet_length("text").alias("size"), T.line_count("text").alias("lines"))
+
+
+def _imports(spark, sf):
+    source = F.concat(F.expr("CASE l_suppkey % 3 WHEN 0 THEN './' WHEN 1 THEN '@scope/' ELSE '' END"), F.lit("s"), F.col("l_suppkey").cast("string"))
+    return load(spark, sf, "lineitem").select(F.concat(F.lit("d"), (F.col("l_suppkey") % 5).cast("string"), F.lit("/f"), F.col("l_partkey").cast("string"), F.lit(".ts")).alias("path"), source.alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+
+
+def _exported(spark, sf):
+    return load(spark, sf, "events").select(F.concat(F.lit("d"), (F.col("event_id") % 3).cast("string"), F.lit("/f"), F.col("user_id").cast("string"), F.lit(".ts")).alias("path"), F.concat("event_type", (F.col("event_id") % 11).cast("string")).alias("name"), F.col("event_id").alias("seq"))
+
+
+def _modules(spark, sf):
+    n = load(spark, sf, "nation")
+    return n.select(F.col("n_nationkey").alias("seq"), F.col("n_name").alias("name"), F.concat(F.lit("d"), F.col("n_regionkey").cast("string"), F.lit("/m"), F.col("n_nationkey").cast("string")).alias("path"), F.lower("n_name").alias("purpose"), F.transform(F.sequence(F.lit(0), F.col("n_nationkey")), lambda i: F.concat(F.lit("f"), i.cast("string"))).alias("files"))
+
+
+@query(_brief(
+    _part(1, "# Size", f"SELECT unnest([1, 2, 3]) AS place, 0 AS part, unnest([concat('files: ', f), concat('folders: ', d), concat('lines: ', l)]) AS line FROM (SELECT count(*) AS f, sum(lines)::BIGINT AS l, (SELECT count(DISTINCT x) FROM (SELECT unnest([split_part(path, '/', 1), concat(split_part(path, '/', 1), '/', split_part(path, '/', 2))]) AS x FROM ({FILES}))) AS d FROM ({FILES}))"),
+    _part(2, "# Extensions", _top("SELECT lang, count(*) AS n FROM documents GROUP BY 1", briefs.EXTENSIONS, "n DESC, lang", "concat('  .', lang, ': ', n)")), _part(3, "# Largest files", _top(FILES, briefs.LARGEST, "size DESC, path", "concat('  ', path, ': ', lines, ' lines, ', size, ' bytes')")),
+    _part(4, "# Dependencies", _top("SELECT * FROM part", briefs.DEPENDENCIES, "p_partkey", "concat('  ', p_name, '@', p_brand, ' (', p_type, ')')")), _part(5, "# Latest commits", _top("SELECT * FROM orders", briefs.COMMITS, "o_orderkey", "concat('  ', left(md5(o_orderkey::VARCHAR), 7), ' ', o_orderpriority, ' (', o_custkey, ', ', o_orderstatus, ')')")),
+    _part(6, "# Contributors", _top("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1", briefs.PEOPLE, "n DESC, n_name", "concat('  ', n_name, ': ', n)")), _part(7, "# Documentation", "SELECT 1 AS place, 0 AS part, concat('  ', count(*), ' documents, 0 of them readmes') AS line FROM pages"),
+))
+def brief_overview(spark, sf):
+    o = load(spark, sf, "orders")
+    people = load(spark, sf, "customer").join(load(spark, sf, "nation"), F.expr("c_nationkey = n_nationkey")).groupBy(F.col("n_name").alias("name")).agg(F.count("*").alias("commits"))
+    return briefs.overview({
+        "files": _files(spark, sf), "deps": load(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("version"), F.col("p_type").alias("type"), F.col("p_partkey").alias("seq")), "people": people, "docs": load(spark, sf, "pages").select(F.expr(PATHS).alias("path")),
+        "commits": o.select(F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("hash"), F.col("o_orderpriority").alias("message"), F.col("o_custkey").alias("author"), F.col("o_orderstatus").alias("date"), F.col("o_orderkey").alias("seq")),
+    })
+
+
+IMPORTED_SQL = f"SELECT source, count(*) AS n FROM ({IMPORTS}) GROUP BY 1"
+FOLDERS_SQL = f"SELECT dir, count(*) FILTER (own) AS children FROM (SELECT unnest([split_part(path, '/', 1), concat(split_part(path, '/', 1), '/', split_part(path, '/', 2))]) AS dir, unnest([false, true]) AS own FROM ({FILES})) GROUP BY 1"
+
+
+@query(_brief(
+    _part(1, "# Languages", _top("SELECT lang, count(*) AS n FROM documents GROUP BY 1", 1000, "n DESC, lang", "concat('  ', lang, ': ', n, ' files')")), _part(2, "# Folders", _top(FOLDERS_SQL, briefs.FOLDERS, "dir", "concat('  ', dir, '/ (', children, ')')")),
+    _nest(3, "# Imports of files", f"SELECT path AS key, source AS item, seq FROM ({IMPORTS})", briefs.IMPORTERS, briefs.IMPORTS_2), _part(4, "# Most imported", _top(IMPORTED_SQL, briefs.IMPORTED, "n DESC, source", "concat('  ', source, ': ', n)")),
+    _part(5, "# Exports of files", _heads(f"SELECT path AS key, name AS item, seq FROM ({EXPORTED})", briefs.EXPORTERS_2, briefs.EXPORTS_2, "n DESC, key")),
+))
+def brief_modules(spark, sf):
+    return briefs.modules({"files": _files(spark, sf), "parsed": load(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.col("lang").alias("language")), "imports": _imports(spark, sf), "exports": _exported(spark, sf)})
+
+
+@query(_brief(
+    _part(1, "# Modules", _top(NOTES, 1000, "seq", f"concat('  ', module, ' (', path, '): ', lower(module), '; ', array_to_string(list_transform(range(0, least(seq + 1, {briefs.MODULE_FILES})), lambda i: concat('f', i)), ', '), CASE WHEN seq + 1 > {briefs.MODULE_FILES} THEN concat(' and ', seq + 1 - {briefs.MODULE_FILES}, ' more') ELSE '' END)")),
+    _part(2, "# Entry points", _top("SELECT * FROM region", 1000, "r_regionkey", "concat('  r', r_regionkey, ' (cli): ', r_name)")), _part(3, "# Exports of files", _heads(f"SELECT path AS key, name AS item, seq FROM ({EXPORTED})", briefs.EXPORTERS_3, briefs.EXPORTS_3, "n DESC, key")),
+    _nest(4, "# Imports of files", f"SELECT path AS key, source AS item, seq FROM ({IMPORTS})", briefs.IMPORTERS, briefs.IMPORTS_3), _part(5, "# Tests", _top("SELECT * FROM supplier", briefs.TESTS, "s_suppkey", "concat('  t/s', s_suppkey, ' (', s_name, ', ', s_nationkey, ')')")),
+))
+def brief_features(spark, sf):
+    entries = load(spark, sf, "region").select(F.col("r_regionkey").alias("seq"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("path"), F.lit("cli").alias("type"), F.col("r_name").alias("description"))
+    return briefs.features({"modules": _modules(spark, sf), "entries": entries, "exports": _exported(spark, sf), "imports": _imports(spark, sf), "tests": _tests(spark, sf)})
+
+
+def _tests(spark, sf):
+    return load(spark, sf, "supplier").select(F.concat(F.lit("t/s"), F.col("s_suppkey").cast("string")).alias("path"), F.col("s_name").alias("framework"), F.col("s_nationkey").alias("tests"), F.col("s_suppkey").alias("seq"))
+
+
+LAYERED = "SELECT DISTINCT concat(['services', 'api', 'x', 'y', 'Views'][o_orderkey % 5 + 1], o_custkey % 9) AS dir, ['service', 'api', NULL, NULL, 'view'][o_orderkey % 5 + 1] AS layer FROM orders"
+
+
+@query(_brief(
+    _part(1, "# Links of modules", _top("SELECT a.n_name AS a, b.n_name AS b, a.n_nationkey AS seq FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey * 7 + 3) % 25", 1000, "seq", "concat('  ', a, ' -> ', b, ' (uses): e', seq)")),
+    _part(2, "# Modules", _top(NOTES, 1000, "seq", f"concat('  ', module, ' (', path, '): ', lower(module), '; ', array_to_string(list_transform(range(0, least(seq + 1, {briefs.MODULE_API})), lambda i: concat('f', i)), ', '), CASE WHEN seq + 1 > {briefs.MODULE_API} THEN concat(' and ', seq + 1 - {briefs.MODULE_API}, ' more') ELSE '' END)")),
+    _part(3, "# Flows", _top("SELECT conv_id, array_to_string(list(role ORDER BY turn), ' -> ') AS p FROM conversations GROUP BY 1", 1000, "conv_id", "concat('  c', conv_id, ': ', p, '; talk')")), _part(4, "# Features", _top("SELECT * FROM part", briefs.FEATURES, "p_partkey", "concat('  ', p_name, ': ', p_type, ' [', p_brand, ', core]')")),
+    _part(5, "# Kinds of imports", _top(f"SELECT CASE WHEN starts_with(source, '.') THEN 'relative' WHEN starts_with(source, '@') THEN 'scoped-package' ELSE 'package' END AS class, count(*) AS n FROM ({IMPORTS}) GROUP BY 1", 10, "n DESC, class", "concat('  ', class, ': ', n)")),
+    _part(6, "# Folders named like layers", _top(f"SELECT * FROM ({LAYERED}) WHERE layer IS NOT NULL", briefs.LAYERS, "dir", "concat('  ', dir, ' (', layer, ')')")), _part(7, "# Files by folder", _top("SELECT concat(['services', 'api', 'x', 'y', 'Views'][o_orderkey % 5 + 1], o_custkey % 9) AS top, count(*) AS n FROM orders GROUP BY 1", briefs.TOP_FOLDERS, "n DESC, top", "concat('  ', top, '/: ', n)")),
+))
+def brief_architecture(spark, sf):
+    n = load(spark, sf, "nation")
+    links = n.join(n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("b")), F.expr("k = (n_nationkey * 7 + 3) % 25")).select(F.col("n_name").alias("a"), "b", F.col("n_nationkey").alias("seq"), F.lit("uses").alias("type"), F.concat(F.lit("e"), F.col("n_nationkey").cast("string")).alias("evidence"))
+    flows = load(spark, sf, "conversations").groupBy(F.col("conv_id").alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("path")).select("seq", F.concat(F.lit("c"), F.col("seq").cast("string")).alias("name"), "path", F.lit("talk").alias("description"))
+    made = load(spark, sf, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.array("p_brand", F.lit("core")).alias("modules"))
+    files = load(spark, sf, "orders").select(F.concat(F.expr("array('services', 'api', 'x', 'y', 'Views')[o_orderkey % 5]"), (F.col("o_custkey") % 9).cast("string"), F.lit("/f"), F.col("o_orderkey").cast("string")).alias("path"))
+    return briefs.architecture({"relationships": links, "modules": _modules(spark, sf).withColumnRenamed("files", "api"), "flows": flows, "features": made, "imports": _imports(spark, sf), "files": files})
+
+
+#: Modules of suppliers by nation, remarks from events, tests that hold a module's number anywhere in their path.
+EDGE = """WITH m AS (SELECT concat('n', s_nationkey, 'x') AS module, concat('d/', s_nationkey) AS path, list(concat('f', s_suppkey)) AS files FROM supplier GROUP BY s_nationkey),
+p AS (SELECT concat('f', s_suppkey) AS path, concat('fn', s_suppkey) AS fn, s_name AS ex FROM supplier),
+t AS (SELECT concat('f', user_id) AS path, event_id AS line, upper(event_type) AS marker, concat('at ', value) AS text, event_id AS seq FROM events),
+u AS (SELECT concat('t/n', c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE 'y' END, '/c', c_custkey) AS path, c_mktsegment AS framework, c_custkey % 5 AS tests, c_custkey AS seq FROM customer),
+o AS (SELECT module, unnest(files) AS path FROM m),
+a AS (SELECT module, 1 AS section, 1 AS place, concat('  ', module, ' (', path, '): ', len(files), ' files') AS line FROM m
+ UNION ALL SELECT module, 2, row_number() OVER (PARTITION BY module ORDER BY path), concat('  ', path, '; functions: ', fn, '; exports: ', ex) FROM o JOIN p USING (path)
+ UNION ALL SELECT module, 3, row_number() OVER (PARTITION BY module ORDER BY seq), concat('  ', marker, ' ', text, ' (', path, ':', line, ')') FROM o JOIN t USING (path)
+ UNION ALL SELECT module, 4, row_number() OVER (PARTITION BY module ORDER BY seq), concat('  ', u.path, ' (', framework, ', ', tests, ')') FROM m JOIN u ON contains(u.path, m.module)),
+l AS (SELECT * FROM a WHERE place <= CASE section WHEN 1 THEN 1 WHEN 2 THEN 20 WHEN 3 THEN 15 ELSE 10 END)
+SELECT module, section::INT AS section, place::INT AS place, 0 AS part, line FROM l UNION ALL SELECT DISTINCT module, section, 0, 0, CASE section WHEN 1 THEN '# Module' WHEN 2 THEN '# Sources' WHEN 3 THEN '# Remarks' ELSE '# Tests' END FROM l"""
+
+
+@query(EDGE)
+def brief_edge_cases(spark, sf):
+    s, e, c = load(spark, sf, "supplier"), load(spark, sf, "events"), load(spark, sf, "customer")
+    name = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
+    mods = s.groupBy("s_nationkey").agg(F.collect_list(name("f", "s_suppkey")).alias("files")).select(F.concat(name("n", "s_nationkey"), F.lit("x")).alias("module"), name("d/", "s_nationkey").alias("path"), "files")
+    parsed = s.select(name("f", "s_suppkey").alias("path"), F.array(name("fn", "s_suppkey")).alias("functions"), F.array("s_name").alias("exports"))
+    todos = e.select(name("f", "user_id").alias("path"), F.col("event_id").alias("line"), F.upper("event_type").alias("marker"), name("at ", "value").alias("text"), F.col("event_id").alias("seq"))
+    tests = c.select(F.concat(name("t/n", "c_nationkey"), F.expr("CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE 'y' END"), name("/c", "c_custkey")).alias("path"), F.col("c_mktsegment").alias("framework"), (F.col("c_custkey") % 5).alias("tests"), F.col("c_custkey").alias("seq"))
+    return briefs.edge_cases({"modules": mods, "parsed": parsed, "todos": todos, "tests": tests})
+
+
+#: Pages as files: every hundredth order of paths is one of a known system, and all of them are packed.
+CI_PATH = "concat('p', page_id, CASE page_id % 5 WHEN 0 THEN '/.github/workflows/ci.yml' WHEN 1 THEN '/Dockerfile' WHEN 2 THEN '/Jenkinsfile' ELSE '/src/a.ts' END)"
+
+
+@query(_brief(
+    _part(1, "# Env files", _top("SELECT concat('.env', o_custkey % 20) AS path, list(DISTINCT concat('V', o_orderkey % 50) ORDER BY concat('V', o_orderkey % 50)) AS v FROM orders GROUP BY 1", 1000, "path", f"concat('  ', path, ': ', array_to_string(v[1:{briefs.VARIABLES}], ', '), CASE WHEN len(v) > {briefs.VARIABLES} THEN concat(' and ', len(v) - {briefs.VARIABLES}, ' more') ELSE '' END)")),
+    _part(2, "# Variables in code", _heads("SELECT concat('K', user_id) AS key, concat('f', event_id % 7, ':', event_id) AS item, event_id AS seq FROM events", briefs.REFERENCED, briefs.SPOTS, "seq, key")),
+    _part(3, "# Build and deployment files", f"SELECT place, unnest(CASE WHEN kept THEN [0, 1] ELSE [0] END) AS part, unnest(CASE WHEN kept THEN [said, body] ELSE [said] END) AS line FROM (SELECT row_number() OVER (ORDER BY path) AS place, page_id % 10 > 2 AND html IS NOT NULL AS kept, concat('  ', path, [' (GitHub Actions)', '', ' (Jenkins)'][page_id % 5 + 1]) AS said, left(html, 3000) AS body FROM (SELECT *, {CI_PATH} AS path FROM pages) WHERE page_id % 5 < 3 QUALIFY place <= 1000)"),
+    _nest(4, "# Production dependencies", "SELECT concat('m', p_size % 6, '/package.json (npm)') AS key, concat(p_name, '@', p_brand) AS item, p_partkey AS seq FROM part WHERE p_partkey % 3 > 0", 1000, briefs.PRODUCTION).replace("concat('  ', key, ':')", "concat('  ', key)"),
+))
+def brief_deployment(spark, sf):
+    o, e, p, g = (load(spark, sf, t) for t in ("orders", "events", "part", "pages"))
+    name = lambda x, c: F.concat(F.lit(x), c.cast("string"))
+    env = o.groupBy(name(".env", F.col("o_custkey") % 20).alias("path")).agg(F.sort_array(F.collect_set(name("V", F.col("o_orderkey") % 50))).alias("variables"))
+    refs = e.select(name("K", F.col("user_id")).alias("variable"), name("f", F.col("event_id") % 7).alias("file"), F.col("event_id").alias("line"), F.col("event_id").alias("seq"))
+    files = g.select(F.expr(CI_PATH).alias("path"), F.col("page_id").alias("rank"), F.when(F.col("page_id") % 10 > 2, "full").otherwise("skip").alias("tier"), F.col("html").alias("content"))
+    deps = p.select(F.concat(name("m", F.col("p_size") % 6), F.lit("/package.json")).alias("path"), F.lit("npm").alias("manager"), F.col("p_name").alias("name"), F.col("p_brand").alias("version"), F.when(F.col("p_partkey") % 3 > 0, "production").otherwise("development").alias("type"), F.col("p_partkey").alias("seq"))
+    return briefs.deployment({"env_files": env, "env_refs": refs, "files": files.select("path"), "packed": files, "deps": deps})
