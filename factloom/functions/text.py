@@ -37,10 +37,23 @@ def human_size(n) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, F.format_string("%.1f KB", kb)).otherwise(F.format_string("%.1f MB", mb))
 
 
+def tenths(n, unit: int) -> Column:
+    """n / unit with one decimal, as the nearest double rounds: a tie of decimals goes where that double lies, an exact one up.
+    Which side it lies on is the sign of its error, from a product of its two halves that is exact."""
+    n = col(n)
+    x, half = n / F.lit(float(unit)), F.lit(134217729.0)  # 2^27 + 1 splits a double
+    high = x * half - (x * half - x)
+    error = (high * unit - n) + (x - high) * unit
+    rest, step = n % (unit // 10), unit // 10
+    up = (rest * 2 > step) | (rest * 2 == step) & (error >= 0)
+    k = F.floor(n / step) + up.cast("long")
+    return F.concat(F.floor(k / 10).cast("string"), F.lit("."), (k % 10).cast("string"))
+
+
 def short_count(n) -> Column:
     """tokens with K and M, one decimal unless it is 0."""
     n = col(n)
-    part = lambda unit, mark: F.concat(F.when(n % unit == 0, F.format_string("%d", F.floor(n / unit))).otherwise(F.format_string("%.1f", n / float(unit))), F.lit(f"{mark} tokens"))
+    part = lambda unit, mark: F.concat(F.when(n % unit == 0, F.format_string("%d", F.floor(n / unit))).otherwise(tenths(n, unit)), F.lit(f"{mark} tokens"))
     return F.when(n >= 1_000_000, part(1_000_000, "M")).when(n >= 1_000, part(1_000, "K")).otherwise(F.concat(n.cast("string"), F.lit(" tokens")))
 
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from factloom.plans import catalog, code, more  # noqa: F401
+from factloom.plans import catalog, code, formats, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")

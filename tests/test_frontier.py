@@ -72,3 +72,14 @@ def test_payloads(spark):
     assert "more: ARRAY" in whole.schema
     assert (whole.payloads, whole.refused) == (2, 0)
     assert payloads.read(spark.createDataFrame([], "p string"), "p", {"k": "$.k as int"}).count() == 0
+
+
+def test_tenths_round_as_doubles_do(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from factloom.functions import text as T
+
+    for unit in (1000, 1_000_000):
+        rows = [(n * unit // 1000 + d,) for n in range(1000, 9000, 50) for d in (-1, 0, 1)]
+        got = spark.createDataFrame(rows, "n long").select("n", T.tenths("n", unit).alias("t")).collect()
+        assert {x.n: x.t for x in got} == {n: str(Decimal(n / unit).quantize(Decimal("0.1"), ROUND_HALF_UP)) for (n,) in rows}
