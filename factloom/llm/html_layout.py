@@ -3,9 +3,12 @@
 A tree builder with the implied end tags of HTML keeps the open elements and, for each tag, where it is open, so that no
 search walks the tree. Text and breaks go into one stream for each box that needs its own layout (table cells, captions and
 preformatted text); lists, quotes and definitions only open and close an indent in it. What is not displayed is left out,
-by element, attribute and style; visibility can be given back to what lies inside hidden elements. Blocks begin on new
+by element, attribute, style and the page's own style rules; visibility can be given back to what lies inside hidden
+elements. Of rules those count whose selector is one of tag, classes and id together, outside at-rules; others, scripts and
+sheets of other files do not. Blocks begin on new
 lines, paragraphs and headings are set off by an empty line, list items have bullets or their numbers, and the cells of a
-table are aligned in columns, also below cells that span rows or columns. A cell spans 1,000 columns and 65,534 rows at
+table are aligned in columns, also below cells that span rows or columns; wide characters count two columns, combining ones
+none. A cell spans 1,000 columns and 65,534 rows at
 most, as in HTML. Two bounds keep hostile pages from growing as their square, and neither loses text: indents grow no more
 beyond 512 levels, and a table that alignment would make longer than 64 times its text (and 1 MB) has ragged columns.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import unicodedata
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,7 +33,11 @@ UNENDED = re.compile(r"<[!?/]|\Z")
 NAME = re.compile(r"[\s/]*+(=?[^\s/>=]*+)(?:\s*+(=)\s*+)?")
 BARE = re.compile(r"[^\s>]*+")
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+STYLE = re.compile(r"(?:^|;)\s*(display|visibility|white-space)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: An at-rule, which is passed over, or a rule's selectors and declarations.
+CSS_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]|\{[^{}]*\})*\}?)|(?P<of>[^{}@]+)\{(?P<says>[^{}]*)\}?")
+SELECTOR = re.compile(r"([a-z][a-z0-9]*|\*)?((?:[.#][\w-]+)*)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -80,11 +88,37 @@ class Open:
 CLOSE = object()
 
 
+def columns(text: str) -> int:
+    """How many columns a line takes."""
+    return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 1 + (unicodedata.east_asian_width(c) in "WF") for c in text)
+
+
+def declared(css: str) -> dict[str, tuple[str, bool]]:
+    """Value of display, visibility and white-space, and whether it is important; of several the last that weighs most."""
+    out: dict[str, tuple[str, bool]] = {}
+    for name, value, strong in STYLE.findall(CSS_COMMENT.sub(" ", css) if "/*" in css else css):
+        if strong or not out.get(name.lower(), ("", False))[1]:
+            out[name.lower()] = value.lower(), bool(strong)
+    return out
+
+
+def rules_of(css: str) -> list[tuple]:
+    """(tag, classes, ids, declarations) of each selector that names a tag, classes and ids of one element, in order."""
+    out = []
+    for m in CSS_RULE.finditer(CSS_COMMENT.sub(" ", css)):
+        said = declared(m["says"]) if m["of"] else {}
+        for one in m["of"].split(",") if said else ():
+            if (part := SELECTOR.fullmatch(one.strip())) and part[0]:
+                names = re.findall(r"([.#])([\w-]+)", part[2])
+                out.append(((part[1] or "*").lower(), frozenset(n for k, n in names if k == "."), frozenset(n for k, n in names if k == "#"), said))
+    return out
+
+
 class Node:
-    __slots__ = ("tag", "out", "seen", "vis", "pre", "info")
+    __slots__ = ("tag", "out", "seen", "vis", "pre", "info", "box")
 
     def __init__(self, tag, out, seen, vis, pre, info=None):
-        self.tag, self.out, self.seen, self.vis, self.pre, self.info = tag, out, seen, vis, pre, info
+        self.tag, self.out, self.seen, self.vis, self.pre, self.info, self.box = tag, out, seen, vis, pre, info, False
 
 
 def lay_out(items: list) -> list[str]:
@@ -179,7 +213,7 @@ def table_lines(rows: list) -> list[str]:
         for row in placed:
             for c, span, cell in row:
                 if span == 1:
-                    width[c] = max(width.get(c, 0), max(map(len, cell), default=0))
+                    width[c] = max(width.get(c, 0), max(map(columns, cell), default=0))
 
         def offsets():
             at = sorted(width)
@@ -193,7 +227,7 @@ def table_lines(rows: list) -> list[str]:
         for row in placed:
             for c, span, cell in row[:-1]:
                 if span > 1:
-                    lack = max(map(len, cell), default=0) - (start(c + span) - start(c) - 3)
+                    lack = max(map(columns, cell), default=0) - (start(c + span) - start(c) - 3)
                     wider[c + span - 1] = max(wider.get(c + span - 1, 0), lack)
         for c, lack in wider.items():
             width[c] = width.get(c, 0) + lack
@@ -216,7 +250,7 @@ def table_lines(rows: list) -> list[str]:
                     parts += [" " * (start(c) - 3 - at), " | "]
                     at = max(at, start(c) - 3) + 3
                 parts.append(x)
-                at += len(x)
+                at += columns(x)
             out.append("".join(parts).rstrip())
     return out
 
@@ -279,12 +313,33 @@ def attributes(source: str, at: int, dead: set) -> tuple[dict, int]:
 
 
 class Builder:
-    def __init__(self):
+    def __init__(self, rules: list[tuple] = ()):
+        self.rules: dict[tuple, list] = defaultdict(list)  # by what an element must have: an id, else a class, else its tag
+        for n, rule in enumerate(rules):
+            tag, classes, ids, _ = rule
+            key = ("#", min(ids)) if ids else (".", min(classes)) if classes else ("", tag)
+            self.rules[key].append(((len(ids), len(classes), tag != "*", n), rule))
+        self.found: list[tuple] = []  # rules that the page has
         self.top: list = []
         self.stack = [Node("#", self.top, True, True, False)]
         self.at: dict[str, list[int]] = defaultdict(list)  # where each tag is open
         self.title: list[str] = []
 
+    def styles(self, tag: str, found: dict) -> dict[str, str]:
+        """What rules and the element's own style say of it: important ones first, then its own, then the most specific."""
+        said: dict[str, tuple] = {}
+        if self.rules:
+            classes, own = found.get("class", "").split(), found.get("id")
+            for key in (("", "*"), ("", tag), *((".", c) for c in classes), ("#", own)):
+                for weight, (of, all_, ids, says) in self.rules.get(key, ()):
+                    if of in ("*", tag) and all_ <= set(classes) and ids <= {own}:
+                        for name, (value, strong) in says.items():
+                            said[name] = max(said.get(name, ((),)), ((strong, False, weight), value))
+        if "style" in found:
+            for name, (value, strong) in declared(entities.unescape(found["style"])).items():
+                said[name] = max(said.get(name, ((),)), ((strong, True, ()), value))
+        return {name: x[1] for name, x in said.items()}
+
     def nearest(self, tags) -> int:
         return max((self.at[t][-1] for t in tags if self.at[t]), default=0)
 
@@ -308,7 +363,7 @@ class Builder:
         if tag in IMPLIED:
             self.close_implied(*IMPLIED[tag])
         parent = self.stack[-1]
-        style = {k.lower(): v.lower() for k, v in STYLE.findall(found["style"])} if "style" in found else {}
+        style = self.styles(tag, found) if self.rules or "style" in found else {}
         display, shown = style.get("display"), style.get("visibility", "inherit")
         vis = parent.vis if shown in ("inherit", "unset") else shown not in ("hidden", "collapse")
         seen = parent.seen and tag not in UNSEEN and (display != "none" if display else "hidden" not in found) and not (tag == "dialog" and "open" not in found)
@@ -322,7 +377,9 @@ class Builder:
             elif seen and vis and tag == "input" and found.get("value") and found.get("type", "").lower() not in NO_VALUE:
                 parent.out.append(f" {entities.unescape(found['value'])} ")
             return None
-        node = Node(tag, parent.out if seen else [], seen, vis, parent.pre or tag in PRE)
+        pre = tag in PRE or tag in BLOCK and tag not in COLLECTS and tag not in INDENTS and tag not in OF_TABLE and style.get("white-space") in ("pre", "pre-wrap", "break-spaces")
+        node = Node(tag, parent.out if seen else [], seen, vis, parent.pre or pre)
+        node.box = pre and not parent.pre
         if seen and tag in BLOCK and not (tag in ("option", "optgroup") and self.at["select"]):
             node.out.append(2 if tag in PARAGRAPH else 1)
         if tag in LISTS:  # numbers from, step, kind, marks of a reversed list
@@ -340,7 +397,7 @@ class Builder:
             node.info = ["multiple" in found or number(found.get("size"), 0, 0) > 1, []]
         elif tag == "option":
             node.info = "selected" in found
-        if seen and (tag in COLLECTS or tag in PRE and not parent.pre):
+        if seen and (tag in COLLECTS or node.box):
             node.out = []
         elif seen and tag in INDENTS:
             mark = "  "
@@ -402,11 +459,12 @@ class Builder:
         elif tag == "table":
             before, lines = lay_out(node.out), table_lines(node.info)
             parent.out += [2, Lines(before), Lines(lines), 2] if before else [2, Lines(lines), 2] if lines else [2]
-        elif tag in PRE and not parent.pre:
+        elif node.box:
             lines = [x.rstrip() for x in preformatted(node.out).removeprefix("\n").split("\n")]
             while lines and not lines[-1]:
                 lines.pop()
-            parent.out += [2, Lines(lines), 2] if lines else [2]
+            k = 2 if tag in PARAGRAPH else 1
+            parent.out += [k, Lines(lines), k] if lines else [k]
         elif tag == "caption":
             lines = lay_out(node.out)
             parent.out += [1, Lines(lines), 1] if lines else [1]
@@ -447,9 +505,10 @@ def preformatted(items: list) -> str:
     return "".join(out).replace("\r\n", "\n").expandtabs(8)
 
 
-def render(source: str | None) -> tuple[str, str]:
-    """Title and visible text of a page. Null is an empty page; text outside any tag is visible."""
-    b, at, source = Builder(), 0, source or ""
+def render(source: str | None, rules: list[tuple] = ()) -> tuple[str, str]:
+    """Title and visible text of a page. Null is an empty page; text outside any tag is visible. A page whose own rules hide or
+    show elements is built once more, as they also hold for what stands before them."""
+    b, at, source = Builder(rules), 0, source or ""
     last, dead = source.rfind(">"), set()
     while m := TOKEN.search(source, at):
         if m["tag"] and m.end() > last:  # from here on no tag ends
@@ -478,6 +537,8 @@ def render(source: str | None) -> tuple[str, str]:
                 b.title.append(entities.unescape(source[at:stop]))
             elif tag == "xmp":
                 b.text(source[at:stop], raw=True)
+            elif tag == "style" and not rules and found.get("media", "all").strip().lower() in ("", "all", "screen"):
+                b.found += rules_of(source[at:stop])
             elif tag == "textarea":
                 for k, line in enumerate(re.split(r"\r\n?|\n", re.sub(r"\A(?:\r\n?|\n)", "", source[at:stop]))):
                     if k:
@@ -487,6 +548,8 @@ def render(source: str | None) -> tuple[str, str]:
     b.text(source[at:])
     while len(b.stack) > 1:
         b.pop()
+    if b.found:
+        return render(source, b.found)
     return SPACES.sub(" ", "".join(b.title)).strip(), "\n".join(lay_out(b.top))
 
 
