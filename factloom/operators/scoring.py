@@ -274,17 +274,30 @@ def context_text(number, modules, findings, relationships, open_questions) -> Co
     return F.array_join(F.concat(head, line("Modules: ", modules, ", "), listed, line("Relationships: ", relationships, "; "), line("Open questions: ", open_questions, "; ")), "\n")
 
 
+#: What a list adds to a context's text before its items, and with each of them, in UTF-16 units.
+CONTEXT_UNITS = {"modules": (len("\nModules: ") - 2, 2), "findings": (len("\nFindings:"), 3), "relationships": (len("\nRelationships: ") - 2, 2), "open_questions": (len("\nOpen questions: ") - 2, 2)}
+
+
 def compress_context(rounds: DataFrame, most: int = 2000) -> DataFrame:
     """K8: rounds(round, modules, findings, relationships, open_questions) cut from the end of each list in turn until the
-    text has at most `most` tokens, or nothing is left to cut but one finding; with `tokens`."""
-    names = ("modules", "findings", "relationships", "open_questions")
-    def tokens(name: str, n) -> Column:
-        """Of the text with the first n of that list."""
-        return T.estimate_tokens(context_text("round", *(F.slice(F.col(c), 1, n) if c == name else F.col(c) for c in names)))
+    text has at most `most` tokens, or nothing is left to cut but one finding; with `tokens`. Each list is walked once, however
+    long it is."""
+    names, out = tuple(CONTEXT_UNITS), rounds
+
+    def units(name: str) -> Column:
+        before, each = CONTEXT_UNITS[name]
+        items = F.aggregate(name, F.lit(0), lambda n, x: n + F.coalesce(T.utf16_length(x) + each, F.lit(0)))
+        return F.when(F.size(name) > 0, items + before).otherwise(0)
 
-    out = rounds
     for name, keep in CONTEXT_ORDER:
-        size, least = F.size(name), F.least(F.size(name), F.lit(keep))
-        n = F.coalesce(F.array_max(F.filter(F.sequence(least, size), lambda n: tokens(name, n) <= most)), least)  # noqa: B023  used at once
-        out = out.withColumn(name, F.slice(F.col(name), F.lit(1), n))
+        before, each = CONTEXT_UNITS[name]
+        rest = T.utf16_length(F.concat(F.lit("## Round  Context"), F.col("round").cast("string")))
+        for other in names:
+            rest = rest + (units(other) if other != name else 0)
+        out = out.withColumn("rest", rest + before)
+        begin = F.struct(F.lit(0).alias("n"), F.col("rest").alias("units"))
+        fits = lambda a, x: a["units"] + F.coalesce(T.utf16_length(x) + each, F.lit(0))  # noqa: B023, E731  used at once
+        taken = F.aggregate(name, begin, lambda a, x: F.struct((a["n"] + (fits(a, x) <= most * T.CHARS_PER_TOKEN).cast("int")).alias("n"), fits(a, x).alias("units")))["n"]  # noqa: B023
+        out = out.withColumn(name, F.slice(F.col(name), F.lit(1), F.greatest(taken, F.least(F.size(name), F.lit(keep))))).drop("rest")
     return out.withColumn("tokens", T.estimate_tokens(context_text("round", *map(F.col, names))).cast("long"))
+

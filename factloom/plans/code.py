@@ -137,18 +137,18 @@ def exported_symbols(spark, sf):
 WORDS = "string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')"
 
 
-@query(f"""WITH w AS (SELECT doc_id, list_filter({WORDS}, lambda x: x <> '')[1:12] AS w FROM documents), l AS (SELECT doc_id, w[1:3] AS m, w[4:6] AS f, w[7:9] AS r, w[10:12] AS q FROM w),
-n AS (SELECT doc_id, unnest(range(0, 4)) AS i FROM documents), len AS (SELECT *, 18 + length(doc_id::VARCHAR) AS h FROM l),
-c AS (SELECT a.doc_id, a.h, m, f, r, q, x.i AS nq, y.i AS nf, z.i AS nr, v.i AS nm FROM len a, (SELECT unnest(range(0, 4)) i) x, (SELECT unnest(range(0, 4)) i) y, (SELECT unnest(range(0, 4)) i) z, (SELECT unnest(range(0, 4)) i) v
-  WHERE x.i <= len(q) AND y.i <= len(f) AND y.i >= least(1, len(f)) AND z.i <= len(r) AND v.i <= len(m)
-  AND (x.i = 0 OR (y.i = len(f) AND z.i = len(r) AND v.i = len(m))) AND (y.i = least(1, len(f)) OR (z.i = len(r) AND v.i = len(m))) AND (z.i = 0 OR v.i = len(m))),
-t AS (SELECT *, CAST(ceil((h - 1 + CASE WHEN nm > 0 THEN 10 + list_sum(list_transform(m[1:nm], lambda s: length(s) + 2)) - 2 ELSE 0 END + CASE WHEN nf > 0 THEN 10 + list_sum(list_transform(f[1:nf], lambda s: length(s) + 3)) ELSE 0 END
-  + CASE WHEN nr > 0 THEN 16 + list_sum(list_transform(r[1:nr], lambda s: length(s) + 2)) - 2 ELSE 0 END + CASE WHEN nq > 0 THEN 17 + list_sum(list_transform(q[1:nq], lambda s: length(s) + 2)) - 2 ELSE 0 END) / 4.0) AS BIGINT) AS tokens FROM c),
-p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tokens > 30, nq + nf + nr + nm DESC) AS k FROM t)
-SELECT doc_id, len(m[1:nm]) AS modules, len(f[1:nf]) AS findings, len(r[1:nr]) AS relationships, len(q[1:nq]) AS questions, tokens FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN tokens <= 30 THEN 0 ELSE 1 END, CASE WHEN tokens <= 30 THEN -(nq + nf + nr + nm) ELSE nq + nf + nr + nm END) AS kk FROM p) WHERE kk = 1""")
+@query(f"""WITH w AS (SELECT doc_id, list_filter({WORDS}, lambda x: x <> '') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i, CAST(ceil(len(w) / 4.0) AS BIGINT) AS q FROM w),
+c AS (SELECT doc_id, (i - 1) // q AS l, sum(length(x) + CASE WHEN (i - 1) // q = 1 THEN 3 ELSE 2 END) OVER (PARTITION BY doc_id, (i - 1) // q ORDER BY i) + [8, 10, 14, 15][(i - 1) // q + 1] AS s FROM u),
+d AS (SELECT w.doc_id, 17 + length(w.doc_id::VARCHAR) AS h, coalesce(max(s) FILTER (l = 0), 0) AS m, coalesce(max(s) FILTER (l = 1), 0) AS f, coalesce(max(s) FILTER (l = 2), 0) AS r, count(*) FILTER (l = 1) AS nf FROM w LEFT JOIN c ON c.doc_id = w.doc_id GROUP BY w.doc_id),
+q1 AS (SELECT d.*, count(s) AS kq, coalesce(max(s), 0) AS oq FROM d LEFT JOIN c ON c.doc_id = d.doc_id AND l = 3 AND s + h + m + f + r <= 120 GROUP BY ALL),
+q2 AS (SELECT q1.*, greatest(count(s) FILTER (s + h + m + r + oq <= 120), max(least(1, nf))) AS kf, coalesce(max(s) FILTER (s + h + m + r + oq <= 120), min(s), 0) AS ff FROM q1 LEFT JOIN c ON c.doc_id = q1.doc_id AND l = 1 GROUP BY ALL),
+q3 AS (SELECT q2.*, count(s) AS kr, coalesce(max(s), 0) AS orr FROM q2 LEFT JOIN c ON c.doc_id = q2.doc_id AND l = 2 AND s + h + m + ff + oq <= 120 GROUP BY ALL),
+q4 AS (SELECT q3.*, count(s) AS km, coalesce(max(s), 0) AS om FROM q3 LEFT JOIN c ON c.doc_id = q3.doc_id AND l = 0 AND s + h + ff + orr + oq <= 120 GROUP BY ALL)
+SELECT doc_id, km AS modules, kf AS findings, kr AS relationships, kq AS questions, CAST(ceil((h + om + ff + orr + oq) / 4.0) AS BIGINT) AS tokens FROM q4""")
 def compressed_contexts(spark, sf):
     w = F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda x: x != "")
-    d = load(spark, sf, "documents").select(F.col("doc_id").alias("round"), *(F.slice(w, 3 * i + 1, 3).alias(c) for i, c in enumerate(("modules", "findings", "relationships", "open_questions"))))
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("round"), w.alias("w")).withColumn("q", F.ceil(F.size("w") / 4).cast("int"))
+    d = d.select("round", *(F.slice("w", F.col("q") * i + 1, F.col("q")).alias(c) for i, c in enumerate(("modules", "findings", "relationships", "open_questions"))))
     return scoring.compress_context(d, 30).select(F.col("round").alias("doc_id"), F.size("modules").cast("long").alias("modules"), F.size("findings").cast("long").alias("findings"), F.size("relationships").cast("long").alias("relationships"), F.size("open_questions").cast("long").alias("questions"), "tokens")
 
 
