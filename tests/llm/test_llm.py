@@ -784,6 +784,34 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
                 assert pieces.decode_ids(np.array(r["ids"] or [], np.int32), v.surface) == (r["text"] or "")
 
 
+def plain_mix(rows, weights=(5, 2, 1), limit=3):
+    """Copies of each of rows (source, words, hash); no two share a hash, and there are fewer of a source than mixing.WINDOW."""
+    names = sorted({r[0] for r in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for of, n, _ in rows if of == s) for s in names}
+    wanted, open_ = {}, dict(zip(names, weights * len(names), strict=False))
+    while over := [s for s in open_ if (sum(size.values()) - sum(wanted.values())) * open_[s] / sum(open_.values()) > limit * size[s]]:
+        wanted |= {s: limit * size[s] for s in over}
+        open_ = {s: w for s, w in open_.items() if s not in over}
+    left, total = sum(size.values()) - sum(wanted.values()), sum(open_.values())
+    wanted |= {s: left * w / total for s, w in open_.items()}
+    copies = {}
+    for s in names:
+        whole, rest = divmod(round(wanted[s]), size[s])
+        own = sorted((h, n) for of, n, h in rows if of == s)
+        ends = [(abs(rest - sum(n for _, n in own[:k])), k) for k in range(len(own) + 1)]
+        taken = {h for h, _ in own[: min(ends)[1]]}
+        at = max(k for k in range(len(own) + 1) if sum(n for _, n in own[:k]) <= rest)
+        for behind in (own[at:], sorted(own[at:], key=lambda x: (-x[1], x[0]))):
+            gap, more = rest - sum(n for _, n in own[:at]), set()
+            for h, n in behind:
+                if n <= gap and len(more) < mixing.PICKS:
+                    gap, more = gap - n, more | {h}
+            if gap < abs(rest - sum(n for h, n in own if h in taken)):
+                taken = {h for h, _ in own[:at]} | more
+        copies |= {h: whole + (h in taken) for h, _ in own}
+    return copies
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -802,13 +830,27 @@ def test_pipeline(spark, tmp_path):
     assert set(seen[0].doc_id) == {r[0] for r in rows if not 100 <= r[0] < 200}
     assert len(seen[1]) == 65
     assert len(seen[2]) == 60
-    assert set(seen[3].doc_id) <= set(seen[2].doc_id)
-    assert seen[3].groupby("doc_id").size().max() <= 3
+    # every stage against plain Python on what the one before it kept
+    clean = [r for r in rows if not 100 <= r[0] < 200]
+    groups = {}
+    for r in clean:
+        groups.setdefault(plain(r[1]), []).append((-len(r[1]), r[0], r))
+    alone = sorted(min(g)[2] for g in groups.values())
+    assert sorted(seen[1].itertuples(index=False, name=None)) == alone
+    firsts = sorted(r for r, (i, _, c) in zip(sorted(alone, key=lambda r: str((r[0],))), sorted(near_brute(alone), key=lambda x: str((x[0],))), strict=True) if i == c)
+    assert sorted(seen[2].itertuples(index=False, name=None)) == firsts
+    ids = spark.createDataFrame([(r[0],) for r in firsts], "doc_id long")
+    h = {r.doc_id: r.h for r in ids.select("doc_id", F.xxhash64(F.lit(17), "doc_id").bitwiseAND((1 << 63) - 1).alias("h")).collect()}
+    copies = plain_mix([(r[3], len(r[1].split()), h[r[0]]) for r in firsts])
+    mixed = sorted(r for r in firsts for _ in range(copies[h[r[0]]]))
+    assert sorted(seen[3].itertuples(index=False, name=None)) == mixed
     v = vocabulary.load()
+    coded = {t: [i for w in pieces.marked(t) for i in segment_brute(w, v)] for t in {r[1] for r in mixed}}
+    want = sorted((*r, coded[r[1]]) for r in mixed)
+    assert sorted((*r[:5], list(r.ids)) for r in seen[4].itertuples(index=False)) == want
+    assert sorted((r.doc_id, r.text, r.lang, r.source, r.n_chars, list(r.ids), r.n_pieces) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [(*r, len(r[-1])) for r in want]
     for r in seen[4].itertuples():
         assert pieces.decode_ids(np.array(r.ids), v.surface) == r.text
-    assert len(seen[4]) == len(seen[3])
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
     shutil.rmtree(tmp_path / "documents.parquet")
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
