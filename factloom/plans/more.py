@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators import briefs, graph, incremental, rounds
+from factloom.operators import briefs, graph, incremental, pruned, rounds
 from factloom.operators.written import Work
-from factloom.plans.catalog import PATHS, load, query
+from factloom.plans.catalog import PATHS, SQL, load, query
 from factloom.sources import payloads
 from factloom.streaming import stateful
 
@@ -115,6 +115,14 @@ def glob_matches(spark, sf):
     return incremental.match_globs(p.select(F.col("page_id").cast("string").alias("name"), F.expr(GLOB).alias("glob")), p)
 
 
+@query(SQL["knn_batch"])
+def knn_pruned(spark, sf):
+    e = load(spark, sf, "embeddings")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    near, _ = pruned.knn_pruned(e, q, 5, 64, "query_id", "vec_id")
+    return near.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
 HOST = "regexp_extract(url, '^https?://(?:[a-z]+[.])?([a-z-]+)[.]example', 1)"
 
 
