@@ -52,7 +52,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("sentencepiece", encode_pieces)]
 
-#: The classifier, min-max hashing, the seeded choice and the segmentation are beyond SQL; tests hold run() against plain Python.
+#: The classifier, min-max hashing, the seeded choice and the segmentation are beyond SQL; tests hold each stage against plain Python, and counts of run().
 ORACLE_SQL = None
 
 
