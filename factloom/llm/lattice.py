@@ -6,6 +6,11 @@ all its segmentations, by forward recursion in log space. The weight of a segmen
 vocabulary's scores, as logarithms), normalised over all pieces. The training documents give two numbers, by expectation
 maximisation over all their words: the sharpness (1 takes the scores as they are) and the probability of the end. All of
 this is done once for each distinct word, not for each occurrence.
+
+With `learn` the words of training are edges as well: such an edge has the word's share of the training words less a
+discount (Ney's, n1 / (n1 + 2 n2)), and what the discounts leave goes to the segmentations into pieces, whose weights are
+learned from the distinct training words, pieces that begin a word and others apart, with the probability that a word ends.
+Probabilities of all texts still sum to one at most.
 """
 
 from __future__ import annotations
@@ -30,6 +35,10 @@ K = np.uint64(0x9E3779B97F4A7C15)
 LONG = 256
 
 
+#: Uses that a piece has beside those that learning finds, so that none is impossible.
+RARE = 0.01
+
+
 #: Files give pieces that no merge makes, such as the mark alone, scores below this.
 NEVER = -1e8
 
@@ -167,6 +176,40 @@ def forward_long(lattice, word: bytes, logp, scores, window: int = 1 << 15):
     return settle(n)
 
 
+def split_weights(counts, first, stop: float):
+    """Log weights of pieces: those that begin a word sum to one, the others to what the end of a word leaves."""
+    out = np.log(counts)
+    out[first] -= np.log(counts[first].sum())
+    out[~first] += math.log1p(-stop) - np.log(counts[~first].sum())
+    return out
+
+
+def uses(lattice, words: list[bytes], logp) -> np.ndarray:
+    """Expected uses of each piece over all segmentations of the words, by forward and backward recursion. Words of more than
+    LONG bytes count in stretches of that length."""
+    stretches = [w[i : i + LONG] for w in words for i in range(0, len(w), LONG)]
+    out, table = np.zeros(len(logp)), np.append(logp, -np.inf)
+    for _, x in by_length(stretches):
+        edges, n = lattice.edges(x), x.shape[1]
+        some = [(e >= 0).any(0) for e in edges]
+
+        def total(parts):
+            top = np.max(parts, 0)
+            return top + np.log(np.exp(np.stack(parts) - top).sum(0))
+
+        a, b = np.zeros((2, n + 1, len(x)))
+        for j in range(1, n + 1):
+            a[j] = total([a[j - s] + table[edges[s - 1][:, j - s]] for s in range(1, min(j, len(edges)) + 1) if some[s - 1][j - s]])
+        for j in range(n - 1, -1, -1):
+            b[j] = total([b[j + s] + table[edges[s - 1][:, j]] for s in range(1, min(n - j, len(edges)) + 1) if some[s - 1][j]])
+        for s, e in enumerate(edges, 1):
+            row, at = np.nonzero(e >= 0)
+            if len(row):
+                piece = e[row, at]
+                out += np.bincount(piece, np.exp(a[at, row] + logp[piece] + b[at + s, row] - a[n, row]), len(out))
+    return out
+
+
 def by_length(words: list[bytes], most: int = 1 << 17):
     """Indexes of words of one length up to LONG and their bytes as rows, some at a time."""
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -193,13 +236,14 @@ def likelihoods(lattice, words: list[bytes], logp, scores, moments: bool = False
     return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, passes: int = 3, sharpness: float | None = None, zipf: bool = True, model: str = MODEL, block_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, passes: int = 3, sharpness: float | None = None, zipf: bool = True, model: str = MODEL, block_bytes: int = 24 << 20, learn: bool = False) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens: words of other than ASCII white space, A-Z in lower case, then one end. Documents of fold 0 teach nothing; a
     null id is in fold 0. base_score: sum over tokens of log10((c + 0.1) / (N + 0.1 (V + 1))); c, N, V from training
     tokens. score: log10 of the marginal probability under the lattice model, whose sharpness `passes` passes over all
-    training words fit unless it is given; zipf: as in pieces(). Null counts as empty, whose only token is the end. Rows that repeat an id or a
+    training words fit unless it is given; zipf: as in pieces(); learn: `passes` passes over the distinct training words fit
+    the weight of every piece instead, and training words are edges (see above). Null counts as empty, whose only token is the end. Rows that repeat an id or a
     text count and are scored each. Without training documents the sharpness is 1 and one piece in a hundred is an
     end. Empty input gives no rows.
     """
@@ -250,14 +294,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     tokens = blocks.filter("token is not null").select("block", "lid", "token", "train")
     words = scratch.table(tokens.groupBy("token").agg(F.sum("train").alias("c")), "words")
     n_docs = rows.filter(~F.col("held")).count()
-    stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     n_train, v_train = stats["n"] + n_docs, stats["v"] + (n_docs > 0)
     norm = np.log10(n_train + 0.1 * (v_train + 1))
 
     surfaces, scores = pieces(model, zipf)
     sent, given = spark.sparkContext.broadcast((surfaces, scores)), sharpness is not None
     sharpness, log_end = sharpness if given else 1.0, math.log(0.01)
-    for _ in range(passes if stats["n"] and not given else bool(stats["n"])):
+    for _ in range(0 if learn else passes if stats["n"] and not given else bool(stats["n"])):
         now = log_weights(scores, sharpness)
         now = spark.sparkContext.broadcast(now)
 
@@ -276,7 +320,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         log_end = math.log(n_docs / (n_docs + got[0]))
     if not stats["n"] and n_docs:
         log_end = math.log(n_docs / (n_docs + 1))
-    last = spark.sparkContext.broadcast(log_weights(scores, sharpness) + math.log1p(-math.exp(log_end)))
+    if learn:
+        first = np.array([s.startswith(b" ") for s in surfaces])
+        stop, counts = 0.5, np.exp(log_weights(scores, sharpness))
+        for _ in range(passes if stats["v"] else 0):
+            now = spark.sparkContext.broadcast(split_weights(counts, first, stop))
+
+            def count(batches, now=now):
+                lattice, sums = Lattice(sent.value[0]), np.zeros(len(now.value))
+                for b in batches:
+                    for t in by_bytes(b.column(0)):
+                        sums += uses(lattice, [b" " + w for w in t.to_pylist()], now.value)
+                used = np.flatnonzero(sums)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums[used])], names=["piece", "k"])
+
+            got = words.filter("c > 0").select("token").mapInArrow(count, "piece int, k double").groupBy("piece").agg(F.sum("k").alias("k")).toPandas()  # a row for each piece
+            counts = np.full(len(surfaces), RARE)
+            counts[got["piece"].to_numpy()] += got["k"].to_numpy()
+            stop = stats["v"] / (stats["v"] + counts[~first].sum())
+        if n_docs and stats["n"]:
+            log_end = math.log(n_docs / n_train)
+        less = min(0.95, max(0.1, stats["once"] / max(1, stats["once"] + 2 * stats["twice"])))
+        weights, goes_on = split_weights(counts, first, stop), math.log1p(-math.exp(log_end))
+        spelt = goes_on + math.log(stop) + (math.log(less * stats["v"] / stats["n"]) if stats["n"] else 0.0)
+    else:
+        weights = log_weights(scores, sharpness) + math.log1p(-math.exp(log_end))
+    last = spark.sparkContext.broadcast(weights)
 
     def weigh(batches):
         surfaces, scores = sent.value
@@ -285,6 +354,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             for t in by_bytes(b.column(0)):
                 c = b.column(1).slice(t.offset - b.column(0).offset, len(t))
                 out = likelihoods(lattice, [b" " + w for w in t.to_pylist()], last.value, scores)[0]
+                if learn:
+                    kept = np.maximum(c.to_numpy() - less, 0)
+                    whole = np.log(kept, out=np.full(len(kept), -np.inf), where=kept > 0) - math.log(max(1, stats["n"]))
+                    out = np.logaddexp(out + spelt, whole + goes_on)
                 yield pa.RecordBatch.from_arrays([t, c, pa.array(out / np.log(10))], names=["token", "c", "p"])
 
     weighed = words.mapInArrow(weigh, "token binary, c long, p double")

@@ -36,7 +36,7 @@ def op3_mixing(spark, sf_dir):
 
 
 def op4_lattice(spark, sf_dir):
-    return lattice.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lattice.score(table(spark, sf_dir, "documents").select("doc_id", "text"), learn=True)
 
 
 def op5_html(spark, sf_dir):

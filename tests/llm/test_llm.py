@@ -512,6 +512,30 @@ def test_lattice_scores(docs, none):
                 assert math.isclose(r["score"], want / math.log(10), rel_tol=1e-6), (sharp, r["doc_id"])
 
 
+def test_lattice_learns_weights_and_words(docs):
+    surfaces = [bytes([b]) for b in range(256)] + [b" a", b"ab", b" ab", b"bc", b"abc"]
+    first, at = np.array([s.startswith(b" ") for s in surfaces]), {s: i for i, s in enumerate(surfaces)}
+    logp = lattice.split_weights(np.random.default_rng(1).dirichlet(np.ones(len(surfaces))), first, 0.3)
+    assert np.isclose(np.exp(logp[first]).sum(), 1) and np.isclose(np.exp(logp[~first]).sum(), 0.7)
+
+    def ways(w):
+        return [[at[w[:k]], *r] for k in range(1, len(w) + 1) if w[:k] in at for r in ways(w[k:])] if w else [[]]
+
+    ws, want = [b" abc", b" a", b" aab", b" abcabc"], np.zeros(len(surfaces))
+    for w in ws:
+        p = np.array([math.exp(logp[x].sum()) for x in ways(w)])
+        for q, x in zip(p / p.sum(), ways(w), strict=True):
+            np.add.at(want, x, q)
+    assert np.allclose(lattice.uses(lattice.Lattice(surfaces), ws, logp), want)
+    got = lattice.score(docs, learn=True).collect()
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    held = [r for r in got if r["held_out"]]
+    mean = lambda c: sum(r[c] for r in held) / sum(r["n_tokens"] for r in held)
+    assert mean("score") > mean("base_score") - 1
+    old = [r for r in lattice.score(docs).collect() if r["held_out"]]
+    assert sum(r["score"] for r in old) < sum(r["score"] for r in held)
+
+
 def test_warc(spark):
     rows = [(3, "http://a/ b\n", "<p>x</p>" * 50), (1, None, "<p>x</p>" * 50), (2, "u", None), (5, "u", ""), (1, "dup", "<p>x</p>" * 50), (7, "u", "é" * 100), (None, "u", "<p>x</p>" * 50)] + [(100 + i, f"http://h/{i}", f"<html>{i} " + "shared words " * 40) for i in range(60)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).checkpoint()
