@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators.written import Work
 
 
 def affected(changed: DataFrame, claims: DataFrame, infra: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,31 +45,49 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
-#: Characters of a glob's literal end by which paths find it.
-TAIL = 4
+#: Characters of a glob's literal end by which paths find it; rows of the result that one task makes.
+TAIL, ROWS = 4, 1 << 20
+
+
+def glob_key(glob: str) -> tuple[str, str]:
+    """The literal folder up to the first wildcard, and the end by which paths find the glob: a slash and the whole name if the
+    glob fixes it, else the last characters behind the last wildcard."""
+    parts = re.split(r"[*?]", glob)
+    end = parts[-1].rpartition("/")[2]
+    before = glob[: len(glob) - len(parts[-1])]  # x**/y matches xy too, so that its name is not fixed
+    fixed = len(parts) == 1 or "/" in parts[-1][1:] or parts[-1][:1] == "/" and (not before.endswith("**") or before in ("**", "/**") or before.endswith("/**"))
+    return parts[0].rpartition("/")[0], "/" + end if fixed else end[-TAIL:]
 
 
 def match_globs(globs: DataFrame, files: DataFrame) -> DataFrame:
     """(name, path) of the files(path) that each of globs(name, glob) matches, once.
 
-    An index of the globs by their literal folder, up to the first wildcard, and the literal end behind the last one: a path
-    probes it by equality with each of its folders and ends, and only globs that it finds meet it as regular expressions. One
-    scan of files, however many globs there are. Null globs and paths match nothing.
+    An index of the distinct globs by their literal folder, up to the first wildcard, and their name or the literal end behind
+    the last one: a path probes it by equality with each of its folders and ends, and only globs that it finds meet it as
+    regular expressions, once each, however many names a glob has. The names are joined to what their globs found in tiles of
+    about ROWS rows of the result. One scan of files, however many globs there are. Null globs and paths match nothing.
     """
     @F.arrow_udf("struct<folder string, tail string, regex string>")
     def read(values: pa.Array) -> pa.Array:
-        out = []
-        for g in values.to_pylist():
-            parts = re.split(r"[*?]", g or "")
-            out.append({"folder": parts[0].rpartition("/")[0], "tail": parts[-1].rpartition("/")[2][-TAIL:], "regex": glob_regex(g or "")})
-        return pa.array(out, pa.struct([("folder", pa.string()), ("tail", pa.string()), ("regex", pa.string())]))
+        keys = [(*glob_key(g), glob_regex(g)) for g in values.to_pylist()]
+        return pa.array([dict(zip(("folder", "tail", "regex"), k, strict=True)) for k in keys], pa.struct([("folder", pa.string()), ("tail", pa.string()), ("regex", pa.string())]))
 
-    index = globs.filter("glob is not null").select("name", read("glob").alias("g")).select("name", "g.*").distinct()
+    work = Work(globs.sparkSession, "globs")
+    named = work.table(globs.filter("glob is not null").select("name", "glob").distinct(), "named")
+    index = named.select("glob").distinct().select("glob", read("glob").alias("g")).select("glob", "g.*")
     deep = F.split("path", "/")
     folders = F.transform(F.sequence(F.lit(0), F.size(deep) - 1), lambda n: F.array_join(F.slice(deep, F.lit(1), n), "/"))
-    tails = F.transform(F.sequence(F.lit(0), F.lit(TAIL)), lambda n: F.when(n > 0, F.right("path", n)).otherwise(""))
+    tails = F.concat(F.array(F.concat(F.lit("/"), F.element_at(deep, -1))), F.transform(F.sequence(F.lit(0), F.lit(TAIL)), lambda n: F.when(n > 0, F.right("path", n)).otherwise("")))
     probes = files.select("path").filter("path is not null").distinct().select("path", F.explode(F.array_distinct(folders)).alias("folder")).select("path", "folder", F.explode(F.array_distinct(tails)).alias("tail"))
-    return probes.join(index, ["folder", "tail"]).filter(F.rlike("path", F.col("regex"))).select("name", "path").distinct()
+    hits = work.table(probes.join(index, ["folder", "tail"]).filter(F.rlike("path", F.col("regex"))).select("glob", "path"), "hits")
+    sizes = named.groupBy("glob").agg(F.count("*").alias("names")).join(hits.groupBy("glob").agg(F.count("*").alias("paths")), "glob")
+    sizes = work.table(sizes.select("glob", (F.col("names") * F.col("paths")).alias("n"), F.least("names", F.ceil(F.col("names") * F.col("paths") / ROWS)).alias("tiles")), "sizes")
+    parts = -(-(sizes.agg(F.sum("n")).first()[0] or 1) // ROWS)
+    own = named.withColumn("several", F.count("*").over(Window.partitionBy("name")) > 1).join(sizes, "glob")
+    own = own.select("name", "several", "glob", F.pmod(F.xxhash64("name"), "tiles").alias("tile")).repartition(parts, "glob", "tile")
+    found = hits.join(sizes, "glob").select("path", "glob", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile")).repartition(parts, "glob", "tile")
+    of = lambda names: names.hint("merge").join(found, ["glob", "tile"]).select("name", "path")
+    return of(own.filter("not several")).unionByName(of(own.filter("several")).distinct())  # a name's only glob finds a path once
 
 
 def expand_globs(globs: list[tuple[str, str]], files: DataFrame) -> DataFrame:

@@ -83,3 +83,15 @@ def test_tenths_round_as_doubles_do(spark):
         rows = [(n * unit // 1000 + d,) for n in range(1000, 9000, 50) for d in (-1, 0, 1)]
         got = spark.createDataFrame(rows, "n long").select("n", T.tenths("n", unit).alias("t")).collect()
         assert {x.n: x.t for x in got} == {n: str(Decimal(n / unit).quantize(Decimal("0.1"), ROUND_HALF_UP)) for (n,) in rows}
+
+
+def test_globs_are_found_by_fixed_names_and_joined_in_tiles(spark, monkeypatch):
+    key = incremental.glob_key
+    assert (key("**/index.html"), key("src/a.ts"), key("src/*.html"), key("a/**/b/c.ts"), key("x**/y"), key("**/")) == (("", "/index.html"), ("src", "/a.ts"), ("src", "html"), ("a", "/c.ts"), ("", "y"), ("", "/"))
+    monkeypatch.setattr(incremental, "ROWS", 3)
+    paths = ["a.ts", "src/a.ts", "src/x/a.ts", "src/ba.ts", "xy", "x/y", "xa/y", "src/", "", "src/x/", "y", "b/c.ts", "a/b/c.ts", "a/q/b/c.ts"]
+    globs = ["**/a.ts", "src/a.ts", "src/*", "src/**", "x**/y", "x*/y", "**/", "*.ts", "a/**/b/c.ts", "a/**/c.ts", "***/y", "?**/y", "/**/a.ts", "a.ts", "", "**", "src/**/*.ts"]
+    names = [(f"n{i}", g) for i, g in enumerate(globs)] + [(f"m{i}", "**/a.ts") for i in range(9)] + [("both", g) for g in globs] + [("n0", "**/a.ts"), (None, "src/*"), ("no", None)]
+    got = incremental.match_globs(spark.createDataFrame(names, "name string, glob string"), spark.createDataFrame([(p,) for p in [*paths, None, "xy"]], "path string"))
+    want = {(n, p) for n, g in names if g is not None for p in paths if re.search(incremental.glob_regex(g), p)}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
