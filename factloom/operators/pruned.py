@@ -92,14 +92,14 @@ def knn_pruned(chunks: DataFrame, queries: DataFrame, k: int, dims: int, key: st
 
     def searched(some: DataFrame, name: str) -> DataFrame:
         groups = some.groupBy("cell", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.lit(-(-total // QUERIES)))).alias("group")).agg(F.collect_list(F.struct("id", "x")).alias("q"))
-        met = blocks.join(groups, "cell").select("v", "q").mapInArrow(compare, f"key {kinds[1]}, id {kinds[0]}, distance double")
+        met = blocks.join(groups.hint("merge"), "cell").select("v", "q").mapInArrow(compare, f"key {kinds[1]}, id {kinds[0]}, distance double")
         return work.table(met, name)
 
     total = q.count()
     place = F.row_number().over(Window.partitionBy("key").orderBy("distance", "id"))
     first = searched(pairs.filter("first"), "first")
     bound = first.withColumn("rank", place).filter(F.col("rank") == k).select(F.col("key").alias("id"), F.col("distance").alias("bound"))
-    others = pairs.filter("not first").join(bound, "id", "left").filter(F.col("least") <= F.coalesce(F.col("bound"), F.lit(float("inf"))) * (1 + SLACK) + SLACK)
+    others = pairs.filter("not first").join(bound.hint("merge"), "id", "left").filter(F.col("least") <= F.coalesce(F.col("bound"), F.lit(float("inf"))) * (1 + SLACK) + SLACK)
     others = work.table(others.select("id", "x", "cell"), "others")
     both = first.unionByName(searched(others, "second")).withColumn("rank", place).filter(F.col("rank") <= k)
     looked = pairs.filter("first").select("cell").unionByName(others.select("cell")).join(F.broadcast(sizes), "cell").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("compared"))
