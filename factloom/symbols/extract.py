@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -33,6 +33,18 @@ CONSTANTS = "array<struct<name:string,type:string,value:string,is_exported:boole
 AST = f"struct<language:string,parser_used:string,functions:array<{FUNCTION}>,classes:array<{CLASS}>,imports:{IMPORTS},exports:{EXPORTS},constants:{CONSTANTS},re_exports:{EXPORTS},line_count:int,parse_errors:array<struct<line:int,message:string>>>"
 
 
+#: Files whose symbols are Python objects at once, and bytes of a batch that goes to a Python worker.
+FILES, BATCH = 64, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what Spark hands to a Python worker at once, for this session; its default of 64 MB is held several times over. A
+    smaller bound that is set already stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH:
+        spark.conf.set(key, BATCH)
+
+
 def language_of(path: str) -> str | None:
     dot = path.rfind(".")
     return TREES.get(path[dot:]) or LINES.get(path[dot:]) if dot >= 0 else None
@@ -69,8 +81,11 @@ def parse(files: DataFrame) -> DataFrame:
                 return {"ast": None, "warning": f"Failed to parse {path}: {e}"}
 
         for paths, contents in batches:
-            yield pa.array((one(p.as_py(), c.as_py()) for p, c in zip(paths, contents, strict=True)), kind)
+            # what is known of a file is held as Python objects for a few files at a time only
+            parts = [pa.array([one(p.as_py(), c.as_py()) for p, c in zip(paths[i : i + FILES], contents[i : i + FILES], strict=True)], kind) for i in range(0, len(paths), FILES)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
+    bound_batches(files.sparkSession)
     return files.withColumn("parsed", read("path", "content")).select(*files.columns, "parsed.ast", "parsed.warning")
 
 

@@ -371,3 +371,16 @@ def test_catalog_and_site(spark):
     assert "| a\\|b | 1 |" in text
     assert json.loads(data)["Files"] == [{"path": "a|b", "n": 1}]
     assert site.title_of("06-MY_MODULES.md") == "My Modules"
+
+
+def test_files_are_read_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 64 << 20)
+    try:
+        rows = [(f"a{i}.py", None if i % 50 == 7 else f"def f{i}(): pass") for i in range(3 * extract.FILES + 5)] + [(None, "x")]
+        got = extract.parse(spark.createDataFrame(rows, "path string, content string").coalesce(1)).collect()
+        assert int(spark.conf.get(key)) <= extract.BATCH < 64 << 20
+        assert [(r.path, r.ast and r.ast.functions[0].name) for r in got] == [(p, p and c and p[:-3].replace("a", "f")) for p, c in rows]
+    finally:
+        spark.conf.set(key, before)
