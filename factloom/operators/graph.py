@@ -16,12 +16,13 @@ SUFFIXES = ("", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", "/index.ts", "/ind
 COMPILED = ("js", "jsx", "mjs", "cjs")
 
 
-def resolve(imports: DataFrame, known: DataFrame, suffixes: tuple = SUFFIXES) -> DataFrame:
+def resolve(imports: DataFrame, known: DataFrame, suffixes: tuple = SUFFIXES, parts: int | None = None) -> DataFrame:
     """imports(src, specifier) with the known path that the first matching candidate names; others leave.
 
     Each known path tells the few bases from which a candidate leads to it, with the candidate's rank, and imports meet
     these by their base in one equi-join; the smallest rank wins. A base that ends like compiled code is tried as written,
-    then without its extension.
+    then without its extension. parts: tasks in which the smallest ranks are found, to be named by callers
+    whose imports are many, since adaptive execution joins partitions by their bytes when packed.
     """
     base = F.explode(F.array(T.resolve_path("src", "specifier")))  # a generator, so that it is computed once and not for each use
     rows = imports.select("src", "specifier", base.alias("base")).filter("base is not null")
@@ -33,7 +34,8 @@ def resolve(imports: DataFrame, known: DataFrame, suffixes: tuple = SUFFIXES) ->
         ends = F.endswith(path, F.lit(s)) & (F.length(path) > len(s))
         ways.append(F.when(ends, F.array(pair(cut(s), i), *(pair(F.concat(cut(s), F.lit("." + e)), n + i) for e in COMPILED))))
     leads = known.select("path").distinct().select("path", F.explode(F.flatten(F.filter(F.array(*ways), lambda w: w.isNotNull()))).alias("w")).select("path", "w.base", "w.rank")
-    return rows.join(leads, "base").groupBy("src", "specifier").agg(F.min_by("path", "rank").alias("dst"))
+    met = rows.join(leads, "base")
+    return (met.repartition(parts, "src", "specifier") if parts else met).groupBy("src", "specifier").agg(F.min_by("path", "rank").alias("dst"))
 
 
 def file_graph(resolved: DataFrame) -> DataFrame:

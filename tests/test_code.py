@@ -384,3 +384,12 @@ def test_files_are_read_in_small_batches(spark):
         assert [(r.path, r.ast and r.ast.functions[0].name) for r in got] == [(p, p and c and p[:-3].replace("a", "f")) for p, c in rows]
     finally:
         spark.conf.set(key, before)
+
+
+def test_imports_are_resolved_in_tasks_by_their_number(spark):
+    from factloom.operators import graph
+
+    e = spark.createDataFrame([("a/x.ts", "./b"), ("a/x.ts", "./b"), ("a/y.ts", "./none")], "src string, specifier string")
+    got = graph.resolve(e, spark.createDataFrame([("a/b.ts",), ("a/b/index.ts",)], "path string"), parts=7)
+    assert "REPARTITION_BY_NUM, " in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 7)" in plan
+    assert [tuple(r) for r in got.collect()] == [("a/x.ts", "./b", "a/b.ts")]
