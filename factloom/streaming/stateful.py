@@ -2,7 +2,7 @@
 
 State lives in value and map variables of `transformWithState`, in the RocksDB store, and comes back from the checkpoint.
 Rows of a key are taken in the order of their sequence within a batch, so what a batch may hold bounds what a task holds:
-limit it by maxFilesPerTrigger or maxOffsetsPerTrigger.
+limit it by maxFilesPerTrigger or maxOffsetsPerTrigger. Jobs and requests in flight are keyed by buckets of their keys.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from factloom.streaming.sessions import MOVES, TERMINAL, TTL_MS, accepted
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: States after which a job is over.
 OVER = ("completed", "failed")
+#: Buckets of keys; a checkpoint holds for one number only.
+BUCKETS = 4096
 
 
 def use_store(spark: SparkSession) -> None:
@@ -37,6 +39,38 @@ class Keyed(StatefulProcessor):
         pass
 
 
+class Dealt(StatefulProcessor):
+    """Takes the rows of all keys of a bucket in a batch at once, in order: a call costs more than the rows of a key. `state` has
+    a row for each key of which something is known; only keys with rows are read, and those that change written."""
+
+    def init(self, handle) -> None:
+        self.state = handle.getMapState("state", "key string", self.kept)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  Spark's names
+        pdf = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        known = {k: self.state.getValue((k,)) for k in pdf["key"].unique()}
+        now = dict(known)
+        out = self.take(pdf, now)
+        for k, row in now.items():
+            if row is None and known[k] is not None:
+                self.state.removeKey((k,))
+            elif row != known[k]:
+                self.state.updateValue((k,), row)
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def _dealt(rows: DataFrame, key: str, processor: Dealt, schema: str) -> DataFrame:
+    """What a processor makes of rows by their key, which may be of any type that strings bring back."""
+    use_store(rows.sparkSession)
+    own = rows.schema[key].dataType
+    keyed = rows.withColumn("key", F.col(key).cast("string")).drop(key).withColumn("bucket", F.pmod(F.hash("key"), F.lit(BUCKETS)))
+    out = keyed.groupBy("bucket").transformWithStateInPandas(processor, f"key string, {schema}", "append", "none")
+    return out.select(F.col("key").cast(own).alias(key), *out.columns[1:])
+
+
 class Sessions(Keyed):
     """`head` holds the last sequence and whether the session has ended; a timer ends it for good."""
 
@@ -76,29 +110,27 @@ def session_log(events: DataFrame, ttl_ms: int = TTL_MS, late: str = "0 seconds"
     return keyed.transformWithStateInPandas(Sessions(ttl_ms), "session_id long, sequence long, kind string, ok boolean", "append", "eventTime")
 
 
-class Jobs(Keyed):
-    """`state` of a job; a move that is not legal leaves it as it is."""
+class Jobs(Dealt):
+    """The state of a job; a move that is not legal leaves it as it is."""
 
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("state", "state string")
+    kept = "state string"
 
-    def take(self, key, pdf, timers):
-        now, ok, was = self.state.get()[0] if self.state.exists() else None, [], []
-        for to in pdf["state"]:
-            legal = to == "queued" if now is None else (now, to) in MOVES
-            was.append(now)
+    def take(self, pdf, now):
+        was, ok = [], []
+        for job, to in zip(pdf["key"], pdf["state"], strict=True):
+            old = now[job][0] if now[job] else None
+            legal = to == "queued" if old is None else (old, to) in MOVES
+            was.append(old)
             ok.append(legal)
-            now = to if legal else now
-        if now is not None:
-            self.state.update((now,))
-        return pdf.assign(job_id=key, was=was, ok=ok)[["job_id", "seq", "state", "was", "ok"]]
+            if legal:
+                now[job] = (to,)
+        return pdf.assign(was=was, ok=ok)[["key", "seq", "state", "was", "ok"]]
 
 
 def job_log(moves: DataFrame) -> DataFrame:
     """R6 as a stream: moves(job_id, seq, state) with the state before and whether the move is legal. A job begins as queued;
     refused moves change nothing."""
-    use_store(moves.sparkSession)
-    return moves.select("job_id", "seq", "state").groupBy("job_id").transformWithStateInPandas(Jobs(), "job_id long, seq long, state string, was string, ok boolean", "append", "none")
+    return _dealt(moves.select("job_id", "seq", "state"), "job_id", Jobs(), "seq long, state string, was string, ok boolean")
 
 
 def job_moves(moves: DataFrame) -> DataFrame:
@@ -112,31 +144,23 @@ def job_moves(moves: DataFrame) -> DataFrame:
     return out.select("job_id", "seq", "state", was.alias("was"), F.coalesce(seq.isin(F.col("queued"), F.col("running"), F.col("over")), F.lit(False)).alias("ok"))
 
 
-class InFlight(Keyed):
-    """`job` that is open for a target, and how many requests each open job serves."""
+class InFlight(Dealt):
+    """The job that is open for a target, and how many requests it serves."""
 
-    def init(self, handle) -> None:
-        self.job, self.served = handle.getValueState("job", "job string"), handle.getMapState("served", "job string", "n long")
+    kept = "job string, n long"
 
-    def take(self, key, pdf, timers):
-        job, out = self.job.get()[0] if self.job.exists() else None, []
-        n = self.served.getValue((job,))[0] if job is not None else 0
-        for seq, request, over in zip(pdf["seq"], pdf["request"], pdf["over"], strict=True):
+    def take(self, pdf, now):
+        out = []
+        for target, seq, request, over in zip(pdf["key"], pdf["seq"], pdf["request"], pdf["over"], strict=True):
+            job, n = now[target] or (None, 0)
             if not over:
                 joined = job is not None
-                job, n = job if joined else request, n + 1
-                out.append((key, seq, request, job, joined, None))
+                now[target] = job, n = job if joined else request, n + 1
+                out.append((target, seq, request, job, joined, None))
             elif job is not None:
-                if self.served.containsKey((job,)):
-                    self.served.removeKey((job,))
-                out.append((key, seq, None, job, None, n))
-                job, n = None, 0
-        if job is None:
-            self.job.clear()
-        else:
-            self.job.update((job,))
-            self.served.updateValue((job,), (n,))
-        return pd.DataFrame(out, columns=["target", "seq", "request", "job", "joined", "served"]).astype({"joined": "boolean", "served": "Int64"})
+                out.append((target, seq, None, job, None, n))
+                now[target] = None
+        return pd.DataFrame(out, columns=["key", "seq", "request", "job", "joined", "served"]).astype({"joined": "boolean", "served": "Int64"})
 
 
 def _asked(log: DataFrame) -> DataFrame:
@@ -148,8 +172,7 @@ def in_flight(log: DataFrame) -> DataFrame:
     """R7 as a stream: log(target, seq, request, state) of requests (state null) and of states of the open job of a target
     (request null). A request joins the open job of its target, or opens one that takes its name; the job's end closes it,
     and then a row tells how many requests it served. Requests that arrive in different batches join the same job."""
-    use_store(log.sparkSession)
-    return _asked(log).groupBy("target").transformWithStateInPandas(InFlight(), "target string, seq long, request string, job string, joined boolean, served long", "append", "none")
+    return _dealt(_asked(log), "target", InFlight(), "seq long, request string, job string, joined boolean, served long")
 
 
 def in_flight_jobs(log: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import datetime
 import random
+import tempfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +77,37 @@ def test_requests_join_jobs(spark, places):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, twin.collect()), key=str)
     assert got.filter("joined").count() > 10 and got.filter("served > 1").count() > 3
     assert got.groupBy("job").agg(F.countDistinct("target").alias("n")).filter("n > 1").count() == 0
+
+
+def counted(base, calls):
+    class Counted(base):
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            tempfile.mkstemp(dir=calls)
+            yield from base.handleInputRows(self, key, rows, timerValues)
+
+    return Counted
+
+
+@pytest.mark.parametrize("jobs", [True, False])
+def test_many_keys_take_few_calls(spark, places, tmp_path, monkeypatch, jobs):
+    calls, r = tmp_path / "calls", random.Random(7)
+    calls.mkdir()
+    name = "Jobs" if jobs else "InFlight"
+    monkeypatch.setattr(S, "BUCKETS", 8, raising=False)
+    monkeypatch.setattr(S, name, counted(getattr(S, name), str(calls)))
+    keys = [None, -(2**62), *range(2**60, 2**60 + 298)]
+    log = [(k, s, r.choice(["queued", "running", "completed", "failed"])) for s in range(6) for k in keys]
+    if jobs:
+        schema, stream, twin = "job_id long, seq long, state string", S.job_log, S.job_moves
+    else:
+        schema, stream, twin = "target string, seq long, request string, state string", S.in_flight, S.in_flight_jobs
+        log = [(k and f"t{k}", s, None if state == "failed" else f"r{k}-{s}", state if state == "failed" else None) for k, s, state in log]
+    put = feed(spark, places[0], schema)
+    for lo, hi in ((0, 4), (4, 5), (5, 6)):
+        put([x for x in log if lo <= x[1] < hi])
+        S.run_once(stream(spark.readStream.schema(schema).parquet(places[0])), *places[1:])
+    got = spark.read.parquet(f"{places[1]}/rows").drop("batch")
+    want = twin(spark.createDataFrame(log, schema))
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert len(list(Path(calls).iterdir())) <= 3 * 8  # three batches; a call for each key before
