@@ -10,6 +10,7 @@ left. Segments are searched side by side; the best of each are ranked together.
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from factloom.llm.common import Scratch, by_bytes
 TERM = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
 RAW = "ids array<long>, sizes array<long>, terms array<string>, df array<long>, docs binary, tf binary"
 INDEX = "ids array<long>, terms array<string>, ends array<long>, impacts binary, fill binary, docs binary"
+#: Segments of a file: Spark writes and reads up to 100 and 4096 rows at once, whatever their size, but none beyond a file.
+PER_FILE = {"maxRecordsPerFile": 1}
 
 
 def terms_of(text: bytes | None) -> list[bytes]:
@@ -31,8 +34,7 @@ def terms_of(text: bytes | None) -> list[bytes]:
 
 def segment(ids: pa.Array, texts: list[pa.Array]):
     """A row of RAW: terms in byte order, postings by term and document; df is the number of postings of each term."""
-    number: dict = defaultdict()
-    number.default_factory = number.__len__
+    number = defaultdict(count().__next__)  # numbers by len(number) would tie the dictionary to itself, and it would stay
     sizes, terms = [], []
     for part in texts:
         for t in part.to_pylist():
@@ -134,7 +136,7 @@ def build(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
             yield out()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
-    raw = scratch.table(rows.mapInArrow(cut, RAW), "raw")
+    raw = scratch.table(rows.mapInArrow(cut, RAW), "raw", **PER_FILE)
     df = raw.select(F.explode(F.arrays_zip("terms", "df")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.df").alias("df"))
     df = scratch.table(df, "df")
     n, total = raw.agg(F.sum(F.size(F.filter("sizes", lambda s: s > 0))), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, s: a + s))).first()
@@ -148,7 +150,7 @@ def build(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
                 lists = [b.column(0).slice(r, 1), b.column(2).slice(r, 1), pa.array([ends], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*lists, *(pa.array([x.tobytes()], pa.binary()) for x in (impact.astype(np.uint32), fill.astype(np.uint32), at.astype(np.uint32)))], names=["ids", "terms", "ends", "impacts", "fill", "docs"])
 
-    index = scratch.table(raw.mapInArrow(weigh, INDEX), "index")
+    index = scratch.table(raw.mapInArrow(weigh, INDEX), "index", **PER_FILE)
     scratch.drop("raw")
     return index, df, n or 0
 

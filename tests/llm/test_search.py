@@ -1,11 +1,13 @@
 """Name join, substring dedup and ranked search against plain Python, with nulls, empty and long values, ties, repeats and
 clashing columns."""
 
+import gc
 import math
 import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from factloom.llm import name_join, queries, ranked, repeats
@@ -173,6 +175,24 @@ def test_segments_agree(spark):
     assert index.count() > 1
 
 
+def test_segments_are_read_one_at_a_time(spark):
+    """A file of several segments would be in memory whole, however large its task's input is."""
+    docs = spark.createDataFrame([(i, f"a{i} b{i % 3} " * 9) for i in range(120)], "doc_id long, text string").coalesce(1)
+    index, _, _ = ranked.build(docs, Scratch(spark, "t"), segment_bytes=500)
+    assert len(index.inputFiles()) == index.count() > 5
+
+
+def test_segments_leave_nothing_behind():
+    """A task makes many segments: the terms of one go with it, not when Python looks for cycles."""
+    gc.collect()
+    gc.disable()
+    try:
+        ranked.segment(pa.array([1, 2]), [pa.array([b"left one", b"left two"])])
+        assert not [x for x in gc.get_objects() if isinstance(x, defaultdict) and b"left" in x]
+    finally:
+        gc.enable()
+
+
 def test_early_stop():
     """Documents that only a term of small weight has are given up; the best have whole scores."""
     import numpy as np
