@@ -45,8 +45,8 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
-#: Characters of a glob's literal end by which paths find it; rows of the result that one task makes.
-TAIL, ROWS = 4, 1 << 20
+#: Characters of a glob's literal end by which paths find it; rows of the result that one tile makes, and paths that it has.
+TAIL, ROWS, SIDE = 4, 1 << 22, 512
 
 
 def glob_key(glob: str) -> tuple[str, str]:
@@ -65,7 +65,9 @@ def match_globs(globs: DataFrame, files: DataFrame) -> DataFrame:
     An index of the distinct globs by their literal folder, up to the first wildcard, and their name or the literal end behind
     the last one: a path probes it by equality with each of its folders and ends, and only globs that it finds meet it as
     regular expressions, once each, however many names a glob has. The names are joined to what their globs found in tiles of
-    about ROWS rows of the result. One scan of files, however many globs there are. Null globs and paths match nothing.
+    about ROWS rows of the result, of SIDE paths: a path is sent once for each ROWS / SIDE names of its glob, a name once for
+    each SIDE paths, and each name of a tile gives the same paths in the same order, which a writer stores as repeats. One scan
+    of files, however many globs there are. Null globs and paths match nothing.
     """
     @F.arrow_udf("struct<folder string, tail string, regex string>")
     def read(values: pa.Array) -> pa.Array:
@@ -81,12 +83,16 @@ def match_globs(globs: DataFrame, files: DataFrame) -> DataFrame:
     probes = files.select("path").filter("path is not null").distinct().select("path", F.explode(F.array_distinct(folders)).alias("folder")).select("path", "folder", F.explode(F.array_distinct(tails)).alias("tail"))
     hits = work.table(probes.join(index, ["folder", "tail"]).filter(F.rlike("path", F.col("regex"))).select("glob", "path"), "hits")
     sizes = named.groupBy("glob").agg(F.count("*").alias("names")).join(hits.groupBy("glob").agg(F.count("*").alias("paths")), "glob")
-    sizes = work.table(sizes.select("glob", (F.col("names") * F.col("paths")).alias("n"), F.least("names", F.ceil(F.col("names") * F.col("paths") / ROWS)).alias("tiles")), "sizes")
+    n = F.col("names") * F.col("paths")
+    across, down = F.least("names", F.ceil(F.col("names") * F.least("paths", F.lit(SIDE)) / ROWS)), F.ceil(F.col("paths") / SIDE)
+    sizes = work.table(sizes.select("glob", F.monotonically_increasing_id().alias("g"), n.alias("n"), across.alias("across"), down.alias("down")), "sizes")
     parts = -(-(sizes.agg(F.sum("n")).first()[0] or 1) // ROWS)
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    tiled = lambda rows: rows.withColumn("tile", F.col("i") * F.col("down") + F.col("j")).drop("i", "j", "down").repartition(parts, "g", "tile")
     own = named.withColumn("several", F.count("*").over(Window.partitionBy("name")) > 1).join(sizes, "glob")
-    own = own.select("name", "several", "glob", F.pmod(F.xxhash64("name"), "tiles").alias("tile")).repartition(parts, "glob", "tile")
-    found = hits.join(sizes, "glob").select("path", "glob", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile")).repartition(parts, "glob", "tile")
-    of = lambda names: names.hint("merge").join(found, ["glob", "tile"]).select("name", "path")
+    own = tiled(own.select("name", "several", "g", "down", F.pmod(F.xxhash64("name"), "across").alias("i"), every("down").alias("j")))
+    found = tiled(hits.join(sizes, "glob").select("path", "g", "down", F.pmod(F.xxhash64("path"), "down").alias("j"), every("across").alias("i")))
+    of = lambda names: names.hint("merge").join(found, ["g", "tile"]).select("name", "path")
     return of(own.filter("not several")).unionByName(of(own.filter("several")).distinct())  # a name's only glob finds a path once
 
 

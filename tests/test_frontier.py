@@ -95,3 +95,26 @@ def test_globs_are_found_by_fixed_names_and_joined_in_tiles(spark, monkeypatch):
     got = incremental.match_globs(spark.createDataFrame(names, "name string, glob string"), spark.createDataFrame([(p,) for p in [*paths, None, "xy"]], "path string"))
     want = {(n, p) for n, g in names if g is not None for p in paths if re.search(incremental.glob_regex(g), p)}
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def _sent(plan):
+    """Rows that the exchanges of an executed plan wrote, those that are used again once."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return _sent(plan.executedPlan())
+    if "QueryStage" in name:
+        return _sent(plan.plan())
+    if name.startswith("ReusedExchange"):
+        return 0
+    own = plan.metrics().get("shuffleRecordsWritten").get().value() if name.startswith("Exchange") else 0
+    return own + sum(_sent(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_tiles_send_paths_once_for_many_names(spark, monkeypatch):
+    monkeypatch.setattr(incremental, "ROWS", 1 << 12)
+    monkeypatch.setattr(incremental, "SIDE", 1 << 6, raising=False)
+    names = spark.createDataFrame([(f"n{i}", "src/*") for i in range(512)], "name string, glob string")
+    found = incremental.match_globs(names, spark.createDataFrame([(f"src/f{i}",) for i in range(512)], "path string"))
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) == 512 * 512
+    assert 2 * 512 * 8 <= _sent(found._jdf.queryExecution().executedPlan()) <= 3 * 512 * 8  # each side to eight tiles, and what else is sent once
